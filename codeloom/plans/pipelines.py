@@ -1,0 +1,44 @@
+"""End-to-end compositions (one distributed job per stage, all packages at once)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from codeloom.operators import extract as X
+from codeloom.operators import graph as G
+
+
+def build_graph(
+    src: DataFrame,
+    entries: DataFrame,
+    calls: DataFrame,
+    log: DataFrame,
+    roots: DataFrame,
+    normalize_callers: bool = False,
+    use_marker: bool = False,
+    include_async: bool = False,
+    distinct_edges: bool = False,
+) -> dict[str, DataFrame]:
+    """Function graph of every package.
+
+    ``src``: ``package, path, content``; ``entries``: ``package, function``;
+    ``calls``: ``package, caller, callee``; ``log``: ``package, line_no, line``;
+    ``roots``: ``package, root``.  Returns ``nodes`` (functions on some edge),
+    ``edges``, ``errors`` (unparseable files), ``unmatched`` (entries without a
+    logged path), ``completeness`` and ``status`` per package.
+    """
+    fns, errors = X.split_errors(X.extract_functions(src, include_async))
+    nodes = X.function_nodes(fns, roots)
+    if use_marker:
+        log = G.after_marker(log)
+    logged = G.log_entries(log, roots)
+    resolved, unmatched = G.attach_paths(entries, G.name_to_path(logged))
+    edges = G.resolve_edges(calls, resolved, normalize_callers, distinct=distinct_edges)
+    return {
+        "nodes": G.nodes_in_graph(nodes, edges),
+        "edges": edges,
+        "errors": errors,
+        "unmatched": unmatched,
+        "completeness": G.mapping_completeness(nodes, edges),
+        "status": G.package_status(roots, log=logged, edges=edges),
+    }

@@ -73,16 +73,20 @@ union all
 select package, -1, concat(cast(package * 10 + 50 as string), ' functions will be analyzed.')
 from (select distinct package from {call_log}) p""",
     # package source files matching the call graph: one function per key k,
-    # a method of class C<k % 7> when k % 3 = 0 (root folder /w/pkg<p>)
+    # a method of class C<k % 7> when k % 3 = 0 (root folder /w/pkg<p>); each
+    # calls itself, a function of another key and a builtin or a method
     "graph_src": """
 select k % 20 as package,
   concat('/w/pkg', cast(k % 20 as string), '/src', cast(k % 5 as string), '/m', cast(k % 97 as string), '.py') as path,
   case when k % 3 = 0
        then concat('class C', cast(k % 7 as string), ':', chr(10), '    def f', cast(k as string), '(self, x):',
-                   chr(10), '        return self.g(x) + f', cast(k + 20 as string), '(x)', chr(10))
+                   chr(10), '        return self.f', cast(k as string), '(x) + f', cast(k + 20 as string), '(x)', chr(10))
        else concat('def f', cast(k as string), '(a, b=2):', chr(10), '    return f', cast(k + 20 as string),
-                   '(a) + len(b)', chr(10)) end as content
+                   '(a) + len(b) + f', cast(k as string), '(a - 1)', chr(10)) end as content
 from (select o_orderkey as k from {orders} where o_orderkey < 2000 and o_orderkey % 23 >= 4) t""",
+    # package roots of the source-file fixture (one folder per document source)
+    "src_roots": """
+select distinct source as package, source as root from {documents}""",
     # source files; every 13th unparseable, every 10th a method of class C
     "src": """
 select source as package, doc_id, concat(source, '/m', cast(doc_id as string), '.py') as path,
