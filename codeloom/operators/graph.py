@@ -20,29 +20,11 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import names as N
 from codeloom.functions.predicates import is_user_function, not_builtin
+from codeloom.operators.ranking import running_rank
 
 PKG = "package"
 
 
-# ---------------------------------------------------------------------------
-# ordered ranks without a per-package single task
-def running_rank(df: DataFrame, part: list[str], order: str, width: int = 1 << 16) -> DataFrame:
-    """Add ``_rank``: 1-based position of each row by ``order`` within ``part``.
-
-    Rows are cut into order-preserving buckets of ``width`` order values; a
-    row_number inside ``(part, bucket)`` plus the bucket's offset (a running sum
-    over the small per-bucket count table) gives the exact rank, so a hot
-    ``part`` is ranked by many tasks instead of one.
-    """
-    b = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(width)))
-    counts = b.groupBy(*part, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
-    w_off = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*part, "_bucket", F.coalesce(F.sum("_cnt").over(w_off), F.lit(0)).alias("_off"))
-    w = Window.partitionBy(*part, "_bucket").orderBy(order)
-    ranked = b.withColumn("_rn", F.row_number().over(w)).join(offsets, [*part, "_bucket"])
-    return ranked.withColumn("_rank", F.col("_rn") + F.col("_off")).drop("_bucket", "_rn", "_off")
-
-
 # ---------------------------------------------------------------------------
 # analyzer log
 def after_marker(log: DataFrame) -> DataFrame:
