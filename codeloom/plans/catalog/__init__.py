@@ -1,3 +1,3 @@
 """Query catalog: importing this package registers every query."""
 
-from codeloom.plans.catalog import extract_q, graph_q, retrieval_q, sampling_q  # noqa: F401
+from codeloom.plans.catalog import extract_q, graph_q, metrics_q, retrieval_q, sampling_q, scoring_q  # noqa: F401
