@@ -129,6 +129,15 @@ select a.conv_id % 5 as dataset_name, case when a.conv_id % 2 = 0 then 'trained'
   case when (a.conv_id + a.turn) % 17 = 0 then cast(null as string) else b.text end as candidate
 from {conversations} a join {conversations} b on a.conv_id = b.conv_id and b.turn = a.turn + 1
 where a.role = 'user' and b.role = 'assistant'""",
+    # model responses: fenced code, marker-delimited code, or plain text
+    "generations": """
+select conv_id, turn,
+  case when turn % 3 = 0 then concat('Sure.', chr(10), '```python', chr(10), text, chr(10), '```', chr(10),
+                                     'Also ```python', chr(10), 'pass', chr(10), '```')
+       when turn % 3 = 1 then concat('#to_be_implemented', chr(10), text, chr(10), '#end_of_example', chr(10),
+                                     '#to_be_implemented  ', cast(turn as string), chr(9), '#end_of_example tail')
+       else text end as response
+from {conversations}""",
     # run / step / metric / value, 100 steps to an epoch
     "metric_log": """
 select run, step, cast(floor((step - 1) / 100.0) as bigint) as epoch, 'train_loss' as metric, value
