@@ -179,7 +179,8 @@ def ast_items(df: DataFrame, ids: list[str], ref: str = "reference", cand: str =
                         continue
                     rows.extend((*key, side, "syntax", h) for h in _subtree_hashes(tree))
                     rows.extend((*key, side, "dataflow", e) for e in _dataflow_edges(tree))
-            yield pd.DataFrame(rows, columns=[*ids, "side", "kind", "item"])
+            if rows:
+                yield pd.DataFrame(rows, columns=[*ids, "side", "kind", "item"])
 
     return df.select(*ids, F.col(ref).alias("ref_text"), F.col(cand).alias("cand_text")).mapInPandas(run, schema=schema)
 

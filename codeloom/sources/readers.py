@@ -81,7 +81,8 @@ def _untar(it: Iterator[pd.DataFrame], suffix: str | None) -> Iterator[pd.DataFr
                         rows.append((stem, m.name, data, None))
             except Exception as e:  # noqa: BLE001 - a bad archive is reported and skipped
                 rows.append((stem, None, None, f"{type(e).__name__}: {e}"))
-        yield pd.DataFrame(rows, columns=["archive", "path", "content", "error"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["archive", "path", "content", "error"])
 
 
 def read_archives(spark: SparkSession, glob: str, suffix: str | None = ".py") -> DataFrame:
@@ -101,8 +102,9 @@ def normalize_newlines(c) -> Column:
 def read_source_files(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFrame:
     """``package, path, content`` for every matching file below ``root``;
     ``package`` is the first folder under ``root``, ``path`` is relative to it."""
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", pattern).text(root))
+    # ``text()`` sets ``wholetext`` itself, so it is passed as an argument
+    df = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+          .text(root, wholetext=True))
     full = _path_col()
     base = root.rstrip("/").split("://")[-1]
     rel = F.regexp_extract(full, re.escape(base) + "/(.*)$", 1)
@@ -130,7 +132,7 @@ def read_call_graph(spark: SparkSession, glob: str, suffix: str = "-graph-order.
 # S5 -------------------------------------------------------------------------
 def read_analyzer_log(spark: SparkSession, glob: str, suffix: str = ".log") -> DataFrame:
     """``package, line_no, line`` (0-based line order kept)."""
-    raw = spark.read.option("wholetext", True).text(glob)
+    raw = spark.read.text(glob, wholetext=True)
     pkg = file_stem(_path_col(), suffix).alias("package")
     return raw.select(pkg, F.posexplode(F.split("value", "\n")).alias("line_no", "line")) \
         .withColumn("line_no", F.col("line_no").cast("bigint"))

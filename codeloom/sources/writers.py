@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 
 def _csv_writer(df: DataFrame, mode: str):
-    return df.write.mode(mode).option("header", True).option("escape", '"').option("quoteAll", False)
+    # keep leading / trailing whitespace: it is part of the code
+    return (df.write.mode(mode).option("header", True).option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
 
 
 def write_edges(edges: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
