@@ -133,3 +133,88 @@ def k3(t):
                                "dataset_name bigint").option("header", True).option("multiLine", True) \
         .option("escape", '"').csv(root)
     return back.select("dataset_name", "conv_id", "turn", "variant", "reference", "candidate")
+
+
+@query("S7_read_function_base", ["function_base"],
+       "select dataset_name, signature, comment, raw_source_code from function_base")
+def s7(t):
+    """Function base written per dataset (original column names), read back."""
+    root = _scratch(t.spark, "fbase")
+    fb = t["function_base"].select(
+        "dataset_name", F.col("signature").alias("function signature"), "comment", "raw_source_code",
+        F.concat(F.lit("["), F.array_join(F.col("embedding").cast("array<string>"), ", "), F.lit("]")).alias("embeddings"))
+    W._csv_writer(fb, "overwrite").partitionBy("dataset_name").csv(root)
+    back = R.read_function_base(t.spark, root, name="*.csv")
+    return back.select("dataset_name", "signature", "comment", "raw_source_code")
+
+
+@query("S8_read_results", ["results_long"],
+       """select dataset_name, 'f' || cast(conv_id as string) as signature, reference,
+  case when variant = 'trained' then 'context_generation' else 'no_context_generation' end as variant, candidate
+from results_long""")
+def s8(t):
+    """Result CSVs in the original column layout (one generation column per
+    file, named by variant), read back in long form."""
+    root = _scratch(t.spark, "res")
+    rl = t["results_long"]
+    for v, col in (("trained", "context_generation"), ("not_trained", "no_context_generation")):
+        out = rl.filter(F.col("variant") == v).select(
+            "dataset_name", F.concat(F.lit("f"), F.col("conv_id").cast("string")).alias("function signature"),
+            F.col("reference").alias("source code"), F.col("candidate").alias(col))
+        W._csv_writer(out, "overwrite").partitionBy("dataset_name").csv(f"{root}/{v}")
+    back = R.read_results(t.spark, root, pattern="*/*/*.csv")
+    return back.select(F.col("dataset_name").cast("bigint").alias("dataset_name"), "signature", "reference",
+                       "variant", "candidate")
+
+
+@query("K4_S9_metrics_roundtrip", ["results_long"],
+       """select cast(dataset_name as string) || '/' || variant as dataset_name, count(*) as pairs
+from results_long where reference is not null and candidate is not null group by dataset_name, variant""")
+def k4s9(t):
+    """Per-dataset metric objects written as JSON (one folder per dataset),
+    read back with ragged keys unioned."""
+    root = _scratch(t.spark, "metrics")
+    rl = t["results_long"].filter(F.col("reference").isNotNull() & F.col("candidate").isNotNull())
+    wide = rl.groupBy(F.concat(F.col("dataset_name").cast("string"), F.lit("@"), "variant").alias("dataset_name")) \
+        .agg(F.count(F.lit(1)).alias("pairs"))
+    W.write_metrics(wide, root)
+    back = R.read_metrics(t.spark, root, pattern="*/*.json", up=1)
+    return back.select(F.regexp_replace("dataset_name", "@", "/").alias("dataset_name"), "pairs")
+
+
+@query("K5_write_comparison", ["results_long"], None)
+def k5(t):
+    """The variant comparison written as one CSV and read back."""
+    from codeloom.plans.catalog.metrics_q import _cmp
+
+    root = _scratch(t.spark, "cmp")
+    W.write_comparison(_cmp(t), root)
+    return t.spark.read.option("header", True).schema("metric string, trained double, not_trained double").csv(root)
+
+
+@query("K6_append_metric_log", ["metric_log"], "select run, step, metric, value from metric_log")
+def k6(t):
+    """Training-log rows appended to a table partitioned by run, read back."""
+    root = _scratch(t.spark, "mlog")
+    W.append_metric_log(t["metric_log"], root, backend="table")
+    return t.spark.read.parquet(root).select("run", "step", "metric", "value")
+
+
+@query("W6_head", ["edge_docs"],
+       "select package, edge_id, node1, node2 from edge_docs order by package, edge_id limit 5")
+def w6(t):
+    """First rows for inspection (the limit is the feature)."""
+    return t["edge_docs"].orderBy("package", "edge_id").limit(5).select("package", "edge_id", "node1", "node2")
+
+
+@query("W6_nth_row", ["results_long"],
+       """select dataset_name, conv_id, turn, reference from (
+  select *, row_number() over (partition by dataset_name order by conv_id, turn) as rn from results_long) t
+where rn = 2""")
+def w6n(t):
+    """Row ``i = 1`` (0-based) of every dataset."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("dataset_name").orderBy("conv_id", "turn")
+    r = t["results_long"].withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 2)
+    return r.select("dataset_name", "conv_id", "turn", "reference")

@@ -37,9 +37,10 @@ def _path_col() -> Column:
 
 
 def parent_folder(path: Column, up: int = 1) -> Column:
-    """Name of the folder ``up`` levels above the file."""
+    """Name of the folder ``up`` levels above the file; a Hive-style
+    ``key=value`` folder (as Spark's partitioned writers make) gives ``value``."""
     parts = F.split(path, "/")
-    return F.element_at(parts, -1 - up)
+    return F.regexp_replace(F.element_at(parts, -1 - up), "^[^=]*=", "")
 
 
 def file_stem(path: Column, suffix: str) -> Column:
@@ -183,6 +184,7 @@ FUNCTION_BASE_COLUMNS = {"function signature": "signature", "comment": "comment"
 
 
 def read_function_base(spark: SparkSession, root: str, name: str = "function_base.csv") -> DataFrame:
+    # ``name`` may be a glob (e.g. ``*.csv`` for a partitioned write)
     """``dataset_name, signature, comment, raw_source_code, embeddings`` of every
     dataset folder; raises before any job when the code column is missing."""
     df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
@@ -193,7 +195,7 @@ def read_function_base(spark: SparkSession, root: str, name: str = "function_bas
 
 
 # S8 -------------------------------------------------------------------------
-def read_results(spark: SparkSession, root: str) -> DataFrame:
+def read_results(spark: SparkSession, root: str, pattern: str = "*/*.csv") -> DataFrame:
     """Every ``*.csv`` of every dataset folder in long form:
     ``dataset_name, file, signature, reference, variant, candidate``.
 
@@ -201,7 +203,7 @@ def read_results(spark: SparkSession, root: str) -> DataFrame:
     ones ``ground_truth, simple_generation, context_generation`` (two
     variants, no signature).  Each file's header row names the layout.
     """
-    raw = _csv(spark, "c0 string, c1 string, c2 string", header=False).csv(f"{root.rstrip('/')}/*/*.csv")
+    raw = _csv(spark, "c0 string, c1 string, c2 string", header=False).csv(f"{root.rstrip('/')}/{pattern}")
     raw = raw.select(parent_folder(_path_col()).alias("dataset_name"),
                      file_stem(_path_col(), ".csv").alias("file"), _path_col().alias("_f"), "c0", "c1", "c2")
     is_header = F.col("c0").isin("function signature", "ground_truth")
@@ -221,11 +223,12 @@ def read_results(spark: SparkSession, root: str) -> DataFrame:
 
 
 # S9 -------------------------------------------------------------------------
-def read_metrics(spark: SparkSession, root: str, name: str = "results.json") -> DataFrame:
-    """Wide rows of ``*/metrics/<name>`` tagged with ``dataset_name`` (keys of
-    all files are unioned; absent ones are null)."""
-    df = spark.read.option("multiLine", True).json(f"{root.rstrip('/')}/*/metrics/{name}")
-    return df.withColumn("dataset_name", parent_folder(_path_col(), up=2))
+def read_metrics(spark: SparkSession, root: str, pattern: str = "*/metrics/results.json", up: int = 2) -> DataFrame:
+    """Wide rows of every JSON file matching ``pattern`` tagged with the folder
+    ``up`` levels above it as ``dataset_name`` (keys of all files are unioned;
+    absent ones are null)."""
+    df = spark.read.option("multiLine", True).json(f"{root.rstrip('/')}/{pattern}")
+    return df.withColumn("dataset_name", parent_folder(_path_col(), up=up))
 
 
 def metrics_long(wide: DataFrame, key: str = "dataset_name") -> DataFrame:
