@@ -67,11 +67,12 @@ def is_number(c) -> Column:
     return col(c).rlike(r"^-?[0-9]+(\.[0-9]+)?$")
 
 
-def _first_parens(c) -> Column:
-    c = col(c)
-    after = F.when(F.instr(c, "(") > 0, F.substr(c, F.instr(c, "(") + 1)).otherwise(c)
-    return F.when(F.instr(after, ")") > 0, F.substr(after, F.lit(1), F.instr(after, ")") - 1)) \
-        .otherwise(F.substr(after, F.lit(1), F.length(after) - 1))
+# A counter is two whole numbers inside the first parentheses.  Python's rule
+# takes the text after the first "(" (all of it when there is none) up to the
+# first ")" (or drops the last character when there is none); one regular
+# expression encodes both fallbacks so the column stays a single compact
+# expression instead of nested substring trees.
+_PROGRESS = r"^(?:[^(]*\(|(?=[^(]*$))(-?[0-9]+)/(-?[0-9]+)(?:\)|[^)]$)"
 
 
 def parse_progress(c) -> Column:
@@ -79,29 +80,23 @@ def parse_progress(c) -> Column:
 
     Only the first parentheses count and both parts must be whole numbers.
     """
-    inner = _first_parens(c)
-    pat = r"^(-?[0-9]+)/(-?[0-9]+)$"
-    ok = inner.rlike(pat)
-    i = F.regexp_extract(inner, pat, 1).try_cast("bigint")
-    n = F.regexp_extract(inner, pat, 2).try_cast("bigint")
-    return F.when(ok & i.isNotNull() & n.isNotNull(), F.struct(i.alias("i"), n.alias("n")))
+    c = col(c)
+    i = F.regexp_extract(c, _PROGRESS, 1).try_cast("bigint")
+    n = F.regexp_extract(c, _PROGRESS, 2).try_cast("bigint")
+    return F.when(c.rlike(_PROGRESS), F.struct(i.alias("i"), n.alias("n")))
 
 
 def parse_log_entry(line, root) -> Column:
     """``struct<name, rel_path>`` of an analyzer counter line, null if malformed.
 
     The name follows the first ``)`` and a space, stops at ``(from `` and loses
-    its 4-character colour prefix; the path runs to the next ``)`` and is made
-    relative to the package ``root``.
+    its 4-character colour prefix; the path runs to the next ``)`` (or drops
+    its last character when there is none) and is made relative to ``root``.
     """
     line = col(line)
     r = col(root) if not isinstance(root, str) else F.lit(root)
     rest = F.substr(line, F.instr(line, ")") + 2)
-    at = F.instr(rest, FROM_TOKEN)
-    first = F.substr(rest, F.lit(1), at - 1)
-    name = F.substr(strip_ws(first), F.lit(ANSI_PREFIX_LEN + 1))
-    last = F.substr(rest, at + len(FROM_TOKEN))
-    full = F.when(F.instr(last, ")") > 0, F.substr(last, F.lit(1), F.instr(last, ")") - 1)) \
-        .otherwise(F.substr(last, F.lit(1), F.length(last) - 1))
+    name = F.substr(strip_ws(F.substring_index(rest, FROM_TOKEN, 1)), F.lit(ANSI_PREFIX_LEN + 1))
+    full = F.regexp_extract(rest, r"(?s)\(from ([^)]*)(?:\)|.$)", 1)
     rel = F.substr(full, F.instr(full, r) + F.length(r) + 1)
-    return F.when(at > 0, F.struct(name.alias("name"), rel.alias("rel_path")))
+    return F.when(rest.contains(FROM_TOKEN), F.struct(name.alias("name"), rel.alias("rel_path")))

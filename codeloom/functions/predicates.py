@@ -14,18 +14,19 @@ BUILTIN_FILE = "builtin.py"
 INIT_MARK = "$$"
 
 
+# One regular expression for the whole rule (a compact expression even when the
+# argument is itself an expression): the symbol does not start with
+# ``builtin.py``; the bare name (after the last ``:``) is non-empty, does not
+# start with ``$$`` or a digit, is not exactly ``<lambda>`` / ``<module>`` and
+# does not end with ``$$``.
+_USER_FUNCTION = r"^(?!builtin\.py)(?:.*:)?(?!\$\$|<lambda>$|<module>$|[0-9])[^:]+(?<!\$\$)$"
+
+
 def is_user_function(c) -> Column:
     """Current filter: the bare name (after the last ``:``) does not start or
     end with ``$$``, is not ``<lambda>``/``<module>``, is not empty and does not
     start with a digit; the symbol does not start with ``builtin.py``."""
-    c = col(c)
-    b = bare_name(c)
-    return (
-        ~b.startswith(INIT_MARK) & ~b.endswith(INIT_MARK)
-        & ~b.isin(*GENERATED_NAMES)
-        & (F.length(b) > 0) & ~b.rlike("^[0-9]")
-        & ~c.startswith(BUILTIN_FILE)
-    )
+    return F.coalesce(col(c).rlike(_USER_FUNCTION), F.lit(False))
 
 
 def is_user_function_v1(c) -> Column:

@@ -58,40 +58,50 @@ def _lengths(df: DataFrame, ids: list[str], ref: str, cand: str) -> DataFrame:
     return df.select(*ids, F.size(tokens(ref)).alias("len_r"), F.size(tokens(cand)).alias("len_c"))
 
 
-def ngram_match(df: DataFrame, ids: list[str], ref: str = "reference", cand: str = "candidate",
-                weighted: bool = False) -> DataFrame:
-    """``ids + score`` for each pair with both texts present.
+def _bleu(prefix: str) -> Column:
+    logp = []
+    for k in range(1, MAX_N + 1):
+        hit = F.coalesce(F.col(f"{prefix}hit{k}"), F.lit(0.0))
+        tot = F.coalesce(F.col(f"{prefix}tot{k}"), F.lit(0.0))
+        tot = F.when(tot == 0, F.lit(1.0)).otherwise(tot)
+        p = F.when(hit == 0, F.lit(SMOOTH_EPS) / tot).otherwise(hit / tot)
+        logp.append(F.log(p))
+    bp = F.when(F.col("len_c") > F.col("len_r"), F.lit(1.0)) \
+        .otherwise(F.exp(F.lit(1.0) - F.col("len_r") / F.greatest(F.col("len_c"), F.lit(1))))
+    geo = F.exp(sum(logp[1:], logp[0]) / F.lit(float(MAX_N)))
+    return F.when(F.coalesce(F.col(f"{prefix}hit1"), F.lit(0.0)) == 0, F.lit(0.0)).otherwise(geo * bp)
 
-    ``weighted``: unigram counts weigh 1 for Python keywords and 0.2 otherwise
+
+def ngram_scores(df: DataFrame, ids: list[str], ref: str = "reference", cand: str = "candidate") -> DataFrame:
+    """``ids, ngram_match_score, weighted_ngram_match_score`` for each pair with
+    both texts present, from one n-gram explode and one clipping shuffle.
+
+    Weighted: unigram counts weigh 1 for Python keywords and 0.2 otherwise
     (numerator and denominator); longer n-grams are unweighted.
     """
     pairs = df.filter(F.col(ref).isNotNull() & F.col(cand).isNotNull())
     grams = _ngrams(pairs, ids, "c", cand).unionByName(_ngrams(pairs, ids, "r", ref))
     counts = grams.groupBy(*ids, "n", "g").agg(
         F.count_if(F.col("side") == "c").alias("cc"), F.count_if(F.col("side") == "r").alias("rc"))
-    w = F.lit(1.0)
-    if weighted:
-        w = F.when(F.col("n") == 1, F.when(F.col("g").isin(*PYTHON_KEYWORDS), F.lit(KEYWORD_WEIGHT))
-                   .otherwise(F.lit(OTHER_WEIGHT))).otherwise(F.lit(1.0))
+    w = F.when(F.col("n") == 1, F.when(F.col("g").isin(*PYTHON_KEYWORDS), F.lit(KEYWORD_WEIGHT))
+               .otherwise(F.lit(OTHER_WEIGHT))).otherwise(F.lit(1.0))
+    clip = F.least("cc", "rc")
     per_n = counts.groupBy(*ids, "n").agg(
-        F.sum(w * F.least("cc", "rc")).alias("hit"), F.sum(w * F.col("cc")).alias("tot"))
+        F.sum(clip).cast("double").alias("hit"), F.sum("cc").cast("double").alias("tot"),
+        F.sum(w * clip).alias("whit"), F.sum(w * F.col("cc")).alias("wtot"))
+    ks = range(1, MAX_N + 1)
     wide = per_n.groupBy(*ids).agg(
-        *[F.sum(F.when(F.col("n") == k, F.col("hit"))).alias(f"hit{k}") for k in range(1, MAX_N + 1)],
-        *[F.sum(F.when(F.col("n") == k, F.col("tot"))).alias(f"tot{k}") for k in range(1, MAX_N + 1)],
-    )
+        *[F.sum(F.when(F.col("n") == k, F.col(c))).alias(f"{p}{c.lstrip('w')}{k}")
+          for k in ks for c, p in (("hit", ""), ("tot", ""), ("whit", "w_"), ("wtot", "w_"))])
     out = _lengths(pairs, ids, ref, cand).join(wide, ids, "left")
-    logp = []
-    for k in range(1, MAX_N + 1):
-        hit = F.coalesce(F.col(f"hit{k}"), F.lit(0.0))
-        tot = F.coalesce(F.col(f"tot{k}"), F.lit(0.0))
-        tot = F.when(tot == 0, F.lit(1.0)).otherwise(tot)
-        p = F.when(hit == 0, F.lit(SMOOTH_EPS) / tot).otherwise(hit / tot)
-        logp.append(F.log(p))
-    bp = F.when(F.col("len_c") > F.col("len_r"), F.lit(1.0)) \
-        .otherwise(F.exp(F.lit(1.0) - F.col("len_r") / F.greatest(F.col("len_c"), F.lit(1))))
-    geo = F.exp(sum(logp[1:], logp[0]) / F.lit(float(MAX_N)))
-    score = F.when(F.coalesce(F.col("hit1"), F.lit(0.0)) == 0, F.lit(0.0)).otherwise(geo * bp)
-    return out.select(*ids, score.alias("score"))
+    return out.select(*ids, _bleu("").alias("ngram_match_score"), _bleu("w_").alias("weighted_ngram_match_score"))
+
+
+def ngram_match(df: DataFrame, ids: list[str], ref: str = "reference", cand: str = "candidate",
+                weighted: bool = False) -> DataFrame:
+    """``ids + score``: plain or keyword-weighted n-gram match (see :func:`ngram_scores`)."""
+    col = "weighted_ngram_match_score" if weighted else "ngram_match_score"
+    return ngram_scores(df, ids, ref, cand).select(*ids, F.col(col).alias("score"))
 
 
 # ---------------------------------------------------------------------------
@@ -229,9 +239,7 @@ def score_pairs(df: DataFrame, ids: list[str], ref: str = "reference", cand: str
     """Every metric per pair with both texts present (the others are skipped)."""
     pairs = df.filter(F.col(ref).isNotNull() & F.col(cand).isNotNull())
     lev = pairs.select(*ids, edit_distance(ref, cand).cast("double").alias("levenshtein_distance"))
-    ng = ngram_match(pairs, ids, ref, cand).withColumnRenamed("score", "ngram_match_score")
-    wng = ngram_match(pairs, ids, ref, cand, weighted=True).withColumnRenamed("score", "weighted_ngram_match_score")
-    out = lev.join(ng, ids).join(wng, ids)
+    out = lev.join(ngram_scores(pairs, ids, ref, cand), ids)
     if with_ast:
         out = out.join(ast_match(pairs, ids, ref, cand).drop("parsed"), ids)
         parts = [F.col("ngram_match_score"), F.col("weighted_ngram_match_score"),

@@ -58,12 +58,15 @@ def last_wins(df: DataFrame, keys: list[str], value: str, order: str) -> DataFra
 
 
 def name_to_path(entries: DataFrame) -> DataFrame:
-    """``package, name, rel_path``: last logged path of each bare name, plus the
-    number of distinct paths logged for it (``n_paths`` > 1 = ambiguous)."""
-    return entries.groupBy(PKG, "name").agg(
-        F.max_by("rel_path", "line_no").alias("rel_path"),
-        F.count_distinct("rel_path").alias("n_paths"),
-    )
+    """``package, name, rel_path``: last logged path of each bare name."""
+    return last_wins(entries, [PKG, "name"], "rel_path", "line_no")
+
+
+def ambiguous_names(entries: DataFrame) -> DataFrame:
+    """``package, name, n_paths`` for names logged with more than one path
+    (they all resolve to the last one)."""
+    paths = entries.select(PKG, "name", "rel_path").distinct()
+    return paths.groupBy(PKG, "name").agg(F.count(F.lit(1)).alias("n_paths")).filter(F.col("n_paths") > 1)
 
 
 def log_count_check(log: DataFrame) -> DataFrame:
@@ -105,7 +108,8 @@ def node_names(resolved: DataFrame, normalize_callers: bool = False) -> DataFram
     nodes = resolved.select(PKG, fn.alias("function"), "rel_path") \
         .filter(F.instr("function", N.MODULE_TOKEN) > 0) \
         .select(PKG, "function", N.qualified_node("rel_path", "function").alias("node"))
-    return nodes.groupBy(PKG, "function").agg(F.max("node").alias("node"))
+    # the node follows from (package, function) alone: duplicates are exact
+    return nodes.distinct()
 
 
 def resolve_edges(calls: DataFrame, resolved: DataFrame, normalize_callers: bool = False,

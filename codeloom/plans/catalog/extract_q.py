@@ -28,7 +28,7 @@ where s.doc_id % 13 <> 0"""
 
 # functions of the `graph_src` fixture, restated by formula
 _GNODES = """
-gk as (select o_orderkey as k from orders where o_orderkey < 2000 and o_orderkey % 23 >= 4),
+gk as (select o_orderkey as k from orders where o_orderkey % 23 >= 4),
 gmod as (select k, k % 20 as package, concat('src', cast(k % 5 as string), '/m', cast(k % 97 as string)) as module,
                 case when k % 3 = 0 then concat('C', cast(k % 7 as string), '.f', cast(k as string))
                      else concat('f', cast(k as string)) end as qualname from gk),

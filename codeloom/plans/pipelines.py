@@ -6,6 +6,20 @@ from pyspark.sql import DataFrame
 
 from codeloom.operators import extract as X
 from codeloom.operators import graph as G
+from codeloom.session import cut_lineage
+
+
+def materialize(df: DataFrame, how: str = "persist") -> DataFrame:
+    """Reuse a DataFrame read by several outputs without recomputing it."""
+    if how == "none":
+        return df
+    if how == "persist":
+        from pyspark import StorageLevel
+
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    if how == "checkpoint":
+        return cut_lineage(df)
+    raise ValueError(f"unknown stage mode {how!r}")
 
 
 def build_graph(
@@ -18,6 +32,7 @@ def build_graph(
     use_marker: bool = False,
     include_async: bool = False,
     distinct_edges: bool = False,
+    stage: str = "persist",
 ) -> dict[str, DataFrame]:
     """Function graph of every package.
 
@@ -32,8 +47,11 @@ def build_graph(
     if use_marker:
         log = G.after_marker(log)
     logged = G.log_entries(log, roots)
+    # ``edges`` feeds nodes, completeness and status: ``stage`` keeps it from
+    # being recomputed ("persist": cached, rebuilt from lineage if an executor
+    # is lost; "checkpoint": written to the shared checkpoint folder; "none")
     resolved, unmatched = G.attach_paths(entries, G.name_to_path(logged))
-    edges = G.resolve_edges(calls, resolved, normalize_callers, distinct=distinct_edges)
+    edges = materialize(G.resolve_edges(calls, resolved, normalize_callers, distinct=distinct_edges), stage)
     return {
         "nodes": G.nodes_in_graph(nodes, edges),
         "edges": edges,

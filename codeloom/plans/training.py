@@ -29,15 +29,18 @@ def build_training_set(
     its batch's longest sequence and gets an attention mask.
     """
     split = S.group_split(S.package_sizes(nodes, edges), val=val, seed=seed)
+    # batch positions are planned on the light (package, id) table, so the
+    # heavy triplet + token rows are built once and joined on a unique key
+    light = edges.select("package", id_col).join(split.select("package", "split"), "package")
+    train = S.assign_batches(light.filter(F.col("split") == "train"), batch_size, True, id_col, seed, epoch)
+    val_rows = S.merged_index(light.filter(F.col("split") == "validation"),
+                              split.filter(F.col("split") == "validation"), id_col)
+    valid = S.assign_batches(val_rows, batch_size, False, id_col, index_col="global_idx").drop("global_idx")
+    batches = train.unionByName(valid)
     trip = S.triplets(edges, nodes, id_col, order, seed, epoch)
     for i in (1, 2, 3):
         trip = trip.withColumn(f"ids{i}", TK.token_ids(TK.truncate(TK.tokens(f"source{i}"), max_len)))
-    rows = trip.join(split.select("package", "split"), "package")
-    train = S.assign_batches(rows.filter(F.col("split") == "train"), batch_size, True, id_col, seed, epoch)
-    val_rows = S.merged_index(rows.filter(F.col("split") == "validation"),
-                              split.filter(F.col("split") == "validation"), id_col)
-    valid = S.assign_batches(val_rows, batch_size, False, id_col, index_col="global_idx").drop("global_idx")
-    out = train.unionByName(valid)
+    out = trip.join(batches, ["package", id_col])
     if pad:
         w = Window.partitionBy("split", "batch_id")
         for i in (1, 2, 3):
