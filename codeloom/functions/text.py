@@ -99,9 +99,19 @@ def fill_missing_source(c, na_words: tuple[str, ...] = ()) -> Column:
     return F.when(missing, F.lit(MISSING_SOURCE)).otherwise(c)
 
 
+def format_fixed(c, digits: int = 1) -> Column:
+    """Python's ``f"{x:.{digits}f}"``: the exact binary value rounded half-even.
+
+    ``format_string('%.1f')`` rounds decimal ties up (``0.25`` → ``0.3``) where
+    Python gives ``0.2``; ``format_number`` rounds like Python, and its
+    grouping commas are removed.
+    """
+    return F.regexp_replace(F.format_number(col(c), digits), ",", "")
+
+
 def percent(c, digits: int = 1) -> Column:
     """``x * 100`` to ``digits`` decimals followed by ``%``."""
-    return F.concat(F.format_string(f"%.{digits}f", col(c) * F.lit(100.0)), F.lit("%"))
+    return F.concat(format_fixed(col(c) * F.lit(100.0), digits), F.lit("%"))
 
 
 def metric_title(c) -> Column:

@@ -19,7 +19,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions.text import format_fixed
 from codeloom.functions.tokens import tokens
+from codeloom.session import spread
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -192,7 +194,8 @@ def ast_items(df: DataFrame, ids: list[str], ref: str = "reference", cand: str =
             if rows:
                 yield pd.DataFrame(rows, columns=[*ids, "side", "kind", "item"])
 
-    return df.select(*ids, F.col(ref).alias("ref_text"), F.col(cand).alias("cand_text")).mapInPandas(run, schema=schema)
+    pairs = spread(df.select(*ids, F.col(ref).alias("ref_text"), F.col(cand).alias("cand_text")))
+    return pairs.mapInPandas(run, schema=schema)
 
 
 def ast_match(df: DataFrame, ids: list[str], ref: str = "reference", cand: str = "candidate") -> DataFrame:
@@ -288,7 +291,7 @@ def report_rows(cmp: DataFrame, a: str = "trained", b: str = "not_trained") -> D
     (one decimal), for the body of a LaTeX table."""
     names = F.create_map(*[x for k, v in DISPLAY_NAMES for x in (F.lit(k), F.lit(v))])
     pos = F.create_map(*[x for i, (k, _) in enumerate(DISPLAY_NAMES) for x in (F.lit(k), F.lit(i + 1))])
-    pct = lambda c: F.format_string("%.1f", F.col(c) * F.lit(100.0))
+    pct = lambda c: format_fixed(F.col(c) * F.lit(100.0), 1)
     line = F.concat(names[F.col("metric")], F.lit(" & "), pct(a), F.lit("\\% & "), pct(b), F.lit("\\% \\\\"))
     return cmp.filter(F.col("metric").isin([k for k, _ in DISPLAY_NAMES])) \
         .select(pos[F.col("metric")].alias("position"), "metric", line.alias("line"))

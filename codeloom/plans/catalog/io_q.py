@@ -16,6 +16,7 @@ from codeloom.functions.util import round6
 from codeloom.operators import embed as E
 from codeloom.operators import sampling as S
 from codeloom.operators import scoring as SC
+from codeloom.plans.catalog.metrics_q import _SCORES_SQL, _cmp
 from codeloom.plans.registry import query, sql_text
 from codeloom.plans.retrieval import build_prompts
 from codeloom.session import ensure_checkpoint_dir
@@ -182,11 +183,9 @@ def k4s9(t):
     return back.select(F.regexp_replace("dataset_name", "@", "/").alias("dataset_name"), "pairs")
 
 
-@query("K5_write_comparison", ["results_long"], None)
+@query("K5_write_comparison", ["results_long"], _SCORES_SQL + "\nselect metric, trained, not_trained from cmp")
 def k5(t):
     """The variant comparison written as one CSV and read back."""
-    from codeloom.plans.catalog.metrics_q import _cmp
-
     root = _scratch(t.spark, "cmp")
     W.write_comparison(_cmp(t), root)
     return t.spark.read.option("header", True).schema("metric string, trained double, not_trained double").csv(root)

@@ -190,7 +190,16 @@ def p19(t):
     return c.select("metric", T.metric_title("metric").alias("initcap_title"), T.percent("trained").alias("trained_pct"))
 
 
-@query("P20_report_rows", ["results_long"], None)
+_NAMES_SQL = "case metric " + " ".join(f"when '{k}' then '{v}'" for k, v in CM.DISPLAY_NAMES) + " end"
+_POS_SQL = "case metric " + " ".join(f"when '{k}' then {i + 1}" for i, (k, _) in enumerate(CM.DISPLAY_NAMES)) + " end"
+
+
+@query("P20_report_rows", ["results_long"],
+       _SCORES_SQL + f"""
+select {_POS_SQL} as position, metric,
+  {_NAMES_SQL} || ' & ' || printf('%.1f', trained * 100.0) || '\\% & ' || printf('%.1f', not_trained * 100.0)
+  || '\\% \\\\' as line
+from cmp where metric in ({", ".join(f"'{k}'" for k, _ in CM.DISPLAY_NAMES)})""")
 def p20(t):
     """Body lines of the comparison table (``Name & a% & b% \\\\``)."""
     return CM.report_rows(_cmp(t))

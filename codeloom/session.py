@@ -65,3 +65,17 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 
 def env_cores(default: str = "8") -> str:
     return os.environ.get("BENCH_CPUS", default)
+
+
+def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
+    """Give a Python-heavy step enough tasks.
+
+    Small inputs arrive in one or two scan splits, which would run a Python
+    parser or model in a single worker; they are spread round-robin over the
+    cluster's default parallelism.  Inputs that already have that many
+    partitions are left alone (no extra shuffle at scale).
+    """
+    want = min_parts or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
