@@ -156,3 +156,48 @@ def f8(t):
     """Per package: ok, or the first stage that produced nothing."""
     log = G.log_entries(t["call_log"], t["package_roots"])
     return G.package_status(t["package_roots"], log=log, edges=_edges(t))
+
+
+@query("X2_qualified_name", ["src"],
+       "select package, path, node from (" + _SRC_FUNCS + ") t")
+def x2(t):
+    """``Class.fn`` or ``fn`` (innermost class), prefixed by the module path."""
+    nodes, _ = _src_functions(t)
+    return nodes.select("package", "path", "node")
+
+
+@query("X3_signature", ["src"], "select package, path, signature from (" + _SRC_FUNCS + ") t")
+def x3(t):
+    """``name(a, b)``: ordinary arguments only."""
+    nodes, _ = _src_functions(t)
+    return nodes.select("package", "path", "signature")
+
+
+@query("X4_docstring", ["src"], "select package, path, description from (" + _SRC_FUNCS + ") t")
+def x4(t):
+    """First string statement of the body, else null."""
+    nodes, _ = _src_functions(t)
+    return nodes.select("package", "path", "description")
+
+
+@query("X5_normalised_source", ["src"], "select package, path, source_code from (" + _SRC_FUNCS + ") t")
+def x5(t):
+    """Source re-printed from the tree (comments gone, docstring kept)."""
+    nodes, _ = _src_functions(t)
+    return nodes.select("package", "path", "source_code")
+
+
+@query("X6_reach", ["nested_src"],
+       """select package, path, 'inner' || regexp_extract(path, 'n([0-9]+)[.]py$', 1) as qualname,
+  'inner' || regexp_extract(path, 'n([0-9]+)[.]py$', 1) || '(x)' as signature, cast(null as varchar) as description
+from nested_src
+union all select package, path, 'outer' || regexp_extract(path, 'n([0-9]+)[.]py$', 1),
+  'outer' || regexp_extract(path, 'n([0-9]+)[.]py$', 1) || '(q)', null from nested_src
+union all select package, path, 'Deep.d', 'd(self)', null from nested_src
+union all select package, path, 'after', 'after(self)', d.lang
+from nested_src n join documents d on n.path = d.source || '/n' || cast(d.doc_id as string) || '.py'""")
+def x6(t):
+    """Nested functions are not listed, ``async def`` is not listed but the
+    sync function inside it is, the class is forgotten after an inner class."""
+    rows, _ = X.split_errors(X.extract_functions(t["nested_src"]))
+    return rows.select("package", "path", "qualname", "signature", "description")

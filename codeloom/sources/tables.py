@@ -87,6 +87,21 @@ from (select o_orderkey as k from {orders} where o_orderkey % 23 >= 4) t""",
     # package roots of the source-file fixture (one folder per document source)
     "src_roots": """
 select distinct source as package, source as root from {documents}""",
+    # files with nested, async and class-scoped definitions (reach rules)
+    "nested_src": """
+select source as package, concat(source, '/n', cast(doc_id as string), '.py') as path,
+  concat('async def a', cast(doc_id as string), '():', chr(10),
+         '    def inner', cast(doc_id as string), '(x, *args, y=1, **kw):', chr(10),
+         '        return x', chr(10),
+         '    return inner', cast(doc_id as string), '(1)', chr(10), chr(10),
+         'def outer', cast(doc_id as string), '(p, /, q):', chr(10),
+         '    def hidden():', chr(10), '        pass', chr(10),
+         '    return hidden', chr(10), chr(10),
+         'class K', cast(doc_id % 7 as string), ':', chr(10),
+         '    class Deep:', chr(10), '        def d(self):', chr(10), '            pass', chr(10),
+         '    def after(self):', chr(10), '        ', chr(34), chr(34), chr(34), lang, chr(34), chr(34), chr(34),
+         chr(10)) as content
+from {documents}""",
     # source files; every 13th unparseable, every 10th a method of class C
     "src": """
 select source as package, doc_id, concat(source, '/m', cast(doc_id as string), '.py') as path,

@@ -18,7 +18,7 @@ def con():
 
 def test_contract():
     assert set(ORACLE) <= set(QUERIES)
-    assert len(QUERIES) >= 90
+    assert len(QUERIES) >= 95
 
 
 def test_entry_runs(spark):
