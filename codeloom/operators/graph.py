@@ -45,6 +45,15 @@ def after_marker(log: DataFrame) -> DataFrame:
     return ranked.filter(F.col("_rank") <= F.col("_n")).select(PKG, "line_no", "line")
 
 
+def phase_flag(log: DataFrame) -> DataFrame:
+    """``after_marker``: the line lies after the first phase-marker line of
+    its package (the running flag, from one small aggregate and a join rather
+    than a window over the whole log)."""
+    marker = log.filter(F.col("line").contains(N.PHASE_MARKER)).groupBy(PKG).agg(F.min("line_no").alias("_m"))
+    out = log.join(marker, PKG, "left")
+    return out.withColumn("after_marker", F.coalesce(F.col("line_no") > F.col("_m"), F.lit(False))).drop("_m")
+
+
 def log_entries(log: DataFrame, roots: DataFrame) -> DataFrame:
     """``package, line_no, name, rel_path`` for every counter line."""
     parsed = log.filter(N.parse_progress("line").isNotNull()).join(roots, PKG) \

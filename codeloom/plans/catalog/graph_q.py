@@ -150,6 +150,15 @@ def f6(t):
     return G.after_marker(t["analyzer_log"])
 
 
+@query("W5_phase_flag", ["analyzer_log"],
+       """select l.package, l.line_no, coalesce(l.line_no > m.m, false) as after_marker
+from analyzer_log l left join (select package, min(line_no) as m from analyzer_log
+  where contains(line, 'Main interprocedural analysis phase...') group by package) m on m.package = l.package""")
+def w5(t):
+    """Lines after the package's phase marker."""
+    return G.phase_flag(t["analyzer_log"]).select("package", "line_no", "after_marker")
+
+
 # --- joins, aggregates and set operations over the graph ------------------------------
 @query("A3_last_wins", ["call_log", "package_roots"],
        "with " + log_entries_cte().strip() +

@@ -183,12 +183,14 @@ def k4s9(t):
     return back.select(F.regexp_replace("dataset_name", "@", "/").alias("dataset_name"), "pairs")
 
 
-@query("K5_write_comparison", ["results_long"], _SCORES_SQL + "\nselect metric, trained, not_trained from cmp")
+@query("K5_write_comparison", ["results_long"],
+       _SCORES_SQL + "\nselect metric, round(trained, 6) as trained, round(not_trained, 6) as not_trained from cmp")
 def k5(t):
     """The variant comparison written as one CSV and read back."""
     root = _scratch(t.spark, "cmp")
     W.write_comparison(_cmp(t), root)
-    return t.spark.read.option("header", True).schema("metric string, trained double, not_trained double").csv(root)
+    back = t.spark.read.option("header", True).schema("metric string, trained double, not_trained double").csv(root)
+    return back.select("metric", round6("trained").alias("trained"), round6("not_trained").alias("not_trained"))
 
 
 @query("K6_append_metric_log", ["metric_log"], "select run, step, metric, value from metric_log")
