@@ -214,8 +214,7 @@ def w6(t):
 where rn = 2""")
 def w6n(t):
     """Row ``i = 1`` (0-based) of every dataset."""
-    from pyspark.sql import Window
+    from codeloom.operators.ranking import running_rank
 
-    w = Window.partitionBy("dataset_name").orderBy("conv_id", "turn")
-    r = t["results_long"].withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 2)
-    return r.select("dataset_name", "conv_id", "turn", "reference")
+    r = running_rank(t["results_long"], ["dataset_name"], "conv_id", tiebreak=["turn"], out="_rn")
+    return r.filter(F.col("_rn") == 2).select("dataset_name", "conv_id", "turn", "reference")

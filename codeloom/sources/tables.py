@@ -205,6 +205,71 @@ def oracle_with(views: list[str], body: str) -> str:
     return "with " + ",\n".join(parts) + "\n" + body
 
 
+def _ranked(df: DataFrame, part: str, order: str, idx: str, n: str | None = None) -> DataFrame:
+    """``row_number`` (and optionally the group size) without a per-group task."""
+    from pyspark.sql import functions as F
+
+    from codeloom.operators.ranking import running_rank
+
+    out = running_rank(df, [part], order, out=idx)
+    if n:
+        sizes = df.groupBy(part).agg(F.count(F.lit(1)).alias(n))
+        out = out.join(sizes, part)
+    return out
+
+
+def _node_docs(t: "Tables") -> DataFrame:
+    from pyspark.sql import functions as F
+
+    d = t["documents"].select(
+        F.col("source").alias("package"), "doc_id",
+        F.concat("source", F.lit("/m.f"), F.col("doc_id").cast("string")).alias("node"),
+        F.when(F.col("doc_id") % 19 == 0, F.lit(None).cast("string")).otherwise(F.col("text")).alias("source_code"))
+    return _ranked(d, "package", "doc_id", "idx", "n").select("package", "doc_id", "node", "source_code", "idx", "n")
+
+
+def _metric_log(t: "Tables") -> DataFrame:
+    from pyspark.sql import functions as F
+
+    e = t["events"].select(F.col("event_type").alias("run"), "event_id", "value")
+    r = _ranked(e, "run", "event_id", "step")
+    return r.select("run", "step", F.floor((F.col("step") - 1) / F.lit(100.0)).cast("bigint").alias("epoch"),
+                    F.lit("train_loss").alias("metric"), "value")
+
+
+def _triplet_vectors(t: "Tables") -> DataFrame:
+    from pyspark.sql import functions as F
+
+    v = t["embeddings"].select("vec_id", (F.col("vec_id") % 10).alias("package"), "embedding")
+    v = _ranked(v, "package", "vec_id", "idx", "n")
+    a = v.select("package", F.col("vec_id").alias("anchor"), F.col("embedding").alias("e1"),
+                 (F.col("idx") % F.col("n") + 1).alias("_pi"),
+                 ((F.col("vec_id") * 7919) % F.col("n") + 1).alias("_ni"))
+    b = v.select("package", F.col("idx").alias("_pi"), F.col("vec_id").alias("positive"), F.col("embedding").alias("e2"))
+    c = v.select("package", F.col("idx").alias("_ni"), F.col("vec_id").alias("negative"), F.col("embedding").alias("e3"))
+    out = a.join(b, ["package", "_pi"]).join(c, ["package", "_ni"])
+    return out.select("package", "anchor", "positive", "negative", "e1", "e2", "e3")
+
+
+def _src_pairs(t: "Tables") -> DataFrame:
+    from pyspark.sql import functions as F
+
+    s = _ranked(t["src"].select("package", "doc_id", "content"), "package", "doc_id", "idx", "n")
+    a = s.select("package", "doc_id", F.col("content").alias("reference"), (F.col("idx") % F.col("n") + 1).alias("_j"))
+    b = s.select("package", F.col("idx").alias("_j"), F.col("content").alias("candidate"))
+    return a.join(b, ["package", "_j"]).select("package", "doc_id", "reference", "candidate")
+
+
+# Spark builds these views with the bucketed ranking (same rows as the SQL,
+# which the oracle keeps); their SQL windows would put a whole group in a task.
+VIEW_BUILDERS = {
+    "node_docs": _node_docs,
+    "metric_log": _metric_log,
+    "triplet_vectors": _triplet_vectors,
+    "src_pairs": _src_pairs,
+}
+
+
 class Tables:
     """Lazy access to the given parquet tables and the derived views."""
 
@@ -218,6 +283,8 @@ class Tables:
             if name in BASE_TABLES:
                 path = os.path.join(self.sf_dir, f"{name}.parquet")
                 self._frames[name] = self.spark.read.parquet(path)
+            elif name in VIEW_BUILDERS:
+                self._frames[name] = VIEW_BUILDERS[name](self)
             elif name in VIEW_SQL:
                 deps = {d: self.table(d) for d in view_deps(name)}
                 self._frames[name] = self.spark.sql(VIEW_SQL[name], **deps)
