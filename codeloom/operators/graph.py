@@ -129,7 +129,8 @@ def resolve_edges(calls: DataFrame, resolved: DataFrame, normalize_callers: bool
     suffix, must pass the user-function filter and resolve to a node, else the
     call is dropped.  Duplicate and self edges are kept unless ``distinct``.
     """
-    nodes = node_names(resolved, normalize_callers)
+    # shuffled once by the lookup key: both lookups reuse the same exchange
+    nodes = node_names(resolved, normalize_callers).repartition(PKG, "function")
     caller = N.strip_overload_suffix("caller") if normalize_callers else F.col("caller")
     callee = N.strip_overload_suffix("callee")
     c = calls.select(PKG, caller.alias("caller"), callee.alias("callee")).filter(is_user_function("callee"))
