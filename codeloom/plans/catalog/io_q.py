@@ -107,7 +107,7 @@ def k12(t):
     nodes = t["node_docs"].select("package", "node", "source_code",
                                   F.lit(None).cast("string").alias("description"),
                                   F.lit(None).cast("string").alias("signature"))
-    W.write_graph(nodes, t["edge_docs"], root)
+    W.write_graph(nodes, t["edge_docs"], root, files_per_package=4)
     _, edges = R.read_graph(t.spark, root, layout="partitioned")
     return edges
 

@@ -12,35 +12,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def spread_by_key(df: DataFrame, key: str, files_per_key: int | None) -> DataFrame:
+    """Cluster rows by ``key`` before a partitioned write, split into
+    ``files_per_key`` salted slices so a hot key is written by several tasks
+    and a task writes few folders.  ``None`` leaves the layout as it is."""
+    if not files_per_key:
+        return df
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_key))
+    return df.repartition(key, salt)
+
+
 def _csv_writer(df: DataFrame, mode: str):
     # keep leading / trailing whitespace: it is part of the code
     return (df.write.mode(mode).option("header", True).option("escape", '"')
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
 
 
-def write_edges(edges: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
+def write_edges(edges: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite",
+                files_per_package: int | None = None) -> None:
     """``package, node1, node2, type`` partitioned by package (``type`` 0 when absent)."""
     out = edges if "type" in edges.columns else edges.withColumn("type", F.lit(0))
     out = out.select("node1", "node2", F.col("type").cast("int").alias("type"), "package")
+    out = spread_by_key(out, "package", files_per_package)
     w = _csv_writer(out, mode) if fmt == "csv" else out.write.mode(mode)
     w.partitionBy("package").format(fmt).save(path)
 
 
-def write_nodes(nodes: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
+def write_nodes(nodes: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite",
+                files_per_package: int | None = None) -> None:
     out = nodes.select("node", "source_code", "description", "signature", "package")
+    out = spread_by_key(out, "package", files_per_package)
     w = _csv_writer(out, mode) if fmt == "csv" else out.write.mode(mode)
     w.partitionBy("package").format(fmt).save(path)
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, root: str, fmt: str = "csv") -> None:
+def write_graph(nodes: DataFrame, edges: DataFrame, root: str, fmt: str = "csv",
+                files_per_package: int | None = None) -> None:
     """``root/nodes/package=…`` and ``root/edges/package=…``."""
-    write_nodes(nodes, f"{root.rstrip('/')}/nodes", fmt)
-    write_edges(edges, f"{root.rstrip('/')}/edges", fmt)
+    write_nodes(nodes, f"{root.rstrip('/')}/nodes", fmt, files_per_package=files_per_package)
+    write_edges(edges, f"{root.rstrip('/')}/edges", fmt, files_per_package=files_per_package)
 
 
-def write_results(results: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_results(results: DataFrame, path: str, mode: str = "overwrite", files_per_dataset: int | None = None) -> None:
     """Long results partitioned by dataset (CSV)."""
-    _csv_writer(results, mode).partitionBy("dataset_name").csv(path)
+    _csv_writer(spread_by_key(results, "dataset_name", files_per_dataset), mode).partitionBy("dataset_name").csv(path)
 
 
 def write_metrics(metrics: DataFrame, path: str, mode: str = "overwrite") -> None:
