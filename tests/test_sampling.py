@@ -66,3 +66,10 @@ def test_batches_sizes_and_padding(spark):
     bad = out.filter((F.size("ids1") != F.size("mask1")) | (F.size("ids2") > 256)).count()
     assert bad == 0
     assert out.count() == 1000
+
+
+def test_vocabulary_ids(spark):
+    df = spark.createDataFrame([(1, ["def", "f", "x", "def"]), (2, [])], "id long, toks array<string>")
+    vocab = spark.createDataFrame([("def", 5), ("x", 7)], "token string, id int")
+    got = {r["id"]: r["ids"] for r in S.vocabulary_ids(df, ["id"], "toks", vocab, unk_id=1).collect()}
+    assert got == {1: [5, 1, 7, 5], 2: []}
