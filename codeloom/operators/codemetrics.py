@@ -46,18 +46,19 @@ def edit_distance(a, b) -> Column:
 
 
 def _ngrams(df: DataFrame, ids: list[str], side: str, text: str) -> DataFrame:
-    toks = df.select(*ids, tokens(text).alias("_t"))
-    per_n = toks.select(*ids, "_t", F.explode(F.sequence(F.lit(1), F.lit(MAX_N))).alias("n"))
-    # n-gram i covers tokens i..i+n-1; texts shorter than n give none
-    grams = F.when(F.size("_t") >= F.col("n"), F.transform(
-        F.sequence(F.lit(1), F.size("_t") - F.col("n") + 1),
-        lambda i: F.array_join(F.slice("_t", i, F.col("n")), " "),
-    )).otherwise(F.array().cast("array<string>"))
-    return per_n.select(*ids, "n", F.lit(side).alias("side"), F.explode(grams).alias("g"))
-
+    """``ids, n, side, g``: every n-gram (n = 1..4) of the text, one explode.
 
-def _lengths(df: DataFrame, ids: list[str], ref: str, cand: str) -> DataFrame:
-    return df.select(*ids, F.size(tokens(ref)).alias("len_r"), F.size(tokens(cand)).alias("len_c"))
+    N-gram ``i`` covers tokens ``i..i+n-1``; texts shorter than ``n`` give none.
+    """
+    t = F.col("_t")
+    per_n = F.transform(F.sequence(F.lit(1), F.lit(MAX_N)), lambda n: F.when(
+        F.size(t) >= n,
+        F.transform(F.sequence(F.lit(1), F.size(t) - n + 1),
+                    lambda i: F.struct(n.alias("n"), F.array_join(F.slice(t, i, n), " ").alias("g"))),
+    ).otherwise(F.array().cast("array<struct<n:int,g:string>>")))
+    toks = df.select(*ids, tokens(text).alias("_t"))
+    grams = toks.select(*ids, F.explode(F.flatten(per_n)).alias("_x"))
+    return grams.select(*ids, F.col("_x.n").alias("n"), F.lit(side).alias("side"), F.col("_x.g").alias("g"))
 
 
 def _bleu(prefix: str) -> Column:
@@ -81,7 +82,8 @@ def ngram_scores(df: DataFrame, ids: list[str], ref: str = "reference", cand: st
     Weighted: unigram counts weigh 1 for Python keywords and 0.2 otherwise
     (numerator and denominator); longer n-grams are unweighted.
     """
-    pairs = df.filter(F.col(ref).isNotNull() & F.col(cand).isNotNull())
+    # the explode multiplies rows ~8x per token: give it enough tasks first
+    pairs = spread(df.filter(F.col(ref).isNotNull() & F.col(cand).isNotNull()))
     grams = _ngrams(pairs, ids, "c", cand).unionByName(_ngrams(pairs, ids, "r", ref))
     counts = grams.groupBy(*ids, "n", "g").agg(
         F.count_if(F.col("side") == "c").alias("cc"), F.count_if(F.col("side") == "r").alias("rc"))
@@ -90,12 +92,17 @@ def ngram_scores(df: DataFrame, ids: list[str], ref: str = "reference", cand: st
     clip = F.least("cc", "rc")
     per_n = counts.groupBy(*ids, "n").agg(
         F.sum(clip).cast("double").alias("hit"), F.sum("cc").cast("double").alias("tot"),
-        F.sum(w * clip).alias("whit"), F.sum(w * F.col("cc")).alias("wtot"))
+        F.sum(w * clip).alias("whit"), F.sum(w * F.col("cc")).alias("wtot"), F.sum("rc").alias("rtot"))
     ks = range(1, MAX_N + 1)
     wide = per_n.groupBy(*ids).agg(
         *[F.sum(F.when(F.col("n") == k, F.col(c))).alias(f"{p}{c.lstrip('w')}{k}")
-          for k in ks for c, p in (("hit", ""), ("tot", ""), ("whit", "w_"), ("wtot", "w_"))])
-    out = _lengths(pairs, ids, ref, cand).join(wide, ids, "left")
+          for k in ks for c, p in (("hit", ""), ("tot", ""), ("whit", "w_"), ("wtot", "w_"))],
+        # token counts = unigram counts of each side
+        F.sum(F.when(F.col("n") == 1, F.col("tot"))).alias("_lc"),
+        F.sum(F.when(F.col("n") == 1, F.col("rtot"))).alias("_lr"),
+    )
+    out = pairs.select(*ids).join(wide, ids, "left") \
+        .withColumn("len_c", F.coalesce("_lc", F.lit(0.0))).withColumn("len_r", F.coalesce("_lr", F.lit(0)))
     return out.select(*ids, _bleu("").alias("ngram_match_score"), _bleu("w_").alias("weighted_ngram_match_score"))
 
 
@@ -240,7 +247,7 @@ def codebleu(parts: list) -> tuple[Column, Column]:
 def score_pairs(df: DataFrame, ids: list[str], ref: str = "reference", cand: str = "candidate",
                 with_ast: bool = True) -> DataFrame:
     """Every metric per pair with both texts present (the others are skipped)."""
-    pairs = df.filter(F.col(ref).isNotNull() & F.col(cand).isNotNull())
+    pairs = spread(df.filter(F.col(ref).isNotNull() & F.col(cand).isNotNull()))
     lev = pairs.select(*ids, edit_distance(ref, cand).cast("double").alias("levenshtein_distance"))
     out = lev.join(ngram_scores(pairs, ids, ref, cand), ids)
     if with_ast:

@@ -8,6 +8,7 @@ from codeloom.functions import text as T
 from codeloom.functions.util import round6
 from codeloom.operators import codemetrics as CM
 from codeloom.plans.registry import query
+from codeloom.session import spread
 
 IDS = ["conv_id", "turn"]
 NON_ASCII = "[^\\x00-\\x7F]"
@@ -78,7 +79,7 @@ def _scores(t, with_ast: bool = False):
     rl = t["results_long"]
     pairs = rl.select("dataset_name", "variant", *IDS, _ascii("reference").alias("reference"),
                       _ascii("candidate").alias("candidate"))
-    lev = pairs.filter(F.col("reference").isNotNull() & F.col("candidate").isNotNull()) \
+    lev = spread(pairs.filter(F.col("reference").isNotNull() & F.col("candidate").isNotNull())) \
         .select(*IDS, CM.edit_distance("reference", "candidate").cast("double").alias("levenshtein_distance"))
     full = CM.score_pairs(rl, IDS, with_ast=with_ast).drop("levenshtein_distance")
     keys = rl.select("dataset_name", "variant", *IDS)
