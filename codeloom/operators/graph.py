@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import names as N
 from codeloom.functions.predicates import is_user_function, not_builtin
 from codeloom.operators.ranking import running_rank
+from codeloom.session import spread
 
 PKG = "package"
 
@@ -133,7 +134,8 @@ def resolve_edges(calls: DataFrame, resolved: DataFrame, normalize_callers: bool
     nodes = node_names(resolved, normalize_callers).repartition(PKG, "function")
     caller = N.strip_overload_suffix("caller") if normalize_callers else F.col("caller")
     callee = N.strip_overload_suffix("callee")
-    c = calls.select(PKG, caller.alias("caller"), callee.alias("callee")).filter(is_user_function("callee"))
+    # the per-call regex work runs before any shuffle: give it enough tasks
+    c = spread(calls).select(PKG, caller.alias("caller"), callee.alias("callee")).filter(is_user_function("callee"))
     src = nodes.select(PKG, F.col("function").alias("caller"), F.col("node").alias("node1"))
     dst = nodes.select(PKG, F.col("function").alias("callee"), F.col("node").alias("node2"))
     edges = c.join(src, [PKG, "caller"]).join(dst, [PKG, "callee"]) \
