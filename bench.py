@@ -2,7 +2,7 @@
 
 Each query is planned, then executed in full with the ``noop`` sink (every row
 computed, nothing collected to the driver).  Every query runs ``$BENCH_RUNS``
-times (default 2) from a cleared cache and the best time counts, so JVM code
+times (default 3) from a cleared cache and the best time counts, so JVM code
 generation and Python worker start-up are not billed to whichever query
 happens to run first.  Prints one JSON line.
 """
@@ -38,7 +38,7 @@ def main() -> None:
 
     spark = local_session(cpus, app="codeloom-bench")
     reg = load_all()
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     times: dict[str, float] = {}
     for name in HEADLINE:
         best = float("inf")

@@ -134,7 +134,7 @@ from package_roots r left join kept_nodes using (package) left join n_e using (p
 def l1(t):
     """Whole graph job for all packages: nodes kept if on an edge, edge list,
     and a per-package status."""
-    from codeloom.plans.pipelines import build_graph
+    from codeloom.plans.graph_build import build_graph
 
     g = build_graph(t["graph_src"], t["graph_entries"], t["raw_calls"], t["call_log"], t["package_roots"])
     n = g["nodes"].groupBy("package").agg(F.count(F.lit(1)).alias("nodes"))
