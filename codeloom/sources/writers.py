@@ -19,7 +19,9 @@ def spread_by_key(df: DataFrame, key: str, files_per_key: int | None) -> DataFra
     if not files_per_key:
         return df
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_key))
-    return df.repartition(key, salt)
+    # an explicit partition count: AQE must not merge the salted slices back
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, key, salt)
 
 
 def _csv_writer(df: DataFrame, mode: str):

@@ -162,3 +162,17 @@ def test_generate_with_user_function(spark):
     df = spark.createDataFrame([(1, "...\nFunction signature:\nf(a)\n")], "id long, prompt string")
     out = E.generate(df, E.echo_model).first()
     assert out["generation"] == "\ndef f(a):\n    pass\n"
+
+
+def test_package_list_and_salted_write(spark, tmp_dir):
+    _write(f"{tmp_dir}/list.txt", "alpha\n\n  beta \nalpha\n   \n")
+    assert [r["name"] for r in R.read_package_list(spark, f"{tmp_dir}/list.txt").collect()] == ["alpha", "beta", "alpha"]
+    assert sorted(r["name"] for r in R.read_package_list(spark, f"{tmp_dir}/list.txt", distinct=True).collect()) \
+        == ["alpha", "beta"]
+    edges = spark.createDataFrame([("hot", f"a{i}", f"b{i}", 0) for i in range(200)] + [("cold", "x", "y", 0)],
+                                  "package string, node1 string, node2 string, type int")
+    W.write_edges(edges, f"{tmp_dir}/e", files_per_package=4)
+    hot = [f for f in os.listdir(f"{tmp_dir}/e/package=hot") if f.endswith(".csv")]
+    assert 1 < len(hot) <= 4
+    back = spark.read.option("header", True).csv(f"{tmp_dir}/e")
+    assert back.count() == 201
