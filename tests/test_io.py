@@ -176,3 +176,10 @@ def test_package_list_and_salted_write(spark, tmp_dir):
     assert 1 < len(hot) <= 4
     back = spark.read.option("header", True).csv(f"{tmp_dir}/e")
     assert back.count() == 201
+
+
+def test_generate_marked_and_raw(spark):
+    df = spark.createDataFrame([(1, "p")], "id long, prompt string")
+    fn = lambda s: s.map(lambda _: "x #to_be_implemented\n  body()  \n#end_of_example tail")
+    assert E.generate(df, fn, extract="marked").first()["generation"] == "body()"
+    assert E.generate(df, fn, extract=None).first()["generation"].startswith("x #to_be")
