@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import tokens as TK
+from codeloom.functions.text import MISSING_SOURCE
 from codeloom.operators import sampling as S
 
 
@@ -21,7 +22,8 @@ def build_training_set(
     max_len: int = TK.MAX_TRAIN_TOKENS,
     pad: bool = False,
 ) -> DataFrame:
-    """Triplet rows with ``split, batch_id, pos`` and token ids per side.
+    """Triplet rows (``package, <id>, node1..3``) with ``split, batch_id, pos``
+    and token ids ``ids1..3`` per side.
 
     ``edges``: ``package, <id_col>, node1, node2``; ``nodes``: ``package, node,
     source_code, <order>``.  Train rows are shuffled by ``md5(seed:epoch:id)``;
@@ -37,9 +39,14 @@ def build_training_set(
                               split.filter(F.col("split") == "validation"), id_col)
     valid = S.assign_batches(val_rows, batch_size, False, id_col, index_col="global_idx").drop("global_idx")
     batches = train.unionByName(valid)
-    trip = S.triplets(edges, nodes, id_col, order, seed, epoch)
-    for i in (1, 2, 3):
-        trip = trip.withColumn(f"ids{i}", TK.token_ids(TK.truncate(TK.tokens(f"source{i}"), max_len)))
+    # each node's code is tokenised once (not once per edge that names it) and
+    # only the bounded id lists travel through the triplet joins
+    trip = S.triplets(edges.select("package", id_col, "node1", "node2"), nodes, id_col, order, seed, epoch,
+                      sources=False)
+    ids = lambda c: TK.token_ids(TK.truncate(TK.tokens(c), max_len))
+    node_ids = S.node_sources(nodes, order).select("package", "node", ids("source").alias("value"))
+    trip = S.attach_node_values(trip, node_ids, {"node1": "ids1", "node2": "ids2", "node3": "ids3"},
+                                ids(F.lit(MISSING_SOURCE)))
     out = trip.join(batches, ["package", id_col])
     if pad:
         w = Window.partitionBy("split", "batch_id")
