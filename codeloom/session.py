@@ -42,11 +42,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this setting names a shared folder and is used as is.  Only
     when it is unset (a test session) do we pick a fresh local folder.
     """
-    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a remote (Connect) session has no context
+        if not configured:
+            raise RuntimeError("spark.checkpoint.dir is not set") from None
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = tempfile.mkdtemp(prefix="codeloom-ckpt-")
     sc.setCheckpointDir(configured)
@@ -75,7 +80,11 @@ def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
     cluster's default parallelism.  Inputs that already have that many
     partitions are left alone (no extra shuffle at scale).
     """
-    want = min_parts or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    try:
+        want = min_parts or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Connect session): leave as is
+        return df
+    if have < want:
         return df.repartition(want)
     return df
