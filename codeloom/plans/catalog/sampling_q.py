@@ -222,3 +222,20 @@ def l2(t):
         F.count(F.lit(1)).alias("n_triplets"),
         *[F.max(F.size(col(f"ids{i}"))).cast("bigint").alias(f"pad{i}") for i in (1, 2, 3)],
     )
+
+
+@query("P16_vocabulary_ids", ["node_docs"],
+       f"""with vocab as (select distinct unnest({_tok_sql('text')}) as token from benchmark),
+v as (select token, {_h('token')} % {VOCAB_MOD} + 1 as id from vocab),
+t as (select doc_id, unnest(({_TOKS})[1:256]) as token from node_docs)
+select n.doc_id, coalesce(sum(coalesce(v.id, 0)), 0) as id_sum, count(v.id) as n_known
+from node_docs n left join t on t.doc_id = n.doc_id left join v on v.token = t.token group by n.doc_id""")
+def p16v(t):
+    """Token ids from a vocabulary table (tokens of ``benchmark``) by join;
+    unknown tokens get id 0."""
+    vocab = t["benchmark"].select(F.explode(TK.tokens("text")).alias("token")).distinct()
+    vocab = vocab.select("token", TK.token_id("token").cast("int").alias("id"))
+    d = t["node_docs"].select("doc_id", TK.truncate(TK.tokens(fill_missing_source("source_code"))).alias("toks"))
+    ids = S.vocabulary_ids(d, ["doc_id"], "toks", vocab, unk_id=0)
+    return ids.select("doc_id", F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"),
+                      F.size(F.filter("ids", lambda x: x != 0)).cast("bigint").alias("n_known"))
