@@ -85,3 +85,32 @@ def test_not_builtin(spark):
     # no ':' → the last character is ignored
     assert _one(spark, P.not_builtin, "builtin.pyX") is False
     assert _one(spark, P.not_builtin, "abuiltin.p") is True
+
+
+def test_extract_marked_and_fenced(spark):
+    from codeloom.functions import text as T
+
+    cases = {
+        "a #to_be_implemented x #to_be_implemented\n  code()\n#end_of_example z": "code()",
+        "#end_of_example before #to_be_implemented after": None,  # wrong order: whole text
+        "no markers": None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "s string")
+    got = {r["s"]: r["m"] for r in df.select("s", T.extract_marked("s").alias("m")).collect()}
+    for k, want in cases.items():
+        assert got[k] == (want if want is not None else k)
+    f = spark.createDataFrame([("x ```python\nprint(1)\n``` y ```python\nz\n```",), ("plain",)], "s string")
+    out = [r["c"] for r in f.select(T.extract_fenced_code("s").alias("c")).collect()]
+    assert out == ["\nprint(1)\n", "plain"]
+
+
+def test_phase_flag_and_count_check(spark):
+    from codeloom.operators import graph as G
+
+    lines = ["(1/9) early", "Main interprocedural analysis phase...", "3 functions will be analyzed.",
+             "(1/3) a", "(2/3) b"]
+    log = spark.createDataFrame([("p", i, l) for i, l in enumerate(lines)], "package string, line_no long, line string")
+    flags = [r["after_marker"] for r in G.phase_flag(log).orderBy("line_no").collect()]
+    assert flags == [False, False, True, True, True]
+    chk = G.log_count_check(G.after_marker(log)).first()
+    assert (chk["expected"], chk["parsed"], chk["mismatch"]) == (3, 2, True)
