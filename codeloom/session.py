@@ -39,8 +39,9 @@ def local_session(cores: int | str = "*", app: str = "codeloom") -> SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared folder and is used as is.  Only
-    when it is unset (a test session) do we pick a fresh local folder.
+    On a cluster this setting names a shared folder and is used as is.  Only a
+    session whose master is ``local`` may leave it unset: then a fresh folder
+    of this machine is chosen, which such a session's tasks all see.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -53,6 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="codeloom-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
