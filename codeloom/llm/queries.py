@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import simhash
+from codeloom.llm import bpe, simhash
 from codeloom.llm.staging import table
 
 QUERIES: dict = {}
@@ -25,3 +26,12 @@ def op(name: str, sql: str | None = None):
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: 4-word shingles, at most 4 differing bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, bits=4)
+
+
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+@op("op2_byte_bpe")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document encoded by the public 50k vocabulary and decoded again."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
