@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, simhash
+from codeloom.llm import bpe, decontaminate, simhash
 from codeloom.llm.staging import table
 
 QUERIES: dict = {}
@@ -35,3 +35,28 @@ RANKS = "byte_bpe_50k.tiktoken"
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document encoded by the public 50k vocabulary and decoded again."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+#: Words as the operator takes them: ASCII white space cuts, A-Z lowered.
+_LOW = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+
+@op(
+    "op3_benchmark_decontamination",
+    f"""
+with item as (select item_id, {_LOW.format("text")} as w from benchmark),
+sized as (select item_id, w, least(5, len(w)) as n from item where len(w) > 0),
+part as (select distinct item_id, n, list_slice(w, i, i + n - 1) as s
+         from (select item_id, w, n, unnest(range(1, len(w) - n + 2)) as i from sized) x),
+doc as (select doc_id, {_LOW.format("text")} as w from documents),
+cut as (select distinct doc_id, n, list_slice(w, i, i + n - 1) as s
+        from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from doc, (select distinct n from sized) z) x),
+whole as (select item_id, count(*) as item_shingles from part group by item_id),
+hit as (select doc_id, item_id, count(*) as shared from cut join part using (n, s) group by doc_id, item_id)
+select doc_id, item_id, shared, item_shingles, shared / item_shingles as containment
+from hit join whole using (item_id) where shared >= 0.8 * item_shingles
+""",
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a test item it contains by at least 0.8 of the item's 5-word shingles."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shingle=5, threshold=0.8)
