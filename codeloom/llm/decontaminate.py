@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from codeloom.llm.words import LOWER, chunks, hashes, ragged, sequence_hashes, spans
+from codeloom.llm.words import chunks, hashes, ragged, sequence_hashes, spans
 
 BINS_BITS = 6
 BINS = 1 << BINS_BITS
@@ -56,7 +56,7 @@ class ItemBlock:
         self.length: list[int] = []
         classes: dict[tuple[int, int], list[int]] = defaultdict(list)
         for k, text in enumerate(texts):
-            words = text.lower().split()
+            words = text.split()
             n = min(shingle, len(words))
             self.sets.append(_shingles(words, n) if n else set())
             self.length.append(n)
@@ -114,7 +114,7 @@ class ItemBlock:
 
     def verified(self, text: bytes, which: list[int]):
         """(item, shared shingles, item's shingles) of those items that the text contains."""
-        words = text.lower().split()
+        words = text.split()
         own: dict[int, set] = {}
         for k in which:
             n = self.length[k]
@@ -138,8 +138,9 @@ def contaminated(
 ) -> DataFrame:
     """One row per document row and item it contains: ids, ``shared``, ``item_shingles``, ``containment``.
 
-    Words are runs without ASCII white space, A-Z lowered.  Containment is the
-    share of the item's distinct shingles that occur in the document.
+    Words are runs of letters, marks and digits in lower case, so that a passage
+    is found whatever its capitals and punctuation have become.  Containment is
+    the share of the item's distinct shingles that occur in the document.
 
     * An item of fewer words than ``shingle`` is one shingle of all its words;
       a null or empty item is contained nowhere.
@@ -157,8 +158,8 @@ def contaminated(
             StructField("containment", DoubleType()),
         ]
     )
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    asked = items.select(F.col(item_col).alias("id"), F.col(item_text).cast("binary").alias("t"))
+    source = docs.select(F.col(id_col).alias("id"), _plain(text_col))
+    asked = items.select(F.col(item_col).alias("id"), _plain(item_text))
     total = asked.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n_blocks = -(-total // block_bytes) or 1
     results = []
@@ -172,6 +173,11 @@ def contaminated(
     return out
 
 
+def _plain(column: str):
+    """Lower case, one blank for whatever is no letter, mark or digit."""
+    return F.regexp_replace(F.lower(F.col(column).cast("string")), r"[^\p{L}\p{M}\p{N}]+", " ").cast("binary").alias("t")
+
+
 def _scan(spark, source, rows, schema, item_id, shingle, threshold):
     sent = spark.sparkContext.broadcast(([r.id for r in rows], [bytes(r.t or b"") for r in rows]))
 
@@ -181,7 +187,6 @@ def _scan(spark, source, rows, schema, item_id, shingle, threshold):
         for b in batches:
             rows, found = [], []
             for first, end, data, offsets in chunks(b.column(1)):
-                data = LOWER[data]
                 starts, ends, word = spans(data, offsets)
                 which = defaultdict(list)
                 for text, item in block.candidates(hashes(data, starts, ends), word):

@@ -1,20 +1,25 @@
 import random
 
+import regex
+
 from codeloom.llm import decontaminate
 from codeloom.plans.oracle import compare, duck
-from helpers import low_words
 
 SF = "/root/testdata/sf0.01"
 
 
+def plain_words(text):
+    return regex.findall(r"[\p{L}\p{M}\p{N}]+", (text or "").lower())
+
+
 def brute(docs, items, n=5, t=0.8):
     out = []
     for i, text in items:
-        w = low_words(text)
+        w = plain_words(text)
         k = min(n, len(w))
         own = {tuple(w[a : a + k]) for a in range(len(w) - k + 1)} if k else set()
         for d, body in docs:
-            v = low_words(body)
+            v = plain_words(body)
             both = len(own & {tuple(v[a : a + k]) for a in range(len(v) - k + 1)})
             if own and both >= t * len(own):
                 out.append((d, i, both, len(own)))
@@ -45,7 +50,7 @@ def test_short_items_in_long_documents_and_blocks(spark):
         docs.append((100 + k, " ".join(long[:at] + w + long[at:])))
         w2 = list(w)
         w2[len(w2) // 2] = "changed"
-        docs.append((200 + k, " ".join(long[:at] + w2 + long[at:]).upper()))
+        docs.append((200 + k, "!! ".join(long[:at] + w2 + long[at:]).upper()))
     items += [(50, None), (51, ""), (52, " \n ")]
     docs += [(300, None), (301, ""), (302, items[7][1]), (302, items[7][1])]
     ddf = spark.createDataFrame([(*r, 1, "x") for r in docs], "doc_id long, text string, shared int, id string")
