@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, decontaminate, simhash
+from codeloom.llm import bpe, decontaminate, simhash, substrings
 from codeloom.llm.staging import table
 
 QUERIES: dict = {}
@@ -60,3 +60,27 @@ from hit join whole using (item_id) where shared >= 0.8 * item_shingles
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of a document and a test item it contains by at least 0.8 of the item's 5-word shingles."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shingle=5, threshold=0.8)
+
+
+@op(
+    "op6_substring_dedup",
+    r"""
+with doc as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, list_slice(w, i, i + 12) as s
+        from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from doc) x),
+judged as (select doc_id, i, min(doc_id) over (partition by s) < doc_id as early from win),
+gone as (select distinct doc_id, k from (select doc_id, unnest(range(i, i + 13)) as k from judged where early) x),
+word as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as k from doc),
+left_over as (select doc_id, string_agg(word, ' ' order by k) as kept, count(*) as n
+              from word anti join gone using (doc_id, k) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed,
+       sha256(coalesce(kept, '')) as kept_sha256
+from doc d left join left_over l on d.doc_id = l.doc_id
+""",
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document outside the 13-word windows that an earlier document has."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs, window=13).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )

@@ -80,8 +80,12 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range."""
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = 1 << 22) -> np.ndarray:
+    """64-bit hash of each byte range (ranges in order, without overlap); long data go in parts of ``limit`` bytes."""
+    if len(data) > limit and len(starts) > 1:
+        half = len(starts) // 2
+        cut = int(starts[half])
+        return np.concatenate((hashes(data[:cut], starts[:half], ends[:half]), hashes(data[cut:], starts[half:] - cut, ends[half:] - cut)))
     power, inverse = _grown(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
@@ -98,6 +102,27 @@ def sequence_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def run_hashes(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hash of the runs of ``lengths`` hashes from ``starts`` on; runs may overlap."""
+    power, inverse = _grown(len(h) + 1)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * power[: len(h)], out=sums[1:])
+    return mix((sums[starts + lengths] - sums[starts]) * inverse[starts] + lengths.astype(np.uint64))
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each 64-bit key; it never falls as the key rises."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def slices(sorted_keys: np.ndarray, buckets: int):
+    """(bucket, first, end) of each bucket that holds some of the sorted keys."""
+    own = bucket_of(sorted_keys, buckets)
+    cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.empty(0, np.int64)
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(own)]):
+        yield int(own[a]), a, b
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start+1, ... of ``lengths`` entries for each range, in one array."""
     total = int(lengths.sum())
