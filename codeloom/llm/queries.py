@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, decontaminate, simhash, substrings
+from codeloom.llm import bpe, decontaminate, quality, simhash, substrings
 from codeloom.llm.staging import table
 
 QUERIES: dict = {}
@@ -84,3 +84,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(docs, window=13).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
     )
+
+
+@op("op10_quality_classifier")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by its nearest labelled latent-semantic vectors."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score_quality(docs, table(spark, sf_dir, "labels")).select(
+        "doc_id", quality.held_out("doc_id", 1, 3).alias("held_out"), "score", "predicted"
+    )

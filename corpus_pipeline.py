@@ -1,3 +1,79 @@
-STAGES = []
+"""Corpus pipeline: quality, near-duplicates, repeated passages, test leaks, token ids.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its
+predecessor kept; what it returns is written as Parquet and read again as the
+next stage's documents.  All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codeloom.llm import bpe, decontaminate, quality, simhash, substrings
+from codeloom.llm.staging import stage, table
+
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled texts vote to be good."""
+    return quality.score_quality(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id.
+
+    Repeated rows of that id count as one document; rows without an id cannot
+    be told apart by it and stay.
+    """
+    groups = simhash.near_duplicates(docs, shingle=4, bits=4)
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of 13-word windows that an earlier document has; untouched texts stay as they are.
+
+    A document of which nothing is left goes.
+    """
+    cut = substrings.remove_repeats(docs, window=13)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    left = cut.where("n_removed = 0 or n_removed < n_words").withColumn("text", text)
+    if "n_chars" in docs.columns:
+        length = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
+        left = left.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item by 0.8 or more of its 5-word shingles."""
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), shingle=5, threshold=0.8)
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the text decoded from them."""
+    return bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("byte_bpe", byte_bpe),
+]
+
+#: Nearest-neighbour votes, fingerprints and merges have no SQL form; tests/llm/test_pipeline.py restates every stage.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents; each result is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
