@@ -31,7 +31,7 @@ LAST = 2**63 - 1
 ASK = "bucket int, chunk long, keys binary, many binary"
 ANSWER = "chunk long, bucket int, shared binary"
 SEND = "shard int, chunk long, keys binary, docs binary, texts binary"
-FOUND = "chunk long, keys binary, windows binary, least binary"
+FOUND = "chunk long, keys binary, early binary"
 
 
 class Segments:
@@ -147,61 +147,64 @@ def _send(buckets: int, shards: int, window: int):
     return run
 
 
+def _pieces(data: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Byte ranges as one Arrow array; ``inside`` marks the bytes of all ranges."""
+    offsets = np.concatenate(([0], np.cumsum(ends - starts)))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+
+
 def _find(window: int):
-    """One shard: index the distinct segments, stream them through it, answer the chunks."""
-    kinds = [("chunk", pa.int64()), ("keys", pa.binary()), ("windows", pa.binary()), ("least", pa.binary())]
+    """One shard: index the distinct segments, stream them through it, answer the chunks.
+
+    A chunk is told of each of its segments which windows a document smaller
+    than all that hold the segment in that chunk has.
+    """
+    kinds = [("chunk", pa.int64()), ("keys", pa.binary()), ("early", pa.binary())]
 
     def run(key, table):
-        texts, sizes, docs, keys = [], [], [], []
-        for t, d, k in zip(*(table.column(c).to_pylist() for c in ("texts", "docs", "keys"))):
-            texts += t.split(b"\n")
-            docs.append(np.frombuffer(d, np.int64).reshape(2, -1))
-            keys.append(np.frombuffer(k, np.uint64))
-            sizes.append(len(keys[-1]))
+        docs = [np.frombuffer(d, np.int64).reshape(2, -1) for d in table.column("docs").to_pylist()]
+        sizes = [d.shape[1] for d in docs]
         docs = np.concatenate(docs, axis=1)
-        coded = pa.array(texts, pa.large_binary()).dictionary_encode()
-        of, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        del texts, coded
+        data = np.frombuffer(b"\n".join(table.column("texts").to_pylist()), np.uint8)
+        line = np.flatnonzero(data == 10)
+        coded = _pieces(data, data != 10, np.concatenate(([0], line + 1)), np.append(line, len(data))).dictionary_encode()
+        of, distinct = coded.indices.to_numpy(), coded.dictionary
+        del data, line, coded
         least, most = np.full(len(distinct), LAST), np.full(len(distinct), -LAST)
         np.minimum.at(least, of, docs[0])
         np.maximum.at(most, of, docs[1])
-        split = [t.split() for t in distinct]
-        lengths = np.fromiter(map(len, split), np.int64, len(split))
-        word = pa.array([w for s in split for w in s], pa.large_binary()).dictionary_encode()
-        symbols = len(word.dictionary) + 1
-        del split, distinct
+        (_, _, data, offsets), = chunks(distinct, 1 << 62)
+        starts, ends, word = spans(data, offsets)
+        lengths = np.diff(word)
+        words = _pieces(data, data != 32, starts, ends).dictionary_encode()
+        symbols = len(words.dictionary) + 1
         # each segment is followed by the separator 0
         first = np.cumsum(lengths + 1) - lengths - 1
-        text = np.zeros(int(lengths.sum()) + len(lengths), np.int64)
-        text[ragged(first, lengths)] = word.indices.to_numpy() + 1
-        del word
+        text = np.zeros(int(lengths.sum()) + len(lengths), np.int32)
+        text[ragged(first, lengths)] = words.indices.to_numpy() + 1
+        del words, distinct, data, starts, ends
         index = FMIndex(text, symbols, window)
         windows = lengths - window + 1
-        begin = ragged(first, windows)
-        matched, lo, hi = index.matches(text, begin + window, window)
-        segment = np.repeat(np.arange(len(lengths)), lengths + 1)
-        row_segment = segment[index.suffixes]
+        matched, lo, hi = index.matches(text, ragged(first, windows) + window, window)
         low = np.repeat(least, windows)  # windows without a second place keep their own document
-        spread = np.repeat(most, windows) > low
         full = np.flatnonzero(matched >= window)
         if len(full):
             starts, back = np.unique(lo[full], return_inverse=True)
             stops = np.zeros(len(starts), np.int64)
             stops[back] = hi[full]
-            cuts = np.stack((starts, stops), axis=1).ravel()
-            low_row = np.append(least[row_segment], LAST)
-            high_row = np.append(most[row_segment], -LAST)
-            low[full] = np.minimum.reduceat(low_row, cuts)[::2][back]
-            spread[full] = np.maximum.reduceat(high_row, cuts)[::2][back] > low[full]
-        some = np.zeros(len(lengths), bool)
-        np.logical_or.at(some, np.repeat(np.arange(len(lengths)), windows), spread)
-        at = np.concatenate(([0], np.cumsum(windows)))[:-1]
-        rows = []
-        for chunk, k, o in zip(table.column("chunk").to_pylist(), keys, np.split(of, np.cumsum(sizes)[:-1])):
-            keep = some[o]
-            if keep.any():
-                o = o[keep]
-                rows.append((chunk, k[keep].tobytes(), windows[o].tobytes(), low[ragged(at[o], windows[o])].tobytes()))
+            by_row = np.append(least[np.repeat(np.arange(len(lengths)), lengths + 1)[index.suffixes]], LAST)
+            low[full] = np.minimum.reduceat(by_row, np.stack((starts, stops), axis=1).ravel())[::2][back]
+        at = np.cumsum(windows) - windows
+        rows, done = [], 0
+        for chunk, keys, n in zip(table.column("chunk").to_pylist(), table.column("keys").to_pylist(), sizes):
+            mine = slice(done, done + n)
+            done += n
+            o = of[mine]
+            early = (low[ragged(at[o], windows[o])] < np.repeat(docs[0, mine], windows[o])).astype(np.uint64)
+            bits = early << ragged(np.zeros(n, np.int64), windows[o]).astype(np.uint64)
+            mask = np.add.reduceat(bits, np.cumsum(windows[o]) - windows[o])
+            if (mask > 0).any():
+                rows.append((chunk, np.frombuffer(keys, np.uint64)[mask > 0].tobytes(), mask[mask > 0].tobytes()))
         return _table(rows, kinds)
 
     return run
@@ -210,27 +213,28 @@ def _find(window: int):
 def _apply(window: int, schema_names: list[str]):
     def run(key, table, found):
         own = Segments(_column(table, "_text"), _ids(table.column("_id")), window)
-        gone = {}  # part -> mask of removed words
-        if found.num_rows:
-            keys, windows, least = (
-                np.concatenate([np.frombuffer(x, kind) for x in found.column(c).to_pylist()])
-                for c, kind in (("keys", np.uint64), ("windows", np.int64), ("least", np.int64))
-            )
-            first = np.cumsum(windows) - windows
+        _, of = np.unique(own.key, return_inverse=True)
+        least = np.full(len(own.key), LAST)
+        np.minimum.at(least, of, own.doc)
+        # a window goes from every document but the first of this chunk that holds its segment ...
+        every = np.uint64(2**64 - 1)
+        mask = np.where(own.doc > least[of], every, np.uint64(0))
+        if found.num_rows and len(own.key):  # ... and from that one if another chunk has a smaller document
+            keys, early = (np.concatenate([np.frombuffer(x, np.uint64) for x in found.column(c).to_pylist()]) for c in ("keys", "early"))
             order = np.argsort(keys)
-            at = np.minimum(np.searchsorted(keys[order], own.key), len(keys) - 1)
-            at = order[at]
-            hit = np.flatnonzero((keys[at] == own.key) & (windows[at] == own.count))
-            inside = ragged(np.zeros(len(hit), np.int64), own.count[hit])
-            low = least[np.repeat(first[at[hit]], own.count[hit]) + inside]
-            early = low < np.repeat(own.doc[hit], own.count[hit])
-            start = (np.repeat(own.start[hit], own.count[hit]) + inside)[early]
-            part = np.repeat(own.part[hit], own.count[hit])[early]
-            for p in np.unique(part).tolist():
-                edge = np.zeros(len(own.parts[p][2]) + 1, np.int64)
-                np.add.at(edge, start[part == p], 1)
-                np.add.at(edge, start[part == p] + window, -1)
-                gone[p] = np.cumsum(edge[:-1]) > 0
+            at = order[np.minimum(np.searchsorted(keys[order], own.key), len(keys) - 1)]
+            mask |= np.where(keys[at] == own.key, early[at], np.uint64(0))
+        hit = np.flatnonzero(mask)
+        inside = ragged(np.zeros(len(hit), np.int64), own.count[hit])
+        go = (np.repeat(mask[hit], own.count[hit]) >> inside.astype(np.uint64) & np.uint64(1)).astype(bool)
+        start = (np.repeat(own.start[hit], own.count[hit]) + inside)[go]
+        part = np.repeat(own.part[hit], own.count[hit])[go]
+        gone = {}  # part -> mask of removed words
+        for p in np.unique(part).tolist():
+            edge = np.zeros(len(own.parts[p][2]) + 1, np.int64)
+            np.add.at(edge, start[part == p], 1)
+            np.add.at(edge, start[part == p] + window, -1)
+            gone[p] = np.cumsum(edge[:-1]) > 0
         kept, n_words, n_removed = [], [], []
         for p, (_, data, starts, ends, word) in enumerate(own.parts):
             mask = gone.get(p)
@@ -250,7 +254,7 @@ def _apply(window: int, schema_names: list[str]):
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, chunk_bytes: int = 4 << 20, shard_bytes: int = 16 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, chunk_bytes: int = 4 << 20, shard_bytes: int = 4 << 20
 ) -> DataFrame:
     """All columns of ``docs`` and ``kept``, ``n_words``, ``n_removed``; one row per input row.
 
@@ -263,11 +267,13 @@ def remove_repeats(
     * Columns named kept, n_words or n_removed are replaced.  Empty table:
       empty result.
     """
+    if not ANCHOR <= window < ANCHOR + 64:
+        raise ValueError(f"a window has {ANCHOR} to {ANCHOR + 63} words")
     docs = docs.drop(*[c for c in ("kept", "n_words", "n_removed") if c in docs.columns])
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("binary")))).first()[0] or 0
     n_chunks = max(1, -(-total // chunk_bytes))
     shards = max(1, -(-total // shard_bytes))
-    buckets = max(1, -(-total // (4 * shard_bytes)))
+    buckets = max(1, -(-total // (16 * shard_bytes)))
     names = docs.columns
     source = docs.withColumns(
         {
