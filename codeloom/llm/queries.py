@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, decontaminate, quality, simhash, substrings
+from codeloom.llm import bpe, decontaminate, quality, simhash, substrings, suffixtree
 from codeloom.llm.staging import table
 
 QUERIES: dict = {}
@@ -93,3 +93,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, table(spark, sf_dir, "labels")).select(
         "doc_id", quality.held_out("doc_id", 1, 3).alias("held_out"), "score", "predicted"
     )
+
+
+@op("op8_lm_scoring")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under a suffix tree learned from four fifths of them."""
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1
+    return suffixtree.score_texts(table(spark, sf_dir, "documents"), held)
