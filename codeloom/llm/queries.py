@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, decontaminate, quality, simhash, substrings, suffixtree
+from codeloom.llm import bpe, decontaminate, embedding_dedup, quality, simhash, substrings, suffixtree
 from codeloom.llm.staging import table
 
 QUERIES: dict = {}
@@ -100,3 +100,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every document under a suffix tree learned from four fifths of them."""
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1
     return suffixtree.score_texts(table(spark, sf_dir, "documents"), held)
+
+
+@op("op9_embedding_near_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.93 or more between embeddings of equal label, and their components."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
