@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, decontaminate, embedding_dedup, quality, simhash, substrings, suffixtree
-from codeloom.llm.staging import table
+from codeloom.llm import bpe, decontaminate, embedding_dedup, quality, simhash, substrings, suffixtree, warc
+from codeloom.llm.staging import staging_path, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str | None] = {}
@@ -106,3 +106,22 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of cosine 0.93 or more between embeddings of equal label, and their components."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@op(
+    "op7_warc",
+    """
+with page as (select page_id, coalesce(html, '') as html from pages),
+sized as (select page_id, html, cast(strlen(html) as bigint) as payload_bytes, sha1(html) as payload_digest from page),
+led as (select *, max(page_id) over (partition by html) as lead_id from sized)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 1000 and lead_id <> page_id then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 1000 and lead_id <> page_id then lead_id end as refers_to
+from led
+""",
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives in the shared folder and read back."""
+    path = staging_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path, least=1000)
+    return warc.page_records(warc.read_archive(spark, path))
