@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from codeloom.llm.words import LOWER, chunks, hashes, mix, slices, spans
+from codeloom.llm.words import LOWER, chunks, hashes, mix, pack, pack_sorted, slices, spans, unpack, unpack_sorted
 
 END = np.uint64(0x5851F42D4C957F2D)
 TURN = np.uint64(0xD1342543DE82EF95)
@@ -84,7 +84,7 @@ class Chunk:
         for level in range(upto + 1):
             mine = {bucket[k]: totals[k] for k in np.flatnonzero(kinds == level).tolist()}
             here = self.levels[level]
-            parts = [np.frombuffer(mine[k], np.float64 if level == 3 else np.int64) for k, _, _ in slices(here["keys"], buckets)]
+            parts = [unpack(mine[k], np.float64 if level == 3 else np.int64) for k, _, _ in slices(here["keys"], buckets)]
             here["total"] = np.concatenate(parts) if parts else np.empty(0, np.int64)
             if level < 2:
                 self._open(level)
@@ -159,7 +159,7 @@ class Chunk:
 
 
 def _pack(chunk: int, level: dict, buckets: int, kind) -> pa.Table:
-    rows = [(k, chunk, level["keys"][a:b].tobytes(), level["own"][a:b].astype(kind).tobytes()) for k, a, b in slices(level["keys"], buckets)]
+    rows = [(k, chunk, pack_sorted(level["keys"][a:b]), pack(level["own"][a:b].astype(kind))) for k, a, b in slices(level["keys"], buckets)]
     cols = list(zip(*rows)) if rows else [[]] * 4
     kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
     return pa.table([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["bucket", "chunk", "keys", "counts"])
@@ -185,8 +185,8 @@ def _totals(kind: int):
     given, wide = (np.float64, np.float64) if kind == 3 else (np.uint32, np.int64)
 
     def run(key, table):
-        keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, given) for x in table.column("counts").to_pylist()]).astype(wide)
+        keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
+        counts = np.concatenate([unpack(x, given) for x in table.column("counts").to_pylist()]).astype(wide)
         sizes = [len(k) for k in keys]
         distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
         if kind == 3:
@@ -196,7 +196,7 @@ def _totals(kind: int):
         else:
             total = np.zeros(len(distinct), np.int64)
             np.add.at(total, of, counts)
-        back = [x.tobytes() for x in np.split(total[of], np.cumsum(sizes)[:-1])]
+        back = [pack(x) for x in np.split(total[of], np.cumsum(sizes)[:-1])]
         return pa.table(
             {
                 "chunk": table.column("chunk"),
@@ -211,8 +211,8 @@ def _totals(kind: int):
 
 def _stats(key, table):
     """Training tokens of a bucket, and how many of them differ."""
-    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
+    keys = np.concatenate([unpack_sorted(x) for x in table.column("keys").to_pylist()])
+    counts = np.concatenate([unpack(x, np.uint32) for x in table.column("counts").to_pylist()])
     return pa.table({"tokens": pa.array([int(counts.sum(dtype=np.int64))]), "kinds": pa.array([len(np.unique(keys[counts > 0]))])})
 
 

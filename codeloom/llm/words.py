@@ -110,6 +110,25 @@ def run_hashes(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
     return mix((sums[starts + lengths] - sums[starts]) * inverse[starts] + lengths.astype(np.uint64))
 
 
+def pack(a: np.ndarray) -> bytes:
+    """The bytes of an array, all first bytes before all second ones and so on: small numbers then compress well."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def unpack(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Rising 64-bit keys as packed differences."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket of each 64-bit key; it never falls as the key rises."""
     return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
