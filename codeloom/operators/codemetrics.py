@@ -2,26 +2,25 @@
 syntax match, data-flow match and their CodeBLEU combination.
 
 Definitions follow the published CodeBLEU paper (n-gram parts from BLEU with
-Chen & Cherry smoothing method 1).  N-gram counting is a Spark job: n-grams are
-exploded and clipped counts come from a ``groupBy(pair, n, gram)``, so a long
-text is spread over the shuffle rather than handled in one Python call.  Only
-the AST walk of the syntax and data-flow parts is Python (``mapInPandas``);
-their clipping is again a ``groupBy``.
+Chen & Cherry smoothing method 1).  Both texts of a pair are in one row, so
+n-grams, subtrees and data-flow edges are counted and clipped there, in Arrow
+batches and without a shuffle; edit distance and the combination of the counts
+to scores are built-in expressions.
 """
 
 from __future__ import annotations
 
 import ast
 import hashlib
-from typing import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import format_fixed
-from codeloom.functions.tokens import tokens
-from codeloom.session import spread
+from codeloom.session import dealt
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -34,6 +33,7 @@ KEYWORD_WEIGHT = 1.0
 OTHER_WEIGHT = 0.2
 SMOOTH_EPS = 0.1
 MAX_N = 4
+ROWS_AT_ONCE = 500
 CODEBLEU_WEIGHTS = (0.25, 0.25, 0.25, 0.25)
 METRIC_ORDER = ("levenshtein_distance", "codebleu", "ngram_match_score", "weighted_ngram_match_score",
                 "syntax_match_score", "dataflow_match_score")
@@ -45,22 +45,6 @@ def edit_distance(a, b) -> Column:
     return F.levenshtein(a, b)
 
 
-def _ngrams(df: DataFrame, ids: list[str], side: str, text: str) -> DataFrame:
-    """``ids, n, side, g``: every n-gram (n = 1..4) of the text, one explode.
-
-    N-gram ``i`` covers tokens ``i..i+n-1``; texts shorter than ``n`` give none.
-    """
-    t = F.col("_t")
-    per_n = F.transform(F.sequence(F.lit(1), F.lit(MAX_N)), lambda n: F.when(
-        F.size(t) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(t) - n + 1),
-                    lambda i: F.struct(n.alias("n"), F.array_join(F.slice(t, i, n), " ").alias("g"))),
-    ).otherwise(F.array().cast("array<struct<n:int,g:string>>")))
-    toks = df.select(*ids, tokens(text).alias("_t"))
-    grams = toks.select(*ids, F.explode(F.flatten(per_n)).alias("_x"))
-    return grams.select(*ids, F.col("_x.n").alias("n"), F.lit(side).alias("side"), F.col("_x.g").alias("g"))
-
-
 def _bleu(prefix: str) -> Column:
     logp = []
     for k in range(1, MAX_N + 1):
@@ -75,83 +59,127 @@ def _bleu(prefix: str) -> Column:
     return F.when(F.coalesce(F.col(f"{prefix}hit1"), F.lit(0.0)) == 0, F.lit(0.0)).otherwise(geo * bp)
 
 
-def ngram_scores(df: DataFrame, ids: list[str], ref: str = "reference", cand: str = "candidate") -> DataFrame:
+def _clipped(cand: Counter, ref: Counter, weight=None) -> tuple[float, float]:
+    """Σ weight·min(count in candidate, count in reference) and Σ weight·count in candidate."""
+    w = weight or (lambda item: 1.0)
+    return sum(w(g) * min(n, ref[g]) for g, n in cand.items()), sum(w(g) * n for g, n in cand.items())
+
+
+_TO_BLANK = str.maketrans("\t\n\r", "   ")
+
+
+def _split(text: str) -> list[str]:
+    """The tokens of :func:`codeloom.functions.tokens.tokens`."""
+    return [x for x in text.translate(_TO_BLANK).split(" ") if x]
+
+
+def _keyword_weight(gram: tuple[str, ...]) -> float:
+    return KEYWORD_WEIGHT if gram[0] in PYTHON_KEYWORDS else OTHER_WEIGHT
+
+
+def _ngram_row(ref: str, cand: str) -> dict[str, float]:
+    r, c = _split(ref), _split(cand)
+    row = {"len_r": len(r), "len_c": len(c)}
+    for n in range(1, MAX_N + 1):
+        cg, rg = (Counter(zip(*(t[k:] for k in range(n)))) for t in (c, r))
+        row[f"hit{n}"], row[f"tot{n}"] = _clipped(cg, rg)
+        row[f"w_hit{n}"], row[f"w_tot{n}"] = _clipped(cg, rg, _keyword_weight) if n == 1 else (row[f"hit{n}"], row[f"tot{n}"])
+    return row
+
+
+_NGRAM_SCHEMA = ", ".join(f"{p}{k}{n} double" for n in range(1, MAX_N + 1) for p in ("", "w_") for k in ("hit", "tot"))
+_NGRAM_SCHEMA = "len_r double, len_c double, " + _NGRAM_SCHEMA
+_AST_SCHEMA = "syntax double, dataflow double, parsed boolean"
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def _by_row(df: DataFrame, keep: list[str], ref: str, cand: str, parts: list[tuple[str, Callable]],
+            partitions: int | None) -> DataFrame:
+    """Pairs with both texts: ``keep`` and the columns that each (schema, fn) of
+    ``parts`` computes from the two texts of a row.  Nothing is shuffled, unless
+    the caller asks for ``partitions``."""
+    pairs = dealt(df.filter(F.col(ref).isNotNull() & F.col(cand).isNotNull()), partitions)
+    pairs = pairs.select(*keep, F.col(ref).alias("_ref"), F.col(cand).alias("_cand"))
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in keep)
+    names = [n for schema, _ in parts for n in _names(schema)]
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS_AT_ONCE):
+                part = b.slice(at, ROWS_AT_ONCE)
+                rows = []
+                for r, c in zip(part.column(len(keep)).to_pylist(), part.column(len(keep) + 1).to_pylist()):
+                    row: dict = {}
+                    for _, fn in parts:
+                        row |= fn(r, c)
+                    rows.append(row)
+                made = [pa.array([row[n] for row in rows], pa.bool_() if n == "parsed" else pa.float64()) for n in names]
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], *made], names=[*keep, *names])
+
+    return pairs.mapInArrow(run, ", ".join([kinds, *(schema for schema, _ in parts)]))
+
+
+def ngram_scores(df: DataFrame, ids: list[str], ref: str = "reference", cand: str = "candidate",
+                 partitions: int | None = None) -> DataFrame:
     """``ids, ngram_match_score, weighted_ngram_match_score`` for each pair with
-    both texts present, from one n-gram explode and one clipping shuffle.
+    both texts present; n-grams are counted and clipped inside the row.
 
     Weighted: unigram counts weigh 1 for Python keywords and 0.2 otherwise
     (numerator and denominator); longer n-grams are unweighted.
     """
-    # the explode multiplies rows ~8x per token: give it enough tasks first
-    pairs = spread(df.filter(F.col(ref).isNotNull() & F.col(cand).isNotNull()))
-    grams = _ngrams(pairs, ids, "c", cand).unionByName(_ngrams(pairs, ids, "r", ref))
-    counts = grams.groupBy(*ids, "n", "g").agg(
-        F.count_if(F.col("side") == "c").alias("cc"), F.count_if(F.col("side") == "r").alias("rc"))
-    w = F.when(F.col("n") == 1, F.when(F.col("g").isin(*PYTHON_KEYWORDS), F.lit(KEYWORD_WEIGHT))
-               .otherwise(F.lit(OTHER_WEIGHT))).otherwise(F.lit(1.0))
-    clip = F.least("cc", "rc")
-    per_n = counts.groupBy(*ids, "n").agg(
-        F.sum(clip).cast("double").alias("hit"), F.sum("cc").cast("double").alias("tot"),
-        F.sum(w * clip).alias("whit"), F.sum(w * F.col("cc")).alias("wtot"), F.sum("rc").alias("rtot"))
-    ks = range(1, MAX_N + 1)
-    wide = per_n.groupBy(*ids).agg(
-        *[F.sum(F.when(F.col("n") == k, F.col(c))).alias(f"{p}{c.lstrip('w')}{k}")
-          for k in ks for c, p in (("hit", ""), ("tot", ""), ("whit", "w_"), ("wtot", "w_"))],
-        # token counts = unigram counts of each side
-        F.sum(F.when(F.col("n") == 1, F.col("tot"))).alias("_lc"),
-        F.sum(F.when(F.col("n") == 1, F.col("rtot"))).alias("_lr"),
-    )
-    out = pairs.select(*ids).join(wide, ids, "left") \
-        .withColumn("len_c", F.coalesce("_lc", F.lit(0.0))).withColumn("len_r", F.coalesce("_lr", F.lit(0)))
+    out = _by_row(df, ids, ref, cand, [(_NGRAM_SCHEMA, _ngram_row)], partitions)
     return out.select(*ids, _bleu("").alias("ngram_match_score"), _bleu("w_").alias("weighted_ngram_match_score"))
 
 
 def ngram_match(df: DataFrame, ids: list[str], ref: str = "reference", cand: str = "candidate",
-                weighted: bool = False) -> DataFrame:
+                weighted: bool = False, partitions: int | None = None) -> DataFrame:
     """``ids + score``: plain or keyword-weighted n-gram match (see :func:`ngram_scores`)."""
     col = "weighted_ngram_match_score" if weighted else "ngram_match_score"
-    return ngram_scores(df, ids, ref, cand).select(*ids, F.col(col).alias("score"))
+    return ngram_scores(df, ids, ref, cand, partitions).select(*ids, F.col(col).alias("score"))
 
 
 # ---------------------------------------------------------------------------
-# AST parts (per-row Python helper; clipping happens in Spark)
+# AST parts (per-row Python helper)
 def _subtree_hashes(tree: ast.AST) -> list[str]:
-    """Structural hash of every non-leaf node (node types only, no names)."""
-    out: list[str] = []
+    """Structural hash of every non-leaf node (node types only, no names).
 
-    def walk(node: ast.AST) -> str:
-        kids = [walk(c) for c in ast.iter_child_nodes(node)]
-        sig = type(node).__name__ + "(" + ",".join(kids) + ")"
-        h = hashlib.md5(sig.encode()).hexdigest()[:16]
+    Nodes are listed parents first and hashed backwards, so that any depth will do.
+    """
+    order, work = [], [tree]
+    while work:
+        node = work.pop()
+        kids = list(ast.iter_child_nodes(node))
+        order.append((node, kids))
+        work.extend(kids)
+    known: dict[int, str] = {}
+    out: list[str] = []
+    for node, kids in reversed(order):
+        sig = type(node).__name__ + "(" + ",".join(known[id(k)] for k in kids) + ")"
+        known[id(node)] = hashlib.md5(sig.encode()).hexdigest()[:16]
         if kids:
-            out.append(h)
-        return h
-
-    walk(tree)
+            out.append(known[id(node)])
     return out
 
 
 def _dataflow_edges(tree: ast.AST) -> list[str]:
-    """``target <- source`` edges of assignments, loops and augmented
-    assignments, with variables renumbered by first appearance."""
-    names: dict[str, str] = {}
-
-    def norm(v: str) -> str:
-        if v not in names:
-            names[v] = f"var_{len(names)}"
-        return names[v]
+    """``target <- source`` edges of assignments, loops, augmented assignments
+    and returns, with variables renumbered by first appearance."""
+    numbers: dict[str, int] = {}
 
-    def loaded(expr) -> list[str]:
-        return [n.id for n in ast.walk(expr) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load)]
+    def number(name: str) -> str:
+        return f"var_{numbers.setdefault(name, len(numbers))}"
 
-    def stored(expr) -> list[str]:
-        return [n.id for n in ast.walk(expr) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)]
+    def names(expr, ctx) -> list[str]:
+        return [n.id for n in ast.walk(expr) if isinstance(n, ast.Name) and isinstance(n.ctx, ctx)]
 
     edges: list[str] = []
     for node in ast.walk(tree):
         if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
             for a in node.args.args + node.args.kwonlyargs:
-                norm(a.arg)
+                number(a.arg)
         pairs = []
         if isinstance(node, ast.Assign):
             pairs = [(t, node.value) for t in node.targets]
@@ -160,78 +188,44 @@ def _dataflow_edges(tree: ast.AST) -> list[str]:
         elif isinstance(node, ast.For | ast.AsyncFor):
             pairs = [(node.target, node.iter)]
         elif isinstance(node, ast.Return) and node.value is not None:
-            for s in loaded(node.value):
-                edges.append(f"return<-{norm(s)}")
+            edges += [f"return<-{number(s)}" for s in names(node.value, ast.Load)]
         for target, value in pairs:
-            for t in stored(target):
-                for s in loaded(value):
-                    edges.append(f"{norm(t)}<-{norm(s)}")
+            for t in names(target, ast.Store):
+                edges += [f"{number(t)}<-{number(s)}" for s in names(value, ast.Load)]
                 if isinstance(node, ast.AugAssign):
-                    edges.append(f"{norm(t)}<-{norm(t)}")
+                    edges.append(f"{number(t)}<-{number(t)}")
     return edges
 
 
-def _parse(text):
+def _ast_row(ref: str, cand: str) -> dict:
+    """Share of the reference's subtrees and data-flow edges that the candidate
+    has.  Whatever goes wrong with one text (syntax, depth, memory) leaves the
+    pair unparsed and the job running."""
     try:
-        return ast.parse(text) if text is not None else None
-    except (SyntaxError, ValueError, RecursionError):
-        return None
+        r, c = ast.parse(ref), ast.parse(cand)
+        shares = []
+        for items in (_subtree_hashes, _dataflow_edges):
+            hit, total = _clipped(Counter(items(r)), Counter(items(c)))
+            shares.append(hit / total if total else None)
+        return {"syntax": shares[0], "dataflow": shares[1], "parsed": True}
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return {"syntax": None, "dataflow": None, "parsed": False}
 
 
-def ast_items(df: DataFrame, ids: list[str], ref: str = "reference", cand: str = "candidate") -> DataFrame:
-    """Rows ``ids, side, kind ('syntax'|'dataflow'|'parsed'), item`` per text.
+def _syntax() -> Column:
+    return F.coalesce("syntax", F.lit(0.0))
 
-    An unparseable text emits only a ``parsed`` row with item ``'0'``.
-    """
-    schema_ids = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in ids)
-    schema = f"{schema_ids}, side string, kind string, item string"
-
-    def run(it: Iterator[pd.DataFrame]):
-        for pdf in it:
-            rows = []
-            for rec in pdf.itertuples(index=False):
-                key = [getattr(rec, c) for c in ids]
-                for side, text in (("r", getattr(rec, "ref_text")), ("c", getattr(rec, "cand_text"))):
-                    tree = _parse(text)
-                    rows.append((*key, side, "parsed", "1" if tree is not None else "0"))
-                    if tree is None:
-                        continue
-                    rows.extend((*key, side, "syntax", h) for h in _subtree_hashes(tree))
-                    rows.extend((*key, side, "dataflow", e) for e in _dataflow_edges(tree))
-            if rows:
-                yield pd.DataFrame(rows, columns=[*ids, "side", "kind", "item"])
-
-    pairs = spread(df.select(*ids, F.col(ref).alias("ref_text"), F.col(cand).alias("cand_text")))
-    return pairs.mapInPandas(run, schema=schema)
-
-
-def ast_match(df: DataFrame, ids: list[str], ref: str = "reference", cand: str = "candidate") -> DataFrame:
+
+def ast_match(df: DataFrame, ids: list[str], ref: str = "reference", cand: str = "candidate",
+              partitions: int | None = None) -> DataFrame:
     """``ids, syntax_match_score, dataflow_match_score, parsed``.
 
     Score = Σ min(count_c, count_r) / Σ count_r over reference items.  Syntax:
     0 when either side does not parse.  Data flow: null when the reference has
     no edge (or a side does not parse).
     """
-    pairs = df.filter(F.col(ref).isNotNull() & F.col(cand).isNotNull())
-    items = ast_items(pairs, ids, ref, cand)
-    parsed = items.filter(F.col("kind") == "parsed").groupBy(*ids).agg(
-        F.min(F.col("item").cast("int")).alias("_ok"))
-    counts = items.filter(F.col("kind") != "parsed").groupBy(*ids, "kind", "item").agg(
-        F.count_if(F.col("side") == "c").alias("cc"), F.count_if(F.col("side") == "r").alias("rc"))
-    per = counts.groupBy(*ids, "kind").agg(
-        F.sum(F.least("cc", "rc")).alias("hit"), F.sum("rc").alias("ref_total"))
-    wide = per.groupBy(*ids).agg(
-        F.sum(F.when(F.col("kind") == "syntax", F.try_divide("hit", "ref_total"))).alias("_syn"),
-        F.sum(F.when(F.col("kind") == "dataflow", F.try_divide("hit", "ref_total"))).alias("_df"),
-    )
-    out = pairs.select(*ids).join(parsed, ids, "left").join(wide, ids, "left")
-    ok = F.coalesce(F.col("_ok"), F.lit(0)) == 1
-    return out.select(
-        *ids,
-        F.when(ok, F.coalesce("_syn", F.lit(0.0))).otherwise(F.lit(0.0)).alias("syntax_match_score"),
-        F.when(ok, F.col("_df")).alias("dataflow_match_score"),
-        ok.alias("parsed"),
-    )
+    out = _by_row(df, ids, ref, cand, [(_AST_SCHEMA, _ast_row)], partitions)
+    return out.select(*ids, _syntax().alias("syntax_match_score"), F.col("dataflow").alias("dataflow_match_score"), "parsed")
 
 
 def codebleu(parts: list) -> tuple[Column, Column]:
@@ -245,18 +239,19 @@ def codebleu(parts: list) -> tuple[Column, Column]:
 
 
 def score_pairs(df: DataFrame, ids: list[str], ref: str = "reference", cand: str = "candidate",
-                with_ast: bool = True) -> DataFrame:
+                with_ast: bool = True, partitions: int | None = None) -> DataFrame:
     """Every metric per pair with both texts present (the others are skipped)."""
-    pairs = spread(df.filter(F.col(ref).isNotNull() & F.col(cand).isNotNull()))
-    lev = pairs.select(*ids, edit_distance(ref, cand).cast("double").alias("levenshtein_distance"))
-    out = lev.join(ngram_scores(pairs, ids, ref, cand), ids)
-    if with_ast:
-        out = out.join(ast_match(pairs, ids, ref, cand).drop("parsed"), ids)
-        parts = [F.col("ngram_match_score"), F.col("weighted_ngram_match_score"),
-                 F.col("syntax_match_score"), F.col("dataflow_match_score")]
-        score, n = codebleu(parts)
-        out = out.withColumn("codebleu", score).withColumn("n_parts", n)
-    return out
+    df = df.withColumn("_lev", edit_distance(ref, cand).cast("double"))
+    parts = [(_NGRAM_SCHEMA, _ngram_row)] + ([(_AST_SCHEMA, _ast_row)] if with_ast else [])
+    out = _by_row(df, [*ids, "_lev"], ref, cand, parts, partitions)
+    scores = [F.col("_lev").alias("levenshtein_distance"), _bleu("").alias("ngram_match_score"),
+              _bleu("w_").alias("weighted_ngram_match_score")]
+    if not with_ast:
+        return out.select(*ids, *scores)
+    out = out.select(*ids, *scores, _syntax().alias("syntax_match_score"), F.col("dataflow").alias("dataflow_match_score"))
+    score, n = codebleu([F.col(c) for c in ("ngram_match_score", "weighted_ngram_match_score",
+                                            "syntax_match_score", "dataflow_match_score")])
+    return out.withColumn("codebleu", score).withColumn("n_parts", n)
 
 
 def generation_metrics(scores: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from codeloom.operators import extract as X
 from codeloom.operators import graph as G
 from codeloom.plans.catalog.graph_q import _edges
-from codeloom.plans.catalog.sqlparts import graph_cte
+from codeloom.plans.catalog.sqlparts import graph_cte, marked_cte
 from codeloom.plans.registry import query
 
 # expected functions of the `src` fixture, restated by formula
@@ -36,13 +36,13 @@ gnodes as (select package, module || '.' || qualname as node from gmod)"""
 
 
 def _src_functions(t):
-    rows = X.extract_functions(t["src"].select("package", "path", "content"))
+    rows = X.extract_functions(t["src"].select("package", "path", "content"), partitions=t.partitions)
     ok, bad = X.split_errors(rows)
     return X.function_nodes(ok, t["src_roots"]), bad
 
 
 def _graph_nodes(t):
-    rows = X.extract_functions(t["graph_src"])
+    rows = X.extract_functions(t["graph_src"], partitions=t.partitions)
     ok, _ = X.split_errors(rows)
     return X.function_nodes(ok, t["package_roots"])
 
@@ -73,7 +73,7 @@ union all select package, node1, b from e
 union all select package, node1, c from e where c is not null""")
 def x7(t):
     """Edges from call expressions: local function, package function or ``<unk>.``."""
-    calls = X.find_calls(t["graph_src"])
+    calls = X.find_calls(t["graph_src"], partitions=t.partitions)
     nodes = _graph_nodes(t)
     return X.resolve_calls(calls, nodes, t["package_roots"])
 
@@ -122,27 +122,32 @@ def a2(t):
     return G.mapping_completeness(_graph_nodes(t), _edges(t))
 
 
-@query("L1_build_graph", ["graph_src", "graph_entries", "raw_calls", "call_log", "package_roots"],
-       "with " + graph_cte().strip() + ",\n" + _GNODES.strip() + """,
+@query("L1_build_graph", ["graph_src", "graph_entries", "raw_calls", "analyzer_log", "package_roots"],
+       "with " + marked_cte().strip() + ",\n" + graph_cte(log="marked").strip() + ",\n" + _GNODES.strip() + """,
 ends as (select package, node1 as node from edges union select package, node2 from edges),
-kept_nodes as (select g.package, count(*) as nodes from gnodes g
-               where exists (select 1 from ends e where e.package = g.package and e.node = g.node) group by g.package),
-n_e as (select package, count(*) as edges from edges group by package)
-select r.package, case when n_e.package is null then 'error' else 'ok' end as status,
-       coalesce(kept_nodes.nodes, 0) as nodes, coalesce(n_e.edges, 0) as edges
-from package_roots r left join kept_nodes using (package) left join n_e using (package)""")
+has_log as (select distinct package from log_e),
+has_nodes as (select distinct package from gnodes),
+has_edges as (select distinct package from edges)
+select package, 'edge' as kind, node1 as a, node2 as b from edges
+union all select g.package, 'node', g.node, null from gnodes g
+          where exists (select 1 from ends e where e.package = g.package and e.node = g.node)
+union all select r.package, 'status',
+       case when l.package is null or n.package is null or e.package is null then 'error' else 'ok' end,
+       case when l.package is null then 'no log' when n.package is null then 'no nodes'
+            when e.package is null then 'no edges' end
+from package_roots r left join has_log l on l.package = r.package left join has_nodes n on n.package = r.package
+left join has_edges e on e.package = r.package""")
 def l1(t):
-    """Whole graph job for all packages: nodes kept if on an edge, edge list,
-    and a per-package status."""
+    """Whole graph job for all packages: the edges, the nodes on an edge and
+    each package's status."""
     from codeloom.plans.graph_build import build_graph
 
-    g = build_graph(t["graph_src"], t["graph_entries"], t["raw_calls"], t["call_log"], t["package_roots"])
-    n = g["nodes"].groupBy("package").agg(F.count(F.lit(1)).alias("nodes"))
-    e = g["edges"].groupBy("package").agg(F.count(F.lit(1)).alias("edges"))
-    st = g["status"].select("package", "status")
-    out = st.join(n, "package", "left").join(e, "package", "left")
-    return out.select("package", "status", F.coalesce("nodes", F.lit(0)).alias("nodes"),
-                      F.coalesce("edges", F.lit(0)).alias("edges"))
+    g = build_graph(t["graph_src"], t["graph_entries"], t["raw_calls"], t["analyzer_log"], t["package_roots"],
+                    partitions=t.partitions)
+    row = lambda df, kind, a, b: df.select("package", F.lit(kind).alias("kind"), F.col(a).alias("a"), b.alias("b"))
+    return row(g["edges"], "edge", "node1", F.col("node2")) \
+        .union(row(g["nodes"], "node", "node", F.lit(None).cast("string"))) \
+        .union(row(g["status"], "status", "status", F.col("reason")))
 
 
 @query("F8_package_status", ["graph_src", "graph_entries", "raw_calls", "call_log", "package_roots"],
@@ -199,5 +204,5 @@ from nested_src n join documents d on n.path = d.source || '/n' || cast(d.doc_id
 def x6(t):
     """Nested functions are not listed, ``async def`` is not listed but the
     sync function inside it is, the class is forgotten after an inner class."""
-    rows, _ = X.split_errors(X.extract_functions(t["nested_src"]))
+    rows, _ = X.split_errors(X.extract_functions(t["nested_src"], partitions=t.partitions))
     return rows.select("package", "path", "qualname", "signature", "description")

@@ -8,10 +8,11 @@ from codeloom.functions import names as N
 from codeloom.functions import predicates as P
 from codeloom.operators import graph as G
 from codeloom.plans.catalog.sqlparts import (
-    PROGRESS_RE, bare_sql, dotted_sql, first_parens_sql, graph_cte, log_entries_cte, not_builtin_sql,
+    PROGRESS_RE, bare_sql, dotted_sql, first_parens_sql, graph_cte, log_entries_cte, marked_cte, not_builtin_sql,
     strip_sql, user_fn_sql, user_fn_v1_sql,
 )
 from codeloom.plans.registry import query
+from codeloom.sources import readers as R
 
 
 def _resolved(t):
@@ -132,20 +133,7 @@ def f5(t):
 
 
 @query("F6_after_marker", ["analyzer_log"],
-       """with m as (select package, min(line_no) as m from analyzer_log
-           where contains(line, 'Main interprocedural analysis phase...') group by package),
-h as (select l.package, min(l.line_no) as h from analyzer_log l join m on m.package = l.package
-      where l.line_no >= m.m and ends_with(case when l.line_no = m.m then
-            substr(l.line, instr(l.line, 'Main interprocedural analysis phase...')) else l.line end,
-            'functions will be analyzed.') group by l.package),
-a as (select l.* from analyzer_log l join h on h.package = l.package where l.line_no > h.h),
-f as (select package, try_cast(regexp_extract(""" + first_parens_sql("arg_min(line, line_no)") + ", " + PROGRESS_RE +
-       """, 2) as bigint) as n from a group by package),
-c as (select a.package, a.line_no, a.line, f.n,
-             row_number() over (partition by a.package order by a.line_no) as rk
-      from a join f on f.package = a.package
-      where f.n is not null and regexp_matches(""" + first_parens_sql("a.line") + ", " + PROGRESS_RE + """))
-select package, line_no, line from c where rk <= n""")
+       "with " + marked_cte().strip() + "\nselect package, line_no, line from marked")
 def f6(t):
     return G.after_marker(t["analyzer_log"])
 
@@ -241,4 +229,4 @@ select package, root from package_roots r where not exists (select 1 from done d
 def s10(t):
     """Packages whose analyzer output is absent or incomplete (to be re-run)."""
     done = G.log_count_check(t["call_log"]).filter(~F.col("mismatch")).select("package")
-    return t["package_roots"].join(done, "package", "left_anti")
+    return R.pending_packages(t["package_roots"], done)

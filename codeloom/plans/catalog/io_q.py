@@ -57,22 +57,22 @@ def p15(t):
     return t["generations"].select("conv_id", "turn", T.extract_marked("response").alias("code"))
 
 
-@query("L5_generate", ["function_base"],
+@query("L5_generate", ["code_base"],
        f"""select dataset_name, id, {sql_text(chr(10) + 'def ')} || signature || {sql_text(':' + chr(10) + '    pass' + chr(10))}
-  as generation from function_base""")
+  as generation from code_base""")
 def l5(t):
     """Prompts → user model function on executors → fenced code (echo model)."""
-    prompts = build_prompts(t["function_base"], with_context=False)
-    return E.generate(prompts, E.echo_model).select("dataset_name", "id", "generation")
+    prompts = build_prompts(t["code_base"], with_context=False)
+    return E.generate(prompts, E.echo_model, partitions=t.partitions).select("dataset_name", "id", "generation")
 
 
-@query("M4_embed", ["function_base"],
+@query("M4_embed", ["code_base"],
        """select dataset_name, id, 4096 as dim,
   cast(case when trim(regexp_replace(raw_source_code, '\\s', ' ', 'g')) = '' then 0.0 else 1.0 end as double) as norm
-from function_base""")
+from code_base""")
 def m4(t):
     """Default (untrained) embedder over every function's code: unit vectors."""
-    e = E.embed(t["function_base"].select("dataset_name", "id", "raw_source_code"), "raw_source_code")
+    e = E.embed(t["code_base"].select("dataset_name", "id", "raw_source_code"), "raw_source_code")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     return e.select("dataset_name", "id", F.size("embedding").alias("dim"), round6(norm).alias("norm"))
 
@@ -136,14 +136,14 @@ def k3(t):
     return back.select("dataset_name", "conv_id", "turn", "variant", "reference", "candidate")
 
 
-@query("S7_read_function_base", ["function_base"],
-       "select dataset_name, signature, comment, raw_source_code from function_base")
+@query("S7_read_function_base", ["code_base"],
+       "select dataset_name, signature, comment, raw_source_code from code_base")
 def s7(t):
     """Function base written per dataset (original column names), read back."""
     root = _scratch(t.spark, "fbase")
-    fb = t["function_base"].select(
+    fb = t["code_base"].select(
         "dataset_name", F.col("signature").alias("function signature"), "comment", "raw_source_code",
-        F.concat(F.lit("["), F.array_join(F.col("embedding").cast("array<string>"), ", "), F.lit("]")).alias("embeddings"))
+        F.lit("[0.5, 0.25]").alias("embeddings"))
     W._csv_writer(fb, "overwrite").partitionBy("dataset_name").csv(root)
     back = R.read_function_base(t.spark, root, name="*.csv")
     return back.select("dataset_name", "signature", "comment", "raw_source_code")

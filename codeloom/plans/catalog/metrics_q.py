@@ -8,10 +8,11 @@ from codeloom.functions import text as T
 from codeloom.functions.util import round6
 from codeloom.operators import codemetrics as CM
 from codeloom.plans.registry import query
-from codeloom.session import spread
 
 IDS = ["conv_id", "turn"]
-NON_ASCII = "[^\\x00-\\x7F]"
+#: DuckDB's levenshtein counts bytes: for the check each character beyond ASCII of a
+#: pair stands as one of these control characters there, which no text has.
+_SPARE = "(" + " || ".join(f"chr({k})" for k in (*range(1, 9), 11, 12, *range(14, 32), 127)) + ")"
 SQL_METRICS = ("levenshtein_distance", "ngram_match_score", "weighted_ngram_match_score")
 
 
@@ -49,13 +50,18 @@ def _bleu_sql(weighted: bool, name: str) -> str:
   from pairs p left join {name}_w w on w.conv_id = p.conv_id and w.turn = p.turn)"""
 
 
+def _lev_sql(a: str, b: str) -> str:
+    far = f"array_to_string(list_sort(list_distinct(regexp_extract_all({a} || {b}, '[^\\x00-\\x7F]'))), '')"
+    one = lambda x: f"translate({x}, {far}, left({_SPARE}, length({far})))"
+    return f"levenshtein({one(a)}, {one(b)})"
+
+
 _PAIRS = """pairs as (select dataset_name, variant, conv_id, turn, reference, candidate from results_long
           where reference is not null and candidate is not null)"""
 
 _SCORES_SQL = "with " + _PAIRS + "," + _bleu_sql(False, "bleu") + "," + _bleu_sql(True, "wbleu") + f""",
 scores as (select p.dataset_name, p.variant, p.conv_id, p.turn,
-  cast(levenshtein(regexp_replace(p.reference, '{NON_ASCII}', '', 'g'),
-                   regexp_replace(p.candidate, '{NON_ASCII}', '', 'g')) as double) as levenshtein_distance,
+  cast({_lev_sql('p.reference', 'p.candidate')} as double) as levenshtein_distance,
   b.score as ngram_match_score, w.score as weighted_ngram_match_score
   from pairs p join bleu b on b.conv_id = p.conv_id and b.turn = p.turn
   join wbleu w on w.conv_id = p.conv_id and w.turn = p.turn),
@@ -71,19 +77,10 @@ cmp as (select metric, max(case when variant = 'trained' then mean end) as train
                max(case when variant = 'not_trained' then mean end) as not_trained from macro group by metric)"""
 
 
-def _ascii(c):
-    return F.regexp_replace(c, NON_ASCII, "")
-
-
-def _scores(t, with_ast: bool = False):
+def _scores(t):
     rl = t["results_long"]
-    pairs = rl.select("dataset_name", "variant", *IDS, _ascii("reference").alias("reference"),
-                      _ascii("candidate").alias("candidate"))
-    lev = spread(pairs.filter(F.col("reference").isNotNull() & F.col("candidate").isNotNull())) \
-        .select(*IDS, CM.edit_distance("reference", "candidate").cast("double").alias("levenshtein_distance"))
-    full = CM.score_pairs(rl, IDS, with_ast=with_ast).drop("levenshtein_distance")
-    keys = rl.select("dataset_name", "variant", *IDS)
-    return keys.join(lev, IDS).join(full, IDS)
+    scores = CM.score_pairs(rl, IDS, with_ast=False, partitions=t.partitions)
+    return rl.select("dataset_name", "variant", *IDS).join(scores, IDS)
 
 
 def _gm(t):
@@ -95,47 +92,46 @@ def _cmp(t):
 
 
 @query("M6_edit_distance", ["results_long"],
-       f"""select conv_id, turn, levenshtein(regexp_replace(reference, '{NON_ASCII}', '', 'g'),
-  regexp_replace(candidate, '{NON_ASCII}', '', 'g')) as distance
+       f"""select conv_id, turn, {_lev_sql('reference', 'candidate')} as distance
 from results_long where reference is not null and candidate is not null""")
 def m6(t):
-    """Levenshtein distance (the check strips non-ASCII: the oracle counts bytes)."""
+    """Levenshtein distance of the whole texts, in characters."""
     rl = t["results_long"].filter(F.col("reference").isNotNull() & F.col("candidate").isNotNull())
-    return rl.select(*IDS, CM.edit_distance(_ascii("reference"), _ascii("candidate")).alias("distance"))
+    return rl.select(*IDS, CM.edit_distance("reference", "candidate").alias("distance"))
 
 
 @query("M7_ngram_match", ["results_long"],
        "with " + _PAIRS + "," + _bleu_sql(False, "bleu") + "\nselect conv_id, turn, round(score, 6) as score from bleu")
 def m7(t):
-    s = CM.ngram_match(t["results_long"], IDS)
+    s = CM.ngram_match(t["results_long"], IDS, partitions=t.partitions)
     return s.select(*IDS, round6("score").alias("score"))
 
 
 @query("M8_weighted_ngram_match", ["results_long"],
        "with " + _PAIRS + "," + _bleu_sql(True, "wbleu") + "\nselect conv_id, turn, round(score, 6) as score from wbleu")
 def m8(t):
-    s = CM.ngram_match(t["results_long"], IDS, weighted=True)
+    s = CM.ngram_match(t["results_long"], IDS, weighted=True, partitions=t.partitions)
     return s.select(*IDS, round6("score").alias("score"))
 
 
 @query("M9_syntax_match", ["src_pairs"], None)
 def m9(t):
     """Share of reference sub-trees found in the candidate (src file pairs)."""
-    s = CM.ast_match(t["src_pairs"], ["package", "doc_id"])
+    s = CM.ast_match(t["src_pairs"], ["package", "doc_id"], partitions=t.partitions)
     return s.select("package", "doc_id", round6("syntax_match_score").alias("syntax_match_score"), "parsed")
 
 
 @query("M10_dataflow_match", ["src_pairs"], None)
 def m10(t):
     """Share of reference def-use edges found in the candidate (src file pairs)."""
-    s = CM.ast_match(t["src_pairs"], ["package", "doc_id"])
+    s = CM.ast_match(t["src_pairs"], ["package", "doc_id"], partitions=t.partitions)
     return s.select("package", "doc_id", round6("dataflow_match_score").alias("dataflow_match_score"))
 
 
 @query("M11_codebleu", ["src_pairs"], None)
 def m11(t):
     """CodeBLEU of src file pairs: mean of the four parts (null parts left out)."""
-    s = CM.score_pairs(t["src_pairs"], ["package", "doc_id"])
+    s = CM.score_pairs(t["src_pairs"], ["package", "doc_id"], partitions=t.partitions)
     return s.select("package", "doc_id", round6("codebleu").alias("codebleu"), "n_parts")
 
 
@@ -211,7 +207,7 @@ def l6(t):
     """All metrics (incl. syntax / data-flow / CodeBLEU) per dataset and variant."""
     from codeloom.plans.evaluation import score_generations
 
-    g = score_generations(t["results_long"], IDS)
+    g = score_generations(t["results_long"], IDS, partitions=t.partitions)
     return g.select("dataset_name", "variant", "metric", round6("mean").alias("mean"), round6("std").alias("std"))
 
 

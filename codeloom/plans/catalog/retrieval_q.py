@@ -53,10 +53,10 @@ def l4_prompts(t):
     return build_prompts(t["function_base"], k=5)
 
 
-@query("P13_prompt_no_context", views=["function_base"], sql=None)
+@query("P13_prompt_no_context", views=["code_base"], sql=None)
 def p13_prompt(t):
     """Prompt without context (signature only)."""
-    return build_prompts(t["function_base"], with_context=False)
+    return build_prompts(t["code_base"], with_context=False)
 
 
 # --- oracle texts (need the pair CTEs after the fixture list) -------------------------
@@ -84,4 +84,4 @@ from function_base f left join (
 REGISTRY["P13_prompt_no_context"].body = (
     f"""select dataset_name, id, signature,
   {sql_text(T.PROMPT_HEAD)} || {sql_text(T.PROMPT_SIGNATURE_HEADING)} || signature || {sql_text(T.PROMPT_TAIL)} as prompt
-from function_base""")
+from code_base""")

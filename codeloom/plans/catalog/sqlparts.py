@@ -64,11 +64,12 @@ log_e as (select package, line_no, name, substr(full_path, instr(full_path, root
           from le4)"""
 
 
-def graph_cte(normalize: bool = False, entries: str = "graph_entries", calls: str = "raw_calls") -> str:
+def graph_cte(normalize: bool = False, entries: str = "graph_entries", calls: str = "raw_calls",
+              log: str = "call_log") -> str:
     """CTEs ending in ``edges(package, node1, node2, type)`` and friends."""
     fn = strip_sql("function") if normalize else "function"
     caller = strip_sql("caller") if normalize else "caller"
-    return log_entries_cte() + f""",
+    return log_entries_cte(log) + f""",
 n2p as (select package, name, max_by(rel_path, line_no) as rel_path, count(distinct rel_path) as n_paths
         from log_e group by package, name),
 ent as (select package, function, {strip_sql('function')} as s from {entries}),
@@ -83,3 +84,23 @@ edges as (select c.package, a.node as node1, b.node as node2, 0 as type
           from calls_c c join nodes a on a.package = c.package and a.function = c.caller
           join nodes b on b.package = c.package and b.function = c.callee
           where {user_fn_sql('c.callee')})"""
+
+
+def marked_cte(log: str = "analyzer_log") -> str:
+    """CTEs ending in ``marked(package, line_no, line)``: counter lines after the
+    phase marker and the header, as many as the first of them announces."""
+    marker = "'Main interprocedural analysis phase...'"
+    return f"""
+mk as (select package, min(line_no) as m from {log} where contains(line, {marker}) group by package),
+hd as (select l.package, min(l.line_no) as h from {log} l join mk on mk.package = l.package
+      where l.line_no >= mk.m and ends_with(case when l.line_no = mk.m then
+            substr(l.line, instr(l.line, {marker})) else l.line end,
+            'functions will be analyzed.') group by l.package),
+aft as (select l.* from {log} l join hd on hd.package = l.package where l.line_no > hd.h),
+fst as (select package, try_cast(regexp_extract({first_parens_sql("arg_min(line, line_no)")}, {PROGRESS_RE}, 2) as bigint) as n
+      from aft group by package),
+cnt as (select aft.package, aft.line_no, aft.line, fst.n,
+             row_number() over (partition by aft.package order by aft.line_no) as rk
+      from aft join fst on fst.package = aft.package
+      where fst.n is not null and regexp_matches({first_parens_sql("aft.line")}, {PROGRESS_RE})),
+marked as (select package, line_no, line from cnt where rk <= n)"""

@@ -9,8 +9,12 @@ from codeloom.operators import graph as G
 from codeloom.session import cut_lineage
 
 
-def materialize(df: DataFrame, how: str = "persist") -> DataFrame:
-    """Reuse a DataFrame read by several outputs without recomputing it."""
+def materialize(df: DataFrame, how: str = "checkpoint") -> DataFrame:
+    """Reuse a DataFrame read by several outputs without recomputing it.
+
+    ``checkpoint`` writes it to the shared folder, which Spark cleans up once
+    nothing refers to it; ``persist`` caches it, and the caller unpersists it.
+    """
     if how == "none":
         return df
     if how == "persist":
@@ -29,10 +33,11 @@ def build_graph(
     log: DataFrame,
     roots: DataFrame,
     normalize_callers: bool = False,
-    use_marker: bool = False,
+    use_marker: bool = True,
     include_async: bool = False,
     distinct_edges: bool = False,
-    stage: str = "persist",
+    stage: str = "checkpoint",
+    partitions: int | None = None,
 ) -> dict[str, DataFrame]:
     """Function graph of every package.
 
@@ -41,15 +46,14 @@ def build_graph(
     ``roots``: ``package, root``.  Returns ``nodes`` (functions on some edge),
     ``edges``, ``errors`` (unparseable files), ``unmatched`` (entries without a
     logged path), ``completeness`` and ``status`` per package.
+
+    Only log lines after the phase marker, as many as announced, name paths;
+    ``use_marker=False`` takes every counter line.  What several outputs read
+    (functions, logged paths, edges) is staged once, as ``stage`` says.
     """
-    fns, errors = X.split_errors(X.extract_functions(src, include_async))
+    fns, errors = X.split_errors(materialize(X.extract_functions(src, include_async, partitions), stage))
     nodes = X.function_nodes(fns, roots)
-    if use_marker:
-        log = G.after_marker(log)
-    logged = G.log_entries(log, roots)
-    # ``edges`` feeds nodes, completeness and status: ``stage`` keeps it from
-    # being recomputed ("persist": cached, rebuilt from lineage if an executor
-    # is lost; "checkpoint": written to the shared checkpoint folder; "none")
+    logged = materialize(G.log_entries(G.after_marker(log) if use_marker else log, roots), stage)
     resolved, unmatched = G.attach_paths(entries, G.name_to_path(logged))
     edges = materialize(G.resolve_edges(calls, resolved, normalize_callers, distinct=distinct_edges), stage)
     return {
@@ -58,5 +62,5 @@ def build_graph(
         "errors": errors,
         "unmatched": unmatched,
         "completeness": G.mapping_completeness(nodes, edges),
-        "status": G.package_status(roots, log=logged, edges=edges),
+        "status": G.package_status(roots, log=logged, nodes=nodes, edges=edges),
     }

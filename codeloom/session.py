@@ -75,19 +75,10 @@ def env_cores(default: str = "8") -> str:
     return os.environ.get("BENCH_CPUS", default)
 
 
-def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
-    """Give a Python-heavy step enough tasks.
+def dealt(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Deal rows evenly over ``partitions`` tasks, if the caller names a number.
 
-    Small inputs arrive in one or two scan splits, which would run a Python
-    parser or model in a single worker; they are spread round-robin over the
-    cluster's default parallelism.  Inputs that already have that many
-    partitions are left alone (no extra shuffle at scale).
+    For Python steps right after a file scan that arrives in few splits; the
+    number is the caller's choice, nothing is looked at or run to find it.
     """
-    try:
-        want = min_parts or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Connect session): leave as is
-        return df
-    if have < want:
-        return df.repartition(want)
-    return df
+    return df.repartition(partitions) if partitions else df

@@ -45,18 +45,20 @@ join {raw_names} a on a.k = c.k join {raw_names} b on b.k = c.ck""",
     # call-graph entries: distinct (package, symbol); callee list may be empty
     "graph_entries": """
 select distinct k % 20 as package, symbol as function from {raw_names}""",
-    # ordered analyzer counter lines; some names missing, some twice (last wins)
-    "call_log": """
-select k % 20 as package, 2 * k as line_no,
-  concat('[INFO] (', cast(k + 1 as string), '/2000) ', chr(27), '[0mf', cast(k as string), ' (from /w/pkg',
-         cast(k % 20 as string), '/src', cast(k % 5 as string), '/m', cast(k % 97 as string), '.py)') as line
+    # what the analyzer logs, in order; some names missing, some twice (last wins)
+    "call_lines": """
+select k % 20 as package, 2 * k as line_no, k + 1 as i, concat('f', cast(k as string), ' (from /w/pkg',
+         cast(k % 20 as string), '/src', cast(k % 5 as string), '/m', cast(k % 97 as string), '.py)') as entry
 from (select o_orderkey as k from {orders} where o_orderkey % 29 <> 0) t
 union all
-select k % 20, 2 * k + 1,
-  concat('[INFO] (', cast(k + 1 as string), '/2000) ', chr(27), '[0mf', cast(k as string),
-         ' (from /w/pkg', cast(k % 20 as string), '/alt/m.py)')
+select k % 20, 2 * k + 1, k + 1, concat('f', cast(k as string), ' (from /w/pkg', cast(k % 20 as string), '/alt/m.py)')
 from (select o_orderkey as k from {orders}
       where o_orderkey % 31 = 0 and o_orderkey % 29 <> 0) t""",
+    # counter lines: even packages announce as many as there are, odd ones three fewer
+    "call_log": """
+select l.package, l.line_no, concat('[INFO] (', cast(l.i as string), '/',
+    cast(case when l.package % 2 = 0 then s.n else s.n - 3 end as string), ') ', chr(27), '[0m', l.entry) as line
+from {call_lines} l join (select package, count(*) as n from {call_lines} group by package) s on s.package = l.package""",
     # package roots as they appear in the log
     "package_roots": """
 select distinct k % 20 as package, concat('/w/pkg', cast(k % 20 as string)) as root
@@ -123,11 +125,17 @@ from {documents}""",
 select a.package, a.doc_id as edge_id, a.node as node1,
   case when a.idx % 10 = 0 then concat('<unk>.g', cast(a.doc_id as string)) else b.node end as node2, 0 as type
 from {node_docs} a join {node_docs} b on a.package = b.package and b.idx = a.idx % a.n + 1""",
-    # retrieval input
+    # functions of every document, without vectors
+    "code_base": """
+select source as dataset_name, doc_id as id, concat('f', cast(doc_id as string), '(a, b)') as signature,
+  lang as comment, text as raw_source_code
+from {documents}""",
+    # retrieval input: every document with a vector; the vectors (numbered from
+    # 0) are dealt in turn, so documents a multiple of their number apart share one
     "function_base": """
-select d.source as dataset_name, d.doc_id as id, concat('f', cast(d.doc_id as string), '(a, b)') as signature,
-  d.lang as comment, d.text as raw_source_code, e.embedding
-from {documents} d join {embeddings} e on d.doc_id = e.vec_id""",
+select c.dataset_name, c.id, c.signature, c.comment, c.raw_source_code, e.embedding
+from (select *, id % (select count(*) from {embeddings}) as turn from {code_base}) c
+join {embeddings} e on e.vec_id = c.turn""",
     # anchor / positive / negative ids inside 10 groups
     "triplet_vectors": """
 with v as (select vec_id, vec_id % 10 as package,
@@ -277,6 +285,8 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir
         self._frames: dict[str, DataFrame] = dict(overrides or {})
+        #: Tasks for Python steps over the small test files, which arrive in one or two splits.
+        self.partitions = spark.sparkContext.defaultParallelism
 
     def table(self, name: str) -> DataFrame:
         if name not in self._frames:

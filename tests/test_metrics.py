@@ -78,3 +78,22 @@ def test_report_rows(spark):
                                 "metric string, trained double, not_trained double")
     rows = CM.report_rows(cmp).collect()
     assert len(rows) == 1 and rows[0]["line"] == "CodeBLEU & 12.3\\% & 10.0\\% \\\\"
+
+
+def test_deep_texts_leave_the_job_running(spark):
+    """Texts too deep for a recursive walk or for the parser do not end the job."""
+    deep = "x = " + "+".join(["a"] * 3000)
+    deeper = "x = " + "-" * 20_000 + "1"
+    rows = [(1, "x = 1", "x = 1"), (2, deep, deep), (3, deeper, "x = 1"), (4, "x = 1", "(" * 5000), (5, "\0", "x = 1")]
+    df = spark.createDataFrame(rows, "id long, reference string, candidate string")
+    got = {r["id"]: r for r in CM.ast_match(df, ["id"]).collect()}
+    assert got[1]["parsed"] and got[1]["syntax_match_score"] == 1.0
+    assert len(got) == 5 and not got[3]["parsed"] and not got[4]["parsed"] and not got[5]["parsed"]
+    assert got[2]["syntax_match_score"] == (1.0 if got[2]["parsed"] else 0.0)
+    assert CM.score_pairs(df, ["id"]).count() == 5
+
+
+def test_ngram_scores_need_no_shuffle(spark):
+    df = spark.createDataFrame([(1, "a b c", "a b d")], "id long, reference string, candidate string")
+    plan = CM.ngram_scores(df, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan

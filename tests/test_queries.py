@@ -45,3 +45,29 @@ def test_fixture_views_read_whole_tables():
 
     for name, text in VIEW_SQL.items():
         assert not re.search(r"\blimit\b|tablesample|\bk\s*<\s*\d|orderkey\s*<\s*\d", text, re.I), name
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_retrieval_views_keep_every_document(spark, sf):
+    from codeloom.sources.tables import Tables
+
+    t = Tables(spark, f"/root/testdata/{sf}")
+    n = t["documents"].count()
+    for view in ("code_base", "function_base"):
+        assert t[view].count() == n and t[view].select("id").distinct().count() == n
+
+
+def test_building_a_plan_runs_nothing(spark):
+    """Once the tables' schemas are known, no job runs before the action."""
+    from codeloom.plans.registry import load_all
+    from codeloom.sources.tables import BASE_TABLES, Tables
+
+    sc = spark.sparkContext
+    t = Tables(spark, SF_SMALL)
+    for name in BASE_TABLES:
+        t[name]
+    for name in ("M11_codebleu", "A10_generation_metrics", "L5_generate", "L6_score_generations", "M7_ngram_match"):
+        sc.setJobGroup(f"build-{name}", name)
+        load_all()[name].build(t)
+        assert list(sc.statusTracker().getJobIdsForGroup(f"build-{name}")) == [], name
+    sc.setJobGroup("tests", "tests")
