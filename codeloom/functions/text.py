@@ -27,8 +27,9 @@ CONTEXT_SEPARATOR = "\n\n"
 PYTHON_FENCE = "```python"
 FENCE = "```"
 MISSING_SOURCE = "nothing"
-# pandas reads these cell texts as missing values (subset seen in code corpora)
-NA_WORDS = ("", "NA", "N/A", "NULL", "NaN", "nan", "null", "None", "<NA>", "n/a", "-NaN", "-nan")
+# pandas reads these cell texts as missing values
+NA_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+            "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 START_MARKER = "#to_be_implemented"
 END_MARKER = "#end_of_example"
 # ---------------------------------------------------------------------------

@@ -16,7 +16,8 @@ from codeloom.functions.util import round6
 from codeloom.operators import embed as E
 from codeloom.operators import sampling as S
 from codeloom.operators import scoring as SC
-from codeloom.plans.catalog.metrics_q import _SCORES_SQL, _cmp
+from codeloom.operators.ranking import running_rank
+from codeloom.plans.catalog.metrics_q import _SCORES_SQL, _cmp, _gm
 from codeloom.plans.registry import query, sql_text
 from codeloom.plans.retrieval import build_prompts
 from codeloom.session import ensure_checkpoint_dir
@@ -99,88 +100,219 @@ def s1(t):
     return R.package_list(t["part"], col="p_name")
 
 
-@query("K1_K2_graph_roundtrip", ["edge_docs"],
-       "select package, node1, node2, type from edge_docs")
+def _graph_nodes(t):
+    empty = F.lit(None).cast("string")
+    return t["node_docs"].select("package", "node", "source_code", empty.alias("description"), empty.alias("signature"))
+
+
+@query("K1_K2_graph_roundtrip", ["node_docs", "edge_docs"],
+       """select package, 'edge' as kind, node1 as a, node2 as b, type from edge_docs
+union all select package, 'node', node, source_code, null from node_docs""")
 def k12(t):
-    """Write nodes/edges partitioned by package (CSV), read them back (S6)."""
+    """Nodes and edges written partitioned by package (parquet) and read back."""
     root = _scratch(t.spark, "graph")
-    nodes = t["node_docs"].select("package", "node", "source_code",
-                                  F.lit(None).cast("string").alias("description"),
-                                  F.lit(None).cast("string").alias("signature"))
-    W.write_graph(nodes, t["edge_docs"], root, files_per_package=4)
-    _, edges = R.read_graph(t.spark, root, layout="partitioned")
-    return edges
+    W.write_graph(_graph_nodes(t), t["edge_docs"], root, files_per_package=4)
+    nodes, edges = R.read_graph(t.spark, root, layout="parquet")
+    return edges.select("package", F.lit("edge").alias("kind"), F.col("node1").alias("a"), F.col("node2").alias("b"), "type") \
+        .union(nodes.select("package", F.lit("node"), "node", "source_code", F.lit(None).cast("int")))
 
 
-@query("S6_read_graph_nodes", ["node_docs"],
-       "select package, node, source_code from node_docs")
+@query("S6_read_graph_nodes", ["node_docs", "edge_docs"],
+       """select package, 'node' as kind, node as a, source_code as b from node_docs
+union all select package, 'edge', node1, node2 from edge_docs""")
 def s6(t):
-    """Multi-line, quoted source code survives the CSV round trip."""
-    root = _scratch(t.spark, "graphn")
-    nodes = t["node_docs"].select("package", "node", "source_code",
-                                  F.lit(None).cast("string").alias("description"),
-                                  F.lit(None).cast("string").alias("signature"))
-    W.write_graph(nodes, t["edge_docs"], root)
-    n, _ = R.read_graph(t.spark, root, layout="partitioned")
-    return n.select("package", "node", "source_code")
+    """CSV graphs with multi-line, quoted source code and two column orders."""
+    root = _scratch(t.spark, "graph csv")
+    early = F.col("package") < "src5"
+    nodes = _graph_nodes(t)
+    for part, order in ((nodes.filter(early), ("node", "signature", "description", "source_code")),
+                        (nodes.filter(~early), ("source_code", "node"))):
+        W._csv_writer(part.select(*order, "package"), "append").partitionBy("package").csv(f"{root}/nodes")
+    W._csv_writer(t["edge_docs"].select("type", "node2", "node1", "package"), "append").partitionBy("package").csv(f"{root}/edges")
+    nodes, edges = R.read_graph(t.spark, root, layout="partitioned")
+    return nodes.select("package", F.lit("node").alias("kind"), F.col("node").alias("a"), F.col("source_code").alias("b")) \
+        .union(edges.select("package", F.lit("edge"), "node1", "node2"))
 
 
 @query("K3_results_roundtrip", ["results_long"],
-       "select dataset_name, conv_id, turn, variant, reference, candidate from results_long")
+       """select cast(dataset_name as varchar) as dataset_name, conv_id || ':' || turn as signature, variant, reference, candidate
+from results_long""")
 def k3(t):
+    """Long results written as one file layout per variant, read back by header."""
     root = _scratch(t.spark, "results")
-    W.write_results(t["results_long"], root)
-    back = t.spark.read.schema("variant string, conv_id bigint, turn bigint, reference string, candidate string, "
-                               "dataset_name bigint").option("header", True).option("multiLine", True) \
-        .option("escape", '"').csv(root)
-    return back.select("dataset_name", "conv_id", "turn", "variant", "reference", "candidate")
+    rows = t["results_long"].withColumn("signature", F.concat_ws(":", "conv_id", "turn"))
+    W.write_results(rows, root)
+    back = R.read_results(t.spark, root, "*/*/*.csv", variants=("trained", "not_trained"))
+    return back.select("dataset_name", "signature", "variant", "reference", "candidate")
 
 
 @query("S7_read_function_base", ["code_base"],
-       "select dataset_name, signature, comment, raw_source_code from code_base")
+       "select dataset_name, signature, comment, raw_source_code, '[0.5, 0.25]' as embeddings from code_base")
 def s7(t):
-    """Function base written per dataset (original column names), read back."""
-    root = _scratch(t.spark, "fbase")
-    fb = t["code_base"].select(
-        "dataset_name", F.col("signature").alias("function signature"), "comment", "raw_source_code",
-        F.lit("[0.5, 0.25]").alias("embeddings"))
-    W._csv_writer(fb, "overwrite").partitionBy("dataset_name").csv(root)
-    back = R.read_function_base(t.spark, root, name="*.csv")
-    return back.select("dataset_name", "signature", "comment", "raw_source_code")
+    """Function bases with two column orders (original column names), read back."""
+    root = _scratch(t.spark, "function base")
+    base = t["code_base"].withColumn("embeddings", F.lit("[0.5, 0.25]")).withColumnRenamed("signature", "function signature")
+    early = F.col("dataset_name") < "src5"
+    for part, order in ((base.filter(early), ("function signature", "comment", "raw_source_code", "embeddings")),
+                        (base.filter(~early), ("embeddings", "raw_source_code", "function signature", "comment"))):
+        W._csv_writer(part.select(*order, "dataset_name"), "append").partitionBy("dataset_name").csv(root)
+    return R.read_function_base(t.spark, root, name="*.csv")
 
 
 @query("S8_read_results", ["results_long"],
-       """select dataset_name, 'f' || cast(conv_id as string) as signature, reference,
-  case when variant = 'trained' then 'context_generation' else 'no_context_generation' end as variant, candidate
-from results_long""")
+       """select cast(dataset_name as varchar) as dataset_name, 'f' || cast(conv_id as string) as signature, reference,
+  'context_generation' as variant, candidate from results_long where variant = 'trained'
+union all select cast(dataset_name as varchar), null, reference, unnest(['simple_generation', 'context_generation']), candidate
+from results_long where variant <> 'trained'""")
 def s8(t):
-    """Result CSVs in the original column layout (one generation column per
-    file, named by variant), read back in long form."""
+    """Result CSVs of the current layout, with an index column and another column
+    order, and of the older one with two variants, read back in long form."""
     root = _scratch(t.spark, "res")
     rl = t["results_long"]
-    for v, col in (("trained", "context_generation"), ("not_trained", "no_context_generation")):
-        out = rl.filter(F.col("variant") == v).select(
-            "dataset_name", F.concat(F.lit("f"), F.col("conv_id").cast("string")).alias("function signature"),
-            F.col("reference").alias("source code"), F.col("candidate").alias(col))
-        W._csv_writer(out, "overwrite").partitionBy("dataset_name").csv(f"{root}/{v}")
-    back = R.read_results(t.spark, root, pattern="*/*/*.csv")
-    return back.select(F.col("dataset_name").cast("bigint").alias("dataset_name"), "signature", "reference",
-                       "variant", "candidate")
+    current = rl.filter(F.col("variant") == "trained").select(
+        F.col("turn").alias("index"), F.col("reference").alias("source code"),
+        F.concat(F.lit("f"), F.col("conv_id").cast("string")).alias("function signature"),
+        F.col("candidate").alias("context_generation"), "dataset_name")
+    older = rl.filter(F.col("variant") != "trained").select(
+        F.col("reference").alias("ground_truth"), F.col("candidate").alias("simple_generation"),
+        F.col("candidate").alias("context_generation"), "dataset_name")
+    for name, df in (("current", current), ("older", older)):
+        W._csv_writer(df, "overwrite").partitionBy("dataset_name").csv(f"{root}/{name}")
+    return R.read_results(t.spark, root, pattern="*/*/*.csv").drop("file")
 
 
 @query("K4_S9_metrics_roundtrip", ["results_long"],
-       """select cast(dataset_name as string) || '/' || variant as dataset_name, count(*) as pairs
-from results_long where reference is not null and candidate is not null group by dataset_name, variant""")
+       _SCORES_SQL + """
+select cast(dataset_name as varchar) as dataset_name, variant as file, unnest([
+    {'metric': metric, 'value': round(mean, 6)}, {'metric': metric || '_std', 'value': round(std, 6)}], recursive := true)
+from gm""")
 def k4s9(t):
-    """Per-dataset metric objects written as JSON (one folder per dataset),
-    read back with ragged keys unioned."""
+    """Mean and std of each dataset's files as JSON objects, read back in full."""
     root = _scratch(t.spark, "metrics")
-    rl = t["results_long"].filter(F.col("reference").isNotNull() & F.col("candidate").isNotNull())
-    wide = rl.groupBy(F.concat(F.col("dataset_name").cast("string"), F.lit("@"), "variant").alias("dataset_name")) \
-        .agg(F.count(F.lit(1)).alias("pairs"))
-    W.write_metrics(wide, root)
-    back = R.read_metrics(t.spark, root, pattern="*/*.json", up=1)
-    return back.select(F.regexp_replace("dataset_name", "@", "/").alias("dataset_name"), "pairs")
+    W.write_metrics(_gm(t).withColumnRenamed("variant", "file"), root)
+    back = R.read_metrics(t.spark, root, layout="partitioned")
+    return back.select("dataset_name", "file", "metric", round6("value").alias("value"))
+
+
+def _files(df, root: str, key: str, order: list[str], value: str, **options):
+    """One text file for each ``key``, its lines in ``order``: input for the file readers."""
+    one = df.repartition(key).sortWithinPartitions(key, *order).select(key, F.col(value).alias("value"))
+    writer = one.write.partitionBy(key)
+    for name, x in options.items():
+        writer = writer.option(name, x)
+    writer.text(root)
+
+
+@query("S5_read_analyzer_log", ["analyzer_log"],
+       """select cast(package as varchar) as package, line, row_number() over (partition by package order by line_no) as place
+from analyzer_log""")
+def s5(t):
+    """Analyzer logs written as text files, read back in line order."""
+    root = _scratch(t.spark, "logs")
+    _files(t["analyzer_log"], root, "package", ["line_no"], "line")
+    back = R.read_analyzer_log(t.spark, f"{root}/*/*", name_from="folder")
+    return running_rank(back, ["package"], "line_no", out="place").select("package", "line", "place")
+
+
+_CALLS_SQL = """
+select cast(e.package as varchar) as package, e.function as caller,
+       row_number() over (partition by e.package, e.function order by c.callee) - 1 as pos, c.callee
+from graph_entries e join raw_calls c on c.package = e.package and c.caller = e.function"""
+
+
+def _call_graph(t):
+    """Call-graph JSON files of every package, with a field that the reader leaves out."""
+    root = _scratch(t.spark, "call graphs")
+    calls = t["raw_calls"].groupBy("package", F.col("caller").alias("function")).agg(F.array_sort(F.collect_list("callee")).alias("callees"))
+    entry = F.to_json(F.struct(F.col("function").alias("id"), "function", F.coalesce("callees", F.array().cast("array<string>")).alias("callees"),
+                               F.lit("not read").alias("source")))
+    rows = t["graph_entries"].join(calls, ["package", "function"], "left").select("package", "function", entry.alias("e"))
+    whole = rows.groupBy("package").agg(F.array_join(F.array_sort(F.collect_list("e")), ",\n").alias("e"))
+    whole = whole.withColumn("value", F.concat(F.lit('{"call-graph-v1.0": [\n'), "e", F.lit("\n]}")))
+    _files(whole, root, "package", ["value"], "value")
+    return R.read_call_graph(t.spark, f"{root}/*/*", name_from="folder")
+
+
+@query("S4_read_call_graph", ["graph_entries", "raw_calls"], _CALLS_SQL)
+def s4(t):
+    """Calls of the call-graph JSON files, each with its place in the callee list."""
+    return _call_graph(t)[1].withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("P21_prune_fields", ["graph_entries"], "select cast(package as varchar) as package, function as id, function from graph_entries")
+def p21(t):
+    """Entries of the call-graph JSON files without their ``source`` field."""
+    return _call_graph(t)[0]
+
+
+@query("S3_read_source_files", ["src"],
+       "select 'pkg ' || package as package, regexp_extract(path, '[^/]*$') as name, content from src")
+def s3(t):
+    """Source files in folders with a blank, read back by their real paths."""
+    root = _scratch(t.spark, "source tree")
+    src = t["src"].select(F.concat(F.lit("pkg "), "package").alias("p"), F.regexp_extract("path", "[^/]*$", 0).alias("name"), "content")
+    src.repartition("p").select("p", "name", F.col("content").alias("value")).write.partitionBy("p", "name").option("lineSep", "\n").text(root)
+    back = R.read_source_files(t.spark, root, pattern="part-*")
+    return back.select(F.regexp_extract("path", "^p=([^/]*)/", 1).alias("package"), F.regexp_extract("path", "/name=([^/]*)/", 1).alias("name"),
+                       F.expr("left(content, length(content) - 1)").alias("content"))
+
+
+def _tarball(key, files):
+    import io
+    import tarfile
+
+    import pyarrow as pa
+
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as tar:
+        for path, content in zip(files.column("path").to_pylist(), files.column("content").to_pylist()):
+            info = tarfile.TarInfo(path)
+            info.size = len(content.encode())
+            tar.addfile(info, io.BytesIO(content.encode()))
+    return pa.table({"package": pa.array([key[0].as_py()]), "value": pa.array([out.getvalue()], pa.binary())})
+
+
+@query("S2_read_archives", ["src"], "select package as archive, path, content, cast(null as varchar) as error from src")
+def s2(t):
+    """Archives of every package's files (gzipped tar), read back member by member."""
+    root = _scratch(t.spark, "archives")
+    tars = t["src"].select("package", "path", "content").groupBy("package").applyInArrow(_tarball, "package string, value binary")
+    tars = tars.select("package", F.col("value").cast("string").alias("value"))
+    _files(tars, root, "package", ["package"], "value", compression="gzip")
+    return R.read_archives(t.spark, f"{root}/*/*.gz", name_from="folder")
+
+
+@query("P11_context_block", ["generations"],
+       f"""select conv_id, {sql_text(T.CONTEXT_HEADING)} || string_agg(response || {sql_text(T.CONTEXT_SEPARATOR)}, '' order by turn) as context
+from generations group by conv_id""")
+def p11(t):
+    """A conversation's texts as one context block, in order."""
+    g = t["generations"].groupBy("conv_id").agg(T.ordered_sources("turn", "response").alias("sources"))
+    return g.select("conv_id", T.context_block("sources").alias("context"))
+
+
+@query("P12_build_prompt", ["generations"],
+       f"""select conv_id, turn, {sql_text(T.PROMPT_HEAD)} || response || {sql_text(T.PROMPT_SIGNATURE_HEADING)} || 'f(%s, {{}}) ' || conv_id
+  || {sql_text(T.PROMPT_TAIL)} as prompt from generations""")
+def p12(t):
+    """A prompt from a signature (with format characters in it) and a context."""
+    sig = F.concat(F.lit("f(%s, {}) "), F.col("conv_id").cast("string"))
+    return t["generations"].select("conv_id", "turn", T.build_prompt(sig, F.col("response")).alias("prompt"))
+
+
+@query("K7_save_load_embedder", ["code_base"],
+       """select dataset_name, id, 256 as dim,
+  cast(case when trim(regexp_replace(raw_source_code, '\\s', ' ', 'g')) = '' then 0.0 else 1.0 end as double) as norm, true as same
+from code_base""")
+def k7(t):
+    """An embedder saved, loaded, and giving the same vectors."""
+    path = _scratch(t.spark, "embedder")
+    texts = t["code_base"].select("dataset_name", "id", "raw_source_code")
+    model = E.hashing_embedder(256).fit(texts.limit(0).withColumn("_text", F.lit("")))
+    W.save_embedder(model, path)
+    both = E.embed(E.embed(texts, "raw_source_code", model, out="first"), "raw_source_code", W.load_embedder(path), out="again")
+    norm = F.sqrt(F.aggregate("again", F.lit(0.0), lambda a, x: a + x * x))
+    return both.select("dataset_name", "id", F.size("again").alias("dim"), round6(norm).alias("norm"), (F.col("first") == F.col("again")).alias("same"))
 
 
 @query("K5_write_comparison", ["results_long"],
@@ -214,7 +346,5 @@ def w6(t):
 where rn = 2""")
 def w6n(t):
     """Row ``i = 1`` (0-based) of every dataset."""
-    from codeloom.operators.ranking import running_rank
-
     r = running_rank(t["results_long"], ["dataset_name"], "conv_id", tiebreak=["turn"], out="_rn")
     return r.filter(F.col("_rn") == 2).select("dataset_name", "conv_id", "turn", "reference")

@@ -8,12 +8,13 @@ explicit; nothing is inferred from data except JSON metric keys.
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import tarfile
 from typing import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,8 @@ from pyspark.sql import types as T
 from codeloom.functions.text import NA_WORDS
 
 CALL_GRAPH_KEY = "call-graph-v1.0"
+#: Text of one archive sent on at once.
+MEMBER_BYTES = 4 << 20
 CALL_GRAPH_SCHEMA = T.StructType([
     T.StructField(CALL_GRAPH_KEY, T.ArrayType(T.StructType([
         T.StructField("id", T.StringType()),
@@ -33,14 +36,17 @@ EDGE_SCHEMA = "node1 string, node2 string, type int"
 
 
 def _path_col() -> Column:
-    return F.col("_metadata.file_path")
+    """The file's path as it is named: Spark reports it URL-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
 def parent_folder(path: Column, up: int = 1) -> Column:
     """Name of the folder ``up`` levels above the file; a Hive-style
     ``key=value`` folder (as Spark's partitioned writers make) gives ``value``."""
-    parts = F.split(path, "/")
-    return F.regexp_replace(F.element_at(parts, -1 - up), "^[^=]*=", "")
+    name = F.element_at(F.split(path, "/"), -1 - up)
+    value = F.regexp_replace(name, "^[^=]*=", "")
+    value = F.when(value != "__HIVE_DEFAULT_PARTITION__", F.url_decode(F.replace(value, F.lit("+"), F.lit("%2B"))))
+    return F.when(F.contains(name, F.lit("=")), value).otherwise(name)
 
 
 def file_stem(path: Column, suffix: str) -> Column:
@@ -49,9 +55,53 @@ def file_stem(path: Column, suffix: str) -> Column:
     return F.regexp_replace(name, re.escape(suffix) + "$", "")
 
 
-def _csv(spark: SparkSession, schema: str, header: bool = True):
-    return (spark.read.schema(schema).option("header", header).option("multiLine", True)
-            .option("escape", '"').option("mode", "PERMISSIVE"))
+def _as_glob(path: str) -> str:
+    """A file's path with the characters escaped that a path pattern would expand."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def _layouts(spark: SparkSession, pattern: str) -> list[tuple[tuple[str, ...], list[str]]]:
+    """The files that match ``pattern`` by their header row: (column names, files).
+
+    One scan keeps the first line of each file; what reaches the driver is the
+    list of files, as for any read.
+    """
+    lines = spark.read.text(pattern).select(
+        _path_col().alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"), "value")
+    first = lines.filter(F.col("start") == 0).groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in first.collect():
+        names = next(csv.reader([row["header"].lstrip("\ufeff")]), [])
+        found.setdefault(tuple(n.strip() for n in names), []).append(row["file"])
+    return sorted((names, sorted(files)) for names, files in found.items())
+
+
+def _read_layout(spark: SparkSession, names: tuple[str, ...], files: list[str]) -> DataFrame:
+    """Files of one header: its columns as strings, by name, and ``_file``."""
+    named = [n for n in names if n]
+    if len(set(named)) < len(named):
+        raise ValueError(f"a column occurs twice in the header {list(names)} of {files[0]}")
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    raw = (spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
+           .csv([_as_glob(f) for f in files]))
+    return raw.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n], _path_col().alias("_file"))
+
+
+def _read_by_name(spark: SparkSession, pattern: str, columns: dict[str, str], required: tuple[str, ...]) -> DataFrame:
+    """All files of ``pattern`` with ``columns`` (header name -> output name), each file
+    read by its own header; an absent column is null, an absent required one raises."""
+    out = None
+    for names, files in _layouts(spark, pattern):
+        missing = [c for c in required if c not in names]
+        if missing:
+            raise ValueError(f"missing column(s) {missing} in {files[:3]}")
+        df = _read_layout(spark, names, files).select(
+            "_file", *[(F.col(f"`{c}`") if c in names else F.lit(None).cast("string")).alias(to) for c, to in columns.items()])
+        out = df if out is None else out.unionByName(df)
+    if out is None:
+        raise ValueError(f"no file with a header matches {pattern}")
+    return out
 
 
 # S1 -------------------------------------------------------------------------
@@ -66,32 +116,56 @@ def read_package_list(spark: SparkSession, path: str, distinct: bool = False) ->
 
 
 # S2 -------------------------------------------------------------------------
-def _untar(it: Iterator[pd.DataFrame], suffix: str | None) -> Iterator[pd.DataFrame]:
-    for pdf in it:
-        rows = []
-        for path, content in zip(pdf["path"], pdf["content"]):
-            name = path.rsplit("/", 1)[-1]
-            stem = name[:-len(".tar.gz")] if name.endswith(".tar.gz") else name.rsplit(".", 1)[0]
-            try:
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
-                    for m in tar:
-                        if not m.isfile() or (suffix and not m.name.endswith(suffix)):
-                            continue
-                        f = tar.extractfile(m)
-                        data = f.read().decode("utf-8", errors="replace") if f else None
-                        rows.append((stem, m.name, data, None))
+def _members(content: bytes, suffix: str | None) -> Iterator[tuple[str, bytes]]:
+    with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
+        for m in tar:
+            if m.isfile() and (not suffix or m.name.endswith(suffix)):
+                yield m.name, tar.extractfile(m).read()
+
+
+def _untar(batches: Iterator[pa.RecordBatch], suffix: str | None) -> Iterator[pa.RecordBatch]:
+    names = ["path", "member", "content", "error"]
+
+    def table(path, rows):
+        cols = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), *(pa.array(list(c), pa.string()) for c in cols)], names=names)
+
+    for b in batches:
+        for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+            content = content.as_py()
+            try:  # read to the end first: of a bad archive no member stays
+                for _ in _members(content, suffix):
+                    pass
             except Exception as e:  # noqa: BLE001 - a bad archive is reported and skipped
-                rows.append((stem, None, None, f"{type(e).__name__}: {e}"))
-        if rows:
-            yield pd.DataFrame(rows, columns=["archive", "path", "content", "error"])
-
-
-def read_archives(spark: SparkSession, glob: str, suffix: str | None = ".py") -> DataFrame:
+                yield table(path, [(None, None, f"{type(e).__name__}: {e}")])
+                continue
+            rows, size = [], 0
+            for name, data in _members(content, suffix):
+                try:
+                    rows.append((name, data.decode("utf-8"), None))
+                except UnicodeDecodeError as e:
+                    rows.append((name, data.decode("utf-8", errors="replace"), f"decoded with replacements: {e}"))
+                size += len(data)
+                if size > MEMBER_BYTES:
+                    yield table(path, rows)
+                    rows, size = [], 0
+            if rows:
+                yield table(path, rows)
+
+
+def read_archives(spark: SparkSession, glob: str, suffix: str | None = ".py", name_from: str = "file") -> DataFrame:
     """Members of ``.tar.gz`` archives as rows ``archive, path, content, error``
-    (read in memory on executors; nothing is unpacked to disk or deleted)."""
-    raw = spark.read.format("binaryFile").load(glob).select("path", "content")
-    return raw.mapInPandas(lambda it: _untar(it, suffix),
-                           schema="archive string, path string, content string, error string")
+    (read in memory on executors; nothing is unpacked to disk or deleted).
+
+    ``archive`` is the file's name without its suffix, or the name of its folder
+    with ``name_from='folder'``.  An archive that cannot be read to its end gives
+    one row with its error; a member that is not UTF-8 says so in ``error``.
+    """
+    raw = spark.read.format("binaryFile").load(glob).select(_path_col().alias("path"), "content")
+    rows = raw.mapInArrow(lambda it: _untar(it, suffix), schema="path string, member string, content string, error string")
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(\.tar)?\.[^.]*$", "")
+    archive = parent_folder(F.col("path")) if name_from == "folder" else stem
+    return rows.select(archive.alias("archive"), F.col("member").alias("path"), "content", "error")
 
 
 # S3 -------------------------------------------------------------------------
@@ -106,9 +180,10 @@ def read_source_files(spark: SparkSession, root: str, pattern: str = "*.py") ->
     # ``text()`` sets ``wholetext`` itself, so it is passed as an argument
     df = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
           .text(root, wholetext=True))
-    full = _path_col()
-    base = root.rstrip("/").split("://")[-1]
-    rel = F.regexp_extract(full, re.escape(base) + "/(.*)$", 1)
+    base = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/", root).rstrip("/")
+    rel = F.regexp_extract("_path", "(?:^|/)" + re.escape(base.lstrip("/")) + "/(.*)$", 1)
+    df = df.select("value", _path_col().alias("_path"))
+    rel = F.when(rel != "", rel).otherwise(F.raise_error(F.concat(F.lit(f"not below {base}: "), F.col("_path"))))
     return df.select(
         F.split_part(rel, F.lit("/"), F.lit(1)).alias("package"),
         rel.alias("path"),
@@ -117,12 +192,14 @@ def read_source_files(spark: SparkSession, root: str, pattern: str = "*.py") ->
 
 
 # S4 -------------------------------------------------------------------------
-def read_call_graph(spark: SparkSession, glob: str, suffix: str = "-graph-order.json") -> tuple[DataFrame, DataFrame]:
+def read_call_graph(spark: SparkSession, glob: str, suffix: str = "-graph-order.json",
+                    name_from: str = "file") -> tuple[DataFrame, DataFrame]:
     """``(entries, calls)``: ``package, id, function`` and
     ``package, caller, pos, callee``; the package is the file name without
-    ``suffix``.  Fields other than ``id/function/callees`` are pruned."""
+    ``suffix`` (or the folder's, with ``name_from='folder'``).  Fields other than ``id/function/callees`` are pruned."""
     raw = spark.read.schema(CALL_GRAPH_SCHEMA).option("multiLine", True).json(glob)
-    pkg = file_stem(_path_col(), suffix).alias("package")
+    path = _path_col()
+    pkg = (parent_folder(path) if name_from == "folder" else file_stem(path, suffix)).alias("package")
     entries = raw.select(pkg, F.explode(F.col(f"`{CALL_GRAPH_KEY}`")).alias("e"))
     e = entries.select("package", "e.id", "e.function", "e.callees")
     calls = e.select("package", F.col("function").alias("caller"),
@@ -131,12 +208,19 @@ def read_call_graph(spark: SparkSession, glob: str, suffix: str = "-graph-order.
 
 
 # S5 -------------------------------------------------------------------------
-def read_analyzer_log(spark: SparkSession, glob: str, suffix: str = ".log") -> DataFrame:
-    """``package, line_no, line`` (0-based line order kept)."""
-    raw = spark.read.text(glob, wholetext=True)
-    pkg = file_stem(_path_col(), suffix).alias("package")
-    return raw.select(pkg, F.posexplode(F.split("value", "\n")).alias("line_no", "line")) \
-        .withColumn("line_no", F.col("line_no").cast("bigint"))
+def read_analyzer_log(spark: SparkSession, glob: str, suffix: str = ".log", name_from: str = "file") -> DataFrame:
+    """``package, line_no, line``; ``line_no`` grows along a file, with gaps.
+
+    Lines are read in splits: a line's number is twice the offset of its split
+    plus its place among the lines of its task, which has fewer lines than the
+    split has bytes.  ``package`` is the file's name without ``suffix``, or its
+    folder with ``name_from='folder'``.
+    """
+    path = _path_col()
+    pkg = parent_folder(path) if name_from == "folder" else file_stem(path, suffix)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return spark.read.text(glob).select(
+        pkg.alias("package"), (F.col("_metadata.file_block_start") * 2 + place).alias("line_no"), F.col("value").alias("line"))
 
 
 # S6 -------------------------------------------------------------------------
@@ -145,25 +229,27 @@ def _null_na(c: str, na_words=NA_WORDS) -> Column:
 
 
 def read_graph(spark: SparkSession, root: str, layout: str = "folders") -> tuple[DataFrame, DataFrame]:
-    """``(nodes, edges)`` of every package under ``root``.
+    """``(nodes, edges)`` of every package under ``root``, each file read by its header.
 
     ``layout='folders'``: ``root/<package>/nodes.csv`` and ``edges.csv`` (a
-    package missing either file is skipped); ``'partitioned'``: the layout of
-    :func:`codeloom.sources.writers.write_graph`.  Edges without a ``type``
-    column read as null; pandas' missing-value words in ``source_code`` read as
-    null.
+    package missing either file is skipped); ``'partitioned'`` and ``'parquet'``:
+    the layouts of :func:`codeloom.sources.writers.write_graph`.  Absent columns
+    (an edge's ``type``, a node's description or signature) read as null;
+    pandas' missing-value words in ``source_code`` read as null.
     """
-    if layout == "folders":
-        nodes = _csv(spark, NODE_SCHEMA).csv(f"{root.rstrip('/')}/*/nodes.csv") \
-            .withColumn("package", parent_folder(_path_col()))
-        edges = _csv(spark, EDGE_SCHEMA).csv(f"{root.rstrip('/')}/*/edges.csv") \
-            .withColumn("package", parent_folder(_path_col()))
-    elif layout == "partitioned":
-        nodes = _csv(spark, NODE_SCHEMA + ", package string").csv(f"{root.rstrip('/')}/nodes")
-        edges = _csv(spark, EDGE_SCHEMA + ", package string").csv(f"{root.rstrip('/')}/edges")
+    root = root.rstrip("/")
+    if layout == "parquet":
+        nodes, edges = (spark.read.schema(f"{schema}, package string").parquet(f"{root}/{name}")
+                        for schema, name in ((NODE_SCHEMA, "nodes"), (EDGE_SCHEMA, "edges")))
     else:
-        raise ValueError(f"unknown layout {layout!r}")
-    nodes = nodes.withColumn("source_code", _null_na("source_code"))
+        where = {"folders": ("*/nodes.csv", "*/edges.csv"), "partitioned": ("nodes/*/*.csv", "edges/*/*.csv")}
+        if layout not in where:
+            raise ValueError(f"unknown layout {layout!r}")
+        kept = lambda schema: {c.split()[0]: c.split()[0] for c in schema.split(", ")}
+        nodes = _read_by_name(spark, f"{root}/{where[layout][0]}", kept(NODE_SCHEMA), ("node", "source_code"))
+        edges = _read_by_name(spark, f"{root}/{where[layout][1]}", kept(EDGE_SCHEMA), ("node1", "node2"))
+        nodes = nodes.withColumn("package", parent_folder(F.col("_file"))).withColumn("source_code", _null_na("source_code"))
+        edges = edges.withColumn("package", parent_folder(F.col("_file"))).withColumn("type", F.col("type").cast("int"))
     both = nodes.select("package").distinct().join(edges.select("package").distinct(), "package")
     nodes = nodes.join(both, "package", "left_semi")
     edges = edges.join(both, "package", "left_semi")
@@ -184,59 +270,64 @@ FUNCTION_BASE_COLUMNS = {"function signature": "signature", "comment": "comment"
 
 
 def read_function_base(spark: SparkSession, root: str, name: str = "function_base.csv") -> DataFrame:
-    # ``name`` may be a glob (e.g. ``*.csv`` for a partitioned write)
     """``dataset_name, signature, comment, raw_source_code, embeddings`` of every
-    dataset folder; raises before any job when the code column is missing."""
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-          .csv(f"{root.rstrip('/')}/*/{name}"))
-    require_columns(df, ["raw_source_code"])
-    cols = [F.col(f"`{src}`").alias(dst) for src, dst in FUNCTION_BASE_COLUMNS.items() if src in df.columns]
-    return df.select(parent_folder(_path_col()).alias("dataset_name"), *cols)
+    dataset folder, each file read by its header; a file without the code
+    column raises, other absent columns are null.  ``name`` may be a pattern."""
+    df = _read_by_name(spark, f"{root.rstrip('/')}/*/{name}", FUNCTION_BASE_COLUMNS, ("raw_source_code",))
+    return df.select(parent_folder(F.col("_file")).alias("dataset_name"), *FUNCTION_BASE_COLUMNS.values())
 
 
 # S8 -------------------------------------------------------------------------
-def read_results(spark: SparkSession, root: str, pattern: str = "*/*.csv") -> DataFrame:
+VARIANTS = ("context_generation", "no_context_generation", "simple_generation")
+
+
+def read_results(spark: SparkSession, root: str, pattern: str = "*/*.csv", variants: tuple[str, ...] = VARIANTS) -> DataFrame:
     """Every ``*.csv`` of every dataset folder in long form:
     ``dataset_name, file, signature, reference, variant, candidate``.
 
-    Current files hold ``function signature, source code, <variant>``; older
-    ones ``ground_truth, simple_generation, context_generation`` (two
-    variants, no signature).  Each file's header row names the layout.
+    Columns are found by each file's header: ``source code`` (or, in older
+    files, ``ground_truth``) is the reference, ``function signature`` the
+    signature if there is one, and each column named in ``variants`` gives a row.
+    Other columns, such as an index, are left out.  A file without a reference
+    or without any variant raises.
     """
-    raw = _csv(spark, "c0 string, c1 string, c2 string", header=False).csv(f"{root.rstrip('/')}/{pattern}")
-    raw = raw.select(parent_folder(_path_col()).alias("dataset_name"),
-                     file_stem(_path_col(), ".csv").alias("file"), _path_col().alias("_f"), "c0", "c1", "c2")
-    is_header = F.col("c0").isin("function signature", "ground_truth")
-    headers = raw.filter(is_header).select("_f", F.col("c0").alias("_h0"), F.col("c2").alias("_h2"))
-    rows = raw.filter(~is_header).join(headers, "_f")
-    current = rows.filter(F.col("_h0") == "function signature").select(
-        "dataset_name", "file", F.col("c0").alias("signature"), F.col("c1").alias("reference"),
-        F.col("_h2").alias("variant"), F.col("c2").alias("candidate"))
-    older = rows.filter(F.col("_h0") == "ground_truth").select(
-        "dataset_name", "file", F.lit(None).cast("string").alias("signature"), F.col("c0").alias("reference"),
-        F.explode(F.array(
-            F.struct(F.lit("simple_generation").alias("v"), F.col("c1").alias("c")),
-            F.struct(F.lit("context_generation").alias("v"), F.col("c2").alias("c")),
-        )).alias("_x")).select("dataset_name", "file", "signature", "reference",
-                              F.col("_x.v").alias("variant"), F.col("_x.c").alias("candidate"))
-    return current.unionByName(older)
+    out = None
+    for names, files in _layouts(spark, f"{root.rstrip('/')}/{pattern}"):
+        reference = next((c for c in ("source code", "ground_truth") if c in names), None)
+        found = [c for c in names if c in variants]
+        if reference is None or not found:
+            raise ValueError(f"no reference or variant column in {list(names)} of {files[:3]}")
+        df = _read_layout(spark, names, files)
+        signature = F.col("`function signature`") if "function signature" in names else F.lit(None).cast("string")
+        each = F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col(f"`{v}`").alias("c")) for v in found]))
+        df = df.select(parent_folder(F.col("_file")).alias("dataset_name"), file_stem(F.col("_file"), ".csv").alias("file"),
+                       signature.alias("signature"), F.col(f"`{reference}`").alias("reference"), each.alias("_x"))
+        df = df.select("dataset_name", "file", "signature", "reference", F.col("_x.v").alias("variant"), F.col("_x.c").alias("candidate"))
+        out = df if out is None else out.unionByName(df)
+    if out is None:
+        raise ValueError(f"no file with a header matches {root}/{pattern}")
+    return out
 
 
 # S9 -------------------------------------------------------------------------
-def read_metrics(spark: SparkSession, root: str, pattern: str = "*/metrics/results.json", up: int = 2) -> DataFrame:
-    """Wide rows of every JSON file matching ``pattern`` tagged with the folder
-    ``up`` levels above it as ``dataset_name`` (keys of all files are unioned;
-    absent ones are null)."""
-    df = spark.read.option("multiLine", True).json(f"{root.rstrip('/')}/{pattern}")
-    return df.withColumn("dataset_name", parent_folder(_path_col(), up=up))
-
-
-def metrics_long(wide: DataFrame, key: str = "dataset_name") -> DataFrame:
-    """``key, metric, value`` from wide metric rows (``*_std`` kept as metrics)."""
-    cols = [c for c in wide.columns if c != key]
-    return wide.select(key, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").cast("double").alias("value")) for c in cols
-    ])).alias("_m")).select(key, "_m.metric", "_m.value")
+def read_metrics(spark: SparkSession, root: str, pattern: str = "*/metrics/*.json", layout: str = "folders") -> DataFrame:
+    """``dataset_name, file, metric, value`` of every JSON object of metrics.
+
+    ``layout='folders'``: ``<dataset>/metrics/<file>.json``; ``'partitioned'``:
+    the layout of :func:`codeloom.sources.writers.write_metrics`.  The objects
+    may have any keys and any line breaks; a file that is not one object of
+    numbers raises.
+    """
+    if layout not in ("folders", "partitioned"):
+        raise ValueError(f"unknown layout {layout!r}")
+    if layout == "partitioned":
+        pattern = "*/*/part-*"
+    raw = spark.read.text(f"{root.rstrip('/')}/{pattern}", wholetext=True).select("value", _path_col().alias("_path"))
+    found = F.from_json(F.trim("value"), "map<string, double>", {"mode": "PERMISSIVE"})
+    raw = raw.withColumn("_m", F.coalesce(found, F.raise_error(F.concat(F.lit("not an object of metrics: "), F.col("_path")))))
+    path = F.col("_path")
+    name = file_stem(path, ".json") if layout == "folders" else parent_folder(path)
+    return raw.select(parent_folder(path, up=2).alias("dataset_name"), name.alias("file"), F.explode("_m").alias("metric", "value"))
 
 
 # S10 ------------------------------------------------------------------------

@@ -2,15 +2,19 @@
 
 All writers are partitioned by the corpus key (``package`` / ``dataset_name``),
 so each package's output is its own folder and later reads prune partitions.
-CSV output doubles quotes inside cells (``escape='"'``) so multi-line source
-code survives a round trip.
+Graphs are parquet by default; multi-line CSV, which cannot be split when read,
+is an option.  CSV output doubles quotes inside cells (``escape='"'``) so
+multi-line source code survives a round trip.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import cut_lineage
+
 
 def spread_by_key(df: DataFrame, key: str, files_per_key: int | None) -> DataFrame:
     """Cluster rows by ``key`` before a partitioned write, split into
@@ -30,7 +34,7 @@ def _csv_writer(df: DataFrame, mode: str):
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
 
 
-def write_edges(edges: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite",
+def write_edges(edges: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 files_per_package: int | None = None) -> None:
     """``package, node1, node2, type`` partitioned by package (``type`` 0 when absent)."""
     out = edges if "type" in edges.columns else edges.withColumn("type", F.lit(0))
@@ -40,7 +44,7 @@ def write_edges(edges: DataFrame, path: str, fmt: str = "csv", mode: str = "over
     w.partitionBy("package").format(fmt).save(path)
 
 
-def write_nodes(nodes: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite",
+def write_nodes(nodes: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 files_per_package: int | None = None) -> None:
     out = nodes.select("node", "source_code", "description", "signature", "package")
     out = spread_by_key(out, "package", files_per_package)
@@ -48,7 +52,7 @@ def write_nodes(nodes: DataFrame, path: str, fmt: str = "csv", mode: str = "over
     w.partitionBy("package").format(fmt).save(path)
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, root: str, fmt: str = "csv",
+def write_graph(nodes: DataFrame, edges: DataFrame, root: str, fmt: str = "parquet",
                 files_per_package: int | None = None) -> None:
     """``root/nodes/package=…`` and ``root/edges/package=…``."""
     write_nodes(nodes, f"{root.rstrip('/')}/nodes", fmt, files_per_package=files_per_package)
@@ -56,13 +60,30 @@ def write_graph(nodes: DataFrame, edges: DataFrame, root: str, fmt: str = "csv",
 
 
 def write_results(results: DataFrame, path: str, mode: str = "overwrite", files_per_dataset: int | None = None) -> None:
-    """Long results partitioned by dataset (CSV)."""
-    _csv_writer(spread_by_key(results, "dataset_name", files_per_dataset), mode).partitionBy("dataset_name").csv(path)
+    """Long results (``dataset_name, signature, reference, variant, candidate``) as
+    CSV files of ``function signature, source code, <variant>``, in a folder for
+    each variant and dataset; ``read_results(path, "*/*/*.csv")`` reads them back.
+
+    The variants' names (a handful) are listed first: they become column names.
+    """
+    for row in results.select("variant").distinct().collect():
+        own = results.filter(F.col("variant") == row["variant"]).select(
+            "dataset_name", F.col("signature").alias("function signature"), F.col("reference").alias("source code"),
+            F.col("candidate").alias(row["variant"]))
+        own = spread_by_key(own, "dataset_name", files_per_dataset)
+        _csv_writer(own, mode).partitionBy("dataset_name").csv(f"{path.rstrip('/')}/{row['variant']}")
 
 
 def write_metrics(metrics: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One JSON object per (dataset, file, metric) row, partitioned by dataset."""
-    metrics.write.mode(mode).partitionBy("dataset_name").json(path)
+    """``dataset_name, file, metric, mean, std`` rows as one JSON object for each
+    dataset and file, ``{"<metric>": mean, "<metric>_std": std, ...}``, in
+    ``path/dataset_name=.../file=.../``; ``read_metrics(path, layout="partitioned")`` reads them back."""
+    pairs = F.array(F.struct(F.col("metric").alias("k"), F.col("mean").alias("v")),
+                    F.struct(F.concat("metric", F.lit("_std")).alias("k"), F.col("std").alias("v")))
+    whole = metrics.groupBy("dataset_name", "file").agg(F.map_from_entries(F.flatten(F.collect_list(pairs))).alias("m"))
+    text = whole.select("dataset_name", "file", F.to_json("m").alias("value"))
+    text = text.repartition("dataset_name", "file")  # each object is a file of its own
+    text.write.mode(mode).partitionBy("dataset_name", "file").option("compression", "none").format("text").save(path)
 
 
 def write_comparison(cmp: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -73,13 +94,13 @@ def write_comparison(cmp: DataFrame, path: str, mode: str = "overwrite") -> None
 METRIC_LOG_BACKENDS = ("none", "print", "table")
 
 
-def append_metric_log(log: DataFrame, path: str | None = None, backend: str | None = "table",
-                      show_rows: int = 20) -> None:
+def append_metric_log(log: DataFrame, path: str | None = None, backend: str | None = "table") -> None:
     """Record ``run, step, metric, value`` rows.
 
-    ``table`` appends to a parquet table partitioned by run; ``print`` shows
-    the first ``show_rows`` rows; ``none`` (or None) does nothing; any other
-    name is an error.
+    ``table`` adds them to a parquet table partitioned by run, steps that it has
+    already of a run and metric excepted, so that a repeated call adds nothing;
+    ``print`` prints every row in order, a partition at a time; ``none`` (or
+    None) does nothing; any other name is an error.
     """
     backend = "none" if backend is None else backend
     if backend not in METRIC_LOG_BACKENDS:
@@ -88,11 +109,19 @@ def append_metric_log(log: DataFrame, path: str | None = None, backend: str | No
         return
     rows = log.select("run", F.col("step").cast("bigint"), "metric", F.col("value").cast("double"))
     if backend == "print":
-        rows.orderBy("run", "step", "metric").show(show_rows, truncate=False)
+        for r in rows.orderBy("run", "step", "metric").toLocalIterator():
+            print(f"{r['run']} step {r['step']}: {r['metric']} = {r['value']}")
         return
     if path is None:
         raise ValueError("table backend needs a path")
-    rows.write.mode("append").partitionBy("run").parquet(path)
+    spark = log.sparkSession
+    try:
+        known = spark.read.schema(rows.schema).parquet(path).select("run", "step", "metric")
+        rows = rows.join(known, ["run", "step", "metric"], "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    cut_lineage(rows).write.mode("append").partitionBy("run").parquet(path)
 
 
 def save_embedder(model, path: str) -> None:

@@ -50,10 +50,11 @@ def test_write_read_graph_partitioned(spark, tmp_dir):
     nodes = spark.createDataFrame([("p", "m.f", CODE, None, "f(a)")],
                                   "package string, node string, source_code string, description string, signature string")
     edges = spark.createDataFrame([("p", "m.f", "m.f")], "package string, node1 string, node2 string")
-    W.write_graph(nodes, edges, f"{tmp_dir}/g")
-    n, e = R.read_graph(spark, f"{tmp_dir}/g", layout="partitioned")
-    assert n.first()["source_code"] == CODE
-    assert e.first()["type"] == 0
+    for fmt, layout in (("parquet", "parquet"), ("csv", "partitioned")):
+        W.write_graph(nodes, edges, f"{tmp_dir}/{fmt}", fmt)
+        n, e = R.read_graph(spark, f"{tmp_dir}/{fmt}", layout=layout)
+        assert n.first()["source_code"] == CODE
+        assert e.first()["type"] == 0
 
 
 def test_call_graph_and_log(spark, tmp_dir):
@@ -134,15 +135,89 @@ def test_results_both_layouts_and_metrics(spark, tmp_dir):
                     ("results", "context_generation", CODE, "def f(a): pass")]
     _write(f"{tmp_dir}/m/ds1/metrics/results.json", json.dumps({"codebleu": 0.5, "codebleu_std": 0.1}))
     _write(f"{tmp_dir}/m/ds2/metrics/results.json", json.dumps({"codebleu": 0.7, "levenshtein_distance": 3.0}))
-    wide = R.read_metrics(spark, f"{tmp_dir}/m")
-    long = {(r["dataset_name"], r["metric"]): r["value"] for r in R.metrics_long(wide).collect()}
-    assert long[("ds2", "levenshtein_distance")] == 3.0 and long[("ds1", "levenshtein_distance")] is None
+    _write(f"{tmp_dir}/m/ds2/metrics/other file.json", json.dumps({"codebleu": None}, indent=2))
+    got = {(r["dataset_name"], r["file"], r["metric"]): r["value"] for r in R.read_metrics(spark, f"{tmp_dir}/m").collect()}
+    assert got == {("ds1", "results", "codebleu"): 0.5, ("ds1", "results", "codebleu_std"): 0.1, ("ds2", "results", "codebleu"): 0.7,
+                   ("ds2", "results", "levenshtein_distance"): 3.0, ("ds2", "other file", "codebleu"): None}
+    _write(f"{tmp_dir}/m/ds3/metrics/results.json", "[1, 2]")
+    with pytest.raises(Exception, match="not an object of metrics"):
+        R.read_metrics(spark, f"{tmp_dir}/m").collect()
+
+
+def test_files_are_read_by_their_own_headers(spark, tmp_dir):
+    """Column order, further columns and an index differ between files and folders with blanks."""
+    os.makedirs(f"{tmp_dir}/my graphs/p 1")
+    os.makedirs(f"{tmp_dir}/my graphs/p[2]")
+    pd.DataFrame({"node": ["node"], "signature": ["f()"], "description": ["d"], "source_code": [CODE]}).to_csv(
+        f"{tmp_dir}/my graphs/p 1/nodes.csv", index=False)
+    pd.DataFrame({"type": [0], "node1": ["a"], "node2": ["b"]}).to_csv(f"{tmp_dir}/my graphs/p 1/edges.csv", index=False)
+    pd.DataFrame({"source_code": ["x"], "node": ["n"]}).to_csv(f"{tmp_dir}/my graphs/p[2]/nodes.csv")
+    pd.DataFrame({"node2": ["d"], "node1": ["c"]}).to_csv(f"{tmp_dir}/my graphs/p[2]/edges.csv")
+    nodes, edges = R.read_graph(spark, f"{tmp_dir}/my graphs")
+    assert sorted(tuple(r) for r in nodes.select("package", "node", "source_code").collect()) == [("p 1", "node", CODE), ("p[2]", "n", "x")]
+    assert sorted(tuple(r) for r in edges.collect()) == [("p 1", "a", "b", 0), ("p[2]", "c", "d", None)]
+    for name, frame in (("a", {"signature": ["s"], "source code": ["signature"], "no_context_generation": ["c"]}),
+                        ("b", {"context_generation": ["c2"], "function signature": ["function signature"], "source code": ["r2"]})):
+        os.makedirs(f"{tmp_dir}/res/{name}")
+        pd.DataFrame(frame).to_csv(f"{tmp_dir}/res/{name}/out.csv")
+    got = sorted((r["dataset_name"], r["signature"], r["reference"], r["variant"], r["candidate"]) for r in R.read_results(spark, f"{tmp_dir}/res").collect())
+    assert got == [("a", None, "signature", "no_context_generation", "c"), ("b", "function signature", "r2", "context_generation", "c2")]
+    os.makedirs(f"{tmp_dir}/res/c")
+    pd.DataFrame({"question": ["q"], "answer": ["a"]}).to_csv(f"{tmp_dir}/res/c/out.csv")
+    with pytest.raises(ValueError, match="no reference or variant"):
+        R.read_results(spark, f"{tmp_dir}/res")
+
+
+def test_source_paths_with_blanks_and_a_foreign_root(spark, tmp_dir):
+    _write(f"{tmp_dir}/my src/pkg one/a b+c%20.py", "x = 1\n")
+    row = R.read_source_files(spark, f"{tmp_dir}/my src").first()
+    assert (row["package"], row["path"], row["content"]) == ("pkg one", "pkg one/a b+c%20.py", "x = 1\n")
+    row = R.read_source_files(spark, f"file://{tmp_dir}/my src").first()
+    assert row["package"] == "pkg one"
+    with pytest.raises(Exception, match="not below"):
+        R.read_source_files(spark, f"{tmp_dir}/my src/pkg*").collect()
+
+
+def test_a_bad_archive_leaves_no_member(spark, tmp_dir):
+    os.makedirs(f"{tmp_dir}/arc")
+    buf = io.BytesIO()
+    with tarfile.open(fileobj=buf, mode="w:gz") as tar:
+        for k in range(200):
+            data = os.urandom(3000) if k else "é = 1\n".encode("latin-1")
+            info = tarfile.TarInfo(f"m{k}.py")
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    for name, data in (("whole", buf.getvalue()), ("cut", buf.getvalue()[: len(buf.getvalue()) // 2])):
+        with open(f"{tmp_dir}/arc/{name}.tar.gz", "wb") as fh:
+            fh.write(data)
+    rows = R.read_archives(spark, f"{tmp_dir}/arc/*.tar.gz").collect()
+    cut = [r for r in rows if r["archive"] == "cut"]
+    assert len(cut) == 1 and cut[0]["path"] is None and cut[0]["error"]
+    assert sum(r["archive"] == "whole" for r in rows) == 200
+    assert all("replacements" in r["error"] for r in rows if r["path"] == "m0.py")
+
+
+def test_analyzer_log_keeps_line_order_over_splits(spark, tmp_dir):
+    for name in ("a b", "c"):
+        _write(f"{tmp_dir}/logs/{name}.log", "".join(f"line {k}\n" if k % 3 else "\n" for k in range(4000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        rows = R.read_analyzer_log(spark, f"{tmp_dir}/logs/*.log").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name in ("a b", "c"):
+        own = sorted((r["line_no"], r["line"]) for r in rows if r["package"] == name)
+        assert len({n for n, _ in own}) == 4000
+        assert [x for _, x in own] == [f"line {k}" if k % 3 else "" for k in range(4000)]
 
 
 def test_metric_log_backends(spark, tmp_dir):
     log = spark.createDataFrame([("r1", 1, "train_loss", 0.5)], "run string, step long, metric string, value double")
     W.append_metric_log(log, f"{tmp_dir}/ml", backend="table")
     W.append_metric_log(log, f"{tmp_dir}/ml", backend="table")
+    assert spark.read.parquet(f"{tmp_dir}/ml").count() == 1  # a repeated call adds nothing
+    W.append_metric_log(log.withColumn("step", F.lit(2)), f"{tmp_dir}/ml", backend="table")
     assert spark.read.parquet(f"{tmp_dir}/ml").count() == 2
     W.append_metric_log(log, backend=None)
     with pytest.raises(ValueError):
@@ -171,7 +246,7 @@ def test_package_list_and_salted_write(spark, tmp_dir):
         == ["alpha", "beta"]
     edges = spark.createDataFrame([("hot", f"a{i}", f"b{i}", 0) for i in range(200)] + [("cold", "x", "y", 0)],
                                   "package string, node1 string, node2 string, type int")
-    W.write_edges(edges, f"{tmp_dir}/e", files_per_package=4)
+    W.write_edges(edges, f"{tmp_dir}/e", "csv", files_per_package=4)
     hot = [f for f in os.listdir(f"{tmp_dir}/e/package=hot") if f.endswith(".csv")]
     assert 1 < len(hot) <= 4
     back = spark.read.option("header", True).csv(f"{tmp_dir}/e")
