@@ -41,7 +41,7 @@ def after_marker(log: DataFrame) -> DataFrame:
     first = after.groupBy(PKG).agg(F.min_by("line", "line_no").alias("_first"))
     expected = first.select(PKG, N.parse_progress("_first")["n"].alias("_n")).filter(F.col("_n").isNotNull())
     counters = after.filter(N.parse_progress("line").isNotNull()).join(expected, PKG)
-    ranked = running_rank(counters, [PKG], "line_no")
+    ranked = running_rank(counters, [PKG], "line_no", width=1 << 20)
     return ranked.filter(F.col("_rank") <= F.col("_n")).select(PKG, "line_no", "line")
 
 

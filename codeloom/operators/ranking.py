@@ -10,22 +10,41 @@ count table (rows / width) is windowed per group.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_rank(df: DataFrame, part: list[str], order: str, width: int = 1 << 16,
+ROWS_PER_BUCKET = 1 << 16
+
+
+def bucket_width(df: DataFrame, order: str) -> int:
+    """Span of ``order`` that holds about ``ROWS_PER_BUCKET`` rows if they lie evenly (one small job)."""
+    low, high, n = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
+    buckets = max(1, n // ROWS_PER_BUCKET)
+    return max(1, int((high - low) // buckets + 1)) if low is not None else 1
+
+
+def running_rank(df: DataFrame, part: list[str], order: str, width: int | None = None,
                  tiebreak: list[str] | None = None, out: str = "_rank") -> DataFrame:
     """Add ``out``: 1-based position by (``order``, ``tiebreak``) within ``part``.
 
-    ``order`` must be numeric; buckets are ``floor(order / width)``.
+    ``order`` must be numeric; buckets are ``floor(order / width)``, where a
+    ``width`` that is not given is taken from the data (:func:`bucket_width`).
+    Null keys are a part of their own, and null orders come first.
     """
     tiebreak = list(tiebreak or [])
-    b = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(width)))
+    width = width or bucket_width(df, order)
+    bucket = F.coalesce(F.floor(F.col(order) / F.lit(width)), F.lit(-(1 << 62)))
+    b = df.withColumn("_bucket", bucket)
     counts = b.groupBy(*part, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
     w_off = (Window.partitionBy(*part) if part else Window).orderBy("_bucket") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*part, "_bucket", F.coalesce(F.sum("_cnt").over(w_off), F.lit(0)).alias("_off"))
-    w = Window.partitionBy(*part, "_bucket").orderBy(order, *tiebreak)
-    ranked = b.withColumn("_rn", F.row_number().over(w)).join(offsets, [*part, "_bucket"])
-    return ranked.withColumn(out, F.col("_rn") + F.col("_off")).drop("_bucket", "_rn", "_off")
+    keys = [*part, "_bucket"]
+    offsets = counts.select(*[F.col(c).alias(f"_at_{c}") for c in keys], F.coalesce(F.sum("_cnt").over(w_off), F.lit(0)).alias("_off"))
+    w = Window.partitionBy(*keys).orderBy(order, *tiebreak)
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in keys])
+    ranked = b.withColumn("_rn", F.row_number().over(w)).join(offsets, same)
+    return ranked.withColumn(out, F.col("_rn") + F.col("_off")).drop("_rn", "_off", "_bucket", *[f"_at_{c}" for c in keys])

@@ -118,11 +118,10 @@ def f3(t):
   count(*) filter (where {user_fn_sql(strip_sql('callee'))}) as n_kept
 from raw_calls group by package, caller""")
 def f4(t):
-    """Array form: map the suffix strip over each caller's callee list, keep user functions."""
-    adj = t["raw_calls"].groupBy("package", "caller").agg(F.collect_list("callee").alias("callees"))
-    kept = F.filter(F.transform("callees", lambda c: N.strip_overload_suffix(c)), lambda c: P.is_user_function(c))
-    return adj.select("package", "caller", F.size("callees").cast("bigint").alias("n_callees"),
-                      F.size(kept).cast("bigint").alias("n_kept"))
+    """Strip the suffix of each callee and keep user functions, counted per caller (one row per call, no lists)."""
+    callee = N.strip_overload_suffix("callee")
+    return t["raw_calls"].groupBy("package", "caller").agg(
+        F.count(F.lit(1)).alias("n_callees"), F.count_if(P.is_user_function(callee)).alias("n_kept"))
 
 
 @query("F5_drop_isolated", ["graph_entries", "raw_calls", "call_log", "package_roots"],

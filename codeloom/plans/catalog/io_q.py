@@ -15,9 +15,9 @@ from codeloom.functions import text as T
 from codeloom.functions.util import round6
 from codeloom.operators import embed as E
 from codeloom.operators import sampling as S
-from codeloom.operators import scoring as SC
 from codeloom.operators.ranking import running_rank
 from codeloom.plans.catalog.metrics_q import _SCORES_SQL, _cmp, _gm
+from codeloom.plans.evaluation import evaluate_embedder
 from codeloom.plans.registry import query, sql_text
 from codeloom.plans.retrieval import build_prompts
 from codeloom.session import ensure_checkpoint_dir
@@ -88,9 +88,7 @@ def m5(t):
     model = E.train_embedder(texts, dim=32)
     trip = S.triplets(edges.join(split.filter(F.col("split") == "validation").select("package"), "package"),
                       nodes, "edge_id", "doc_id")
-    for i in (1, 2, 3):
-        trip = E.embed(trip, f"source{i}", model, out=f"e{i}")
-    return SC.triplet_metrics(trip)
+    return evaluate_embedder(trip, model)
 
 
 @query("S1_read_package_list", ["part"],

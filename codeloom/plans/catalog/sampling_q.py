@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import tokens as TK
 from codeloom.functions.text import fill_missing_source
-from codeloom.functions.util import col
 from codeloom.operators import sampling as S
 from codeloom.plans.registry import query
 
@@ -15,8 +14,21 @@ SEED, EPOCH, BATCH = 42, 0, 16
 VOCAB_MOD = TK.DEFAULT_VOCAB - 1
 
 
-def _h(expr: str) -> str:
-    return f"('0x' || substr(md5({expr}), 1, 8))::bigint"
+def _h(expr: str, digits: int = 15) -> str:
+    return f"('0x' || substr(md5({expr}), 1, {digits}))::bigint"
+
+
+def _id_list_sql(toks: str) -> str:
+    """Ids of the first 256 tokens."""
+    return f"list_transform({toks}[1:256], lambda x: {_h('x', 8)} % {VOCAB_MOD} + 1)"
+
+
+def _padded_sql(ids: str, length: str) -> str:
+    return f"array_to_string(list_concat({ids}, list_transform(range({length} - len({ids})), lambda x: 0)), ',')"
+
+
+def _mask_sql(ids: str, length: str) -> str:
+    return f"repeat('1', len({ids})) || repeat('0', {length} - len({ids}))"
 
 
 def _sizes(t):
@@ -61,7 +73,7 @@ def _tok_sql(x: str) -> str:
 
 
 def _ids_sum_sql(toks: str) -> str:
-    return (f"coalesce(list_sum(list_transform({toks}[1:256], lambda x: {_h('x')} % {VOCAB_MOD} + 1)), 0)")
+    return (f"coalesce(list_sum(list_transform({toks}[1:256], lambda x: {_h('x', 8)} % {VOCAB_MOD} + 1)), 0)")
 
 
 # --- queries -----------------------------------------------------------------------
@@ -188,45 +200,46 @@ def p17(t):
 
 
 @query("P18_pad_batch", ["node_docs"],
-       f"""with k as (select doc_id, least(len({_TOKS}), 256) as n_kept,
-                  row_number() over (order by {_h("'42:0:' || cast(doc_id as string)")}, doc_id) as p from node_docs),
-b as (select doc_id, n_kept, cast(floor((p - 1) / 16) as bigint) as batch_id from k)
-select doc_id, batch_id, n_kept, max(n_kept) over (partition by batch_id) as pad_to,
-       max(n_kept) over (partition by batch_id) - n_kept as n_pad from b""")
+       f"""with k as (select doc_id, {_id_list_sql('toks')} as ids,
+                  row_number() over (order by {_h("'42:0:' || cast(doc_id as string)")}, doc_id) as p
+           from (select doc_id, {_TOKS} as toks from node_docs) t),
+b as (select doc_id, ids, cast(floor((p - 1) / 16) as bigint) as batch_id, p - 1 as pos from k),
+w as (select *, max(len(ids)) over (partition by batch_id) as pad_to from b)
+select doc_id, batch_id, pos, pad_to, {_padded_sql('ids', 'pad_to')} as ids, {_mask_sql('ids', 'pad_to')} as mask from w""")
 def p18(t):
-    """Seeded batches of 16; each row is padded to its batch's longest."""
+    """Seeded batches of 16; each row's ids and mask, padded to its batch's longest."""
     d = t["node_docs"].select("doc_id", TK.truncate(TK.tokens(fill_missing_source("source_code"))).alias("toks"))
-    d = d.withColumn("ids", TK.token_ids("toks"))
+    d = d.select("doc_id", TK.token_ids("toks").alias("ids"))
     b = S.assign_batches(d, BATCH, True, "doc_id", SEED, EPOCH)
-    w = Window.partitionBy("batch_id")
-    b = b.withColumn("pad_to", F.max(F.size("ids")).over(w).cast("bigint"))
-    b = b.withColumn("padded", TK.pad("ids", "pad_to")).withColumn("mask", TK.attention_mask("ids", "pad_to"))
-    n_kept = F.size("ids").cast("bigint")
-    return b.select("doc_id", "batch_id", n_kept.alias("n_kept"), "pad_to",
-                    (F.size("padded") - F.aggregate("mask", F.lit(0), lambda a, x: a + x)).cast("bigint").alias("n_pad"))
+    b = b.withColumn("pad_to", F.max(F.size("ids")).over(Window.partitionBy("batch_id")).cast("bigint"))
+    return b.select("doc_id", "batch_id", "pos", "pad_to", F.array_join(TK.pad("ids", "pad_to"), ",").alias("ids"),
+                    F.array_join(TK.attention_mask("ids", "pad_to"), "").alias("mask"))
+
+
+_L2_SIDES = [f"""{_padded_sql(f'i{k}', f'n{k}')} as ids{k}, {_mask_sql(f'i{k}', f'n{k}')} as mask{k}""" for k in (1, 2, 3)]
 
 
 @query("L2_build_training_set", ["node_docs", "edge_docs"],
        _W3_SQL + ",\n" + _TRIP_SQL.strip() + f""",
-tk as (select package, edge_id, least(len({_tok_sql('source1')}), 256) as k1,
-              least(len({_tok_sql('source2')}), 256) as k2, least(len({_tok_sql('source3')}), 256) as k3 from trip)
-select b.split, b.batch_id, count(*) as n_triplets, max(k1) as pad1, max(k2) as pad2, max(k3) as pad3
-from batches b join tk on tk.package = b.package and tk.edge_id = b.edge_id group by b.split, b.batch_id""")
+tk as (select package, edge_id, node1, node2, node3, {", ".join(f"{_tok_sql(f'source{k}')} as t{k}" for k in (1, 2, 3))} from trip),
+ti as (select package, edge_id, node1, node2, node3, {", ".join(f"{_id_list_sql(f't{k}')} as i{k}" for k in (1, 2, 3))} from tk),
+padded as (select b.split, b.batch_id, b.pos, ti.*,
+  {", ".join(f"max(len(i{k})) over (partition by b.split, b.batch_id) as n{k}" for k in (1, 2, 3))}
+  from batches b join ti on ti.package = b.package and ti.edge_id = b.edge_id)
+select split, batch_id, pos, package, edge_id, node1, node2, node3, {", ".join(_L2_SIDES)} from padded""")
 def l2(t):
-    """Split → triplets → tokens → batches; one row per batch with pad lengths."""
+    """Split → triplets → tokens → padded batches: every row's ids and masks."""
     from codeloom.plans.training import build_training_set
 
     out = build_training_set(t["edge_docs"], t["node_docs"], id_col="edge_id", order="doc_id",
-                             seed=SEED, epoch=EPOCH, batch_size=BATCH)
-    return out.groupBy("split", "batch_id").agg(
-        F.count(F.lit(1)).alias("n_triplets"),
-        *[F.max(F.size(col(f"ids{i}"))).cast("bigint").alias(f"pad{i}") for i in (1, 2, 3)],
-    )
+                             seed=SEED, epoch=EPOCH, batch_size=BATCH, pad=True)
+    sides = [c for i in (1, 2, 3) for c in (F.array_join(f"ids{i}", ",").alias(f"ids{i}"), F.array_join(f"mask{i}", "").alias(f"mask{i}"))]
+    return out.select("split", "batch_id", "pos", "package", "edge_id", "node1", "node2", "node3", *sides)
 
 
 @query("P16_vocabulary_ids", ["node_docs"],
        f"""with vocab as (select distinct unnest({_tok_sql('text')}) as token from benchmark),
-v as (select token, {_h('token')} % {VOCAB_MOD} + 1 as id from vocab),
+v as (select token, {_h('token', 8)} % {VOCAB_MOD} + 1 as id from vocab),
 t as (select doc_id, unnest(({_TOKS})[1:256]) as token from node_docs)
 select n.doc_id, coalesce(sum(coalesce(v.id, 0)), 0) as id_sum, count(v.id) as n_known
 from node_docs n left join t on t.doc_id = n.doc_id left join v on v.token = t.token group by n.doc_id""")

@@ -85,8 +85,13 @@ def a8(t):
        _A8.replace("select package, count(*)", "select count(*)").replace(" group by package", "")
        .replace("from (select package, ", "from (select "))
 def l3(t):
-    """Validation metrics over all triplets (vectors given by the embedder)."""
-    return _metrics_cols(SC.triplet_metrics(t["triplet_vectors"]), [])
+    """Validation metrics of an embedder (here: a table of vectors) over all triplets."""
+    from codeloom.plans.evaluation import evaluate_embedder
+
+    ids = t["triplet_vectors"].select("anchor", "positive", "negative")
+    look_up = lambda df, column, out: df.join(
+        t["embeddings"].select(F.col("vec_id").alias(column), F.col("embedding").cast("array<double>").alias(out)), column)
+    return _metrics_cols(evaluate_embedder(ids, look_up, ("anchor", "positive", "negative")), [])
 
 
 @query("A9_epoch_loss", ["metric_log"],

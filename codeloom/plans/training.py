@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import tokens as TK
 from codeloom.functions.text import MISSING_SOURCE
 from codeloom.operators import sampling as S
+from codeloom.session import cut_lineage
 
 
 def build_training_set(
@@ -28,17 +29,20 @@ def build_training_set(
     ``edges``: ``package, <id_col>, node1, node2``; ``nodes``: ``package, node,
     source_code, <order>``.  Train rows are shuffled by ``md5(seed:epoch:id)``;
     validation rows keep package order.  With ``pad`` every side is padded to
-    its batch's longest sequence and gets an attention mask.
+    its batch's longest sequence and gets an attention mask.  A split with an
+    empty side raises.
     """
-    split = S.group_split(S.package_sizes(nodes, edges), val=val, seed=seed)
+    # one row per package: written once, checked, and read by all that follows
+    split = cut_lineage(S.group_split(S.package_sizes(nodes, edges), val=val, seed=seed))
+    S.check_split(split)
     # batch positions are planned on the light (package, id) table, so the
     # heavy triplet + token rows are built once and joined on a unique key
-    light = edges.select("package", id_col).join(split.select("package", "split"), "package")
+    light = cut_lineage(edges.select("package", id_col).join(split.select("package", "split", "order_key"), "package"))
     train = S.assign_batches(light.filter(F.col("split") == "train"), batch_size, True, id_col, seed, epoch)
-    val_rows = S.merged_index(light.filter(F.col("split") == "validation"),
+    val_rows = S.merged_index(light.filter(F.col("split") == "validation").drop("order_key"),
                               split.filter(F.col("split") == "validation"), id_col)
     valid = S.assign_batches(val_rows, batch_size, False, id_col, index_col="global_idx").drop("global_idx")
-    batches = train.unionByName(valid)
+    batches = cut_lineage(train.drop("order_key").unionByName(valid))
     # each node's code is tokenised once (not once per edge that names it) and
     # only the bounded id lists travel through the triplet joins
     trip = S.triplets(edges.select("package", id_col, "node1", "node2"), nodes, id_col, order, seed, epoch,

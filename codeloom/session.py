@@ -8,6 +8,7 @@ the command line, and sets defaults only where the session leaves them unset.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,3 +83,15 @@ def dealt(df: DataFrame, partitions: int | None) -> DataFrame:
     number is the caller's choice, nothing is looked at or run to find it.
     """
     return df.repartition(partitions) if partitions else df
+
+
+def ship_package(spark: SparkSession) -> str:
+    """Zip this package and add it to every executor's Python path.
+
+    Needed where executors have no installed copy; Python steps are pickled by
+    module name.  Returns the path of the zip on the driver.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="codeloom-"), "codeloom"), "zip", root, "codeloom")
+    spark.sparkContext.addPyFile(path)
+    return path

@@ -219,7 +219,7 @@ def _ranked(df: DataFrame, part: str, order: str, idx: str, n: str | None = None
 
     from codeloom.operators.ranking import running_rank
 
-    out = running_rank(df, [part], order, out=idx)
+    out = running_rank(df, [part], order, width=1 << 16, out=idx)  # ids and keys of the tables are dense
     if n:
         sizes = df.groupBy(part).agg(F.count(F.lit(1)).alias(n))
         out = out.join(sizes, part)

@@ -226,7 +226,7 @@ def test_metric_log_backends(spark, tmp_dir):
 
 def test_embedder_save_load_same_vectors(spark, tmp_dir):
     df = spark.createDataFrame([(1, "def f(a): return a"), (2, "x = y + z")], "id long, text string")
-    model = E.train_embedder(df, dim=8)
+    model = E.train_embedder(df, dim=8, min_count=1)
     a = {r["id"]: r["embedding"] for r in E.embed(df, "text", model).collect()}
     W.save_embedder(model, f"{tmp_dir}/model")
     b = {r["id"]: r["embedding"] for r in E.embed(df, "text", W.load_embedder(f"{tmp_dir}/model")).collect()}

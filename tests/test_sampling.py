@@ -73,3 +73,62 @@ def test_vocabulary_ids(spark):
     vocab = spark.createDataFrame([("def", 5), ("x", 7)], "token string, id int")
     got = {r["id"]: r["ids"] for r in S.vocabulary_ids(df, ["id"], "toks", vocab, unk_id=1).collect()}
     assert got == {1: [5, 1, 7, 5], 2: []}
+
+
+def test_running_rank_keeps_null_keys(spark):
+    from codeloom.operators.ranking import running_rank
+
+    df = spark.createDataFrame([("a", 5), ("a", None), (None, 3), (None, 1 << 60), ("a", 2)], "g string, k long")
+    for width in (None, 1, 1 << 16):
+        got = {(r["g"], r["k"], r["_rank"]) for r in running_rank(df, ["g"], "k", width=width).collect()}
+        assert got == {("a", None, 1), ("a", 2, 2), ("a", 5, 3), (None, 3, 1), (None, 1 << 60, 2)}
+    assert running_rank(df.limit(0), [], "k").collect() == []
+
+
+def test_edges_of_packages_without_nodes_stay(spark):
+    from codeloom.operators import sampling as S
+
+    edges = spark.createDataFrame([("p", 1, "a", "b"), ("q", 2, "c", "d")], "package string, edge_id long, node1 string, node2 string")
+    nodes = spark.createDataFrame([("p", "a", "code", 1)], "package string, node string, source_code string, doc_id long")
+    trip = S.triplets(edges, nodes, "edge_id", "doc_id")
+    rows = {r["edge_id"]: (r["node3"], r["source1"], r["source3"]) for r in trip.collect()}
+    assert rows == {1: ("a", "code", "code"), 2: (None, "nothing", "nothing")}
+    assert [(r["package"], r["edges"]) for r in S.edges_without_negative(trip).collect()] == [("q", 1)]
+
+
+def test_training_set_refuses_an_empty_side(spark):
+    import pytest
+    from codeloom.plans.training import build_training_set
+
+    edges = spark.createDataFrame([("p", 1, "a", "b")], "package string, edge_id long, node1 string, node2 string")
+    nodes = spark.createDataFrame([("p", "a", "code", 1)], "package string, node string, source_code string, doc_id long")
+    with pytest.raises(ValueError, match="validation"):
+        build_training_set(edges, nodes)
+
+
+def test_word2vec_bounds(spark):
+    from codeloom.operators.embed import train_embedder, vocabulary_floor
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(" ".join(f"w{k}" for k in range(50) for _ in range(k)),)] * 3, "text string")
+    staged = df.select(F.col("text").alias("_text"))
+    assert vocabulary_floor(staged, 1000, 5) == 5 and vocabulary_floor(staged, 20, 5) == 95
+    model = train_embedder(df, dim=4, max_vocab=20, rows_per_partition=1)
+    assert 0 < model.stages[-1].getVectors().count() <= 20
+
+
+def test_prompts_from_code_in_one_call(spark):
+    from codeloom.plans.retrieval import build_prompts_from_code
+
+    rows = [("d", k, f"f{k}(a)", " ".join(["alpha"] * k + ["beta"] * (9 - k))) for k in range(10)]
+    df = spark.createDataFrame(rows, "dataset_name string, id long, signature string, raw_source_code string")
+    got = {r["id"]: r["prompt"] for r in build_prompts_from_code(df, k=1).collect()}
+    assert len(got) == 10 and rows[1][3] in got[0] and rows[8][3] in got[9]
+
+
+def test_package_can_be_shipped(spark):
+    import zipfile
+
+    from codeloom.session import ship_package
+
+    assert "codeloom/session.py" in zipfile.ZipFile(ship_package(spark)).namelist()
