@@ -9,6 +9,12 @@ distinct segments and streams the segments through it: backward search gives
 matching statistics, and where they reach the window the rows of the index tell
 the smallest document that has the window.
 
+An anchor that many chunks have may stand in text that many documents share,
+with other words around it in each.  Windows around such an anchor are asked
+for one by one, by a hash of all their words, and only those that another
+document has travel on, routed by that hash: so no shard grows with the number
+of documents that share a passage, but by one entry for each chunk.
+
 Documents are grouped into chunks of bounded size by a hash of their id; what
 a chunk asks and gets back are packed arrays, pre-aggregated, so that copies of
 one passage cost one entry for each chunk.  Word hashes route; which windows
@@ -19,17 +25,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from codeloom.llm.fmindex import FMIndex
-from codeloom.llm.words import bucket_of, chunks, hashes, ragged, run_hashes, sequence_hashes, slices, spans
+from codeloom.llm.words import chunks, hashes, pack_sorted, ragged, release, run_hashes, sequence_hashes, slices, spans, unpack_sorted
 
 ANCHOR = 5
 LAST = 2**63 - 1
 ASK = "bucket int, chunk long, keys binary, many binary"
-ANSWER = "chunk long, bucket int, shared binary"
+ANSWER = "chunk long, bucket int, kind int, shared binary, hot binary"
 SEND = "shard int, chunk long, keys binary, docs binary, texts binary"
 FOUND = "chunk long, keys binary, early binary"
 
@@ -37,11 +44,11 @@ FOUND = "chunk long, keys binary, early binary"
 class Segments:
     """Segments of one chunk: arrays by segment, and the unique anchors."""
 
-    def __init__(self, column: pa.Array, ids: np.ndarray, window: int):
+    def __init__(self, table: pa.Table, window: int):
         self.window = window
-        self.parts = []  # (first row, data, word starts, word ends, first words)
-        start, count, anchor, key, row, part = [], [], [], [], [], []
-        for first, _, data, offsets in chunks(column):
+        self.parts = []  # (bytes, word starts, word ends, first words, word hashes)
+        found: dict[str, list] = {k: [] for k in ("start", "count", "anchor", "key", "row", "part")}
+        for first, _, data, offsets in chunks(_column(table, "_text")):
             starts, ends, word = spans(data, offsets)
             h = hashes(data, starts, ends)
             runs = np.maximum(np.diff(word) - window + 1, 0)
@@ -58,32 +65,63 @@ class Segments:
                 at = own + place[own]
                 cut = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (text[1:] != text[:-1]))))
                 size = np.diff(np.concatenate((cut, [len(own)])))
-                start.append(own[cut])
-                count.append(size)
-                anchor.append(least[own[cut]])
-                key.append(run_hashes(h, own[cut], size + window - 1))
-                row.append(first + text[cut])
-                part.append(np.full(len(cut), len(self.parts)))
-            self.parts.append((first, data, starts, ends, word))
-        none = np.empty(0, np.int64)
-        self.start, self.count, self.row, self.part = (np.concatenate(x) if x else none for x in (start, count, row, part))
-        self.anchor, self.key = (np.concatenate(x) if x else none.astype(np.uint64) for x in (anchor, key))
-        self.doc = ids[self.row]
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct anchors, whether several ids of this chunk have each, and each segment's anchor."""
-        values, of = np.unique(self.anchor, return_inverse=True)
-        least, most = np.full(len(values), LAST), np.full(len(values), -LAST)
-        np.minimum.at(least, of, self.doc)
-        np.maximum.at(most, of, self.doc)
-        return values, least < most, of
+                for name, x in (
+                    ("start", own[cut]), ("count", size), ("anchor", least[own[cut]]), ("key", run_hashes(h, own[cut], size + window - 1)),
+                    ("row", first + text[cut]), ("part", np.full(len(cut), len(self.parts))),
+                ):
+                    found[name].append(x)
+            self.parts.append((data, starts, ends, word, h))
+        for name, x in found.items():
+            kind = np.uint64 if name in ("anchor", "key") else np.int64
+            setattr(self, name, np.concatenate(x) if x else np.empty(0, kind))
+        self.doc = _ids(table.column("_id"))[self.row]
+        self.anchors, self.of = np.unique(self.anchor, return_inverse=True)
+        self.hot = np.zeros(len(self.start), bool)
+
+    def judge(self, answers: pa.Table, buckets: int) -> None:
+        """Keep the segments whose anchor is shared, those of hot anchors as single windows."""
+        shared, hot = (_bits(answers, 0, c, self.anchors, buckets)[self.of] for c in ("shared", "hot"))
+        plain, single = np.flatnonzero(shared & ~hot), np.flatnonzero(shared & hot)
+        n = self.count[single]
+        start = ragged(self.start[single], n)
+        part = np.repeat(self.part[single], n)
+        key = np.empty(len(start), np.uint64)
+        for p in np.unique(part).tolist():
+            mine = part == p
+            key[mine] = run_hashes(self.parts[p][4], start[mine], np.full(int(mine.sum()), self.window))
+        self.start = np.concatenate((self.start[plain], start))
+        self.count = np.concatenate((self.count[plain], np.ones(len(start), np.int64)))
+        self.part = np.concatenate((self.part[plain], part))
+        self.doc = np.concatenate((self.doc[plain], np.repeat(self.doc[single], n)))
+        self.route = np.concatenate((self.anchor[plain], key))
+        self.key = np.concatenate((self.key[plain], key))
+        self.hot = np.concatenate((np.zeros(len(plain), bool), np.ones(len(start), bool)))
 
     def text(self, k: int) -> bytes:
-        _, data, starts, ends, _ = self.parts[self.part[k]]
+        data, starts, ends, _, _ = self.parts[self.part[k]]
         a, b = self.start[k], self.start[k] + self.count[k] + self.window - 2
         return b" ".join(data[starts[a] : ends[b]].tobytes().split())
 
 
+def _bits(answers: pa.Table, kind: int, name: str, keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The answers of one kind, in the order of the sorted distinct keys asked for."""
+    mine = answers.column("kind").to_pylist()
+    got = {b: x for b, k, x in zip(answers.column("bucket").to_pylist(), mine, answers.column(name).to_pylist()) if k == kind}
+    parts = [np.unpackbits(np.frombuffer(got[k], np.uint8), count=b - a) for k, a, b in slices(keys, buckets)]
+    return np.concatenate(parts).astype(bool) if parts else np.empty(0, bool)
+
+
+def _asked(keys: np.ndarray, docs: np.ndarray, buckets: int, chunk: int) -> pa.Table:
+    """Rows that ask for the distinct keys, saying which of them several ids of this chunk have."""
+    values, of = np.unique(keys, return_inverse=True)
+    least, most = np.full(len(values), LAST), np.full(len(values), -LAST)
+    np.minimum.at(least, of, docs)
+    np.maximum.at(most, of, docs)
+    many = least < most
+    rows = [(k, chunk, pack_sorted(values[a:b]), np.packbits(many[a:b]).tobytes()) for k, a, b in slices(values, buckets)]
+    return _table(rows, [("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("many", pa.binary())])
+
+
 def _ids(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -93,52 +131,82 @@ def _column(table: pa.Table, name: str) -> pa.Array:
     return c.combine_chunks() if c.num_chunks != 1 else c.chunk(0)
 
 
+def _released(run):
+    """The group function, giving its memory back when it is done."""
+
+    def one(key, table):
+        return two(key, table)
+
+    def two(key, table, *more):
+        try:
+            return run(key, table, *more)
+        finally:
+            release()
+
+    return (lambda key, table, other: two(key, table, other)) if run.__code__.co_argcount == 3 else one
+
+
 def _table(rows: list[tuple], ddl_types: list[tuple[str, pa.DataType]]) -> pa.Table:
     cols = list(zip(*rows)) if rows else [[] for _ in ddl_types]
     return pa.table({name: pa.array(list(c), kind) for c, (name, kind) in zip(cols, ddl_types)})
 
 
 def _ask(buckets: int, window: int):
-    kinds = [("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("many", pa.binary())]
-
     def run(key, table):
-        own = Segments(_column(table, "_text"), _ids(table.column("_id")), window)
-        values, many, _ = own.anchors()
-        rows = [(k, key[0].as_py(), values[a:b].tobytes(), np.packbits(many[a:b]).tobytes()) for k, a, b in slices(values, buckets)]
-        return _table(rows, kinds)
+        own = Segments(table, window)
+        return _asked(own.anchor, own.doc, buckets, key[0].as_py())
 
     return run
 
 
-def _answer(key, table):
-    asked = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-    many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(a)) for x, a in zip(table.column("many").to_pylist(), asked)]
-    sizes = [len(a) for a in asked]
-    _, of, count = np.unique(np.concatenate(asked), return_inverse=True, return_counts=True)
-    shared = (count[of] > 1) | np.concatenate(many).astype(bool)
-    bits = [np.packbits(x).tobytes() for x in np.split(shared, np.cumsum(sizes)[:-1])]
-    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "shared": pa.array(bits, pa.binary())})
+def _ask_hot(buckets: int, window: int):
+    def run(key, table, answers):
+        own = Segments(table, window)
+        own.judge(answers, buckets)
+        return _asked(own.key[own.hot], own.doc[own.hot], buckets, key[0].as_py())
+
+    return run
+
+
+def _answer(kind: int, hot_chunks: int):
+    def run(key, table):
+        asked = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
+        many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(a)) for x, a in zip(table.column("many").to_pylist(), asked)]
+        _, of, count = np.unique(np.concatenate(asked), return_inverse=True, return_counts=True)
+        shared = (count[of] > 1) | np.concatenate(many).astype(bool)
+        cuts = np.cumsum([len(a) for a in asked])[:-1]
+        shared, hot = ([np.packbits(x).tobytes() for x in np.split(bits, cuts)] for bits in (shared, count[of] >= hot_chunks))
+        return pa.table(
+            {
+                "chunk": table.column("chunk"),
+                "bucket": table.column("bucket"),
+                "kind": pa.array(np.full(len(asked), kind, np.int32)),
+                "shared": pa.array(shared, pa.binary()),
+                "hot": pa.array(hot, pa.binary()),
+            }
+        )
+
+    return run
 
 
 def _send(buckets: int, shards: int, window: int):
     kinds = [("shard", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()), ("texts", pa.binary())]
 
     def run(key, table, answers):
-        if not table.num_rows or not answers.num_rows:
-            return _table([], kinds)
-        own = Segments(_column(table, "_text"), _ids(table.column("_id")), window)
-        values, _, of = own.anchors()
-        got = dict(zip(answers.column("bucket").to_pylist(), answers.column("shared").to_pylist()))
-        shared = np.concatenate([np.unpackbits(np.frombuffer(got[k], np.uint8), count=b - a) for k, a, b in slices(values, buckets)])
-        which = np.flatnonzero(shared[of])
-        order = which[np.lexsort((own.doc[which], own.key[which], own.anchor[which]))]
+        own = Segments(table, window)
+        own.judge(answers, buckets)
+        hot = np.unique(own.key[own.hot])
+        keep = ~own.hot
+        keep[own.hot] = _bits(answers, 1, "shared", hot, buckets)[np.searchsorted(hot, own.key[own.hot])]
+        which = np.flatnonzero(keep)
+        order = which[np.lexsort((own.doc[which], own.key[which], own.route[which]))]
         if not len(order):
             return _table([], kinds)
-        new = np.concatenate(([True], (own.key[order][1:] != own.key[order][:-1]) | (own.anchor[order][1:] != own.anchor[order][:-1])))
+        new = np.concatenate(([True], (own.key[order][1:] != own.key[order][:-1]) | (own.route[order][1:] != own.route[order][:-1])))
         least = order[new]  # the first of equal segments has the smallest document
         most = order[np.concatenate((np.flatnonzero(new)[1:], [len(order)])) - 1]
         rows = []
-        for k, a, b in slices(own.anchor[least], shards):
+        for k, a, b in slices(own.route[least], shards):
             docs = np.stack((own.doc[least[a:b]], own.doc[most[a:b]]))
             texts = b"\n".join(own.text(x) for x in least[a:b])
             rows.append((k, key[0].as_py(), own.key[least[a:b]].tobytes(), docs.tobytes(), texts))
@@ -210,9 +278,11 @@ def _find(window: int):
     return run
 
 
-def _apply(window: int, schema_names: list[str]):
-    def run(key, table, found):
-        own = Segments(_column(table, "_text"), _ids(table.column("_id")), window)
+def _apply(buckets: int, window: int, schema_names: list[str]):
+    def run(key, table, told):
+        own = Segments(table, window)
+        own.judge(told.filter(pc.is_valid(told.column("kind"))), buckets)
+        found = told.filter(pc.is_valid(told.column("keys")))
         _, of = np.unique(own.key, return_inverse=True)
         least = np.full(len(own.key), LAST)
         np.minimum.at(least, of, own.doc)
@@ -231,12 +301,12 @@ def _apply(window: int, schema_names: list[str]):
         part = np.repeat(own.part[hit], own.count[hit])[go]
         gone = {}  # part -> mask of removed words
         for p in np.unique(part).tolist():
-            edge = np.zeros(len(own.parts[p][2]) + 1, np.int64)
+            edge = np.zeros(len(own.parts[p][1]) + 1, np.int64)
             np.add.at(edge, start[part == p], 1)
             np.add.at(edge, start[part == p] + window, -1)
             gone[p] = np.cumsum(edge[:-1]) > 0
         kept, n_words, n_removed = [], [], []
-        for p, (_, data, starts, ends, word) in enumerate(own.parts):
+        for p, (data, starts, ends, word, _) in enumerate(own.parts):
             mask = gone.get(p)
             for k in range(len(word) - 1):
                 a, b = int(word[k]), int(word[k + 1])
@@ -254,13 +324,20 @@ def _apply(window: int, schema_names: list[str]):
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, chunk_bytes: int = 4 << 20, shard_bytes: int = 4 << 20
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = 13,
+    chunk_bytes: int = 4 << 20,
+    shard_bytes: int = 4 << 20,
+    hot_chunks: int = 48,
 ) -> DataFrame:
     """All columns of ``docs`` and ``kept``, ``n_words``, ``n_removed``; one row per input row.
 
     A word goes if a window of ``window`` words covers it whose words also
     start a window in a document with a smaller id; windows are judged on the
-    input.  ``kept`` has the other words, joined by one blank.
+    input.  ``kept`` has the other words, joined by one blank.  An anchor that
+    ``hot_chunks`` chunks ask for is hot.
 
     * Null text: no words.  Integer ids; a null id counts as larger than all
       others, and rows of equal id never shorten each other.
@@ -283,12 +360,15 @@ def remove_repeats(
         }
     ).select(*[f"`{c}`" for c in names if c != text_col], "_id", "_text", "_chunk")
     by_chunk = source.groupBy("_chunk")
-    asked = by_chunk.applyInArrow(_ask(buckets, window), ASK)
-    answers = asked.groupBy("bucket").applyInArrow(_answer, ANSWER)
-    sent = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_send(buckets, shards, window), SEND)
-    found = sent.groupBy("shard").applyInArrow(_find(window), FOUND)
+    asked = by_chunk.applyInArrow(_released(_ask(buckets, window)), ASK)
+    answers = asked.groupBy("bucket").applyInArrow(_released(_answer(0, hot_chunks)), ANSWER)
+    asked = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_released(_ask_hot(buckets, window)), ASK)
+    both = answers.union(asked.groupBy("bucket").applyInArrow(_released(_answer(1, hot_chunks)), ANSWER))
+    sent = by_chunk.cogroup(both.groupBy("chunk")).applyInArrow(_released(_send(buckets, shards, window)), SEND)
+    found = sent.groupBy("shard").applyInArrow(_released(_find(window)), FOUND)
     fields = [f for f in source.schema.fields if f.name not in ("_id", "_chunk")]
     schema = StructType([*fields, StructField("kept", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
-    out = by_chunk.cogroup(found.groupBy("chunk")).applyInArrow(_apply(window, [f.name for f in schema.fields]), schema)
+    told = answers.unionByName(found, allowMissingColumns=True)
+    out = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_released(_apply(buckets, window, [f.name for f in schema.fields])), schema)
     text = F.col("_text").cast("string").alias(text_col)
     return out.select(*[text if c == text_col else F.col(f"`{c}`") for c in names], "kept", "n_words", "n_removed")

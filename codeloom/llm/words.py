@@ -7,6 +7,8 @@ operator says where the words themselves are compared afterwards.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -129,6 +131,16 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
 
 
+_libc = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Hand freed memory back to the system: a Python worker outlives its task, and what it keeps others lack."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket of each 64-bit key; it never falls as the key rises."""
     return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)

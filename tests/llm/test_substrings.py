@@ -56,10 +56,18 @@ def test_made_up_documents(spark):
     want = brute(rows)
     assert got(substrings.remove_repeats(df)) == want
     assert got(substrings.remove_repeats(df, chunk_bytes=3000, shard_bytes=2000)) == want
+    assert got(substrings.remove_repeats(df, chunk_bytes=3000, shard_bytes=2000, hot_chunks=2)) == want
     assert substrings.remove_repeats(df).columns == ["doc_id", "text", "shard", "kept", "n_words", "n_removed"]
     assert got(substrings.remove_repeats(df.limit(0))) == []
 
 
+def test_chunks_without_windows(spark):
+    rows = [(k, "a b c") for k in range(20)] + [(30, " ".join(map(str, range(13)))), (31, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(substrings.remove_repeats(df, chunk_bytes=4)) == brute(rows)
+    assert got(substrings.remove_repeats(df.limit(3))) == brute(rows[:3])
+
+
 def test_index_counts_patterns():
     rng = np.random.default_rng(7)
     text = np.append(rng.integers(1, 5, 3000), 0)
