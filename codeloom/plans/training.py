@@ -32,8 +32,11 @@ def build_training_set(
     its batch's longest sequence and gets an attention mask.  A split with an
     empty side raises.
     """
-    # one row per package: written once, checked, and read by all that follows
-    split = cut_lineage(S.group_split(S.package_sizes(nodes, edges), val=val, seed=seed))
+    # the light tables that every step reads are written once
+    edges = cut_lineage(edges.select("package", id_col, "node1", "node2"))
+    names = cut_lineage(nodes.select("package", "node", order))
+    # one row per package: checked, and read by all that follows
+    split = cut_lineage(S.group_split(S.package_sizes(names, edges), val=val, seed=seed))
     S.check_split(split)
     # batch positions are planned on the light (package, id) table, so the
     # heavy triplet + token rows are built once and joined on a unique key
@@ -45,8 +48,7 @@ def build_training_set(
     batches = cut_lineage(train.drop("order_key").unionByName(valid))
     # each node's code is tokenised once (not once per edge that names it) and
     # only the bounded id lists travel through the triplet joins
-    trip = S.triplets(edges.select("package", id_col, "node1", "node2"), nodes, id_col, order, seed, epoch,
-                      sources=False)
+    trip = S.triplets(edges, names, id_col, order, seed, epoch, sources=False)
     ids = lambda c: TK.token_ids(TK.truncate(TK.tokens(c), max_len))
     node_ids = S.node_sources(nodes, order).select("package", "node", ids("source").alias("value"))
     trip = S.attach_node_values(trip, node_ids, {"node1": "ids1", "node2": "ids2", "node3": "ids3"},
