@@ -34,6 +34,8 @@ from codeloom.llm.fmindex import FMIndex
 from codeloom.llm.words import chunks, hashes, pack_sorted, ragged, release, run_hashes, sequence_hashes, slices, spans, unpack_sorted
 
 ANCHOR = 5
+#: Columns added while the work goes on.
+ID, TEXT, CHUNK = "substrings_id__", "substrings_text__", "substrings_chunk__"
 LAST = 2**63 - 1
 ASK = "bucket int, chunk long, keys binary, many binary"
 ANSWER = "chunk long, bucket int, kind int, shared binary, hot binary"
@@ -48,7 +50,7 @@ class Segments:
         self.window = window
         self.parts = []  # (bytes, word starts, word ends, first words, word hashes)
         found: dict[str, list] = {k: [] for k in ("start", "count", "anchor", "key", "row", "part")}
-        for first, _, data, offsets in chunks(_column(table, "_text")):
+        for first, _, data, offsets in chunks(_column(table, TEXT)):
             starts, ends, word = spans(data, offsets)
             h = hashes(data, starts, ends)
             runs = np.maximum(np.diff(word) - window + 1, 0)
@@ -74,7 +76,7 @@ class Segments:
         for name, x in found.items():
             kind = np.uint64 if name in ("anchor", "key") else np.int64
             setattr(self, name, np.concatenate(x) if x else np.empty(0, kind))
-        self.doc = _ids(table.column("_id"))[self.row]
+        self.doc = _ids(table.column(ID))[self.row]
         self.anchors, self.of = np.unique(self.anchor, return_inverse=True)
         self.hot = np.zeros(len(self.start), bool)
 
@@ -347,28 +349,29 @@ def remove_repeats(
     if not ANCHOR <= window < ANCHOR + 64:
         raise ValueError(f"a window has {ANCHOR} to {ANCHOR + 63} words")
     docs = docs.drop(*[c for c in ("kept", "n_words", "n_removed") if c in docs.columns])
-    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("binary")))).first()[0] or 0
+    text = F.col(text_col).cast("binary")
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n_chunks = max(1, -(-total // chunk_bytes))
     shards = max(1, -(-total // shard_bytes))
     buckets = max(1, -(-total // (16 * shard_bytes)))
     names = docs.columns
     source = docs.withColumns(
         {
-            "_id": F.col(id_col).cast("long"),
-            "_text": F.col(text_col).cast("binary"),
-            "_chunk": F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n_chunks)).cast("long"),
+            ID: F.col(id_col).cast("long"),
+            TEXT: text,
+            CHUNK: F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.octet_length(text)), F.lit(n_chunks)).cast("long"),
         }
-    ).select(*[f"`{c}`" for c in names if c != text_col], "_id", "_text", "_chunk")
-    by_chunk = source.groupBy("_chunk")
+    ).select(*[f"`{c}`" for c in names if c != text_col], ID, TEXT, CHUNK)
+    by_chunk = source.groupBy(CHUNK)
     asked = by_chunk.applyInArrow(_released(_ask(buckets, window)), ASK)
     answers = asked.groupBy("bucket").applyInArrow(_released(_answer(0, hot_chunks)), ANSWER)
     asked = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_released(_ask_hot(buckets, window)), ASK)
     both = answers.union(asked.groupBy("bucket").applyInArrow(_released(_answer(1, hot_chunks)), ANSWER))
     sent = by_chunk.cogroup(both.groupBy("chunk")).applyInArrow(_released(_send(buckets, shards, window)), SEND)
     found = sent.groupBy("shard").applyInArrow(_released(_find(window)), FOUND)
-    fields = [f for f in source.schema.fields if f.name not in ("_id", "_chunk")]
+    fields = [f for f in source.schema.fields if f.name not in (ID, CHUNK)]
     schema = StructType([*fields, StructField("kept", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
     told = answers.unionByName(found, allowMissingColumns=True)
     out = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_released(_apply(buckets, window, [f.name for f in schema.fields])), schema)
-    text = F.col("_text").cast("string").alias(text_col)
+    text = F.col(TEXT).cast("string").alias(text_col)
     return out.select(*[text if c == text_col else F.col(f"`{c}`") for c in names], "kept", "n_words", "n_removed")

@@ -52,12 +52,12 @@ def test_made_up_documents(spark):
         a = rng.randrange(0, 40)
         rows.append((d, rng.choice([" ", "\n", "  "]).join(body + p[a : a + rng.randrange(5, 30)] + [word() for _ in range(30)])))
     rows += [(70, rows[20][1]), (70, rows[20][1]), (-5, "q " + rows[21][1]), (80, " ".join(f"u{k % 700}" for k in range(30_000)))]
-    df = spark.createDataFrame([(*r, "k", 1, 2) for r in rows], "doc_id long, text string, kept string, n_words int, shard int")
+    df = spark.createDataFrame([(*r, "k", 1, 2, "t", 3) for r in rows], "doc_id long, text string, kept string, n_words int, shard int, _text string, _id int")
     want = brute(rows)
     assert got(substrings.remove_repeats(df)) == want
     assert got(substrings.remove_repeats(df, chunk_bytes=3000, shard_bytes=2000)) == want
     assert got(substrings.remove_repeats(df, chunk_bytes=3000, shard_bytes=2000, hot_chunks=2)) == want
-    assert substrings.remove_repeats(df).columns == ["doc_id", "text", "shard", "kept", "n_words", "n_removed"]
+    assert substrings.remove_repeats(df).columns == ["doc_id", "text", "shard", "_text", "_id", "kept", "n_words", "n_removed"]
     assert got(substrings.remove_repeats(df.limit(0))) == []
 
 
