@@ -15,34 +15,48 @@ handling splits.  No step collects a package into one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import names as N
 from codeloom.functions.predicates import is_user_function, not_builtin
-from codeloom.operators.ranking import running_rank
 
 PKG = "package"
 
 
 # ---------------------------------------------------------------------------
 # analyzer log
+LINES_PER_BUCKET = 1 << 20
+
+
 def after_marker(log: DataFrame) -> DataFrame:
     """Counter lines after the phase marker and the ``… functions will be
     analyzed.`` header, cut after the count announced by the first line that
-    follows the header.  Packages without marker/header/count yield nothing."""
-    marker = log.filter(F.col("line").contains(N.PHASE_MARKER)) \
-        .groupBy(PKG).agg(F.min("line_no").alias("_m"))
-    tail = F.when(F.col("line_no") == F.col("_m"), F.substr("line", F.instr("line", N.PHASE_MARKER))) \
-        .otherwise(F.col("line"))
-    header = log.join(marker, PKG).filter((F.col("line_no") >= F.col("_m")) & tail.endswith(N.HEADER_SUFFIX)) \
+    follows the header.  Packages without marker/header/count yield nothing.
+
+    The log is read twice: for its few marker and header lines, and for the
+    lines after them, which are dealt by ranges of line numbers; the place of a
+    line is its place in the range plus the counter lines of the ranges before.
+    """
+    marker, suffix = F.col("line").contains(N.PHASE_MARKER), F.col("line").endswith(N.HEADER_SUFFIX)
+    # on the marker's own line the header must follow the marker
+    tail = F.substr("line", F.instr("line", N.PHASE_MARKER)).endswith(N.HEADER_SUFFIX)
+    special = log.filter(marker | suffix) \
+        .select(PKG, "line_no", marker.alias("_marker"), suffix.alias("_header"), (marker & tail).alias("_both")).repartition(PKG)
+    start = special.filter("_marker").groupBy(PKG).agg(F.min("line_no").alias("_m"))
+    header = special.join(start, PKG).filter((F.col("line_no") > F.col("_m")) & F.col("_header") | (F.col("line_no") == F.col("_m")) & F.col("_both")) \
         .groupBy(PKG).agg(F.min("line_no").alias("_h"))
-    after = log.join(header, PKG).filter(F.col("line_no") > F.col("_h"))
-    first = after.groupBy(PKG).agg(F.min_by("line", "line_no").alias("_first"))
-    expected = first.select(PKG, N.parse_progress("_first")["n"].alias("_n")).filter(F.col("_n").isNotNull())
-    counters = after.filter(N.parse_progress("line").isNotNull()).join(expected, PKG)
-    ranked = running_rank(counters, [PKG], "line_no", width=1 << 20)
-    return ranked.filter(F.col("_rank") <= F.col("_n")).select(PKG, "line_no", "line")
+    after = log.join(header, PKG).filter(F.col("line_no") > F.col("_h")) \
+        .select(PKG, "line_no", "line", N.parse_progress("line")["n"].alias("_n"),
+                F.floor(F.col("line_no") / F.lit(LINES_PER_BUCKET)).alias("_bucket")).repartition(PKG, "_bucket")
+    ranges = after.groupBy(PKG, "_bucket").agg(F.count("_n").alias("_cnt"), F.min(F.struct("line_no", "_n")).alias("_first"))
+    whole = Window.partitionBy(PKG).orderBy("_bucket")
+    ranges = ranges.select(
+        PKG, "_bucket", F.coalesce(F.sum("_cnt").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.min("_first").over(Window.partitionBy(PKG))["_n"].alias("_expected"))
+    place = F.row_number().over(Window.partitionBy(PKG, "_bucket").orderBy("line_no"))
+    counters = after.filter(F.col("_n").isNotNull()).withColumn("_rn", place).join(ranges, [PKG, "_bucket"])
+    return counters.filter(F.col("_rn") + F.col("_off") <= F.col("_expected")).select(PKG, "line_no", "line")
 
 
 def phase_flag(log: DataFrame) -> DataFrame:

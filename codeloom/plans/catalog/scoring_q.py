@@ -103,10 +103,13 @@ def a9(t):
 
 
 @query("A9_batch_loss", ["metric_log"],
-       "select run, step, round(avg(value), 6) as batch_loss from metric_log group by run, step")
+       """select run, cast(floor((step - 1) / 16) as bigint) as batch_id, round(avg(value), 6) as batch_loss
+from metric_log group by run, floor((step - 1) / 16)""")
 def a9b(t):
-    r = SC.batch_loss(t["metric_log"], ["run", "step"])
-    return r.select("run", "step", round6("batch_loss").alias("batch_loss"))
+    """Mean loss of every batch of 16 rows of a run."""
+    rows = t["metric_log"].withColumn("batch_id", F.floor((F.col("step") - 1) / F.lit(16)).cast("bigint"))
+    r = SC.batch_loss(rows, ["run", "batch_id"])
+    return r.select("run", "batch_id", round6("batch_loss").alias("batch_loss"))
 
 
 @query("F10_every_nth_step", ["metric_log"], "select run, step, value from metric_log where step % 50 = 0")
