@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from codeloom.llm.words import chunks, ragged
+from codeloom.llm.words import chunks, ragged, release
 
 NONE = np.int32(2**31 - 1)
 LONGEST = 1024
@@ -241,6 +241,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
                 ids = [x.astype("<u4").tobytes() for x in enc.encode(texts)]
                 part = b.slice(first, end - first)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary())], names=schema.names)
+            release()
 
     return source.mapInArrow(run, schema)
 
@@ -259,6 +260,7 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids
                 part = b.slice(first, end - first)
                 out = [None if x is None else enc.decode(np.frombuffer(x, "<u4")) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=schema.names)
+            release()
 
     return source.mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from codeloom.llm.words import chunks, hashes, ragged, sequence_hashes, spans
+from codeloom.llm.words import chunks, hashes, ragged, release, sequence_hashes, spans
 
 BINS_BITS = 6
 BINS = 1 << BINS_BITS
@@ -195,6 +195,7 @@ def _scan(spark, source, rows, schema, item_id, shingle, threshold):
                     for hit in block.verified(data[offsets[text] : offsets[text + 1]].tobytes(), sorted(which[text])):
                         rows.append(first + text)
                         found.append(hit)
+            release()
             if rows:
                 kind = pa.array([ids[k] for k, _, _ in found], schema_type)
                 shared, size = np.array([s for _, s, _ in found]), np.array([n for _, _, n in found])

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from codeloom.llm.words import release
+
 PACKED = "shard long, sequence int, n_tokens int, segments array<struct<{id}: {kind}, piece: int, start: long, length: int>>, cu_seqlens array<int>, ids binary, positions binary"
 
 
@@ -114,6 +116,7 @@ def pack_tokens(
     piece_kind = pa.struct([(id_col, arrow_id), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32())])
 
     def run(key, table):
+        release()
         enc = _encoding(vocabulary.value, pattern)
         table = table.sort_by([("_id", "ascending"), ("_text", "ascending")])
         ids = table.column("_id").to_pylist()

@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from codeloom.llm.words import LOWER, chunks, hashes, mix, spans
+from codeloom.llm.words import LOWER, chunks, hashes, mix, release, spans
 
 WORDS, SHAPES, PAIRS, FLAGS = 4096, 1024, 2048, 2
 TERMS = WORDS + SHAPES + PAIRS + FLAGS
+#: Texts counted at once: a dense row has TERMS places.
+ROWS = 128
 #: Kinds of bytes in a shape: capitals, other letters, digits; any other byte is its own kind.
 _KIND = np.arange(256, dtype=np.uint8)
 _KIND[0x41:0x5B] = ord("A")
@@ -55,8 +57,8 @@ def _terms(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, word: np.ndar
 def counts(column: pa.Array):
     """(first row, damped term frequencies: texts x TERMS) for one row range of ``column`` after another."""
     for first, end, data, offsets in chunks(column, 1 << 20):
-        for a in range(0, end - first, 512):
-            off = offsets[a : min(a + 512, end - first) + 1]
+        for a in range(0, end - first, ROWS):
+            off = offsets[a : min(a + ROWS, end - first) + 1]
             part = data[off[0] : off[-1]]
             starts, ends, word = spans(part, off - off[0])
             n = len(off) - 1
@@ -165,5 +167,6 @@ def score_quality(
         for b in batches:
             score = np.full(b.num_rows, 0.5) if model.value is None else model.value.scores(b.column(at))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=schema.names)
+            release()
 
     return docs.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.components import components
 from codeloom.llm.staging import stage
+from codeloom.llm.words import release
 
 SEED = 42
 
@@ -50,7 +51,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for b in batches:
-            out = np.fromiter((fingerprint(t or b"", shingle) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
+            texts = (t for a in range(0, b.num_rows, 500) for t in b.column(1).slice(a, 500).to_pylist())
+            out = np.fromiter((fingerprint(t or b"", shingle) for t in texts), np.uint64, b.num_rows)
+            release()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64))], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()

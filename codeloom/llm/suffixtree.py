@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from codeloom.llm.words import LOWER, chunks, hashes, mix, pack, pack_sorted, slices, spans, unpack, unpack_sorted
+from codeloom.llm.words import LOWER, chunks, hashes, mix, pack, pack_sorted, release, slices, spans, unpack, unpack_sorted
 
 END = np.uint64(0x5851F42D4C957F2D)
 TURN = np.uint64(0xD1342543DE82EF95)
@@ -169,9 +169,11 @@ def _asker(level: int, share: float, weight: float, buckets: int):
     kind = np.float64 if level == 3 else np.uint32
 
     def first(key, table):
+        release()
         return _pack(key[0].as_py(), Chunk(table, share).levels[0], buckets, kind)
 
     def later(key, table, answers):
+        release()
         chunk = Chunk(table, share)
         chunk.weight = weight
         chunk.learn(answers, buckets, level - 1)
@@ -218,6 +220,7 @@ def _stats(key, table):
 
 def _score(share: float, weight: float, least: float, buckets: int, names: list[str]):
     def run(key, table, answers):
+        release()
         chunk = Chunk(table, share)
         chunk.weight = weight
         chunk.learn(answers, buckets, 3)
