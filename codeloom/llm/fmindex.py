@@ -33,20 +33,18 @@ class FMIndex:
 
     def __init__(self, text: np.ndarray, symbols: int, depth: int):
         n = len(text)
-        rank, length = text.astype(np.uint64), 1
-        while True:
-            if length >= depth:
-                self.suffixes = np.argsort(rank, kind="stable")
-                break
-            ahead = np.zeros(n, np.uint64)
-            ahead[: n - length] = rank[length:] + np.uint64(1)
-            key = rank << np.uint64(32) | ahead
+        rank, length = text.astype(np.uint32), 1
+        while length < depth:
+            key = rank.astype(np.uint64) << np.uint64(32)
+            key[: n - length] |= rank[length:] + np.uint64(1)
             order = np.argsort(key)
-            new = np.zeros(n, np.uint64)
-            new[1:] = key[order][1:] != key[order][:-1]
-            rank = np.empty(n, np.uint64)
-            rank[order] = np.cumsum(new, dtype=np.uint64)
+            key = key[order]
+            new = np.zeros(n, bool)
+            np.not_equal(key[1:], key[:-1], out=new[1:])
+            del key
+            rank[order] = np.cumsum(new, dtype=np.uint32)
             length *= 2
+        self.suffixes = np.argsort(rank, kind="stable").astype(np.int32)
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=symbols))))
         column = text[self.suffixes - 1]  # the symbol before each suffix
         self.levels: list[tuple[int, _Bits]] = []
@@ -54,6 +52,7 @@ class FMIndex:
             one = (column >> shift & 1).astype(bool)
             self.levels.append((shift, _Bits(one)))
             column = np.concatenate((column[~one], column[one]))
+        del column
         every = np.arange(symbols)
         self.start = self._sink(every, np.zeros(symbols, np.int64))
 

@@ -331,7 +331,7 @@ def remove_repeats(
     text_col: str = "text",
     window: int = 13,
     chunk_bytes: int = 4 << 20,
-    shard_bytes: int = 4 << 20,
+    shard_bytes: int = 2 << 20,
     hot_chunks: int = 48,
 ) -> DataFrame:
     """All columns of ``docs`` and ``kept``, ``n_words``, ``n_removed``; one row per input row.
@@ -353,7 +353,7 @@ def remove_repeats(
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n_chunks = max(1, -(-total // chunk_bytes))
     shards = max(1, -(-total // shard_bytes))
-    buckets = max(1, -(-total // (16 * shard_bytes)))
+    buckets = max(1, -(-total // (8 * shard_bytes)))
     names = docs.columns
     source = docs.withColumns(
         {
