@@ -1,12 +1,13 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-The model learns level by level.  A word is a candidate context if it makes up
-at least ``share`` of the training tokens, a pair of words likewise; there are
-at most 1 / share contexts of either length, while the next-symbol counts they
-gather grow with the corpus.  A candidate stays if the next-symbol distribution
-it brings diverges from its suffix's by at least ``least`` nats per occurrence
-(each occurrence judged by the counts without itself), and if its suffix stays.  A token is scored in the longest context that stays
-and ends just before it; each distribution is smoothed by that of its suffix:
+The model learns level by level.  A run of up to ``longest`` words is a candidate
+context if it occurs at least ``count`` times in training, whatever the size of
+the corpus, so contexts and the next-symbol counts they gather grow with it.  A
+candidate stays if the next-symbol distribution it brings diverges from its
+suffix's by at least ``least`` nats per occurrence (each occurrence judged by the
+counts without itself), and if its suffix stays.  A token is scored in the longest
+context that stays and ends just before it; each distribution is smoothed by that
+of its suffix:
 
     P(w | s) = (c(s w) + weight P(w | suffix of s)) / (c(s) + weight)
 
@@ -21,6 +22,8 @@ through the driver or is broadcast.  N-grams are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +43,16 @@ def _joined(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return mix(context * TURN + symbol)
 
 
+class Tree(NamedTuple):
+    """What makes a context: see ``score_texts``."""
+
+    count: int
+    share: float
+    longest: int
+    weight: float
+    least: float
+
+
 class Chunk:
     """Tokens of one chunk, and its distinct n-grams as far as the answers reach.
 
@@ -48,7 +61,7 @@ class Chunk:
     ``own`` the chunk's training counts and ``total`` the corpus's.
     """
 
-    def __init__(self, table: pa.Table, share: float):
+    def __init__(self, table: pa.Table, tree: Tree):
         column = table.column("_text").combine_chunks()
         tokens, sizes = [], []
         for _, _, data, offsets in chunks(column):
@@ -65,7 +78,7 @@ class Chunk:
         self.first = np.cumsum(self.sizes) - self.sizes
         self.train = np.repeat(~table.column("_held").combine_chunks().to_numpy(zero_copy_only=False), self.sizes)
         self.place = np.arange(len(self.h)) - np.repeat(self.first, self.sizes)
-        self.share = share
+        self.tree = tree
         self.levels: list[dict] = []
         self._level(self.h, np.arange(len(self.h)))
 
@@ -84,17 +97,17 @@ class Chunk:
         for level in range(upto + 1):
             mine = {bucket[k]: totals[k] for k in np.flatnonzero(kinds == level).tolist()}
             here = self.levels[level]
-            parts = [unpack(mine[k], np.float64 if level == 3 else np.int64) for k, _, _ in slices(here["keys"], buckets)]
+            parts = [unpack(mine[k], np.float64 if level == self.tree.longest + 1 else np.int64) for k, _, _ in slices(here["keys"], buckets)]
             here["total"] = np.concatenate(parts) if parts else np.empty(0, np.int64)
-            if level < 2:
+            if level < self.tree.longest:
                 self._open(level)
-            elif level == 2:
+            elif level == self.tree.longest:
                 self._divergences()
 
     def _open(self, level: int) -> None:
         """Occurrences whose preceding ``level + 1`` tokens are a frequent n-gram."""
         here = self.levels[level]
-        frequent = here["total"] >= max(self.share * self.n, 2)
+        frequent = here["total"] >= max(self.tree.share * self.n, self.tree.count)
         after = here["at"] + 1
         ok = frequent[here["of"]] & (self.h[here["at"]] != END)
         here["frequent"] = ok
@@ -121,15 +134,13 @@ class Chunk:
             open_ = np.zeros(len(self.h), bool)
             open_[at] = True
             count = here["total"][here["of"][ok]] - less[at]
-            p[at] = (count + self.weight * p[at]) / (before["total"][context] - less[at] + self.weight)
+            p[at] = (count + self.tree.weight * p[at]) / (before["total"][context] - less[at] + self.tree.weight)
         return p
 
-    weight = 0.0
-
     def _divergences(self) -> None:
-        """Level 3: this chunk's part of each context's divergence from its suffix."""
+        """The level after the longest: this chunk's part of each context's divergence from its suffix."""
         keys, sums = [], []
-        for level in (1, 2):
+        for level in range(1, self.tree.longest + 1):
             here, before = self.levels[level], self.levels[level - 1]
             at = here["at"]
             gain = np.log(self._chain(level, left_out=True)[at] / self._chain(level - 1, left_out=True)[at]) * self.train[at]
@@ -143,10 +154,10 @@ class Chunk:
         order = np.argsort(keys)
         self.levels.append({"keys": keys[order], "own": sums[order]})
 
-    def stays(self, least: float) -> list[np.ndarray]:
+    def stays(self) -> list[np.ndarray]:
         """For each context length, which of this chunk's n-grams of that length stay as contexts."""
-        out, test = [], self.levels[3]
-        for level in (1, 2):
+        out, test = [], self.levels[self.tree.longest + 1]
+        for level in range(1, self.tree.longest + 1):
             before = self.levels[level - 1]
             keys = _joined(np.full(len(before["keys"]), np.uint64(level)), before["keys"])
             at = np.minimum(np.searchsorted(test["keys"], keys), max(len(test["keys"]) - 1, 0))
@@ -154,7 +165,7 @@ class Chunk:
                 out.append(np.zeros(len(keys), bool))
                 continue
             known = test["keys"][at] == keys
-            out.append(known & (test["total"][at] >= least * before["total"]))
+            out.append(known & (test["total"][at] >= self.tree.least * before["total"]))
         return out
 
 
@@ -165,33 +176,32 @@ def _pack(chunk: int, level: dict, buckets: int, kind) -> pa.Table:
     return pa.table([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["bucket", "chunk", "keys", "counts"])
 
 
-def _asker(level: int, share: float, weight: float, buckets: int):
-    kind = np.float64 if level == 3 else np.uint32
+def _asker(level: int, tree: Tree, buckets: int):
+    kind = np.float64 if level == tree.longest + 1 else np.uint32
 
     def first(key, table):
         release()
-        return _pack(key[0].as_py(), Chunk(table, share).levels[0], buckets, kind)
+        return _pack(key[0].as_py(), Chunk(table, tree).levels[0], buckets, kind)
 
     def later(key, table, answers):
         release()
-        chunk = Chunk(table, share)
-        chunk.weight = weight
+        chunk = Chunk(table, tree)
         chunk.learn(answers, buckets, level - 1)
         return _pack(key[0].as_py(), chunk.levels[level], buckets, kind)
 
     return later if level else first
 
 
-def _totals(kind: int):
+def _totals(kind: int, tree: Tree):
     """Sum the counts of a bucket's n-grams and answer each chunk in the order it asked."""
-    given, wide = (np.float64, np.float64) if kind == 3 else (np.uint32, np.int64)
+    given, wide = (np.float64, np.float64) if kind == tree.longest + 1 else (np.uint32, np.int64)
 
     def run(key, table):
         keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
         counts = np.concatenate([unpack(x, given) for x in table.column("counts").to_pylist()]).astype(wide)
         sizes = [len(k) for k in keys]
         distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
-        if kind == 3:
+        if kind == tree.longest + 1:
             total = np.zeros(len(distinct))
             order = np.lexsort((counts, of))  # the same sum whatever the order of arrival
             np.add.at(total, of[order], counts[order])
@@ -218,12 +228,11 @@ def _stats(key, table):
     return pa.table({"tokens": pa.array([int(counts.sum(dtype=np.int64))]), "kinds": pa.array([len(np.unique(keys[counts > 0]))])})
 
 
-def _score(share: float, weight: float, least: float, buckets: int, names: list[str]):
+def _score(tree: Tree, buckets: int, names: list[str]):
     def run(key, table, answers):
         release()
-        chunk = Chunk(table, share)
-        chunk.weight = weight
-        chunk.learn(answers, buckets, 3)
+        chunk = Chunk(table, tree)
+        chunk.learn(answers, buckets, tree.longest + 1)
         known = chunk.levels[0]["total"][chunk.levels[0]["of"]] > 0
         sums = lambda x: np.add.reduceat(x, chunk.first)
         out = {
@@ -232,7 +241,7 @@ def _score(share: float, weight: float, least: float, buckets: int, names: list[
             "n_known": pa.array(sums(known.astype(np.int64))),
             "train_tokens": pa.array(np.full(len(chunk.sizes), chunk.n)),
             "base_score": pa.array(sums(np.log10(chunk._chain(0)))),
-            "score": pa.array(sums(np.log10(chunk._chain(2, chunk.stays(least))))),
+            "score": pa.array(sums(np.log10(chunk._chain(tree.longest, chunk.stays())))),
         }
         return pa.table([out.get(c) if c in out else table.column(c) for c in names], names=names)
 
@@ -244,21 +253,27 @@ def score_texts(
     held_out,
     id_col: str = "doc_id",
     text_col: str = "text",
-    share: float = 2e-5,
+    share: float = 0.0,
     weight: float = 2000.0,
     least: float = 0.01,
     chunk_bytes: int = 8 << 20,
+    count: int = 7,
+    longest: int = 2,
 ) -> DataFrame:
     """One row per input row: ``id_col``, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words of the A-Z-lowered text and one end.  ``held_out`` is a
     boolean column of ``docs``; the other rows train.  ``base_score`` sums the
     log10 of the token frequencies' probabilities, ``score`` those of the tree.
+    A context has at most ``longest`` words (one exchange for each) and at least
+    ``count`` occurrences in training; ``share`` of the tokens can be asked of it
+    besides.
 
     * Null text: empty, one token.  A null in ``held_out`` counts as false.
     * Repeated rows count and are scored one by one.  Other columns are not
       looked at.  Empty table: empty result.
     """
+    tree = Tree(count, share, longest, weight, least)
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("binary"))), F.count("*")).first()
     n_chunks = max(1, -(-(total[0] or 0) // chunk_bytes), -(-total[1] // (chunk_bytes // 16)))
     buckets = max(1, n_chunks // 2)
@@ -269,22 +284,22 @@ def score_texts(
         F.pmod(F.xxhash64(F.col(id_col), F.octet_length(F.col(text_col).cast("binary"))), F.lit(n_chunks)).alias("_chunk"),
     )
     by_chunk = source.groupBy("_chunk")
-    asked = by_chunk.applyInArrow(_asker(0, share, weight, buckets), ASK)
+    asked = by_chunk.applyInArrow(_asker(0, tree, buckets), ASK)
     stats = asked.groupBy("bucket").applyInArrow(_stats, STATS).agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v"))
     stats = stats.select(F.struct("n", "v"))
-    answers = asked.groupBy("bucket").applyInArrow(_totals(0), ANSWER)
+    answers = asked.groupBy("bucket").applyInArrow(_totals(0, tree), ANSWER)
 
     def known():
         return answers.withColumn("s", stats.scalar()).select("chunk", "bucket", "kind", "totals", "s.n", "s.v").groupBy("chunk")
 
-    for level in (1, 2, 3):
-        asked = by_chunk.cogroup(known()).applyInArrow(_asker(level, share, weight, buckets), ASK)
-        answers = answers.union(asked.groupBy("bucket").applyInArrow(_totals(level), ANSWER))
+    for level in range(1, longest + 2):
+        asked = by_chunk.cogroup(known()).applyInArrow(_asker(level, tree, buckets), ASK)
+        answers = answers.union(asked.groupBy("bucket").applyInArrow(_totals(level, tree), ANSWER))
     fields = [
         StructField("_id", docs.schema[id_col].dataType),
         StructField("held_out", BooleanType()),
         *(StructField(c, LongType()) for c in ("n_tokens", "n_known", "train_tokens")),
         *(StructField(c, DoubleType()) for c in ("base_score", "score")),
     ]
-    run = _score(share, weight, least, buckets, [f.name for f in fields])
+    run = _score(tree, buckets, [f.name for f in fields])
     return by_chunk.cogroup(known()).applyInArrow(run, StructType(fields)).withColumnRenamed("_id", id_col)
