@@ -5,9 +5,9 @@ context if it occurs at least ``count`` times in training, whatever the size of
 the corpus, so contexts and the next-symbol counts they gather grow with it.  A
 candidate stays if the next-symbol distribution it brings diverges from its
 suffix's by at least ``least`` nats per occurrence (each occurrence judged by the
-counts without itself), and if its suffix stays.  A token is scored in the longest
-context that stays and ends just before it; each distribution is smoothed by that
-of its suffix:
+counts without itself), or if a longer context that stays ends with it, so that
+the path to each is there.  A token is scored in the longest context that stays
+and ends just before it; each distribution is smoothed by that of its suffix:
 
     P(w | s) = (c(s w) + weight P(w | suffix of s)) / (c(s) + weight)
 
@@ -16,7 +16,7 @@ down to the token frequencies, P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
 Documents are dealt into chunks of bounded size.  A chunk asks for the totals of
 its distinct n-grams and adds its own training counts to them; buckets of
 n-grams sum up and answer every chunk in the order it asked.  The divergences
-are summed in the same way.  So no count, context or distribution passes
+are summed in the same way, and the suffixes that a longer context needs are marked so.  So no count, context or distribution passes
 through the driver or is broadcast.  N-grams are told apart by 64-bit hashes.
 """
 
@@ -103,6 +103,8 @@ class Chunk:
                 self._open(level)
             elif level == self.tree.longest:
                 self._divergences()
+            elif level == self.tree.longest + 1:
+                self._suffixes()
 
     def _open(self, level: int) -> None:
         """Occurrences whose preceding ``level + 1`` tokens are a frequent n-gram."""
@@ -154,18 +156,44 @@ class Chunk:
         order = np.argsort(keys)
         self.levels.append({"keys": keys[order], "own": sums[order]})
 
-    def stays(self) -> list[np.ndarray]:
-        """For each context length, which of this chunk's n-grams of that length stay as contexts."""
+    def _passed(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each context length, which of this chunk's n-grams were tested as contexts, and which passed."""
         out, test = [], self.levels[self.tree.longest + 1]
         for level in range(1, self.tree.longest + 1):
             before = self.levels[level - 1]
             keys = _joined(np.full(len(before["keys"]), np.uint64(level)), before["keys"])
             at = np.minimum(np.searchsorted(test["keys"], keys), max(len(test["keys"]) - 1, 0))
             if not len(test["keys"]):
-                out.append(np.zeros(len(keys), bool))
+                out.append((np.zeros(len(keys), bool), np.zeros(len(keys), bool)))
                 continue
             known = test["keys"][at] == keys
-            out.append(known & (test["total"][at] >= self.tree.least * before["total"]))
+            out.append((known, known & (test["total"][at] >= self.tree.least * before["total"])))
+        return out
+
+    def _suffixes(self) -> None:
+        """The last level: contexts that failed, and whether a longer one of this chunk that stays ends with them."""
+        tests = self._passed()
+        use = [passed.copy() for _, passed in tests]
+        for k in range(len(use) - 1, 0, -1):
+            here = self.levels[k]
+            ok = here["frequent"] & use[k][here["of"]]
+            use[k - 1][self.levels[k - 1]["next"][here["at"][ok] + 1]] = True
+        keys, own = [np.empty(0, np.uint64)], [np.empty(0, bool)]
+        for k, (known, passed) in enumerate(tests[:-1]):
+            failed = known & ~passed
+            keys.append(_joined(np.full(int(failed.sum()), np.uint64(k + 1)), self.levels[k]["keys"][failed]))
+            own.append(use[k][failed])
+        keys, own = np.concatenate(keys), np.concatenate(own)
+        order = np.argsort(keys)
+        self.levels.append({"keys": keys[order], "own": own[order]})
+
+    def stays(self) -> list[np.ndarray]:
+        """For each context length, which of this chunk's n-grams of that length stay as contexts."""
+        out, asked = [], self.levels[self.tree.longest + 2]
+        needed = asked["keys"][asked["total"] > 0]
+        for k, (_, passed) in enumerate(self._passed()):
+            keys = self.levels[k]["keys"]
+            out.append(passed | np.isin(_joined(np.full(len(keys), np.uint64(k + 1)), keys), needed))
         return out
 
 
@@ -232,7 +260,7 @@ def _score(tree: Tree, buckets: int, names: list[str]):
     def run(key, table, answers):
         release()
         chunk = Chunk(table, tree)
-        chunk.learn(answers, buckets, tree.longest + 1)
+        chunk.learn(answers, buckets, tree.longest + 2)
         known = chunk.levels[0]["total"][chunk.levels[0]["of"]] > 0
         sums = lambda x: np.add.reduceat(x, chunk.first)
         out = {
@@ -292,7 +320,7 @@ def score_texts(
     def known():
         return answers.withColumn("s", stats.scalar()).select("chunk", "bucket", "kind", "totals", "s.n", "s.v").groupBy("chunk")
 
-    for level in range(1, longest + 2):
+    for level in range(1, longest + 3):
         asked = by_chunk.cogroup(known()).applyInArrow(_asker(level, tree, buckets), ASK)
         answers = answers.union(asked.groupBy("bucket").applyInArrow(_totals(level, tree), ANSWER))
     fields = [

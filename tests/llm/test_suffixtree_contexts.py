@@ -11,8 +11,8 @@ from codeloom.llm import suffixtree
 from test_suffixtree import same, tokens
 
 
-def brute(rows, count, longest, weight, least, closed=False):
-    """As test_suffixtree.brute, for contexts of up to ``longest`` words; ``closed``: suffixes of a context that stays do so."""
+def brute(rows, count, longest, weight, least):
+    """As test_suffixtree.brute, for contexts of up to ``longest`` words; the suffixes of a context that stays do so, too."""
     grams = Counter()
     train = [tokens(t) for _, t, held in rows if not held]
     for w in train:
@@ -40,8 +40,7 @@ def brute(rows, count, longest, weight, least, closed=False):
             for size in range(1, len(p)):
                 gain[tuple(w[k - size : k])] += math.log(p[size] / p[size - 1])
     stay = {s for s in asked if gain[s] >= least * grams[s]}
-    if closed:
-        stay |= {s[k:] for s in stay for k in range(1, len(s))}
+    stay |= {s[k:] for s in stay for k in range(1, len(s))}
     out = []
     for i, t, held in rows:
         w = tokens(t)
@@ -74,7 +73,7 @@ def test_longer_contexts(spark):
         rows.append((k, " ".join(words), k % 5 == 1))
     scores = {}
     for longest in (1, 2, 3, 4):
-        want, stay = brute(rows, 7, longest, 20.0, 0.01, closed=CLOSED)
+        want, stay = brute(rows, 7, longest, 20.0, 0.01)
         assert longest < 3 or any(len(s) == 3 for s in stay)
         for size in (8 << 20, 1500):
             same(suffixtree.score_texts(table(spark, rows), F.col("held"), weight=20.0, longest=longest, chunk_bytes=size), want)
@@ -82,4 +81,16 @@ def test_longer_contexts(spark):
     assert scores[3] > scores[2]
 
 
-CLOSED = False
+def test_a_context_keeps_its_suffixes(spark):
+    """After b alone each word is as frequent as anywhere; after a b it is always c."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(300):
+        words = []
+        for _ in range(20):
+            words += rng.choice((["a", "b", "c"], ["d", "b", rng.choice("abcdefgh")], [rng.choice("abcdefgh")]))
+        rows.append((k, " ".join(words), k % 5 == 1))
+    want, stay = brute(rows, 7, 2, 20.0, 0.6)
+    assert ("a", "b") in {tuple(x.decode() if isinstance(x, bytes) else x for x in s) for s in stay}
+    for size in (8 << 20, 1500):
+        same(suffixtree.score_texts(table(spark, rows), F.col("held"), weight=20.0, least=0.6, chunk_bytes=size), want)
