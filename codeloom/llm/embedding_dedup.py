@@ -8,8 +8,8 @@ keeps its ``k`` best.  A node whose whole list lies above the threshold is
 saturated: its list is enlarged to all links it has, by comparing the saturated
 nodes of a label with each other in blocks, which count links and keep a
 spanning forest of them; links to other nodes are in those nodes' lists.  The
-links of a sample of nodes are counted exactly, and rounds go on until the
-audited recall reaches its target.
+links of a sample of nodes are counted exactly, a larger one where links are rare,
+and rounds go on until the audited recall reaches its target.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from codeloom.llm.simhash import forest
 from codeloom.llm.staging import stage
 
 RUN = 48
+#: Nodes that one pass of the audit compares with all.
+MOST_ASKED = 2048
 EDGE = "u long, v long, sim double, fresh int"
 
 
@@ -195,27 +197,47 @@ def _harvest(edges, nodes, k, threshold, block):
     return stage(links, "counts"), near.union(dense.where("node <> root").select("node", "root"))
 
 
-def _audit(nodes, links, threshold, queries):
-    """Share of the links of some nodes, chosen by hash, that were found; 1 if they have none."""
-    asked = nodes.orderBy(F.xxhash64("node")).limit(queries).select("node", "g", "vec").toArrow()
-    if not asked.num_rows:
-        return 1.0
+def _counted(nodes, threshold, queries, least):
+    """Exact links (node, links) of nodes taken by hash: about ``queries`` of them, then more, until
+    ``least`` links are counted or every node is.  Each pass compares at most MOST_ASKED or ``queries`` with all nodes."""
+    parts = max(1, -(-nodes.count() // queries))
+    part = F.pmod(F.xxhash64("node"), F.lit(parts))
+    most = max(1, MOST_ASKED // queries)
+    out, done, total = None, 0, 0
+    while done < parts and total < least:
+        step = min(max(done, 1), most)
+        exact = _exact(nodes, nodes.where((part >= done) & (part < done + step)), threshold)
+        total += exact.agg(F.sum("links")).first()[0] or 0
+        out = exact if out is None else out.union(exact)
+        done += step
+    return out
+
+
+def _exact(nodes, chosen, threshold):
+    """Number of linked vectors in other nodes and copies of the node, for few chosen nodes against all."""
+    asked = chosen.select("node", "g", "vec").toArrow()
     sent = nodes.sparkSession.sparkContext.broadcast(
         [(g, ids.to_numpy(), _matrix(vec)) for g, ids, vec in _by_group(asked.column("g"), asked.column("node"), asked.column("vec"))]
     )
 
     def run(batches):
+        groups = {g: (ids, x) for g, ids, x in sent.value}
         for b in batches:
-            groups = {g: (ids, x) for g, ids, x in sent.value}
-            for g, m, vec in _by_group(b.column(0), b.column(1), b.column(2)):
-                if g in groups:
-                    ids, x = groups[g]
-                    near = ((x @ _matrix(vec).T >= threshold) @ m.to_numpy()).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near)], names=["node", "exact"])
-
-    exact = nodes.select("g", "m", "vec").mapInArrow(run, "node long, exact long").groupBy("node").agg(F.sum("exact").alias("exact"))
-    row = exact.join(nodes.select("node", "m"), "node").join(links, "node", "left")
-    total, found = row.agg(F.sum(F.col("exact") - F.col("m")), F.sum(F.least(F.col("exact") - F.col("m"), F.coalesce("links", F.lit(0))))).first()
+            for start in range(0, b.num_rows, 1024):
+                for g, m, vec in _by_group(*b.slice(start, 1024).columns):
+                    if g in groups:
+                        ids, x = groups[g]
+                        near = ((x @ _matrix(vec).T >= threshold) @ m.to_numpy()).astype(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near)], names=["node", "near"])
+
+    near = nodes.select("g", "m", "vec").mapInArrow(run, "node long, near long").groupBy("node").agg(F.sum("near").alias("near"))
+    return stage(near.join(nodes.select("node", "m"), "node").select("node", (F.col("near") - F.col("m")).alias("links")), "audit")
+
+
+def _audit(counted, links):
+    """Share of the exactly counted links that were found; 1 only if every node was counted and none has a link."""
+    row = counted.withColumnRenamed("links", "exact").join(links, "node", "left")
+    total, found = row.agg(F.sum("exact"), F.sum(F.least("exact", F.coalesce("links", F.lit(0))))).first()
     return found / total if total else 1.0
 
 
@@ -240,11 +262,13 @@ def near_duplicates(
     recall: float = 0.97,
     queries: int = 200,
     block: int = 1024,
+    audited: int = 1000,
 ) -> DataFrame:
     """One row per input row: ``id_col``, n_links, component_id, kept.
 
     Two vectors are linked if their labels are equal and not null and their
-    cosine in double precision is at least ``threshold``.
+    cosine in double precision is at least ``threshold``.  Recall is audited on
+    ``queries`` nodes or as many more as have ``audited`` links together.
 
     * A vector that is null, empty, zero, or has null or non-finite components
       links with nothing; vectors of different lengths do not either.
@@ -260,13 +284,14 @@ def near_duplicates(
     nodes = rows.where("g is not null").groupBy("g", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     edges = stage(_keep_best(_first_graph(nodes, k, projections, 1), k), "graph")
+    counted = _counted(nodes, threshold, queries, audited)
     turn = 0
     while True:
         for _ in range(rounds if not turn else 2):
             turn += 1
             edges = stage(_descend(edges, nodes, k, turn), "graph")
         links, near = _harvest(edges, nodes, k, threshold, block)
-        share = _audit(nodes, links, threshold, queries)
+        share = _audit(counted, links)
         if share >= recall or turn >= most_rounds:
             break
     if share < recall:
