@@ -9,7 +9,8 @@ saturated: its list is enlarged to all links it has, by comparing the saturated
 nodes of a label with each other in blocks, which count links and keep a
 spanning forest of them; links to other nodes are in those nodes' lists.  The
 links of a sample of nodes are counted exactly, a larger one where links are rare,
-and rounds go on until the audited recall reaches its target.
+and rounds go on until the audited recall reaches its target.  Where it has not
+after the most rounds, all nodes of a label are compared with each other in blocks.
 """
 
 from __future__ import annotations
@@ -197,6 +198,13 @@ def _harvest(edges, nodes, k, threshold, block):
     return stage(links, "counts"), near.union(dense.where("node <> root").select("node", "root"))
 
 
+def _every_link(nodes, threshold, block):
+    """As _harvest, from all nodes of a label compared with each other in pairs of blocks."""
+    dense = stage(_dense(nodes, nodes.select("node"), threshold, block), "dense")
+    links = stage(dense.groupBy("node").agg(F.sum("links").alias("links")), "counts")
+    return links, dense.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+
 def _counted(nodes, threshold, queries, least):
     """Exact links (node, links) of nodes taken by hash: about ``queries`` of them, then more, until
     ``least`` links are counted or every node is.  Each pass compares at most MOST_ASKED or ``queries`` with all nodes."""
@@ -295,7 +303,8 @@ def near_duplicates(
         if share >= recall or turn >= most_rounds:
             break
     if share < recall:
-        logging.getLogger(__name__).warning("audited recall %.3f after %d rounds", share, turn)
+        logging.getLogger(__name__).warning("audited recall %.3f after %d rounds, comparing all nodes", share, turn)
+        links, near = _every_link(nodes, threshold, block)
     roots = stage(components(near), "roots")
     full = nodes.join(links, "node", "left").join(roots, "node", "left")
     full = full.select("g", "vec", "rep", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))

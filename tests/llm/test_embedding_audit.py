@@ -26,3 +26,9 @@ def test_no_link_in_the_first_nodes_is_not_recall_one(spark, sparse, monkeypatch
     assert sum(n for n, _ in want.values()) > 60
     assert seen[0] < 0.9  # one round over one projection finds few of the isolated pairs
     assert set(have) == set(want)
+
+
+def test_what_the_rounds_miss_is_compared_exactly(spark, sparse):
+    df = spark.createDataFrame(sparse, "vec_id long, embedding array<double>, label int")
+    have = got(embedding_dedup.near_duplicates(df, k=2, projections=1, rounds=1, most_rounds=1, block=400))
+    assert {i: v[:2] for i, v in have.items()} == brute(sparse)
