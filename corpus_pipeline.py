@@ -22,16 +22,26 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.score_quality(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
 
 
+def _numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row in a column of its own, written once so that it stays the same."""
+    row = name
+    while row in docs.columns:
+        row += "_"
+    return stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id.
+    """One row of each group of near-duplicates: the one with the smallest id, and of those with the smallest text.
 
-    Repeated rows of that id count as one document; rows without an id cannot
-    be told apart by it and stay.
+    Rows are told apart by a number of their own, not by their ids: rows of one id
+    whose texts are no near-duplicates all stay, and rows without an id are
+    compared like the others; they stand behind those with one.
     """
-    groups = simhash.near_duplicates(docs, shingle=4, bits=4)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    numbered, row = _numbered(docs, "_row")
+    groups = simhash.near_duplicates(numbered, shingle=4, bits=4, id_col=row).select(row, F.col("component_id").alias("_component"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.sha2(F.col("text").cast("binary"), 256), F.col(row).alias("_kept"))
+    first = numbered.select(row, order.alias("_order")).join(groups, row).groupBy("_component").agg(F.min("_order").alias("_order"))
+    return numbered.join(first.select(F.col("_order._kept").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
