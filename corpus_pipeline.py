@@ -59,9 +59,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item by 0.8 or more of its 5-word shingles."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), shingle=5, threshold=0.8)
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Rows that contain no benchmark item by 0.8 or more of its 5-word shingles, each judged by its own text."""
+    numbered, row = _numbered(docs, "_row")
+    found = decontaminate.contaminated(numbered, table(spark, sf_dir, "benchmark"), id_col=row, shingle=5, threshold=0.8)
+    return numbered.join(found.select(row).distinct(), row, "left_anti").select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

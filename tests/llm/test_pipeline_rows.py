@@ -23,3 +23,11 @@ def test_texts_that_share_an_id_stay(spark):
     rows = [(5, x), (5, y), (3, y), (5, z), (5, z), (None, u), (None, u), (None, x)]
     want = sorted([(5, x), (3, y), (5, z), (None, u)], key=str)
     assert kept(spark, cp.simhash_near_dedup, rows) == want
+
+
+def test_each_row_is_judged_by_its_own_text(spark):
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    leak = max(items, key=lambda t: len(t or ""))
+    clean = text(7)
+    rows = [(None, leak), (None, clean), (4, leak), (4, clean)]
+    assert kept(spark, cp.benchmark_decontamination, rows) == sorted([(None, clean), (4, clean)], key=str)
