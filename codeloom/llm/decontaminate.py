@@ -1,7 +1,8 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-Test items are partitioned by their number of word shingles into classes of at
-most S = 16, 32, 64, ... shingles.  For a class, a document is read as windows
+Test items are partitioned by their number of distinct word shingles into classes
+of at most S = 16, 32, 64, ... shingles; a repetitive item, which is longer than
+these, is in the class of its length, too.  For a class, a document is read as windows
 of 2 S shingles, one every S, so that an item lying anywhere in a document of
 any length meets a domain of its own size.  Items and windows get a one-
 permutation MinHash of ``BINS`` bins; an item and a document are candidates
@@ -61,13 +62,17 @@ class ItemBlock:
             self.sets.append(_shingles(words, n) if n else set())
             self.length.append(n)
             if n:
-                count = len(words) - n + 1
-                size = 1 if count <= FEW else LEAST
-                while size > 1 and size < count:
-                    size *= 2
-                classes[n, size].append(k)
+                for size in {self._size(len(self.sets[k])), self._size(len(words) - n + 1)}:
+                    classes[n, size].append(k)
         self.classes = {key: self._signatures(key[0], which) for key, which in classes.items()}
 
+    @staticmethod
+    def _size(count: int) -> int:
+        size = 1 if count <= FEW else LEAST
+        while size > 1 and size < count:
+            size *= 2
+        return size
+
     def _signatures(self, n: int, which: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         values, items = [], []
         for k in which:
