@@ -113,10 +113,17 @@ def held_out(id_col: str, remainder: int, folds: int):
 
 
 def _sample(docs, labels, id_col, text_col, label_col, per_label):
-    """Term counts of at most ``per_label`` labelled texts for each label, chosen by a hash of the id."""
+    """Term counts of at most ``per_label`` labelled texts for each label, chosen by a hash of the id.
+
+    An id counts once, with the label that most of its rows have (0 if as many
+    have either) and the first of its texts.
+    """
     known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col, 1, 3)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    known = known.groupBy("id").agg((F.avg("y") > 0.5).cast("int").alias("y"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
+    known = known.join(texts.select("id").distinct(), "id", "left_semi")
     chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_label) for y in (0, 1)]
-    rows = F.broadcast(chosen[0].union(chosen[1])).join(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")), "id")
+    rows = F.broadcast(chosen[0].union(chosen[1])).join(texts, "id").groupBy("id").agg(F.first("y").alias("y"), F.min("t").alias("t"))
 
     def run(batches):
         for b in batches:
@@ -128,7 +135,7 @@ def _sample(docs, labels, id_col, text_col, label_col, per_label):
                     value.append(row[at].tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(place, pa.binary()), pa.array(value, pa.binary())], names=["y", "place", "value"])
 
-    got = rows.select("y", "t").mapInArrow(run, "y int, place binary, value binary").limit(4 * per_label).collect()
+    got = rows.select("y", "t").mapInArrow(run, "y int, place binary, value binary").collect()
     got.sort(key=lambda r: (r.y, bytes(r.place), bytes(r.value)))  # the fit does not depend on the order of arrival
     x = np.zeros((len(got), TERMS), np.float32)
     for k, r in enumerate(got):
