@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, chat, decontaminate, embedding_dedup, packing, quality, simhash, substrings, suffixtree, warc
+from codeloom.llm import bpe, chat, decontaminate, embedding_dedup, licenses, packing, quality, simhash, substrings, suffixtree, warc
 from codeloom.llm.staging import staging_path, table
 
 QUERIES: dict = {}
@@ -184,3 +184,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents packed into sequences of 2048."""
     docs = table(spark, sf_dir, "documents")
     return packing.pack_tokens(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, size=2048)
+
+
+@op("op13_license_scan")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices, tags and expressions in every whole document."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
