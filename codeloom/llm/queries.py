@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, chat, decontaminate, embedding_dedup, licenses, packing, quality, simhash, substrings, suffixtree, warc
+from codeloom.llm import bpe, chat, decontaminate, embedding_dedup, licenses, negatives, packing, quality, simhash, substrings, suffixtree, warc
 from codeloom.llm.staging import staging_path, table
 
 QUERIES: dict = {}
@@ -190,3 +190,34 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices, tags and expressions in every whole document."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@op(
+    "op12_hard_negatives",
+    """
+with known as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+           list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+    from embeddings
+    where label is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+    select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+           cast(list_sum(list_transform(list_zip(a.v, b.v), lambda x: x[1] * x[2])) as bigint) as score
+    from known a join known b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+positive as (
+    select anchor_id, vec_id as positive_id, score as positive_score
+    from scored where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+inside as (
+    select anchor_id, positive_id, vec_id as negative_id, positive_score, score as negative_score,
+           row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as rank
+    from positive join scored using (anchor_id)
+    where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score
+from inside where rank <= 10
+""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every embedding whose id is divisible by 100."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)

@@ -83,7 +83,7 @@ def test_odd_rows(spark):
     rows = [
         (1, None, "clash", 1), (None, "All rights\n\treserved.", "clash", 2), (2, "", None, 3), (2, "", None, 3),
         (3, long, "l", 4), (4, "acc by cc bye", "l", 5), (5, "# SPDX-License-Identifier: MIT OR Apache-2.0\nAll", "l", 6),
-        (6, "CC BY Àcc by", "l", 7), (7, "License: see the file", "l", 8), (8, "License: GPL-2.0", "l", 9),
+        (6, "CC\u00a0BY \u00c0cc by", "l", 7), (7, "License: see the file", "l", 8), (8, "License: GPL-2.0", "l", 9),
         (9, "cc by cc by general public license", "l", 10),
     ]
     got = lic.scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()
