@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, chat, decontaminate, embedding_dedup, licenses, negatives, packing, quality, simhash, substrings, suffixtree, warc
+from codeloom.llm import bpe, chat, decontaminate, embedding_dedup, licenses, negatives, packing, quality, simhash, substrings, suffixtree, variants, warc
 from codeloom.llm.staging import staging_path, table
 
 QUERIES: dict = {}
@@ -221,3 +221,54 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every embedding whose id is divisible by 100."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
+@op(
+    "op11_spelling_variants",
+    r"""
+with recursive
+bit as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+               lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+run as (
+    select doc_id, w, count(*) as n
+    from (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[A-Za-z\u00C0-\u00FF]+')) as w from documents) x
+    where length(w) >= 6 group by doc_id, w),
+coded as (
+    select w, n, flatten(list_transform(string_split(doc_id || ':' || w, ''),
+                  lambda c: case when unicode(c) < 128 then [unicode(c)] else [195, unicode(c) - 64] end)) as b
+    from run),
+summed as (
+    select w, n, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(b, lambda x: x::bigint)),
+                                 lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) as h
+    from coded, bit),
+spelt as (
+    select case when h % 199 = 0 then substr(w, 1, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as word, n
+    from summed),
+voc as (select word, cast(sum(n) as bigint) as n from spelt where length(word) >= 6 group by word having sum(n) >= 5),
+cut as (select word, n, unnest(range(1, length(word) + 1)) as i from voc),
+less as (select word, n, i, substr(word, 1, i - 1) as a, substr(word, i + 1) as z from cut),
+pair as (
+    select l.word, l.n, r.word as other, r.n as m
+    from less l join less r on l.i = r.i and l.a = r.a and l.z = r.z and l.word <> r.word
+    union all
+    select d.word, d.n, v.word, v.n from (select distinct word, n, a || z as rest from less) d join voc v on d.rest = v.word
+    union all
+    select v.word, v.n, d.word, d.n from (select distinct word, n, a || z as rest from less) d join voc v on d.rest = v.word),
+best as (
+    select word, count(*) as n_near, first(other order by m desc, encode(other)) as top, max(m) as top_n from pair group by word),
+formed as (
+    select v.word, v.n, coalesce(n_near, 0) as n_near, case when top_n >= 5 * v.n then top end as form,
+           case when top_n >= 5 * v.n then top_n end as form_n
+    from voc v left join best b on v.word = b.word),
+walk as (
+    select word, word as root from formed where form is null
+    union all
+    select f.word, w.root from walk w join formed f on f.form = w.word)
+select f.word, f.form, w.root, f.n, cast(f.n_near as bigint) as n_near, f.form_n
+from formed f join walk w on f.word = w.word
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among all words of the documents, with the contract's misspellings."""
+    return variants.spelling_variants(table(spark, sf_dir, "documents"), least=6, occurrences=5, factor=5, noise=199)
