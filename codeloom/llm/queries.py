@@ -232,7 +232,7 @@ bit as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i,
 run as (
     select doc_id, w, count(*) as n
     from (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                                   '[A-Za-z\u00C0-\u00FF]+')) as w from documents) x
+                                                   '[A-Za-z\x{C0}-\x{FF}]+')) as w from documents) x
     where length(w) >= 6 group by doc_id, w),
 coded as (
     select w, n, flatten(list_transform(string_split(doc_id || ':' || w, ''),
