@@ -78,9 +78,7 @@ cmp as (select metric, max(case when variant = 'trained' then mean end) as train
 
 
 def _scores(t):
-    rl = t["results_long"]
-    scores = CM.score_pairs(rl, IDS, with_ast=False, partitions=t.partitions)
-    return rl.select("dataset_name", "variant", *IDS).join(scores, IDS)
+    return CM.score_pairs(t["results_long"], ["dataset_name", "variant", *IDS], with_ast=False, partitions=t.partitions)
 
 
 def _gm(t):
@@ -245,6 +243,16 @@ def l6(t):
     return g.select("dataset_name", "variant", "metric", round6("mean").alias("mean"), round6("std").alias("std"))
 
 
+@query("L6_shared_signatures", ["results_long"], _L6_SQL)
+def l6_shared(t):
+    """The same where functions are known by a signature that both variants of a dataset share."""
+    from codeloom.plans.evaluation import score_generations
+
+    named = t["results_long"].withColumn("signature", F.concat(F.lit("f"), "turn"))
+    g = score_generations(named, ["signature"], partitions=t.partitions)
+    return g.select("dataset_name", "variant", "metric", round6("mean").alias("mean"), round6("std").alias("std"))
+
+
 @query("L7_compare_report", ["results_long"],
        _SCORES_SQL + """
 select metric, round(trained, 6) as trained, round(not_trained, 6) as not_trained,

@@ -97,3 +97,14 @@ def test_ngram_scores_need_no_shuffle(spark):
     df = spark.createDataFrame([(1, "a b c", "a b d")], "id long, reference string, candidate string")
     plan = CM.ngram_scores(df, ["id"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_variants_may_share_signatures(spark):
+    """Scores stay with their own variant though the ids repeat."""
+    from codeloom.plans.evaluation import score_generations
+
+    code = "def f(a):\n    return a"
+    rows = [("d", "trained", "f", code, code), ("d", "not_trained", "f", code, code + "xyz"), ("d", "trained", "g", code, None)]
+    df = spark.createDataFrame(rows, "dataset_name string, variant string, signature string, reference string, candidate string")
+    got = {r["variant"]: (r["mean"], r["std"]) for r in score_generations(df, ["signature"]).collect() if r["metric"] == "levenshtein_distance"}
+    assert got == {"trained": (0.0, 0.0), "not_trained": (3.0, 0.0)}
