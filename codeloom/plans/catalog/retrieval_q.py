@@ -31,6 +31,13 @@ def j6_nearest(t):
     return nn.select("dataset_name", "id", "neighbor_id", "rank", round6("distance").alias("distance"))
 
 
+@query("J6_nearest_cells", views=["function_base"], sql=None)
+def j6_cells(t):
+    """The same with blocks so small that every dataset is cut into pivot cells."""
+    nn = nearest(t["function_base"], "id", "embedding", "dataset_name", k=5, block_size=128)
+    return nn.select("dataset_name", "id", "neighbor_id", "rank", round6("distance").alias("distance"))
+
+
 @query("W4_neighbour_rank", views=["function_base"], sql=None)
 def w4_rank(t):
     """Rank positions 1..k per query (count of neighbours at each rank)."""
@@ -64,6 +71,7 @@ from codeloom.plans.registry import REGISTRY  # noqa: E402
 
 REGISTRY["J6_nearest"].body = _nn_sql(
     "select dataset_name, id, neighbor_id, cast(rank as integer) as rank, round(distance, 6) as distance from nn")
+REGISTRY["J6_nearest_cells"].body = REGISTRY["J6_nearest"].body
 REGISTRY["W4_neighbour_rank"].body = _nn_sql(
     "select dataset_name, cast(rank as integer) as rank, count(*) as n_queries from nn group by dataset_name, rank")
 _CTX = ("(" + sql_text(T.CONTEXT_HEADING) + " || coalesce(string_agg(b.raw_source_code || "
