@@ -8,8 +8,8 @@ explicit; nothing is inferred from data except JSON metric keys.
 
 from __future__ import annotations
 
-import csv
 import io
+import json
 import re
 import tarfile
 from typing import Iterator
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.functions.text import NA_WORDS
+from codeloom.sources.headed import NAME as HEADED
+from codeloom.sources.headed import HeadedCsv
 
 CALL_GRAPH_KEY = "call-graph-v1.0"
 #: Text of one archive sent on at once.
@@ -55,53 +57,21 @@ def file_stem(path: Column, suffix: str) -> Column:
     return F.regexp_replace(name, re.escape(suffix) + "$", "")
 
 
-def _as_glob(path: str) -> str:
-    """A file's path with the characters escaped that a path pattern would expand."""
-    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+def _headed(spark: SparkSession, path: str, check: bool, **options) -> DataFrame:
+    """CSV files of ``path`` by their own headers (:mod:`codeloom.sources.headed`), each read once.
 
-
-def _layouts(spark: SparkSession, pattern: str) -> list[tuple[tuple[str, ...], list[str]]]:
-    """The files that match ``pattern`` by their header row: (column names, files).
-
-    One scan keeps the first line of each file; what reaches the driver is the
-    list of files, as for any read.
+    With ``check`` the headers alone are looked at first, in tasks: a bad one, or
+    none at all, raises here and not when the rows are read.
     """
-    lines = spark.read.text(pattern).select(
-        _path_col().alias("file"), F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("at"), "value")
-    first = lines.filter(F.col("start") == 0).groupBy("file").agg(F.min_by("value", "at").alias("header"))
-    found: dict[tuple[str, ...], list[str]] = {}
-    for row in first.collect():
-        names = next(csv.reader([row["header"].lstrip("\ufeff")]), [])
-        found.setdefault(tuple(n.strip() for n in names), []).append(row["file"])
-    return sorted((names, sorted(files)) for names, files in found.items())
-
-
-def _read_layout(spark: SparkSession, names: tuple[str, ...], files: list[str]) -> DataFrame:
-    """Files of one header: its columns as strings, by name, and ``_file``."""
-    named = [n for n in names if n]
-    if len(set(named)) < len(named):
-        raise ValueError(f"a column occurs twice in the header {list(names)} of {files[0]}")
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    raw = (spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
-           .csv([_as_glob(f) for f in files]))
-    return raw.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n], _path_col().alias("_file"))
-
-
-def _read_by_name(spark: SparkSession, pattern: str, columns: dict[str, str], required: tuple[str, ...]) -> DataFrame:
-    """All files of ``pattern`` with ``columns`` (header name -> output name), each file
-    read by its own header; an absent column is null, an absent required one raises."""
-    out = None
-    for names, files in _layouts(spark, pattern):
-        missing = [c for c in required if c not in names]
-        if missing:
-            raise ValueError(f"missing column(s) {missing} in {files[:3]}")
-        df = _read_layout(spark, names, files).select(
-            "_file", *[(F.col(f"`{c}`") if c in names else F.lit(None).cast("string")).alias(to) for c, to in columns.items()])
-        out = df if out is None else out.unionByName(df)
-    if out is None:
-        raise ValueError(f"no file with a header matches {pattern}")
-    return out
+    spark.dataSource.register(HeadedCsv)
+    options = {k: v if isinstance(v, str) else json.dumps(v) for k, v in options.items()}
+    options |= {"path": path, "tasks": str(2 * spark.sparkContext.defaultParallelism)}
+    if check:
+        told = spark.read.format(HEADED).options(**options, only="headers").load()
+        files, fault = told.agg(F.sum("files"), F.min("fault")).first()
+        if fault or not files:
+            raise ValueError(fault or f"no file with a header matches {path}")
+    return spark.read.format(HEADED).options(**options).load().withColumnRenamed("file", "_file")
 
 
 # S1 -------------------------------------------------------------------------
@@ -228,14 +198,15 @@ def _null_na(c: str, na_words=NA_WORDS) -> Column:
     return F.when(F.col(c).isin(*na_words), F.lit(None).cast("string")).otherwise(F.col(c))
 
 
-def read_graph(spark: SparkSession, root: str, layout: str = "folders") -> tuple[DataFrame, DataFrame]:
+def read_graph(spark: SparkSession, root: str, layout: str = "folders", check: bool = True) -> tuple[DataFrame, DataFrame]:
     """``(nodes, edges)`` of every package under ``root``, each file read by its header.
 
     ``layout='folders'``: ``root/<package>/nodes.csv`` and ``edges.csv`` (a
     package missing either file is skipped); ``'partitioned'`` and ``'parquet'``:
     the layouts of :func:`codeloom.sources.writers.write_graph`.  Absent columns
     (an edge's ``type``, a node's description or signature) read as null;
-    pandas' missing-value words in ``source_code`` read as null.
+    pandas' missing-value words in ``source_code`` read as null.  ``check``:
+    look at the headers now instead of failing when the rows are read.
     """
     root = root.rstrip("/")
     if layout == "parquet":
@@ -246,8 +217,8 @@ def read_graph(spark: SparkSession, root: str, layout: str = "folders") -> tuple
         if layout not in where:
             raise ValueError(f"unknown layout {layout!r}")
         kept = lambda schema: {c.split()[0]: c.split()[0] for c in schema.split(", ")}
-        nodes = _read_by_name(spark, f"{root}/{where[layout][0]}", kept(NODE_SCHEMA), ("node", "source_code"))
-        edges = _read_by_name(spark, f"{root}/{where[layout][1]}", kept(EDGE_SCHEMA), ("node1", "node2"))
+        nodes = _headed(spark, f"{root}/{where[layout][0]}", check, columns=kept(NODE_SCHEMA), required=["node", "source_code"])
+        edges = _headed(spark, f"{root}/{where[layout][1]}", check, columns=kept(EDGE_SCHEMA), required=["node1", "node2"])
         nodes = nodes.withColumn("package", parent_folder(F.col("_file"))).withColumn("source_code", _null_na("source_code"))
         edges = edges.withColumn("package", parent_folder(F.col("_file"))).withColumn("type", F.col("type").cast("int"))
     both = nodes.select("package").distinct().join(edges.select("package").distinct(), "package")
@@ -269,11 +240,12 @@ FUNCTION_BASE_COLUMNS = {"function signature": "signature", "comment": "comment"
                          "raw_source_code": "raw_source_code", "embeddings": "embeddings"}
 
 
-def read_function_base(spark: SparkSession, root: str, name: str = "function_base.csv") -> DataFrame:
+def read_function_base(spark: SparkSession, root: str, name: str = "function_base.csv", check: bool = True) -> DataFrame:
     """``dataset_name, signature, comment, raw_source_code, embeddings`` of every
     dataset folder, each file read by its header; a file without the code
     column raises, other absent columns are null.  ``name`` may be a pattern."""
-    df = _read_by_name(spark, f"{root.rstrip('/')}/*/{name}", FUNCTION_BASE_COLUMNS, ("raw_source_code",))
+    columns = {to: c for c, to in FUNCTION_BASE_COLUMNS.items()}
+    df = _headed(spark, f"{root.rstrip('/')}/*/{name}", check, columns=columns, required=["raw_source_code"])
     return df.select(parent_folder(F.col("_file")).alias("dataset_name"), *FUNCTION_BASE_COLUMNS.values())
 
 
@@ -281,7 +253,8 @@ def read_function_base(spark: SparkSession, root: str, name: str = "function_bas
 VARIANTS = ("context_generation", "no_context_generation", "simple_generation")
 
 
-def read_results(spark: SparkSession, root: str, pattern: str = "*/*.csv", variants: tuple[str, ...] = VARIANTS) -> DataFrame:
+def read_results(spark: SparkSession, root: str, pattern: str = "*/*.csv", variants: tuple[str, ...] = VARIANTS,
+                 check: bool = True) -> DataFrame:
     """Every ``*.csv`` of every dataset folder in long form:
     ``dataset_name, file, signature, reference, variant, candidate``.
 
@@ -291,22 +264,10 @@ def read_results(spark: SparkSession, root: str, pattern: str = "*/*.csv", varia
     Other columns, such as an index, are left out.  A file without a reference
     or without any variant raises.
     """
-    out = None
-    for names, files in _layouts(spark, f"{root.rstrip('/')}/{pattern}"):
-        reference = next((c for c in ("source code", "ground_truth") if c in names), None)
-        found = [c for c in names if c in variants]
-        if reference is None or not found:
-            raise ValueError(f"no reference or variant column in {list(names)} of {files[:3]}")
-        df = _read_layout(spark, names, files)
-        signature = F.col("`function signature`") if "function signature" in names else F.lit(None).cast("string")
-        each = F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col(f"`{v}`").alias("c")) for v in found]))
-        df = df.select(parent_folder(F.col("_file")).alias("dataset_name"), file_stem(F.col("_file"), ".csv").alias("file"),
-                       signature.alias("signature"), F.col(f"`{reference}`").alias("reference"), each.alias("_x"))
-        df = df.select("dataset_name", "file", "signature", "reference", F.col("_x.v").alias("variant"), F.col("_x.c").alias("candidate"))
-        out = df if out is None else out.unionByName(df)
-    if out is None:
-        raise ValueError(f"no file with a header matches {root}/{pattern}")
-    return out
+    df = _headed(spark, f"{root.rstrip('/')}/{pattern}", check, required=["reference"], each=list(variants),
+                 columns={"reference": ["source code", "ground_truth"], "signature": "function signature"})
+    return df.select(parent_folder(F.col("_file")).alias("dataset_name"), file_stem(F.col("_file"), ".csv").alias("file"),
+                     "signature", "reference", F.explode("each").alias("variant", "candidate"))
 
 
 # S9 -------------------------------------------------------------------------
