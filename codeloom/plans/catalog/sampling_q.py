@@ -9,6 +9,7 @@ from codeloom.functions import tokens as TK
 from codeloom.functions.text import fill_missing_source
 from codeloom.operators import sampling as S
 from codeloom.plans.registry import query
+from codeloom.session import cut_lineage
 
 SEED, EPOCH, BATCH = 42, 0, 16
 VOCAB_MOD = TK.DEFAULT_VOCAB - 1
@@ -132,12 +133,14 @@ batches as (
   select 'validation', package, edge_id, p - 1, cast(floor((p - 1) / 16) as bigint) from va)"""
 
 
-def _batches(t, frame=None):
-    split = _split(t)
-    rows = frame if frame is not None else t["edge_docs"]
-    rows = rows.join(split.select("package", "split"), "package")
+def _batches(t):
+    rows = t["edge_docs"].select("package", "edge_id")
+    # the light table that every step reads is written once
+    rows = cut_lineage(rows.join(_split(t).select("package", "split", "order_key"), "package"))
+    split = rows.select("package", "split", "order_key").distinct()
     train = S.assign_batches(rows.filter(F.col("split") == "train"), BATCH, True, "edge_id", SEED, EPOCH)
-    val_rows = rows.filter(F.col("split") == "validation")
+    train = train.drop("order_key")
+    val_rows = rows.filter(F.col("split") == "validation").drop("order_key")
     val = S.merged_index(val_rows, split.filter(F.col("split") == "validation"), "edge_id")
     val = S.assign_batches(val, BATCH, False, "edge_id", index_col="global_idx").drop("global_idx")
     return train.unionByName(val)

@@ -32,20 +32,22 @@ def build_training_set(
     its batch's longest sequence and gets an attention mask.  A split with an
     empty side raises.
     """
-    # the light tables that every step reads are written once
-    edges = cut_lineage(edges.select("package", id_col, "node1", "node2"))
+    # the light table that every step reads is written once: an edge with its package's side
     names = cut_lineage(nodes.select("package", "node", order))
-    # one row per package: checked, and read by all that follows
-    split = cut_lineage(S.group_split(S.package_sizes(names, edges), val=val, seed=seed))
+    split = S.group_split(S.package_sizes(names, edges), val=val, seed=seed)
+    light = edges.select("package", id_col, "node1", "node2").join(split.select("package", "split", "order_key"), "package", "left")
+    light = cut_lineage(light)
+    split = light.select("package", "split", "order_key").distinct()
     S.check_split(split)
-    # batch positions are planned on the light (package, id) table, so the
+    edges = light.select("package", id_col, "node1", "node2")
+    # batch positions are planned on the light (package, id) columns, so the
     # heavy triplet + token rows are built once and joined on a unique key
-    light = cut_lineage(edges.select("package", id_col).join(split.select("package", "split", "order_key"), "package"))
+    light = light.select("package", id_col, "split")
     train = S.assign_batches(light.filter(F.col("split") == "train"), batch_size, True, id_col, seed, epoch)
-    val_rows = S.merged_index(light.filter(F.col("split") == "validation").drop("order_key"),
+    val_rows = S.merged_index(light.filter(F.col("split") == "validation"),
                               split.filter(F.col("split") == "validation"), id_col)
     valid = S.assign_batches(val_rows, batch_size, False, id_col, index_col="global_idx").drop("global_idx")
-    batches = cut_lineage(train.drop("order_key").unionByName(valid))
+    batches = cut_lineage(train.unionByName(valid))
     # each node's code is tokenised once (not once per edge that names it) and
     # only the bounded id lists travel through the triplet joins
     trip = S.triplets(edges, names, id_col, order, seed, epoch, sources=False)
