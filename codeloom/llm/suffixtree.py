@@ -15,9 +15,14 @@ down to the token frequencies, P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
 
 Documents are dealt into chunks of bounded size.  A chunk asks for the totals of
 its distinct n-grams and adds its own training counts to them; buckets of
-n-grams sum up and answer every chunk in the order it asked.  The divergences
-are summed in the same way, and the suffixes that a longer context needs are marked so.  So no count, context or distribution passes
-through the driver or is broadcast.  N-grams are told apart by 64-bit hashes.
+n-grams sum up and answer every chunk in the order it asked, by what the other
+chunks hold.  Where no other chunk asked for an n-gram, none holds a longer one
+around it either, so those are not asked for: their counts are the chunk's own.
+The divergences are summed in the same way, and the suffixes that a longer
+context needs are marked so.  So no count, context or distribution passes
+through the driver or is broadcast.  The documents and each level's answers are
+dealt to the chunks once and read there by every later level.  N-grams are told
+apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ from codeloom.llm.words import LOWER, chunks, hashes, mix, pack, pack_sorted, re
 
 END = np.uint64(0x5851F42D4C957F2D)
 TURN = np.uint64(0xD1342543DE82EF95)
+#: Most partitions of an exchange; beyond them a partition holds several chunks, one after the other.
+MOST_PARTS = 1 << 14
 ASK = "bucket int, chunk long, keys binary, counts binary"
 ANSWER = "chunk long, bucket int, kind int, totals binary"
 STATS = "tokens long, kinds long"
@@ -58,7 +65,8 @@ class Chunk:
 
     The arrays by level hold: ``keys`` the sorted distinct n-grams, ``of`` the
     place of each occurrence's n-gram among them, ``at`` the occurrences' tokens,
-    ``own`` the chunk's training counts and ``total`` the corpus's.
+    ``own`` the chunk's training counts, ``ask`` which n-grams it asks for,
+    ``sole`` those that no other chunk has and ``total`` the corpus's counts.
     """
 
     def __init__(self, table: pa.Table, tree: Tree):
@@ -82,10 +90,14 @@ class Chunk:
         self.levels: list[dict] = []
         self._level(self.h, np.arange(len(self.h)))
 
-    def _level(self, grams: np.ndarray, at: np.ndarray) -> None:
+    def _level(self, grams: np.ndarray, at: np.ndarray, sole: np.ndarray | None = None) -> None:
+        """The next level; ``sole``: occurrences of n-grams that no other chunk has."""
         keys, of = np.unique(grams, return_inverse=True)
         own = np.bincount(of[self.train[at]], minlength=len(keys))
-        self.levels.append({"keys": keys, "of": of, "at": at, "own": own})
+        ask = np.ones(len(keys), bool)
+        if sole is not None:
+            ask[of[sole]] = False
+        self.levels.append({"keys": keys, "of": of, "at": at, "own": own, "ask": ask})
 
     def learn(self, answers: pa.Table, buckets: int, upto: int) -> None:
         """Fill in the totals of levels up to ``upto``, and open the next level after each."""
@@ -97,12 +109,20 @@ class Chunk:
         for level in range(upto + 1):
             mine = {bucket[k]: totals[k] for k in np.flatnonzero(kinds == level).tolist()}
             here = self.levels[level]
-            parts = [unpack(mine[k], np.float64 if level == self.tree.longest + 1 else np.int64) for k, _, _ in slices(here["keys"], buckets)]
-            here["total"] = np.concatenate(parts) if parts else np.empty(0, np.int64)
+            asked = here["keys"][here["ask"]] if "ask" in here else here["keys"]
+            parts = [unpack(mine[k], np.float64 if level == self.tree.longest + 1 else np.int64) for k, _, _ in slices(asked, buckets)]
+            told = np.concatenate(parts) if parts else np.empty(0, np.int64)
+            if level > self.tree.longest:
+                here["total"] = told
+            else:  # zero: no other chunk has it; else one more than the others' training counts
+                here["sole"] = ~here["ask"]
+                here["sole"][here["ask"]] = told == 0
+                here["total"] = here["own"].astype(np.int64)
+                here["total"][here["ask"]] += np.maximum(told - 1, 0)
             if level < self.tree.longest:
                 self._open(level)
             elif level == self.tree.longest:
-                self._divergences()
+                self._divergences(upto == level)
             elif level == self.tree.longest + 1:
                 self._suffixes()
 
@@ -117,44 +137,54 @@ class Chunk:
         context = here["keys"][here["of"][ok]]
         here["next"] = np.full(len(self.h) + 1, -1)
         here["next"][at] = here["of"][ok]  # by token: the place of the context that ends before it
-        self._level(_joined(context, self.h[at]), at)
+        sole = here["sole"][here["of"]]
+        ends = np.zeros(len(self.h), bool)  # by token: this level's n-gram that ends with it is here alone
+        ends[here["at"]] = sole
+        self._level(_joined(context, self.h[at]), at, sole[ok] | ends[at])
 
-    def _chain(self, level: int, stays=None, left_out: bool = False) -> np.ndarray:
-        """Smoothed probability of each token, in contexts of up to ``level`` words (of those that stay).
-
-        ``left_out``: a training token is judged by the counts without itself.
-        """
+    def _chain(self, level: int, stays=None) -> np.ndarray:
+        """Smoothed probability of each token, in contexts of up to ``level`` words that stay."""
         base = self.levels[0]
-        less = self.train.astype(np.int64) if left_out else np.zeros(len(self.h), np.int64)
-        p = (base["total"][base["of"]] - less + 0.5) / (self.n - less + 0.5 * (self.v + 1))
+        p = (base["total"][base["of"]] + 0.5) / (self.n + 0.5 * (self.v + 1))
         open_ = np.ones(len(self.h), bool)
         for k in range(1, level + 1):
             here, before = self.levels[k], self.levels[k - 1]
             at, context = here["at"], before["next"][here["at"]]
-            ok = open_[at] if stays is None else open_[at] & stays[k - 1][context]
+            ok = open_[at] & stays[k - 1][context]
             at, context = at[ok], context[ok]
             open_ = np.zeros(len(self.h), bool)
             open_[at] = True
-            count = here["total"][here["of"][ok]] - less[at]
-            p[at] = (count + self.tree.weight * p[at]) / (before["total"][context] - less[at] + self.tree.weight)
+            p[at] = (here["total"][here["of"][ok]] + self.tree.weight * p[at]) / (before["total"][context] + self.tree.weight)
         return p
 
-    def _divergences(self) -> None:
-        """The level after the longest: this chunk's part of each context's divergence from its suffix."""
-        keys, sums = [], []
+    def _divergences(self, sums: bool) -> None:
+        """The level after the longest: this chunk's part of each context's divergence from its suffix.
+
+        Without ``sums`` only its keys, in the order in which they were asked for.
+        """
+        keys, parts = [], []
+        less = self.train.astype(np.int64)
+        base = self.levels[0]
+        if sums:  # a training token is judged by the counts without itself
+            p = (base["total"][base["of"]] - less + 0.5) / (self.n - less + 0.5 * (self.v + 1))
         for level in range(1, self.tree.longest + 1):
             here, before = self.levels[level], self.levels[level - 1]
             at = here["at"]
-            gain = np.log(self._chain(level, left_out=True)[at] / self._chain(level - 1, left_out=True)[at]) * self.train[at]
             context = before["next"][at]
-            part = np.bincount(context, gain, len(before["keys"]))
             some = np.zeros(len(before["keys"]), bool)
             some[context] = True
             keys.append(_joined(np.full(int(some.sum()), np.uint64(level)), before["keys"][some]))
-            sums.append(part[some])
-        keys, sums = np.concatenate(keys), np.concatenate(sums)
+            if not sums:
+                continue
+            count = here["total"][here["of"]] - less[at]
+            longer = (count + self.tree.weight * p[at]) / (before["total"][context] - less[at] + self.tree.weight)
+            train = self.train[at]
+            gain = np.log(longer[train] / p[at[train]])
+            p[at] = longer
+            parts.append(np.bincount(context[train], gain, len(before["keys"]))[some])
+        keys = np.concatenate(keys)
         order = np.argsort(keys)
-        self.levels.append({"keys": keys[order], "own": sums[order]})
+        self.levels.append({"keys": keys[order]} | ({"own": np.concatenate(parts)[order]} if sums else {}))
 
     def _passed(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each context length, which of this chunk's n-grams were tested as contexts, and which passed."""
@@ -198,7 +228,9 @@ class Chunk:
 
 
 def _pack(chunk: int, level: dict, buckets: int, kind) -> pa.Table:
-    rows = [(k, chunk, pack_sorted(level["keys"][a:b]), pack(level["own"][a:b].astype(kind))) for k, a, b in slices(level["keys"], buckets)]
+    ask = level.get("ask", slice(None))
+    keys, own = level["keys"][ask], level["own"][ask].astype(kind)
+    rows = [(k, chunk, pack_sorted(keys[a:b]), pack(own[a:b])) for k, a, b in slices(keys, buckets)]
     cols = list(zip(*rows)) if rows else [[]] * 4
     kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
     return pa.table([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["bucket", "chunk", "keys", "counts"])
@@ -221,7 +253,10 @@ def _asker(level: int, tree: Tree, buckets: int):
 
 
 def _totals(kind: int, tree: Tree):
-    """Sum the counts of a bucket's n-grams and answer each chunk in the order it asked."""
+    """Sum the counts of a bucket's n-grams and answer each chunk in the order it asked.
+
+    N-grams: zero if no other chunk asked, else one more than the others' counts.
+    """
     given, wide = (np.float64, np.float64) if kind == tree.longest + 1 else (np.uint32, np.int64)
 
     def run(key, table):
@@ -234,9 +269,11 @@ def _totals(kind: int, tree: Tree):
             order = np.lexsort((counts, of))  # the same sum whatever the order of arrival
             np.add.at(total, of[order], counts[order])
         else:
-            total = np.zeros(len(distinct), np.int64)
-            np.add.at(total, of, counts)
-        back = [pack(x) for x in np.split(total[of], np.cumsum(sizes)[:-1])]
+            total = np.bincount(of, counts, len(distinct)).astype(np.int64)
+        answer = total[of]
+        if kind <= tree.longest:
+            answer = np.where(np.bincount(of, minlength=len(distinct))[of] == 1, 0, answer - counts + 1)
+        back = [pack(x) for x in np.split(answer, np.cumsum(sizes)[:-1])]
         return pa.table(
             {
                 "chunk": table.column("chunk"),
@@ -311,18 +348,24 @@ def score_texts(
         F.coalesce(held_out, F.lit(False)).alias("_held"),
         F.pmod(F.xxhash64(F.col(id_col), F.octet_length(F.col(text_col).cast("binary"))), F.lit(n_chunks)).alias("_chunk"),
     )
-    by_chunk = source.groupBy("_chunk")
+    # dealt by number, so that each exchange stays as it is for every level that reads it
+    parts = min(n_chunks, MOST_PARTS)
+    by_chunk = source.repartition(parts, "_chunk").groupBy("_chunk")
     asked = by_chunk.applyInArrow(_asker(0, tree, buckets), ASK)
     stats = asked.groupBy("bucket").applyInArrow(_stats, STATS).agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v"))
     stats = stats.select(F.struct("n", "v"))
-    answers = asked.groupBy("bucket").applyInArrow(_totals(0, tree), ANSWER)
+
+    def answered(asked, level):
+        return asked.groupBy("bucket").applyInArrow(_totals(level, tree), ANSWER).repartition(parts, "chunk")
+
+    answers = answered(asked, 0)
 
     def known():
         return answers.withColumn("s", stats.scalar()).select("chunk", "bucket", "kind", "totals", "s.n", "s.v").groupBy("chunk")
 
     for level in range(1, longest + 3):
         asked = by_chunk.cogroup(known()).applyInArrow(_asker(level, tree, buckets), ASK)
-        answers = answers.union(asked.groupBy("bucket").applyInArrow(_totals(level, tree), ANSWER))
+        answers = answers.union(answered(asked, level))
     fields = [
         StructField("_id", docs.schema[id_col].dataType),
         StructField("held_out", BooleanType()),

@@ -71,10 +71,12 @@ def test_query_matches_brute_force_and_beats_the_base(spark):
 
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     rows = [(r.doc_id, r.text, zlib.crc32(str(r.doc_id).encode()) % 5 == 1) for r in docs]
-    want, stay, asked = brute(rows, 2e-5, 2000.0, 0.01)
+    from test_suffixtree_contexts import brute as by_length
+
+    want, stay = by_length(rows, 7, 3, 2000.0, 0.01)
     df = QUERIES["op8_lm_scoring"](spark, SF)
     same(df, want)
-    assert 0 < stay < asked
+    assert {len(x) for x in stay} == {1, 2, 3}
     held = [r for r in want if r[1]]
     assert sum(r[6] for r in held) > sum(r[5] for r in held)
 
