@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codeloom.functions.tabular import register_table_functions
 from codeloom.operators import extract as X
 from codeloom.operators import graph as G
 from codeloom.plans.catalog.graph_q import _edges
@@ -55,6 +56,15 @@ def x1(t):
     return nodes.select("package", "path", "node", "signature", "description", "source_code")
 
 
+@query("X1_table_function", ["src"], _SRC_FUNCS)
+def x1_sql(t):
+    """The same by SQL: a table function read laterally for every file."""
+    register_table_functions(t.spark)
+    rows = t.spark.sql("""select s.package, s.path, f.* from {src} s, lateral extract_functions(s.content) f
+                          where f.error is null""", src=t["src"])
+    return X.function_nodes(rows, t["src_roots"]).select("package", "path", "node", "signature", "description", "source_code")
+
+
 @query("F7_skip_unparseable", ["src"], "select package, path from src where doc_id % 13 = 0")
 def f7(t):
     """Files that do not parse are reported (and contribute no function)."""
@@ -62,7 +72,7 @@ def f7(t):
     return bad.select("package", "path")
 
 
-@query("X7_find_calls", ["graph_src"], "with " + _GNODES.strip() + """,
+_X7_SQL = "with " + _GNODES.strip() + """,
 e as (select package, module || '.' || qualname as node1,
         case when k % 3 = 0 then module || '.' || qualname else '<unk>.len' end as a,
         case when k % 3 = 0 then '<unk>.f' || cast(k + 20 as string) else '<unk>.f' || cast(k + 20 as string) end as b,
@@ -70,7 +80,10 @@ e as (select package, module || '.' || qualname as node1,
       from gmod)
 select package, node1, a as node2 from e
 union all select package, node1, b from e
-union all select package, node1, c from e where c is not null""")
+union all select package, node1, c from e where c is not null"""
+
+
+@query("X7_find_calls", ["graph_src"], _X7_SQL)
 def x7(t):
     """Edges from call expressions: local function, package function or ``<unk>.``."""
     calls = X.find_calls(t["graph_src"], partitions=t.partitions)
@@ -78,6 +91,15 @@ def x7(t):
     return X.resolve_calls(calls, nodes, t["package_roots"])
 
 
+@query("X7_table_function", ["graph_src"], _X7_SQL)
+def x7_sql(t):
+    """The same by SQL table functions for both the calls and the functions."""
+    register_table_functions(t.spark)
+    calls = t.spark.sql("select s.package, s.path, c.* from {src} s, lateral find_calls(s.content) c", src=t["graph_src"])
+    nodes = t.spark.sql("select s.package, s.path, f.* from {src} s, lateral extract_functions(s.content) f", src=t["graph_src"])
+    return X.resolve_calls(calls, X.function_nodes(nodes.where("error is null"), t["package_roots"]), t["package_roots"])
+
+
 @query("J3_nodes_in_graph", ["graph_src", "graph_entries", "raw_calls", "call_log", "package_roots"],
        "with " + graph_cte().strip() + ",\n" + _GNODES.strip() + """,
 ends as (select package, node1 as node from edges union select package, node2 from edges)
