@@ -15,8 +15,10 @@ from codeloom.functions import text as T
 from codeloom.functions.util import round6
 from codeloom.operators import embed as E
 from codeloom.operators import sampling as S
+from codeloom.operators.projection import node_features, train_projection
 from codeloom.operators.ranking import running_rank
 from codeloom.plans.catalog.metrics_q import _SCORES_SQL, _cmp, _gm
+from codeloom.plans.catalog.sampling_q import _SPLIT_SQL
 from codeloom.plans.evaluation import evaluate_embedder
 from codeloom.plans.registry import query, sql_text
 from codeloom.plans.retrieval import build_prompts
@@ -91,6 +93,20 @@ def m5(t):
     return evaluate_embedder(trip, model)
 
 
+@query("M5_train_projection", ["node_docs", "edge_docs"], f"""with {_SPLIT_SQL.strip()}
+select count(*) as triplets, true as loss_falls from edge_docs e join split s on s.package = e.package where s.split = 'validation'""")
+def m5_hinge(t):
+    """A projection trained on the train split's triplet hinge: its loss on validation falls below the untrained embedder's."""
+    nodes, edges = t["node_docs"], t["edge_docs"]
+    split = S.group_split(S.package_sizes(nodes, edges), val=0.2, seed=42)
+    side = {x: split.filter(F.col("split") == x).select("package") for x in ("train", "validation")}
+    part = lambda x: (edges.join(side[x], "package"), nodes.join(side[x], "package"))
+    model, _ = train_projection(node_features(*part("train"), "edge_id", "doc_id"), "edge_id")
+    trip = S.triplets(*part("validation"), "edge_id", "doc_id")
+    before, after = (evaluate_embedder(trip, m).select("triplets", F.col("val_loss").alias(c)) for m, c in ((None, "a"), (model, "b")))
+    return after.join(before, "triplets").select("triplets", (F.col("b") < F.col("a")).alias("loss_falls"))
+
+
 @query("S1_read_package_list", ["part"],
        "select trim(p_name) as name from part where trim(p_name) <> ''")
 def s1(t):
