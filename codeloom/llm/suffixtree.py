@@ -18,8 +18,10 @@ its distinct n-grams and adds its own training counts to them; buckets of
 n-grams sum up and answer every chunk in the order it asked, by what the other
 chunks hold.  Where no other chunk asked for an n-gram, none holds a longer one
 around it either, so those are not asked for: their counts are the chunk's own.
-The divergences are summed in the same way, and the suffixes that a longer
-context needs are marked so.  So no count, context or distribution passes
+The divergences are then summed by the same buckets: a chunk sends its part for
+each candidate it asked about, in that order and without the n-grams, and learns
+which of them pass; in the same way the suffixes that a longer context needs are
+marked.  So no count, context or distribution passes
 through the driver or is broadcast.  The documents and each level's answers are
 dealt to the chunks once and read there by every later level.  N-grams are told
 apart by 64-bit hashes.
@@ -31,6 +33,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
@@ -41,6 +44,11 @@ END = np.uint64(0x5851F42D4C957F2D)
 TURN = np.uint64(0xD1342543DE82EF95)
 #: Most partitions of an exchange; beyond them a partition holds several chunks, one after the other.
 MOST_PARTS = 1 << 14
+#: Kinds of answers beside the totals, which have their level's number.
+PASSED, NEEDED = 100, 200
+#: Parts of divergences are sent as whole numbers of this fraction.
+FINE = 1 << 20
+SENT = "bucket int, chunk long, kind int, totals binary"
 ASK = "bucket int, chunk long, keys binary, counts binary"
 ANSWER = "chunk long, bucket int, kind int, totals binary"
 STATS = "tokens long, kinds long"
@@ -60,6 +68,11 @@ class Tree(NamedTuple):
     least: float
 
 
+def _floor(tree: Tree, n: int) -> float:
+    """Occurrences that a candidate context needs."""
+    return max(tree.share * n, tree.count)
+
+
 class Chunk:
     """Tokens of one chunk, and its distinct n-grams as far as the answers reach.
 
@@ -97,6 +110,8 @@ class Chunk:
         ask = np.ones(len(keys), bool)
         if sole is not None:
             ask[of[sole]] = False
+        if sole is not None:
+            ask |= own >= self.floor  # it may be a context
         self.levels.append({"keys": keys, "of": of, "at": at, "own": own, "ask": ask})
 
     def learn(self, answers: pa.Table, buckets: int, upto: int) -> None:
@@ -104,32 +119,43 @@ class Chunk:
         kinds = answers.column("kind").to_numpy()
         bucket = answers.column("bucket").to_pylist()
         totals = answers.column("totals").to_pylist()
+        of_kind = lambda kind: {bucket[k]: totals[k] for k in np.flatnonzero(kinds == kind).tolist()}
         self.n = answers.column("n")[0].as_py()
         self.v = answers.column("v")[0].as_py()
-        for level in range(upto + 1):
-            mine = {bucket[k]: totals[k] for k in np.flatnonzero(kinds == level).tolist()}
-            here = self.levels[level]
-            asked = here["keys"][here["ask"]] if "ask" in here else here["keys"]
-            parts = [unpack(mine[k], np.float64 if level == self.tree.longest + 1 else np.int64) for k, _, _ in slices(asked, buckets)]
+        self.floor = _floor(self.tree, self.n)
+        for level in range(min(upto, self.tree.longest) + 1):
+            mine, here = of_kind(level), self.levels[level]
+            parts = [unpack(mine[k], np.int64) for k, _, _ in slices(here["keys"][here["ask"]], buckets)]
             told = np.concatenate(parts) if parts else np.empty(0, np.int64)
-            if level > self.tree.longest:
-                here["total"] = told
-            else:  # zero: no other chunk has it; else one more than the others' training counts
-                here["sole"] = ~here["ask"]
-                here["sole"][here["ask"]] = told == 0
-                here["total"] = here["own"].astype(np.int64)
-                here["total"][here["ask"]] += np.maximum(told - 1, 0)
+            # zero: no other chunk has it; else one more than the others' training counts
+            here["sole"] = ~here["ask"]
+            here["sole"][here["ask"]] = told == 0
+            here["total"] = here["own"].astype(np.int64)
+            here["total"][here["ask"]] += np.maximum(told - 1, 0)
             if level < self.tree.longest:
                 self._open(level)
-            elif level == self.tree.longest:
-                self._divergences(upto == level)
-            elif level == self.tree.longest + 1:
-                self._suffixes()
+        #: By context length: which of this chunk's n-grams pass the test, and which a longer context needs.
+        self.passed = [self._told(of_kind(PASSED + k), self.levels[k], buckets) for k in range(self.tree.longest)] if upto > self.tree.longest else []
+        self.needed = [self._told(of_kind(NEEDED + k), self.levels[k], buckets) for k in range(self.tree.longest)] if upto > self.tree.longest + 1 else []
+
+    def candidates(self, here: dict, buckets: int):
+        """(bucket, places of the candidate contexts among the n-grams asked about there)."""
+        asked = np.flatnonzero(here["ask"])
+        often = here["total"][asked] >= self.floor
+        for k, a, b in slices(here["keys"][asked], buckets):
+            yield k, asked[a:b][often[a:b]]
+
+    def _told(self, mine: dict, here: dict, buckets: int) -> np.ndarray:
+        out = np.zeros(len(here["keys"]), bool)
+        for k, places in self.candidates(here, buckets):
+            if k in mine:
+                out[places] = np.unpackbits(np.frombuffer(mine[k], np.uint8), count=len(places))
+        return out
 
     def _open(self, level: int) -> None:
         """Occurrences whose preceding ``level + 1`` tokens are a frequent n-gram."""
         here = self.levels[level]
-        frequent = here["total"] >= max(self.tree.share * self.n, self.tree.count)
+        frequent = here["total"] >= self.floor
         after = here["at"] + 1
         ok = frequent[here["of"]] & (self.h[here["at"]] != END)
         here["frequent"] = ok
@@ -157,74 +183,35 @@ class Chunk:
             p[at] = (here["total"][here["of"][ok]] + self.tree.weight * p[at]) / (before["total"][context] + self.tree.weight)
         return p
 
-    def _divergences(self, sums: bool) -> None:
-        """The level after the longest: this chunk's part of each context's divergence from its suffix.
-
-        Without ``sums`` only its keys, in the order in which they were asked for.
-        """
-        keys, parts = [], []
-        less = self.train.astype(np.int64)
-        base = self.levels[0]
-        if sums:  # a training token is judged by the counts without itself
-            p = (base["total"][base["of"]] - less + 0.5) / (self.n - less + 0.5 * (self.v + 1))
+    def divergences(self) -> list[np.ndarray]:
+        """For each context length, this chunk's part of its n-grams' divergence from their suffixes."""
+        less = self.train.astype(np.int64)  # a training token is judged by the counts without itself
+        base, out = self.levels[0], []
+        p = (base["total"][base["of"]] - less + 0.5) / (self.n - less + 0.5 * (self.v + 1))
         for level in range(1, self.tree.longest + 1):
             here, before = self.levels[level], self.levels[level - 1]
             at = here["at"]
             context = before["next"][at]
-            some = np.zeros(len(before["keys"]), bool)
-            some[context] = True
-            keys.append(_joined(np.full(int(some.sum()), np.uint64(level)), before["keys"][some]))
-            if not sums:
-                continue
             count = here["total"][here["of"]] - less[at]
             longer = (count + self.tree.weight * p[at]) / (before["total"][context] - less[at] + self.tree.weight)
             train = self.train[at]
             gain = np.log(longer[train] / p[at[train]])
             p[at] = longer
-            parts.append(np.bincount(context[train], gain, len(before["keys"]))[some])
-        keys = np.concatenate(keys)
-        order = np.argsort(keys)
-        self.levels.append({"keys": keys[order]} | ({"own": np.concatenate(parts)[order]} if sums else {}))
-
-    def _passed(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each context length, which of this chunk's n-grams were tested as contexts, and which passed."""
-        out, test = [], self.levels[self.tree.longest + 1]
-        for level in range(1, self.tree.longest + 1):
-            before = self.levels[level - 1]
-            keys = _joined(np.full(len(before["keys"]), np.uint64(level)), before["keys"])
-            at = np.minimum(np.searchsorted(test["keys"], keys), max(len(test["keys"]) - 1, 0))
-            if not len(test["keys"]):
-                out.append((np.zeros(len(keys), bool), np.zeros(len(keys), bool)))
-                continue
-            known = test["keys"][at] == keys
-            out.append((known, known & (test["total"][at] >= self.tree.least * before["total"])))
+            out.append(np.bincount(context[train], gain, len(before["keys"])))
         return out
 
-    def _suffixes(self) -> None:
-        """The last level: contexts that failed, and whether a longer one of this chunk that stays ends with them."""
-        tests = self._passed()
-        use = [passed.copy() for _, passed in tests]
+    def suffixes(self) -> list[np.ndarray]:
+        """For each context length, which n-grams end a longer context of this chunk that stays."""
+        use = [x.copy() for x in self.passed]
         for k in range(len(use) - 1, 0, -1):
             here = self.levels[k]
             ok = here["frequent"] & use[k][here["of"]]
             use[k - 1][self.levels[k - 1]["next"][here["at"][ok] + 1]] = True
-        keys, own = [np.empty(0, np.uint64)], [np.empty(0, bool)]
-        for k, (known, passed) in enumerate(tests[:-1]):
-            failed = known & ~passed
-            keys.append(_joined(np.full(int(failed.sum()), np.uint64(k + 1)), self.levels[k]["keys"][failed]))
-            own.append(use[k][failed])
-        keys, own = np.concatenate(keys), np.concatenate(own)
-        order = np.argsort(keys)
-        self.levels.append({"keys": keys[order], "own": own[order]})
+        return use
 
     def stays(self) -> list[np.ndarray]:
         """For each context length, which of this chunk's n-grams of that length stay as contexts."""
-        out, asked = [], self.levels[self.tree.longest + 2]
-        needed = asked["keys"][asked["total"] > 0]
-        for k, (_, passed) in enumerate(self._passed()):
-            keys = self.levels[k]["keys"]
-            out.append(passed | np.isin(_joined(np.full(len(keys), np.uint64(k + 1)), keys), needed))
-        return out
+        return [a | b for a, b in zip(self.passed, self.needed)]
 
 
 def _pack(chunk: int, level: dict, buckets: int, kind) -> pa.Table:
@@ -237,51 +224,91 @@ def _pack(chunk: int, level: dict, buckets: int, kind) -> pa.Table:
 
 
 def _asker(level: int, tree: Tree, buckets: int):
-    kind = np.float64 if level == tree.longest + 1 else np.uint32
-
     def first(key, table):
         release()
-        return _pack(key[0].as_py(), Chunk(table, tree).levels[0], buckets, kind)
+        return _pack(key[0].as_py(), Chunk(table, tree).levels[0], buckets, np.uint32)
 
     def later(key, table, answers):
         release()
         chunk = Chunk(table, tree)
         chunk.learn(answers, buckets, level - 1)
-        return _pack(key[0].as_py(), chunk.levels[level], buckets, kind)
+        return _pack(key[0].as_py(), chunk.levels[level], buckets, np.uint32)
 
     return later if level else first
 
 
-def _totals(kind: int, tree: Tree):
-    """Sum the counts of a bucket's n-grams and answer each chunk in the order it asked.
+def _sender(kind: int, tree: Tree, buckets: int):
+    """What a chunk knows of its candidates: parts of the divergences, as whole numbers of 2**-20, or bits."""
 
-    N-grams: zero if no other chunk asked, else one more than the others' counts.
-    """
-    given, wide = (np.float64, np.float64) if kind == tree.longest + 1 else (np.uint32, np.int64)
+    def run(key, table, answers):
+        release()
+        chunk = Chunk(table, tree)
+        chunk.learn(answers, buckets, tree.longest + (kind == NEEDED))
+        rows = []
+        for k, x in enumerate(chunk.divergences() if kind == PASSED else chunk.suffixes()[:-1]):
+            if kind == PASSED:
+                x = np.rint(x * FINE).astype(np.int64)
+                x = ((x << 1) ^ (x >> 63)).view(np.uint64)  # small numbers of either sign have high bytes of zero
+            for bucket, places in chunk.candidates(chunk.levels[k], buckets):
+                if len(places):
+                    rows.append((bucket, key[0].as_py(), k, pack(x[places]) if kind == PASSED else np.packbits(x[places]).tobytes()))
+        cols = list(zip(*rows)) if rows else [[]] * 4
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
+        return pa.table([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["bucket", "chunk", "kind", "totals"])
+
+    return run
+
+
+def _unpacked(table: pa.Table):
+    """A bucket's n-grams: each chunk's number of them, the place of each among the distinct ones, and the counts."""
+    keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
+    counts = np.concatenate([unpack(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
+    distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
+    return [len(k) for k in keys], of, counts, np.bincount(of, counts, len(distinct)).astype(np.int64)
+
+
+def _answers(table: pa.Table, kind: int, back: list) -> pa.Table:
+    kinds = pa.array(np.full(len(back), kind, np.int32))
+    cols = {"chunk": table.column("chunk"), "bucket": table.column("bucket"), "kind": kinds, "totals": pa.array(back, pa.binary())}
+    return pa.table(cols)
+
+
+def _totals(level: int, tree: Tree):
+    """Sum the counts of a bucket's n-grams and answer each chunk in the order it asked:
+    zero if no other chunk asked, else one more than the others' counts."""
 
     def run(key, table):
-        keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
-        counts = np.concatenate([unpack(x, given) for x in table.column("counts").to_pylist()]).astype(wide)
-        sizes = [len(k) for k in keys]
-        distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
-        if kind == tree.longest + 1:
-            total = np.zeros(len(distinct))
-            order = np.lexsort((counts, of))  # the same sum whatever the order of arrival
-            np.add.at(total, of[order], counts[order])
-        else:
-            total = np.bincount(of, counts, len(distinct)).astype(np.int64)
-        answer = total[of]
-        if kind <= tree.longest:
-            answer = np.where(np.bincount(of, minlength=len(distinct))[of] == 1, 0, answer - counts + 1)
-        back = [pack(x) for x in np.split(answer, np.cumsum(sizes)[:-1])]
-        return pa.table(
-            {
-                "chunk": table.column("chunk"),
-                "bucket": table.column("bucket"),
-                "kind": pa.array(np.full(len(sizes), kind, np.int32)),
-                "totals": pa.array(back, pa.binary()),
-            }
-        )
+        sizes, of, counts, total = _unpacked(table)
+        answer = np.where(np.bincount(of, minlength=len(total))[of] == 1, 0, total[of] - counts + 1)
+        return _answers(table, level, [pack(x) for x in np.split(answer, np.cumsum(sizes)[:-1])])
+
+    return run
+
+
+def _judge(kind: int, tree: Tree):
+    """Add up what the chunks sent about a bucket's candidates, and tell each chunk which of them pass (or are needed)."""
+
+    def level_of(table, sent, level):
+        sizes, of, _, total = _unpacked(table)
+        often = total >= _floor(tree, sent.column("n")[0].as_py())
+        given = dict(zip(sent.column("chunk").to_pylist(), sent.column("totals").to_pylist()))
+        asked = [x[often[x]] for x in np.split(of, np.cumsum(sizes)[:-1])]
+        sums = np.zeros(len(total), np.int64)
+        for chunk, x in zip(table.column("chunk").to_pylist(), asked):
+            if len(x) and kind == PASSED:
+                z = unpack(given[chunk], np.uint64)
+                sums[x] += (z >> np.uint64(1)).view(np.int64) ^ -(z & np.uint64(1)).view(np.int64)
+            elif len(x):
+                sums[x] += np.unpackbits(np.frombuffer(given[chunk], np.uint8), count=len(x))
+        good = sums >= tree.least * FINE * total if kind == PASSED else sums > 0
+        return _answers(table, kind + level, [np.packbits(good[x]).tobytes() for x in asked])
+
+    def run(key, table, sent):
+        release()
+        out = []
+        for level in sorted(set(sent.column("kind").to_pylist())):
+            out.append(level_of(table.filter(pc.equal(table.column("level"), level)), sent.filter(pc.equal(sent.column("kind"), level)), level))
+        return pa.concat_tables(out) if out else _answers(table.slice(0, 0), kind, [])
 
     return run
 
@@ -351,21 +378,31 @@ def score_texts(
     # dealt by number, so that each exchange stays as it is for every level that reads it
     parts = min(n_chunks, MOST_PARTS)
     by_chunk = source.repartition(parts, "_chunk").groupBy("_chunk")
-    asked = by_chunk.applyInArrow(_asker(0, tree, buckets), ASK)
-    stats = asked.groupBy("bucket").applyInArrow(_stats, STATS).agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v"))
+    by_bucket = min(buckets, MOST_PARTS)
+    asked = [by_chunk.applyInArrow(_asker(0, tree, buckets), ASK).repartition(by_bucket, "bucket")]
+    stats = asked[0].groupBy("bucket").applyInArrow(_stats, STATS).agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v"))
     stats = stats.select(F.struct("n", "v"))
 
-    def answered(asked, level):
-        return asked.groupBy("bucket").applyInArrow(_totals(level, tree), ANSWER).repartition(parts, "chunk")
+    def answered(level):
+        return asked[level].groupBy("bucket").applyInArrow(_totals(level, tree), ANSWER).repartition(parts, "chunk")
 
-    answers = answered(asked, 0)
+    answers = answered(0)
 
     def known():
         return answers.withColumn("s", stats.scalar()).select("chunk", "bucket", "kind", "totals", "s.n", "s.v").groupBy("chunk")
 
-    for level in range(1, longest + 3):
-        asked = by_chunk.cogroup(known()).applyInArrow(_asker(level, tree, buckets), ASK)
-        answers = answers.union(answered(asked, level))
+    for level in range(1, longest + 1):
+        more = by_chunk.cogroup(known()).applyInArrow(_asker(level, tree, buckets), ASK)
+        asked.append(more.repartition(by_bucket, "bucket"))
+        answers = answers.union(answered(level))
+    about = asked[0].withColumn("level", F.lit(0))
+    for level in range(1, longest):
+        about = about.union(asked[level].withColumn("level", F.lit(level)))
+    for kind in (PASSED, NEEDED) if longest > 1 else (PASSED,):  # nothing is longer than the longest
+        sent = by_chunk.cogroup(known()).applyInArrow(_sender(kind, tree, buckets), SENT).repartition(by_bucket, "bucket")
+        sent = sent.withColumn("s", stats.scalar()).select("bucket", "chunk", "kind", "totals", "s.n")
+        told = about.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(_judge(kind, tree), ANSWER)
+        answers = answers.union(told.repartition(parts, "chunk"))
     fields = [
         StructField("_id", docs.schema[id_col].dataType),
         StructField("held_out", BooleanType()),
