@@ -2,18 +2,22 @@
 
 Records are built and parsed in tasks; Spark's text writer and binary-file
 reader move the bytes, so archives can lie wherever Spark can write.  A record
-is a line of the text file whose line end is the blank lines that close a WARC
-record.
+is a gzip member of its own; to the text writer it is a line, and the line ends
+are empty members.
 
 Long blocks are written as segments: a first record and continuations that name
 its id.  On reading, the segments of a record are grouped by that origin id,
 ordered by segment number, joined when the total length agrees, and the chunked
-transfer framing of the HTTP message is undone.
+transfer framing of the HTTP message is undone.  Archives of other writers are
+read as well: names, digests and numbers of any form, and a record that is
+broken is told so and does not end the job.
 """
 
 from __future__ import annotations
 
 import base64
+import binascii
+import re
 import zlib
 
 import pyarrow as pa
@@ -24,10 +28,20 @@ from codeloom.llm.staging import stage
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-PARSED = "record_id string, type string, page_id long, refers_to long, digest string, origin string, segment int, total long, block binary"
+PARSED = "record_id string, type string, page_id long, refers_to long, digest string, origin string, segment int, total long, http boolean, ok boolean, block binary"
 RECORD = "record_id string, record_type string, page_id long, refers_to long, digest string, payload binary, valid boolean"
 
 
+#: A gzip member without content.
+EMPTY = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
+
+
+def _member(record: bytes) -> bytes:
+    """A record and the blank lines that close it as one gzip member."""
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(record) + z.compress(b"\r\n\r\n") + z.flush()
+
+
 def _head(fields: list[tuple[str, object]]) -> bytes:
     return "\r\n".join(["WARC/1.0", *(f"{k}: {v}" for k, v in fields if v is not None)]).encode() + b"\r\n\r\n"
 
@@ -106,35 +120,49 @@ def write_archive(
             out, size = [], 0
             for row in zip(*(b.column(k).to_pylist() for k in range(6))):
                 for record in _records(*row, segment_bytes, chunk_bytes):
-                    out.append(record)
-                    size += len(record)
+                    out.append(_member(record))
+                    size += len(out[-1])
                 if size > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
                     out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     lines = rows.mapInArrow(build, "record binary").select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    bytes_ = lines.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1"))  # both as they are
+    bytes_.option("compression", "none").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def _stream(content: bytes):
-    """Bytes of a gzip file of any number of members, or of a plain one, part by part."""
+    """Bytes of a gzip file of any number of members, or of a plain one, part by part; what cannot be unpacked ends it."""
     if content[:2] != b"\x1f\x8b":
         yield content
         return
-    while content:
+    at, whole = 0, memoryview(content)
+    while content[at : at + 2] == b"\x1f\x8b":
         member = zlib.decompressobj(31)
-        for a in range(0, len(content), 1 << 20):
-            yield member.decompress(content[a : a + (1 << 20)])
-            if member.eof:
-                content = member.unused_data + content[a + (1 << 20) :]
-                break
-        else:
-            return
+        while at < len(content) and not member.eof:
+            given = whole[at : at + (1 << 16)]
+            try:
+                part = member.decompress(given)
+            except zlib.error:
+                return
+            at += len(given) - len(member.unused_data)
+            if part:
+                yield part
+
+
+def _number(text: str | None) -> tuple[int | None, bool]:
+    """A number below 10**18, and whether the field is absent or one."""
+    if text is None:
+        return None, True
+    return (int(text), True) if re.fullmatch(r"[0-9]{1,18}", text) else (None, False)
 
 
 def parse(content: bytes):
-    """(header fields in lower case, block) of each record of one archive file."""
+    """(header fields in lower case, block, whether it is as long as announced) of each record of one archive file.
+
+    Behind a record without a usable length the next one is looked for by its first line.
+    """
     held, parts = bytearray(), _stream(content)
 
     def fill(n: int) -> bool:
@@ -145,17 +173,32 @@ def parse(content: bytes):
             held.extend(part)
         return True
 
-    while True:
-        end = held.find(b"\r\n\r\n")
-        while end < 0:
+    def find(mark: bytes, start: int = 0) -> int:
+        at = held.find(mark, start)
+        while at < 0:
+            seen = max(start, len(held) - len(mark) + 1)
             if not fill(len(held) + 1):
-                return
-            end = held.find(b"\r\n\r\n")
-        lines = bytes(held[:end]).decode("utf-8", "replace").split("\r\n")
+                return -1
+            at = held.find(mark, seen)
+        return at
+
+    while True:
+        end = find(b"\r\n\r\n")
+        if end < 0:
+            return
+        lines = bytes(held[:end]).decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
         fields = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:] if ":" in x)}
-        size = int(fields.get("content-length", 0))
+        size, known = _number(fields.get("content-length", ""))
+        if not known:
+            after = find(b"\r\n\r\nWARC/", end)
+            block = bytes(held[end + 4 : after if after >= 0 else len(held)])
+            yield fields, block, False
+            if after < 0:
+                return
+            del held[: after + 4]
+            continue
         whole = fill(end + 4 + size)
-        yield fields, bytes(held[end + 4 : end + 4 + size])
+        yield fields, bytes(held[end + 4 : end + 4 + size]), whole
         if not whole:
             return
         fill(end + 8 + size)
@@ -163,28 +206,43 @@ def parse(content: bytes):
 
 
 def _page(name: str | None):
-    """The page number in a record's name, if it has one."""
-    number = (name or "").strip("<>").split(":")[2:3]
-    return int(number[0]) if number and number[0] else None
+    """The page number in a record's name, if it is one of ours."""
+    found = re.fullmatch(r"<?urn:page:(-?[0-9]{1,18})(?::[0-9:]*)?>?", name or "")
+    return int(found[1]) if found else None
+
+
+def _sha1(digest: str | None) -> str | None:
+    """A SHA-1 field in base 32 or hexadecimal as hexadecimal; other digests are not looked at."""
+    found = re.fullmatch(r"(?i)sha-?1:([a-z2-7]{32}|[0-9a-f]{40})", digest or "")
+    if not found:
+        return None
+    if len(found[1]) == 40:
+        return found[1].lower()
+    try:
+        return base64.b32decode(found[1].upper()).hex()
+    except binascii.Error:
+        return None
 
 
 def _parsed(path_batches):
     names = [x.split()[0] for x in PARSED.split(", ")]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
 
     def table(rows):
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 9, kinds)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
 
     for b in path_batches:
         for content in b.column(0).to_pylist():
             rows, size = [], 0
-            for f, block in parse(content):
-                name, digest = f.get("warc-record-id"), f.get("warc-payload-digest")
-                number, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
+            for f, block, whole in parse(content):
+                name = f.get("warc-record-id")
+                number, fine = _number(f.get("warc-segment-number"))
+                total, fit = _number(f.get("warc-segment-total-length"))
+                small = number is None or number < 1 << 31
                 rows.append((
-                    name, f.get("warc-type"), _page(name), _page(f.get("warc-refers-to")),
-                    base64.b32decode(digest.split(":", 1)[1]).hex() if digest else None,
-                    f.get("warc-segment-origin-id", name), int(number) if number else None, int(total) if total else None, block,
+                    name, f.get("warc-type"), _page(name), _page(f.get("warc-refers-to")), _sha1(f.get("warc-payload-digest")),
+                    f.get("warc-segment-origin-id", name), number if small else None, total,
+                    f.get("content-type", "application/http").lower().startswith("application/http"), whole and fine and fit and small, block,
                 ))
                 size += len(block)
                 if size > 4 << 20:
@@ -194,11 +252,13 @@ def _parsed(path_batches):
 
 
 def _decoded(rows):
-    """One record batch of (record_id, type, page_id, refers_to, digest, block or None, whole)."""
+    """One record batch of (record_id, type, page_id, refers_to, digest, block or None, whether it is an HTTP message, whole)."""
     out = []
-    for name, kind, page, refers, digest, block, whole in rows:
+    for name, kind, page, refers, digest, block, http, whole in rows:
         payload, valid = None, whole
-        if kind == "response" and whole:
+        if kind == "response" and whole and not http:
+            payload = block
+        elif kind == "response" and whole:
             try:
                 head, body = block.split(b"\r\n\r\n", 1)
                 payload = unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
@@ -212,7 +272,7 @@ def _decoded(rows):
 
 def _whole(batches):
     for b in batches:
-        yield _decoded(zip(*(b.column(c).to_pylist() for c in ("record_id", "type", "page_id", "refers_to", "digest", "block")), [True] * b.num_rows))
+        yield _decoded(zip(*(b.column(c).to_pylist() for c in ("record_id", "type", "page_id", "refers_to", "digest", "block", "http", "ok"))))
 
 
 def _joined(batches):
@@ -223,8 +283,9 @@ def _joined(batches):
         first = held[0]
         blocks = [x["block"] for x in held]
         in_order = [x["segment"] for x in held] == list(range(1, len(held) + 1))
-        whole = in_order and first["type"] != "continuation" and held[-1]["total"] == sum(map(len, blocks))
-        return (first["origin"], "response" if first["type"] == "continuation" else first["type"], first["page_id"], first["refers_to"], first["digest"], b"".join(blocks), whole)
+        whole = in_order and first["type"] != "continuation" and held[-1]["total"] == sum(map(len, blocks)) and all(x["ok"] for x in held)
+        kind = "response" if first["type"] == "continuation" else first["type"]
+        return (first["origin"], kind, first["page_id"], first["refers_to"], first["digest"], b"".join(blocks), first["http"], whole)
 
     for b in batches:
         done = []
@@ -243,7 +304,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
     ``valid`` is false, and the payload null, if segments are missing, repeated
     or of another total length than announced, or if the chunked framing is
-    broken.  A revisit has no payload of its own.
+    broken, a number is none, or the record is shorter than announced.  A revisit has no payload of its
+    own.  ``page_id`` and ``refers_to`` are null unless the names are those of
+    :func:`write_archive`; ``digest`` is null unless it is a SHA-1.  What follows
+    a part of a file that cannot be unpacked is not there.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
     records = files.mapInArrow(_parsed, PARSED).where("type in ('response', 'revisit', 'continuation')")
@@ -252,16 +316,22 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return whole.union(parts.mapInArrow(_joined, RECORD))
 
 
-def page_records(records: DataFrame) -> DataFrame:
-    """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to; a revisit has those of its response."""
+def page_records(records: DataFrame, strict: bool = False) -> DataFrame:
+    """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to, valid.
+
+    A revisit has the bytes of its response.  ``valid`` is false for a record
+    that is not whole or whose payload has another digest than announced;
+    ``strict`` raises for such a one instead.  A response that announces none
+    has the digest of its payload.
+    """
     own = records.select(
         "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("found"), "digest", "record_type", "refers_to", "valid"
     )
-    own = stage(own, "records")
-    bad = own.where("record_type = 'response' and not (valid and digest = found)")
-    if row := bad.select("page_id").first():
+    own = own.withColumn("valid", F.col("valid") & F.coalesce(F.col("digest") == F.col("found"), F.lit(True)))
+    own = stage(own.withColumn("digest", F.coalesce("digest", "found")), "records")
+    if strict and (row := own.where("not valid").select("page_id").first()):
         raise ValueError(f"record of page {row.page_id} is not whole")
-    full = own.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "digest").agg(F.max("payload_bytes").alias("full"))
+    full = own.where("record_type = 'response' and valid").groupBy(F.col("page_id").alias("refers_to"), "digest").agg(F.max("payload_bytes").alias("full"))
     return own.join(full, ["refers_to", "digest"], "left").select(
-        "page_id", F.coalesce("payload_bytes", "full").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to"
+        "page_id", F.coalesce("payload_bytes", "full").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to", "valid"
     )

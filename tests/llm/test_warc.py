@@ -77,8 +77,62 @@ def test_broken_records(spark, tmp_path):
         row, = warc.read_archive(spark, str(tmp_path / name / "w")).collect()
         assert not row.valid and row.payload is None
     with pytest.raises(ValueError):
-        warc.page_records(warc.read_archive(spark, str(tmp_path / "twice" / "w"))).collect()
+        warc.page_records(warc.read_archive(spark, str(tmp_path / "twice" / "w")), strict=True).collect()
     for body in (b"5\r\nabc", b"zz\r\n", b"3\r\nabcd\r\n0\r\n\r\n"):
         with pytest.raises(ValueError):
             warc.unchunked(body)
     assert warc.unchunked(b"3;x=y\r\nabc\r\n0\r\n\r\n") == b"abc"
+
+
+def foreign(fields, block, length=None):
+    head = ["WARC/1.1", *(f"{k}: {v}" for k, v in fields), f"Content-Length: {len(block) if length is None else length}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    sha1 = hashlib.sha1(b"hello").hexdigest()
+    kind = ("Content-Type", "application/http; msgtype=response")
+    uuid = lambda k: ("WARC-Record-ID", f"<urn:uuid:00000000-0000-0000-0000-{k:012d}>")
+    response = ("WARC-Type", "response")
+    records = [
+        foreign([("WARC-Type", "warcinfo"), uuid(0)], b"software: x"),
+        foreign([response, uuid(1), kind, ("WARC-Payload-Digest", "sha1:" + sha1)], http + b"hello"),
+        foreign([response, uuid(2), kind, ("WARC-Payload-Digest", "sha256:abc")], http + b"hello"),
+        foreign([response, uuid(3), kind, ("WARC-Payload-Digest", "sha1:!!")], http + b"hello", length="many"),
+        foreign([response, uuid(4), ("Content-Type", "text/dns")], b"a 1.2.3.4"),
+        foreign([response, uuid(5), kind, ("WARC-Segment-Number", "one")], http + b"hello"),
+        foreign([response, uuid(6), kind, ("WARC-Segment-Number", "99999999999")], http + b"hello"),
+        foreign([response, uuid(7), kind], b"no header at all"),
+        foreign([("WARC-Type", "revisit"), uuid(8), ("WARC-Refers-To", "<urn:uuid:x>")], b""),
+        foreign([response, ("WARC-Record-ID", "page"), kind, ("WARC-Payload-Digest", "sha1:" + "0" * 40)], http + b"hello"),
+        foreign([response, uuid(9), kind], http + b"cut off", length=10**6),
+    ]
+    write(tmp_path, records)
+    (tmp_path / "w" / "plain.warc").write_bytes(b"".join(r + b"\r\n\r\n" for r in records[:3]))
+    (tmp_path / "w" / "members.warc.gz").write_bytes(b"".join(gzip.compress(r + b"\r\n\r\n") for r in records[:3]) + b"\x1f\x8bnot gzip")
+    rows = warc.read_archive(spark, str(tmp_path / "w"))
+    found = [(r.record_id[-2:-1], r.valid, r.payload and bytes(r.payload)) for r in rows.collect()]
+    hello = (True, b"hello")
+    assert sorted(found, key=str) == sorted(
+        [("1", *hello)] * 3 + [("2", *hello)] * 3 + [("g", *hello), ("3", False, None), ("4", True, b"a 1.2.3.4"), ("5", False, None), ("6", False, None),
+         ("7", False, None), ("8", True, None), ("9", False, None)], key=str)
+    pages = warc.page_records(rows).collect()
+    assert len(pages) == 14 and {r.page_id for r in pages} == {None}
+    assert sum(not r.valid for r in pages) == 6  # also the one whose digest differs
+    assert [r.payload_digest for r in pages if r.valid and r.payload_bytes == 5] == [sha1] * 6
+
+
+def test_a_record_is_a_gzip_member(spark, tmp_dir):
+    import glob
+    import zlib
+
+    warc.write_archive(spark.createDataFrame([(k, "u", f"page {k}") for k in range(7)], PAGES).coalesce(1), tmp_dir + "/w")
+    content = open(glob.glob(tmp_dir + "/w/part-*")[0], "rb").read()
+    members = []
+    while content:
+        z = zlib.decompressobj(31)
+        members.append(z.decompress(content))
+        content = z.unused_data
+    assert all(m.startswith(b"WARC/1.0\r\n") and m.endswith(b"\r\n\r\n") for m in members if m)
+    assert sum(map(bool, members)) == 7 and gzip.decompress(open(glob.glob(tmp_dir + "/w/part-*")[0], "rb").read()) == b"".join(members)
