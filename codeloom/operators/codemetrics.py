@@ -11,6 +11,7 @@ to scores are built-in expressions.
 from __future__ import annotations
 
 import ast
+import functools
 import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import format_fixed
-from codeloom.session import dealt
+from codeloom.operators.dataflow import dataflow_edges
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -100,8 +101,10 @@ def _by_row(df: DataFrame, keep: list[str], ref: str, cand: str, parts: list[tup
             partitions: int | None) -> DataFrame:
     """Pairs with both texts: ``keep`` and the columns that each (schema, fn) of
     ``parts`` computes from the two texts of a row.  Nothing is shuffled, unless
-    the caller asks for ``partitions``."""
-    pairs = dealt(df.filter(F.col(ref).isNotNull() & F.col(cand).isNotNull()), partitions)
+    the caller asks for ``partitions``: then the candidates of a reference come
+    one after the other (see :func:`by_reference`), and it is parsed once."""
+    pairs = df.filter(F.col(ref).isNotNull() & F.col(cand).isNotNull())
+    pairs = by_reference(pairs, ref, cand, partitions) if partitions else pairs
     pairs = pairs.select(*keep, F.col(ref).alias("_ref"), F.col(cand).alias("_cand"))
     kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in keep)
     names = [n for schema, _ in parts for n in _names(schema)]
@@ -122,6 +125,14 @@ def _by_row(df: DataFrame, keep: list[str], ref: str, cand: str, parts: list[tup
     return pairs.mapInArrow(run, ", ".join([kinds, *(schema for schema, _ in parts)]))
 
 
+def by_reference(pairs: DataFrame, ref: str, cand: str, partitions: int, salt: int = 1) -> DataFrame:
+    """Pairs dealt over ``partitions`` by their reference, and in its order there.
+    A reference with very many candidates can be dealt over ``salt`` of them."""
+    place = F.xxhash64(ref)
+    part = F.pmod(F.xxhash64(cand), F.lit(salt))
+    return pairs.withColumn("_of", place).repartition(partitions, "_of", part).sortWithinPartitions("_of").drop("_of")
+
+
 def ngram_scores(df: DataFrame, ids: list[str], ref: str = "reference", cand: str = "candidate",
                  partitions: int | None = None) -> DataFrame:
     """``ids, ngram_match_score, weighted_ngram_match_score`` for each pair with
@@ -164,52 +175,28 @@ def _subtree_hashes(tree: ast.AST) -> list[str]:
     return out
 
 
-def _dataflow_edges(tree: ast.AST) -> list[str]:
-    """``target <- source`` edges of assignments, loops, augmented assignments
-    and returns, with variables renumbered by first appearance."""
-    numbers: dict[str, int] = {}
-
-    def number(name: str) -> str:
-        return f"var_{numbers.setdefault(name, len(numbers))}"
-
-    def names(expr, ctx) -> list[str]:
-        return [n.id for n in ast.walk(expr) if isinstance(n, ast.Name) and isinstance(n.ctx, ctx)]
-
-    edges: list[str] = []
-    for node in ast.walk(tree):
-        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-            for a in node.args.args + node.args.kwonlyargs:
-                number(a.arg)
-        pairs = []
-        if isinstance(node, ast.Assign):
-            pairs = [(t, node.value) for t in node.targets]
-        elif isinstance(node, ast.AugAssign | ast.AnnAssign) and node.value is not None:
-            pairs = [(node.target, node.value)]
-        elif isinstance(node, ast.For | ast.AsyncFor):
-            pairs = [(node.target, node.iter)]
-        elif isinstance(node, ast.Return) and node.value is not None:
-            edges += [f"return<-{number(s)}" for s in names(node.value, ast.Load)]
-        for target, value in pairs:
-            for t in names(target, ast.Store):
-                edges += [f"{number(t)}<-{number(s)}" for s in names(value, ast.Load)]
-                if isinstance(node, ast.AugAssign):
-                    edges.append(f"{number(t)}<-{number(t)}")
-    return edges
+@functools.lru_cache(maxsize=64)
+def _items(text: str) -> tuple[Counter, Counter] | None:
+    """Subtrees and data-flow edges of a text with their counts; None if something goes wrong
+    with it (syntax, depth, memory).  Remembered for the other candidates of a reference."""
+    try:
+        tree = ast.parse(text)
+        return Counter(_subtree_hashes(tree)), Counter(dataflow_edges(tree))
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
 
 
 def _ast_row(ref: str, cand: str) -> dict:
     """Share of the reference's subtrees and data-flow edges that the candidate
-    has.  Whatever goes wrong with one text (syntax, depth, memory) leaves the
-    pair unparsed and the job running."""
-    try:
-        r, c = ast.parse(ref), ast.parse(cand)
-        shares = []
-        for items in (_subtree_hashes, _dataflow_edges):
-            hit, total = _clipped(Counter(items(r)), Counter(items(c)))
-            shares.append(hit / total if total else None)
-        return {"syntax": shares[0], "dataflow": shares[1], "parsed": True}
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+    has; the job goes on past a pair of which one text does not parse."""
+    r, c = _items(ref), _items(cand)
+    if r is None or c is None:
         return {"syntax": None, "dataflow": None, "parsed": False}
+    shares = []
+    for own, other in zip(r, c):
+        hit, total = _clipped(own, other)
+        shares.append(hit / total if total else None)
+    return {"syntax": shares[0], "dataflow": shares[1], "parsed": True}
 
 
 def _syntax() -> Column:
