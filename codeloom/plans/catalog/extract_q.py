@@ -144,8 +144,8 @@ def a2(t):
     return G.mapping_completeness(_graph_nodes(t), _edges(t))
 
 
-@query("L1_build_graph", ["graph_src", "graph_entries", "raw_calls", "analyzer_log", "package_roots"],
-       "with " + marked_cte().strip() + ",\n" + graph_cte(log="marked").strip() + ",\n" + _GNODES.strip() + """,
+_L1_VIEWS = ["graph_src", "graph_entries", "raw_calls", "analyzer_log", "package_roots"]
+_L1_SQL = ("with " + marked_cte().strip() + ",\n" + graph_cte(log="marked").strip() + ",\n" + _GNODES.strip() + """,
 ends as (select package, node1 as node from edges union select package, node2 from edges),
 has_log as (select distinct package from log_e),
 has_nodes as (select distinct package from gnodes),
@@ -159,6 +159,9 @@ union all select r.package, 'status',
             when e.package is null then 'no edges' end
 from package_roots r left join has_log l on l.package = r.package left join has_nodes n on n.package = r.package
 left join has_edges e on e.package = r.package""")
+
+
+@query("L1_build_graph", _L1_VIEWS, _L1_SQL)
 def l1(t):
     """Whole graph job for all packages: the edges, the nodes on an edge and
     each package's status."""
@@ -172,6 +175,30 @@ def l1(t):
         .union(row(g["status"], "status", "status", F.col("reason")))
 
 
+@query("L1_update_graph", _L1_VIEWS, _L1_SQL + """
+union all select package, 'run', case when package < 10 then '1' else '2' end, null from package_roots""")
+def l1_update(t):
+    """The same in two runs: packages below 10 first, then all, of which the second run builds those still pending."""
+    import uuid
+
+    from codeloom.plans import incremental as I
+    from codeloom.session import ensure_checkpoint_dir
+
+    root = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/graph-{uuid.uuid4().hex}"
+    tables = {"src": "graph_src", "entries": "graph_entries", "calls": "raw_calls", "log": "analyzer_log", "roots": "package_roots"}
+    inputs = {k: t[v] for k, v in tables.items()}
+    versions = t["package_roots"].select("package", F.lit("1").alias("version"))
+    kind = versions.schema["package"].dataType.simpleString()
+    I.update_graph(t.spark, root, versions.where("package < 10"), inputs, partitions=t.partitions)
+    I.update_graph(t.spark, root, versions, inputs, partitions=t.partitions)
+    null = F.lit(None).cast("string")
+    row = lambda df, what, a, b: df.select("package", F.lit(what).alias("kind"), a.alias("a"), b.alias("b"))
+    out = {name: I.read_output(t.spark, root, name, kind) for name in ("edges", "nodes", "status")}
+    return row(out["edges"], "edge", F.col("node1"), F.col("node2")).union(row(out["nodes"], "node", F.col("node"), null)) \
+        .union(row(out["status"], "status", F.col("status"), F.col("reason"))) \
+        .union(row(I.read_manifest(t.spark, root, kind), "run", F.col("run").cast("string"), null))
+
+
 @query("F8_package_status", ["graph_src", "graph_entries", "raw_calls", "call_log", "package_roots"],
        "with " + graph_cte().strip() + """,
 has_log as (select distinct package from log_e),
