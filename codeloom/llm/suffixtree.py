@@ -13,7 +13,9 @@ and ends just before it; each distribution is smoothed by that of its suffix:
 
 down to the token frequencies, P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
 
-Documents are dealt into chunks of bounded size.  A chunk asks for the totals of
+Documents are cut into chunks of bounded size where they are read; what travels
+on is their tokens' places among the chunk's distinct words, packed, and not
+their texts.  A chunk asks for the totals of
 its distinct n-grams and adds its own training counts to them; buckets of
 n-grams sum up and answer every chunk in the order it asked, by what the other
 chunks hold.  Where no other chunk asked for an n-gram, none holds a longer one
@@ -22,18 +24,20 @@ The divergences are then summed by the same buckets: a chunk sends its part for
 each candidate it asked about, in that order and without the n-grams, and learns
 which of them pass; in the same way the suffixes that a longer context needs are
 marked.  So no count, context or distribution passes
-through the driver or is broadcast.  The documents and each level's answers are
-dealt to the chunks once and read there by every later level.  N-grams are told
+through the driver or is broadcast.  The packed tokens and each level's answers are dealt to
+the chunks once and read there by every later level.  Words and n-grams are told
 apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
@@ -49,6 +53,7 @@ PASSED, NEEDED = 100, 200
 #: Parts of divergences are sent as whole numbers of this fraction.
 FINE = 1 << 20
 SENT = "bucket int, chunk long, kind int, totals binary"
+STATE = "chunk long, words long, n long, tokens binary, sizes binary, held binary"
 ASK = "bucket int, chunk long, keys binary, counts binary"
 ANSWER = "chunk long, bucket int, kind int, totals binary"
 STATS = "tokens long, kinds long"
@@ -73,35 +78,111 @@ def _floor(tree: Tree, n: int) -> float:
     return max(tree.share * n, tree.count)
 
 
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words and the end of each text, and how many each text has."""
+    tokens, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for _, _, data, offsets in chunks(column):
+        data = LOWER[data]
+        starts, ends, word = spans(data, offsets)
+        n = np.diff(word)
+        out = np.empty(len(starts) + len(n), np.uint64)
+        out[np.arange(len(starts)) + np.repeat(np.arange(len(n)), n)] = hashes(data, starts, ends)
+        out[word[1:] + np.arange(len(n))] = END
+        tokens.append(out)
+        sizes.append(n + 1)
+    return np.concatenate(tokens), np.concatenate(sizes)
+
+
+def _cut(batches, chunk_bytes: int):
+    """Tables of whole rows of about ``chunk_bytes`` of text, or of as many tiny rows as weigh as much.
+
+    The cuts follow from the rows alone, not from how they come in batches.
+    """
+    held, size = [], 0
+    for b in batches:
+        weight = np.maximum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False), 16).tolist()
+        first = 0
+        for k, w in enumerate(weight):
+            size += w
+            if size >= chunk_bytes:
+                yield pa.Table.from_batches([*held, b.slice(first, k + 1 - first)])
+                held, size, first = [], 0, k + 1
+        if first < b.num_rows:
+            held.append(b.slice(first))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _read(batches, chunk_bytes: int):
+    """Each chunk of a task: its number, ids, held-out flags, token hashes and texts' sizes.
+
+    The number is made of the content and the place, so that a second reading
+    that gives other chunks cannot be taken for the first.
+    """
+    part = TaskContext.get().partitionId()
+    for k, table in enumerate(_cut(batches, chunk_bytes)):
+        release()
+        h, sizes = _tokens(table.column("_text").combine_chunks())
+        name = hashlib.blake2b(h.tobytes() + sizes.tobytes(), digest_size=8, key=f"{part}:{k}".encode()).digest()
+        number = int.from_bytes(name, "big") >> 1
+        held = table.column("_held").combine_chunks().to_numpy(zero_copy_only=False)
+        yield number, table.column("_id").combine_chunks(), held, h, sizes
+
+
+def _words(tree: Tree, buckets: int, chunk_bytes: int):
+    """The chunks' first questions: their distinct words and training counts."""
+
+    def run(batches):
+        for number, _, held, h, sizes in _read(batches, chunk_bytes):
+            keys, of = np.unique(h, return_inverse=True)
+            own = np.bincount(of[np.repeat(~held, sizes)], minlength=len(keys))
+            yield from _pack(number, {"keys": keys, "own": own}, buckets, np.uint32).to_batches()
+
+    return run
+
+
+def _states(chunk_bytes: int, names: list[str]):
+    """The chunks' tokens as places among their sorted distinct words."""
+
+    def run(batches):
+        for number, ids, held, h, sizes in _read(batches, chunk_bytes):
+            keys, of = np.unique(h, return_inverse=True)
+            tokens = pa.compress(pack(of.astype(np.uint32)), "zstd", asbytes=True)
+            cols = [[number], [len(keys)], [len(h)], [tokens], [sizes.astype(np.uint32).tobytes()], [np.packbits(held).tobytes()]]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds)), ids], names=names)
+
+    return run
+
+
 class Chunk:
     """Tokens of one chunk, and its distinct n-grams as far as the answers reach.
 
     The arrays by level hold: ``keys`` the sorted distinct n-grams, ``of`` the
     place of each occurrence's n-gram among them, ``at`` the occurrences' tokens,
     ``own`` the chunk's training counts, ``ask`` which n-grams it asks for,
-    ``sole`` those that no other chunk has and ``total`` the corpus's counts.
+    ``cuts`` where each bucket's questions lie among those, ``sole`` the n-grams
+    that no other chunk has and ``total`` the corpus's counts.
     """
 
     def __init__(self, table: pa.Table, tree: Tree):
-        column = table.column("_text").combine_chunks()
-        tokens, sizes = [], []
-        for _, _, data, offsets in chunks(column):
-            data = LOWER[data]
-            starts, ends, word = spans(data, offsets)
-            n = np.diff(word)
-            out = np.empty(len(starts) + len(n), np.uint64)
-            out[np.arange(len(starts)) + np.repeat(np.arange(len(n)), n)] = hashes(data, starts, ends)
-            out[word[1:] + np.arange(len(n))] = END
-            tokens.append(out)
-            sizes.append(n + 1)
-        self.h = np.concatenate(tokens)
-        self.sizes = np.concatenate(sizes)
+        if table.num_rows != 1:
+            raise ValueError("the documents read differently a second time: write them to a table first")
+        row = {c: table.column(c)[0] for c in table.column_names}
+        self.sizes = np.frombuffer(row["sizes"].as_py(), np.uint32).astype(np.int64)
+        self.held = np.unpackbits(np.frombuffer(row["held"].as_py(), np.uint8), count=len(self.sizes)).astype(bool)
+        self.ids = row["ids"].values
+        n = row["n"].as_py()
+        of = unpack(pa.decompress(row["tokens"].as_py(), 4 * n, "zstd", asbytes=True), np.uint32).astype(np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
-        self.train = np.repeat(~table.column("_held").combine_chunks().to_numpy(zero_copy_only=False), self.sizes)
-        self.place = np.arange(len(self.h)) - np.repeat(self.first, self.sizes)
+        self.train = np.repeat(~self.held, self.sizes)
+        self.ends = np.zeros(n, bool)
+        self.ends[self.first + self.sizes - 1] = True
         self.tree = tree
-        self.levels: list[dict] = []
-        self._level(self.h, np.arange(len(self.h)))
+        words = row["words"].as_py()
+        own = np.bincount(of[self.train], minlength=words)
+        self.levels: list[dict] = [{"of": of, "at": np.arange(n), "own": own, "ask": np.ones(words, bool)}]
 
     def _level(self, grams: np.ndarray, at: np.ndarray, sole: np.ndarray | None = None) -> None:
         """The next level; ``sole``: occurrences of n-grams that no other chunk has."""
@@ -125,8 +206,20 @@ class Chunk:
         self.floor = _floor(self.tree, self.n)
         for level in range(min(upto, self.tree.longest) + 1):
             mine, here = of_kind(level), self.levels[level]
-            parts = [unpack(mine[k], np.int64) for k, _, _ in slices(here["keys"][here["ask"]], buckets)]
-            told = np.concatenate(parts) if parts else np.empty(0, np.int64)
+            if level:
+                here["cuts"] = list(slices(here["keys"][here["ask"]], buckets))
+                told = [unpack(mine[k], np.int64) for k, _, _ in here["cuts"]]
+            else:  # with each word's number among all of them
+                order = sorted(mine)
+                both = [np.split(np.frombuffer(mine[k], np.uint8), 2) for k in order]
+                told = [unpack(a.tobytes(), np.int64) for a, _ in both]
+                edges = np.cumsum([0, *map(len, told)]).tolist()
+                here["cuts"] = list(zip(order, edges, edges[1:]))
+                if edges[-1] != len(here["own"]):
+                    raise ValueError("the documents read differently a second time: write them to a table first")
+                here["keys"] = np.concatenate([unpack_sorted(b.tobytes()) * np.uint64(buckets) + np.uint64(k) for k, (_, b) in zip(order, both)])
+                self.h = here["keys"][here["of"]]
+            told = np.concatenate(told) if told else np.empty(0, np.int64)
             # zero: no other chunk has it; else one more than the others' training counts
             here["sole"] = ~here["ask"]
             here["sole"][here["ask"]] = told == 0
@@ -135,19 +228,19 @@ class Chunk:
             if level < self.tree.longest:
                 self._open(level)
         #: By context length: which of this chunk's n-grams pass the test, and which a longer context needs.
-        self.passed = [self._told(of_kind(PASSED + k), self.levels[k], buckets) for k in range(self.tree.longest)] if upto > self.tree.longest else []
-        self.needed = [self._told(of_kind(NEEDED + k), self.levels[k], buckets) for k in range(self.tree.longest)] if upto > self.tree.longest + 1 else []
+        self.passed = [self._told(of_kind(PASSED + k), self.levels[k]) for k in range(self.tree.longest)] if upto > self.tree.longest else []
+        self.needed = [self._told(of_kind(NEEDED + k), self.levels[k]) for k in range(self.tree.longest)] if upto > self.tree.longest + 1 else []
 
-    def candidates(self, here: dict, buckets: int):
+    def candidates(self, here: dict):
         """(bucket, places of the candidate contexts among the n-grams asked about there)."""
         asked = np.flatnonzero(here["ask"])
         often = here["total"][asked] >= self.floor
-        for k, a, b in slices(here["keys"][asked], buckets):
+        for k, a, b in here["cuts"]:
             yield k, asked[a:b][often[a:b]]
 
-    def _told(self, mine: dict, here: dict, buckets: int) -> np.ndarray:
+    def _told(self, mine: dict, here: dict) -> np.ndarray:
         out = np.zeros(len(here["keys"]), bool)
-        for k, places in self.candidates(here, buckets):
+        for k, places in self.candidates(here):
             if k in mine:
                 out[places] = np.unpackbits(np.frombuffer(mine[k], np.uint8), count=len(places))
         return out
@@ -157,7 +250,7 @@ class Chunk:
         here = self.levels[level]
         frequent = here["total"] >= self.floor
         after = here["at"] + 1
-        ok = frequent[here["of"]] & (self.h[here["at"]] != END)
+        ok = frequent[here["of"]] & ~self.ends[here["at"]]
         here["frequent"] = ok
         at = after[ok]
         context = here["keys"][here["of"][ok]]
@@ -224,17 +317,13 @@ def _pack(chunk: int, level: dict, buckets: int, kind) -> pa.Table:
 
 
 def _asker(level: int, tree: Tree, buckets: int):
-    def first(key, table):
-        release()
-        return _pack(key[0].as_py(), Chunk(table, tree).levels[0], buckets, np.uint32)
-
-    def later(key, table, answers):
+    def run(key, table, answers):
         release()
         chunk = Chunk(table, tree)
         chunk.learn(answers, buckets, level - 1)
         return _pack(key[0].as_py(), chunk.levels[level], buckets, np.uint32)
 
-    return later if level else first
+    return run
 
 
 def _sender(kind: int, tree: Tree, buckets: int):
@@ -249,7 +338,7 @@ def _sender(kind: int, tree: Tree, buckets: int):
             if kind == PASSED:
                 x = np.rint(x * FINE).astype(np.int64)
                 x = ((x << 1) ^ (x >> 63)).view(np.uint64)  # small numbers of either sign have high bytes of zero
-            for bucket, places in chunk.candidates(chunk.levels[k], buckets):
+            for bucket, places in chunk.candidates(chunk.levels[k]):
                 if len(places):
                     rows.append((bucket, key[0].as_py(), k, pack(x[places]) if kind == PASSED else np.packbits(x[places]).tobytes()))
         cols = list(zip(*rows)) if rows else [[]] * 4
@@ -280,7 +369,11 @@ def _totals(level: int, tree: Tree):
     def run(key, table):
         sizes, of, counts, total = _unpacked(table)
         answer = np.where(np.bincount(of, minlength=len(total))[of] == 1, 0, total[of] - counts + 1)
-        return _answers(table, level, [pack(x) for x in np.split(answer, np.cumsum(sizes)[:-1])])
+        cuts = np.cumsum(sizes)[:-1]
+        back = [pack(x) for x in np.split(answer, cuts)]
+        if not level:  # words also get their place in the bucket, as a number to go by
+            back = [a + pack_sorted(x.astype(np.uint64)) for a, x in zip(back, np.split(of, cuts))]
+        return _answers(table, level, back)
 
     return run
 
@@ -328,14 +421,15 @@ def _score(tree: Tree, buckets: int, names: list[str]):
         known = chunk.levels[0]["total"][chunk.levels[0]["of"]] > 0
         sums = lambda x: np.add.reduceat(x, chunk.first)
         out = {
-            "held_out": table.column("_held"),
+            "_id": chunk.ids,
+            "held_out": pa.array(chunk.held),
             "n_tokens": pa.array(chunk.sizes),
             "n_known": pa.array(sums(known.astype(np.int64))),
             "train_tokens": pa.array(np.full(len(chunk.sizes), chunk.n)),
             "base_score": pa.array(sums(np.log10(chunk._chain(0)))),
             "score": pa.array(sums(np.log10(chunk._chain(tree.longest, chunk.stays())))),
         }
-        return pa.table([out.get(c) if c in out else table.column(c) for c in names], names=names)
+        return pa.table([out[c] for c in names], names=names)
 
     return run
 
@@ -362,24 +456,26 @@ def score_texts(
     besides.
 
     * Null text: empty, one token.  A null in ``held_out`` counts as false.
-    * Repeated rows count and are scored one by one.  Other columns are not
-      looked at.  Empty table: empty result.
+    * Null and repeated ids, and repeated rows, count and are scored one by one.
+      Other columns are not looked at.  Empty table: empty result.
+    * ``docs`` is read twice and must come in the same order both times, as files
+      do; where it does not, the job ends with an error that says so.
     """
     tree = Tree(count, share, longest, weight, least)
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("binary"))), F.count("*")).first()
     n_chunks = max(1, -(-(total[0] or 0) // chunk_bytes), -(-total[1] // (chunk_bytes // 16)))
     buckets = max(1, n_chunks // 2)
     source = docs.select(
-        F.col(id_col).alias("_id"),
-        F.col(text_col).cast("binary").alias("_text"),
-        F.coalesce(held_out, F.lit(False)).alias("_held"),
-        F.pmod(F.xxhash64(F.col(id_col), F.octet_length(F.col(text_col).cast("binary"))), F.lit(n_chunks)).alias("_chunk"),
+        F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"), F.coalesce(held_out, F.lit(False)).alias("_held")
     )
     # dealt by number, so that each exchange stays as it is for every level that reads it
     parts = min(n_chunks, MOST_PARTS)
-    by_chunk = source.repartition(parts, "_chunk").groupBy("_chunk")
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = [x.split()[0] for x in STATE.split(", ")] + ["ids"]
+    states = source.mapInArrow(_states(chunk_bytes, names), f"{STATE}, ids array<{kind}>")
+    by_chunk = states.repartition(parts, "chunk").groupBy("chunk")
     by_bucket = min(buckets, MOST_PARTS)
-    asked = [by_chunk.applyInArrow(_asker(0, tree, buckets), ASK).repartition(by_bucket, "bucket")]
+    asked = [source.mapInArrow(_words(tree, buckets, chunk_bytes), ASK).repartition(by_bucket, "bucket")]
     stats = asked[0].groupBy("bucket").applyInArrow(_stats, STATS).agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v"))
     stats = stats.select(F.struct("n", "v"))
 
