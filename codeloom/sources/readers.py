@@ -17,22 +17,16 @@ from typing import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codeloom.functions.text import NA_WORDS
 from codeloom.sources.headed import NAME as HEADED
 from codeloom.sources.headed import HeadedCsv
+from codeloom.sources.streamed import NAME as CALL_GRAPH
+from codeloom.sources.streamed import PIECE, CallGraphJson
 
 CALL_GRAPH_KEY = "call-graph-v1.0"
 #: Text of one archive sent on at once.
 MEMBER_BYTES = 4 << 20
-CALL_GRAPH_SCHEMA = T.StructType([
-    T.StructField(CALL_GRAPH_KEY, T.ArrayType(T.StructType([
-        T.StructField("id", T.StringType()),
-        T.StructField("function", T.StringType()),
-        T.StructField("callees", T.ArrayType(T.StringType())),
-    ]))),
-])
 NODE_SCHEMA = "node string, source_code string, description string, signature string"
 EDGE_SCHEMA = "node1 string, node2 string, type int"
 
@@ -163,15 +157,20 @@ def read_source_files(spark: SparkSession, root: str, pattern: str = "*.py") ->
 
 # S4 -------------------------------------------------------------------------
 def read_call_graph(spark: SparkSession, glob: str, suffix: str = "-graph-order.json",
-                    name_from: str = "file") -> tuple[DataFrame, DataFrame]:
+                    name_from: str = "file", piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
     """``(entries, calls)``: ``package, id, function`` and
     ``package, caller, pos, callee``; the package is the file name without
-    ``suffix`` (or the folder's, with ``name_from='folder'``).  Fields other than ``id/function/callees`` are pruned."""
-    raw = spark.read.schema(CALL_GRAPH_SCHEMA).option("multiLine", True).json(glob)
-    path = _path_col()
+    ``suffix`` (or the folder's, with ``name_from='folder'``).  Fields other than ``id/function/callees`` are pruned.
+
+    A file is read in pieces of ``piece`` characters and its entries one by one
+    (:mod:`codeloom.sources.streamed`), so it may be of any size; one that is no
+    such object ends the job with its name."""
+    spark.dataSource.register(CallGraphJson)
+    tasks = str(2 * spark.sparkContext.defaultParallelism)
+    raw = spark.read.format(CALL_GRAPH).options(path=glob, key=CALL_GRAPH_KEY, tasks=tasks, piece=str(piece)).load()
+    path = F.col("file")
     pkg = (parent_folder(path) if name_from == "folder" else file_stem(path, suffix)).alias("package")
-    entries = raw.select(pkg, F.explode(F.col(f"`{CALL_GRAPH_KEY}`")).alias("e"))
-    e = entries.select("package", "e.id", "e.function", "e.callees")
+    e = raw.select(pkg, "id", "function", "callees")
     calls = e.select("package", F.col("function").alias("caller"),
                      F.posexplode(F.coalesce("callees", F.array().cast("array<string>"))).alias("pos", "callee"))
     return e.select("package", "id", "function"), calls

@@ -9,6 +9,8 @@ multi-line source code survives a round trip.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,8 +99,10 @@ METRIC_LOG_BACKENDS = ("none", "print", "table")
 def append_metric_log(log: DataFrame, path: str | None = None, backend: str | None = "table") -> None:
     """Record ``run, step, metric, value`` rows.
 
-    ``table`` adds them to a parquet table partitioned by run, steps that it has
-    already of a run and metric excepted, so that a repeated call adds nothing;
+    ``table`` adds them to a parquet table partitioned by append and run, steps
+    that it has already of a run and metric excepted, so that a repeated call adds
+    nothing; an index of each append's steps tells which parts to compare with.
+    The index is written first, so an append that dies leaves an entry without rows;
     ``print`` prints every row in order, a partition at a time; ``none`` (or
     None) does nothing; any other name is an error.
     """
@@ -114,14 +118,41 @@ def append_metric_log(log: DataFrame, path: str | None = None, backend: str | No
         return
     if path is None:
         raise ValueError("table backend needs a path")
-    spark = log.sparkSession
+    path, spark = path.rstrip("/"), log.sparkSession
+    rows = cut_lineage(rows)
+    known = recorded_steps(spark, path, rows)
+    new = rows if known is None else cut_lineage(rows.join(known, ["run", "step", "metric"], "left_anti"))
+    batch = uuid.uuid4().hex
+    spans = new.groupBy("run").agg(F.min("step").alias("low"), F.max("step").alias("high"))
+    spans.select("run", F.lit(batch).alias("batch"), "low", "high").write.mode("append").parquet(f"{path}-steps")
+    new.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch", "run").parquet(path)
+
+
+_LOG_SCHEMA = "run string, step bigint, metric string, value double, batch string"
+
+
+def recorded_steps(spark, path: str, rows: DataFrame) -> DataFrame | None:
+    """``run, step, metric`` that the log at ``path`` has for the runs and steps of ``rows``; None if it has none.
+
+    The index beside the log (``<path>-steps``) has the first and last step of
+    each run in each append.  Only the folders of appends and runs that overlap
+    with those of ``rows`` are read; their names alone pass through the driver.
+    """
     try:
-        known = spark.read.schema(rows.schema).parquet(path).select("run", "step", "metric")
-        rows = rows.join(known, ["run", "step", "metric"], "left_anti")
+        index = spark.read.schema("run string, batch string, low bigint, high bigint").parquet(f"{path}-steps")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    cut_lineage(rows).write.mode("append").partitionBy("run").parquet(path)
+        return None
+    spans = rows.groupBy("run").agg(F.min("step").alias("_low"), F.max("step").alias("_high"))
+    met = index.join(spans, "run").where((F.col("low") <= F.col("_high")) & (F.col("high") >= F.col("_low")))
+    met = met.groupBy("batch").agg(F.collect_set("run").alias("runs"), F.min("low").alias("low")).collect()
+    if not met:
+        return None
+    first, last = rows.agg(F.min("step"), F.max("step")).first()
+    known = spark.read.schema(_LOG_SCHEMA).parquet(path)
+    known = known.where(F.col("batch").isin([m["batch"] for m in met]) & F.col("run").isin(sorted({r for m in met for r in m["runs"]})))
+    return known.where(F.col("step").between(first, last)).select("run", "step", "metric")
 
 
 def save_embedder(model, path: str) -> None:

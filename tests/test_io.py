@@ -224,6 +224,23 @@ def test_metric_log_backends(spark, tmp_dir):
         W.append_metric_log(log, backend="remote")
 
 
+def test_metric_log_compares_with_overlapping_appends_only(spark, tmp_dir):
+    rows = lambda run, first, last: spark.range(first, last + 1).select(
+        F.lit(run).alias("run"), F.col("id").alias("step"), F.lit("loss").alias("metric"), (F.col("id") * 0.5).alias("value"))
+    path = f"{tmp_dir}/ml"
+    for part in (rows("a", 1, 100), rows("a", 101, 200), rows("b", 101, 200), rows("a", 301, 400).union(rows("b", 1, 50))):
+        W.append_metric_log(part, path)
+    new = rows("a", 150, 210)
+    files = W.recorded_steps(spark, path, new).inputFiles()
+    assert files and all("/run=a/" in f for f in files) and len({f.split("/batch=")[1][:32] for f in files}) == 1
+    assert W.recorded_steps(spark, path, rows("a", 201, 300)) is None and W.recorded_steps(spark, path, rows("c", 1, 9)) is None
+    W.append_metric_log(new, path)
+    W.append_metric_log(new.union(rows("b", 40, 60)), path)
+    got = sorted((r["run"], r["step"], r["value"]) for r in spark.read.parquet(path).collect())
+    steps = [("a", k) for k in (*range(1, 211), *range(301, 401))] + [("b", k) for k in (*range(1, 61), *range(101, 201))]
+    assert got == [(run, k, k * 0.5) for run, k in steps]
+
+
 def test_embedder_save_load_same_vectors(spark, tmp_dir):
     df = spark.createDataFrame([(1, "def f(a): return a"), (2, "x = y + z")], "id long, text string")
     model = E.train_embedder(df, dim=8, min_count=1)
