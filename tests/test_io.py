@@ -231,7 +231,11 @@ def test_metric_log_compares_with_overlapping_appends_only(spark, tmp_dir):
     for part in (rows("a", 1, 100), rows("a", 101, 200), rows("b", 101, 200), rows("a", 301, 400).union(rows("b", 1, 50))):
         W.append_metric_log(part, path)
     new = rows("a", 150, 210)
-    files = W.recorded_steps(spark, path, new).inputFiles()
+    known = W.recorded_steps(spark, path, new)
+    scan = next(x for x in known._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters" in x)
+    parts, pushed = scan.split("PartitionFilters: ")[1].split("PushedFilters: ")
+    assert "batch" in parts and "run" in parts and "GreaterThanOrEqual(step,150)" in pushed
+    files = {r[0] for r in known.select(F.input_file_name()).collect()}
     assert files and all("/run=a/" in f for f in files) and len({f.split("/batch=")[1][:32] for f in files}) == 1
     assert W.recorded_steps(spark, path, rows("a", 201, 300)) is None and W.recorded_steps(spark, path, rows("c", 1, 9)) is None
     W.append_metric_log(new, path)
