@@ -97,3 +97,13 @@ def test_nothing_to_learn_from(spark):
     rows = {r.doc_id: r for r in suffixtree.score_texts(df, F.lit(True)).collect()}
     assert rows[1].train_tokens == 0 and rows[1].n_known == 0 and rows[1].base_score == 0.0
     assert {r.held_out for r in suffixtree.score_texts(df, F.col("held")).collect()} == {False, True}
+
+
+def test_distinct():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    close = np.array([5, 4, 5, 4, 1 << 60, (1 << 60) + 1, 1 << 60], np.uint64)  # equal but for the lowest bits
+    for x in (np.empty(0, np.uint64), close, rng.integers(0, 1 << 63, 50, dtype=np.uint64)[rng.integers(0, 50, 5000)]):
+        for a, b in zip(suffixtree._distinct(x), np.unique(x, return_inverse=True)):
+            assert (a == b).all() and len(a) == len(b)
