@@ -18,7 +18,8 @@ of documents that share a passage, but by one entry for each chunk.
 Documents are grouped into chunks of bounded size by a hash of their id; what
 a chunk asks and gets back are packed arrays, pre-aggregated, so that copies of
 one passage cost one entry for each chunk.  Word hashes route; which windows
-are equal is decided on words in the index.
+are equal is decided on words: in the index between chunks, and by comparing
+segments of one hash word by word within a chunk.
 """
 
 from __future__ import annotations
@@ -99,12 +100,45 @@ class Segments:
         self.key = np.concatenate((self.key[plain], key))
         self.hot = np.concatenate((np.zeros(len(plain), bool), np.ones(len(start), bool)))
 
+    def settle(self) -> None:
+        """Compare the segments of one hash word by word; others that share it get keys of their own."""
+        _, first, of, count = np.unique(self.key, return_index=True, return_inverse=True, return_counts=True)
+        again = np.flatnonzero((count[of] > 1) & (first[of] != np.arange(len(of))))
+        lead = first[of[again]]
+        if not len(again):
+            return
+        pieces = [_pieces(data, _covered(len(data), starts, ends), starts, ends) for data, starts, ends, _, _ in self.parts]
+        numbers = pa.chunked_array(pieces).combine_chunks().dictionary_encode().indices.to_numpy()
+        base = np.cumsum([0, *(len(x) for x in pieces)])
+        del pieces
+        place = base[self.part] + self.start
+        same = self.count[again] == self.count[lead]
+        pairs = np.flatnonzero(same)
+        for a in range(0, len(pairs), 1 << 16):
+            z = pairs[a : a + (1 << 16)]
+            n = self.count[again[z]] + self.window - 1
+            differ = numbers[ragged(place[again[z]], n)] != numbers[ragged(place[lead[z]], n)]
+            same[z] = np.add.reduceat(differ, np.cumsum(n) - n) == 0
+        for k in np.unique(of[again[~same]]).tolist():  # a collision of 64 bits
+            own = np.flatnonzero(of == k)
+            texts = [self.text(x) for x in own.tolist()]
+            number = {x: i for i, x in enumerate(sorted(set(texts)))}
+            self.key[own] += np.array([number[x] for x in texts], np.uint64)
+
     def text(self, k: int) -> bytes:
         data, starts, ends, _, _ = self.parts[self.part[k]]
         a, b = self.start[k], self.start[k] + self.count[k] + self.window - 2
         return b" ".join(data[starts[a] : ends[b]].tobytes().split())
 
 
+def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Marks the bytes of the ranges, which follow each other."""
+    edge = np.zeros(n + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+
+
 def _bits(answers: pa.Table, kind: int, name: str, keys: np.ndarray, buckets: int) -> np.ndarray:
     """The answers of one kind, in the order of the sorted distinct keys asked for."""
     mine = answers.column("kind").to_pylist()
@@ -197,9 +231,10 @@ def _send(buckets: int, shards: int, window: int):
     def run(key, table, answers):
         own = Segments(table, window)
         own.judge(answers, buckets)
-        hot = np.unique(own.key[own.hot])
+        own.settle()
+        hot = np.unique(own.route[own.hot])
         keep = ~own.hot
-        keep[own.hot] = _bits(answers, 1, "shared", hot, buckets)[np.searchsorted(hot, own.key[own.hot])]
+        keep[own.hot] = _bits(answers, 1, "shared", hot, buckets)[np.searchsorted(hot, own.route[own.hot])]
         which = np.flatnonzero(keep)
         order = which[np.lexsort((own.doc[which], own.key[which], own.route[which]))]
         if not len(order):
@@ -284,6 +319,7 @@ def _apply(buckets: int, window: int, schema_names: list[str]):
     def run(key, table, told):
         own = Segments(table, window)
         own.judge(told.filter(pc.is_valid(told.column("kind"))), buckets)
+        own.settle()
         found = told.filter(pc.is_valid(told.column("keys")))
         _, of = np.unique(own.key, return_inverse=True)
         least = np.full(len(own.key), LAST)
@@ -350,8 +386,8 @@ def remove_repeats(
         raise ValueError(f"a window has {ANCHOR} to {ANCHOR + 63} words")
     docs = docs.drop(*[c for c in ("kept", "n_words", "n_removed") if c in docs.columns])
     text = F.col(text_col).cast("binary")
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n_chunks = max(1, -(-total // chunk_bytes))
+    total, n_rows = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), F.count("*")).first()
+    n_chunks = max(1, -(-total // chunk_bytes), -(-n_rows // max(1, chunk_bytes // 16)))  # tiny texts count as rows
     shards = max(1, -(-total // shard_bytes))
     buckets = max(1, -(-total // (8 * shard_bytes)))
     names = docs.columns

@@ -478,7 +478,7 @@ def score_texts(
     """
     tree = Tree(count, share, longest, weight, least)
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("binary"))), F.count("*")).first()
-    n_chunks = max(1, -(-(total[0] or 0) // chunk_bytes), -(-total[1] // (chunk_bytes // 16)))
+    n_chunks = max(1, -(-(total[0] or 0) // chunk_bytes), -(-total[1] // max(1, chunk_bytes // 16)))
     buckets = max(1, n_chunks // 2)
     source = docs.select(
         F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"), F.coalesce(held_out, F.lit(False)).alias("_held")

@@ -81,3 +81,23 @@ def test_index_counts_patterns():
             p = text[e - m : e]
             where = [x for x in range(3000 - m + 1) if np.array_equal(text[x : x + m], p)]
             assert sorted(index.suffixes[a:b].tolist()) == where
+
+
+def test_segments_of_one_hash_are_told_apart_by_their_words(spark, monkeypatch):
+    """With a hash that knows two values only, nothing but equal words counts as equal."""
+    import numpy as np
+    import pyarrow as pa
+
+    from codeloom.llm import substrings
+
+    texts = [" ".join(f"w{(k * 3 + i) % 7}" for i in range(13 + k % 3)) for k in range(30)] + ["a " * 20, "b " * 20, "a " * 20]
+    table = pa.table({substrings.TEXT: pa.array([t.encode() for t in texts], pa.binary()), substrings.ID: pa.array(range(len(texts)), pa.int64())})
+    monkeypatch.setattr(substrings, "run_hashes", lambda h, starts, lengths: (starts % 2).astype(np.uint64) << np.uint64(32))
+    own = substrings.Segments(table, 13)
+    assert len(np.unique(own.key)) <= 2
+    own.settle()
+    by_key, by_text = {}, {}
+    for k in range(len(own.key)):
+        by_key.setdefault(int(own.key[k]), set()).add(own.text(k))
+        by_text.setdefault(own.text(k), set()).add(int(own.key[k]) >> 32)
+    assert all(len(x) == 1 for x in by_key.values()) and len(by_key) > 10
