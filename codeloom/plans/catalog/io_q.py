@@ -80,6 +80,47 @@ def m4(t):
     return e.select("dataset_name", "id", F.size("embedding").alias("dim"), round6(norm).alias("norm"))
 
 
+def _times(a: str, c: int) -> str:
+    return f"((({a})::hugeint * {c}) % 4294967296)::bigint"
+
+
+def _rotated(x: str, n: int) -> str:
+    return f"(((({x}) << {n}) | (({x}) >> {32 - n})) & 4294967295)"
+
+
+def _feature_sql() -> str:
+    """Feature of a token: its 32-bit MurmurHash3 with seed 42, as published, modulo 4096."""
+    mixed = lambda k: _times(_rotated(_times(k, 3432918353), 15), 461845907)
+    block = "(b[4 * i + 1] | (b[4 * i + 2] << 8) | (b[4 * i + 3] << 16) | (b[4 * i + 4] << 24))"
+    return f"""
+byte as (select token, n, list_transform(range(1, n + 1), lambda i: ('0x' || substr(x, 2 * i - 1, 2))::bigint) as b
+         from (select token, octet_length(encode(token)) as n, hex(encode(token)) as x from (select distinct token from tok) d) h),
+body as (select token, n, b, list_reduce(list_prepend(42::bigint, list_transform(range(n // 4), lambda i: {mixed(block)})),
+                lambda h, k: ({_rotated('xor(h, k)', 13)} * 5 + 3864292196) & 4294967295) as h from byte),
+last as (select token, n, list_reduce(list_prepend(0::bigint, list_transform(range(n % 4), lambda i: (b[4 * (n // 4) + i + 1] << (8 * i)))),
+                lambda a, c: a | c) as k, h from body),
+done as (select token, xor(xor(h, {mixed('k')}), n) as h from last),
+f1 as (select token, {_times('xor(h, h >> 16)', 2246822507)} as h from done),
+f2 as (select token, {_times('xor(h, h >> 13)', 3266489909)} as h from f1),
+hashed as (select token, xor(h, h >> 16) % 4096 as feature from f2)"""
+
+
+_VECTOR_SQL = f"""with tok as (
+  select dataset_name, id, unnest(regexp_extract_all(raw_source_code, '[^ \\t\\n\\x0B\\f\\r]+')) as token from code_base),{_feature_sql()},
+tf as (select dataset_name, id, feature, count(*) as c from tok join hashed using (token) group by dataset_name, id, feature)
+select dataset_name, id, cast(feature as integer) as feature,
+  round(c / sqrt(sum(c * c) over (partition by dataset_name, id)), 6) as weight from tf"""
+
+
+@query("M4_embed_vectors", ["code_base"], _VECTOR_SQL)
+def m4_vectors(t):
+    """The default embedder's vectors themselves: every feature that a function's code has, with its weight."""
+    e = E.embed(t["code_base"].select("dataset_name", "id", "raw_source_code"), "raw_source_code", dense=False)
+    sparse = F.unwrap_udt("embedding")
+    parts = F.arrays_zip(sparse["indices"].alias("feature"), sparse["values"].alias("weight"))
+    return e.select("dataset_name", "id", F.inline(parts)).select("dataset_name", "id", "feature", round6("weight").alias("weight"))
+
+
 @query("M5_train_embedder", ["node_docs", "edge_docs"], None)
 def m5(t):
     """Word2Vec fitted on the train split's code; triplet metrics on validation."""
