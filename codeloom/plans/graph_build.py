@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.operators import extract as X
 from codeloom.operators import graph as G
@@ -26,6 +30,12 @@ def materialize(df: DataFrame, how: str = "checkpoint") -> DataFrame:
     raise ValueError(f"unknown stage mode {how!r}")
 
 
+def at_once(spark: SparkSession, *steps: Callable) -> list:
+    """Results of steps that do not need each other, their jobs submitted side by side."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]]
+
+
 def build_graph(
     src: DataFrame,
     entries: DataFrame,
@@ -49,13 +59,19 @@ def build_graph(
 
     Only log lines after the phase marker, as many as announced, name paths;
     ``use_marker=False`` takes every counter line.  What several outputs read
-    (functions, logged paths, edges) is staged once, as ``stage`` says.
+    (functions, logged paths, edges) is staged once, as ``stage`` says; the files
+    are parsed while the log and the calls are.
     """
-    fns, errors = X.split_errors(materialize(X.extract_functions(src, include_async, partitions), stage))
+    def functions():
+        return X.split_errors(materialize(X.extract_functions(src, include_async, partitions), stage))
+
+    def call_edges():
+        logged = materialize(G.log_entries(G.after_marker(log) if use_marker else log, roots), stage)
+        resolved, unmatched = G.attach_paths(entries, G.name_to_path(logged))
+        return logged, unmatched, materialize(G.resolve_edges(calls, resolved, normalize_callers, distinct=distinct_edges), stage)
+
+    (fns, errors), (logged, unmatched, edges) = at_once(src.sparkSession, functions, call_edges)
     nodes = X.function_nodes(fns, roots)
-    logged = materialize(G.log_entries(G.after_marker(log) if use_marker else log, roots), stage)
-    resolved, unmatched = G.attach_paths(entries, G.name_to_path(logged))
-    edges = materialize(G.resolve_edges(calls, resolved, normalize_callers, distinct=distinct_edges), stage)
     return {
         "nodes": G.nodes_in_graph(nodes, edges),
         "edges": edges,
