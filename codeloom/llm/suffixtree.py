@@ -81,11 +81,16 @@ def _floor(tree: Tree, n: int) -> float:
 def _distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As ``np.unique`` with the inverse, by one sort of the upper bits with the places in the lower ones."""
     n = len(grams)
+    if not n:
+        return grams, np.empty(0, np.int64)
     low = np.uint64((1 << n.bit_length()) - 1)
-    at = (np.sort((grams & ~low) | np.arange(n, dtype=np.uint64)) & low).astype(np.int64)
+    base = grams.min()
+    free = 64 - max(int(grams.max() - base).bit_length(), 1)
+    at = (np.sort(((grams - base) << np.uint64(free)) & ~low | np.arange(n, dtype=np.uint64)) & low).astype(np.int64)
     rising = grams[at]
-    if (rising[1:] < rising[:-1]).any():  # two differ in the lower bits alone
-        return np.unique(grams, return_inverse=True)
+    if (rising[1:] < rising[:-1]).any():  # some differ in the lower bits alone: nearly in order
+        again = np.argsort(rising, kind="stable")
+        at, rising = at[again], rising[again]
     new = np.ones(n, bool)
     new[1:] = rising[1:] != rising[:-1]
     of = np.empty(n, np.int64)
@@ -367,7 +372,7 @@ def _unpacked(table: pa.Table):
     """A bucket's n-grams: each chunk's number of them, the place of each among the distinct ones, and the counts."""
     keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
     counts = np.concatenate([unpack(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
-    distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
+    distinct, of = _distinct(np.concatenate(keys))
     return [len(k) for k in keys], of, counts, np.bincount(of, counts, len(distinct)).astype(np.int64)
 
 
