@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import tokens as TK
 from codeloom.functions.text import MISSING_SOURCE
 from codeloom.operators import sampling as S
+from codeloom.plans.graph_build import at_once
 from codeloom.session import cut_lineage
 
 
@@ -32,17 +33,17 @@ def build_training_set(
     its batch's longest sequence and gets an attention mask.  A split with an
     empty side raises.
     """
-    # the light table that every step reads is written once: an edge with its package's side
-    names = cut_lineage(nodes.select("package", "node", order))
-    split = S.group_split(S.package_sizes(names, edges), val=val, seed=seed)
-    light = edges.select("package", id_col, "node1", "node2").join(split.select("package", "split", "order_key"), "package", "left")
-    light = cut_lineage(light)
-    split = light.select("package", "split", "order_key").distinct()
+    # the light tables that every step reads are written once, side by side
+    edges, names = at_once(
+        edges.sparkSession,
+        lambda: cut_lineage(edges.select("package", id_col, "node1", "node2")),
+        lambda: cut_lineage(nodes.select("package", "node", order)))
+    # one row per package: checked, and read by all that follows
+    split = cut_lineage(S.group_split(S.package_sizes(names, edges), val=val, seed=seed))
     S.check_split(split)
-    edges = light.select("package", id_col, "node1", "node2")
     # batch positions are planned on the light (package, id) columns, so the
     # heavy triplet + token rows are built once and joined on a unique key
-    light = light.select("package", id_col, "split")
+    light = edges.select("package", id_col).join(split.select("package", "split"), "package")
     train = S.assign_batches(light.filter(F.col("split") == "train"), batch_size, True, id_col, seed, epoch)
     val_rows = S.merged_index(light.filter(F.col("split") == "validation"),
                               split.filter(F.col("split") == "validation"), id_col)
