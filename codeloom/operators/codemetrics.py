@@ -228,9 +228,11 @@ def codebleu(parts: list) -> tuple[Column, Column]:
 def score_pairs(df: DataFrame, ids: list[str], ref: str = "reference", cand: str = "candidate",
                 with_ast: bool = True, partitions: int | None = None) -> DataFrame:
     """Every metric per pair with both texts present (the others are skipped)."""
+    df = df.filter(F.col(ref).isNotNull() & F.col(cand).isNotNull())
+    df = by_reference(df, ref, cand, partitions) if partitions else df  # the distances, too, are the dealt tasks' work
     df = df.withColumn("_lev", edit_distance(ref, cand).cast("double"))
     parts = [(_NGRAM_SCHEMA, _ngram_row)] + ([(_AST_SCHEMA, _ast_row)] if with_ast else [])
-    out = _by_row(df, [*ids, "_lev"], ref, cand, parts, partitions)
+    out = _by_row(df, [*ids, "_lev"], ref, cand, parts, None)
     scores = [F.col("_lev").alias("levenshtein_distance"), _bleu("").alias("ngram_match_score"),
               _bleu("w_").alias("weighted_ngram_match_score")]
     if not with_ast:
