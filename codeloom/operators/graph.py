@@ -37,6 +37,8 @@ def after_marker(log: DataFrame) -> DataFrame:
     The log is read twice: for its few marker and header lines, and for the
     lines after them, which are dealt by ranges of line numbers; the place of a
     line is its place in the range plus the counter lines of the ranges before.
+    The headers, one row per package, are sent to the log: it is not dealt by
+    package, whatever it is made of.
     """
     marker, suffix = F.col("line").contains(N.PHASE_MARKER), F.col("line").endswith(N.HEADER_SUFFIX)
     # on the marker's own line the header must follow the marker
@@ -46,7 +48,7 @@ def after_marker(log: DataFrame) -> DataFrame:
     start = special.filter("_marker").groupBy(PKG).agg(F.min("line_no").alias("_m"))
     header = special.join(start, PKG).filter((F.col("line_no") > F.col("_m")) & F.col("_header") | (F.col("line_no") == F.col("_m")) & F.col("_both")) \
         .groupBy(PKG).agg(F.min("line_no").alias("_h"))
-    after = log.join(header, PKG).filter(F.col("line_no") > F.col("_h")) \
+    after = log.join(F.broadcast(header), PKG).filter(F.col("line_no") > F.col("_h")) \
         .select(PKG, "line_no", "line", N.parse_progress("line")["n"].alias("_n"),
                 F.floor(F.col("line_no") / F.lit(LINES_PER_BUCKET)).alias("_bucket")).repartition(PKG, "_bucket")
     ranges = after.groupBy(PKG, "_bucket").agg(F.count("_n").alias("_cnt"), F.min(F.struct("line_no", "_n")).alias("_first"))
@@ -64,13 +66,13 @@ def phase_flag(log: DataFrame) -> DataFrame:
     its package (the running flag, from one small aggregate and a join rather
     than a window over the whole log)."""
     marker = log.filter(F.col("line").contains(N.PHASE_MARKER)).groupBy(PKG).agg(F.min("line_no").alias("_m"))
-    out = log.join(marker, PKG, "left")
+    out = log.join(F.broadcast(marker), PKG, "left")
     return out.withColumn("after_marker", F.coalesce(F.col("line_no") > F.col("_m"), F.lit(False))).drop("_m")
 
 
 def log_entries(log: DataFrame, roots: DataFrame) -> DataFrame:
     """``package, line_no, name, rel_path`` for every counter line."""
-    parsed = log.filter(N.parse_progress("line").isNotNull()).join(roots, PKG) \
+    parsed = log.filter(N.parse_progress("line").isNotNull()).join(F.broadcast(roots), PKG) \
         .select(PKG, "line_no", N.parse_log_entry("line", F.col("root")).alias("e"))
     return parsed.filter(F.col("e").isNotNull()).select(PKG, "line_no", "e.name", "e.rel_path")
 

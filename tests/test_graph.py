@@ -121,3 +121,25 @@ def test_package_status(spark):
     edges = spark.createDataFrame([("a",)], "package string")
     st = {r["package"]: (r["status"], r["reason"]) for r in G.package_status(roots, log=log, edges=edges).collect()}
     assert st == {"a": ("ok", None), "b": ("error", "no edges"), "c": ("error", "no log")}
+
+
+def test_log_of_dealt_parts_is_read(spark):
+    """A log whose parts are dealt by package when planned, and broadcast when run, is joined all the same."""
+    orders = spark.range(400).select(F.col("id").alias("o_orderkey"))
+    t = Tables(spark, "none", {"orders": orders})
+    dealt = t["call_lines"].groupBy("package").agg(F.count(F.lit(1)).alias("n"))
+    lines = t["call_lines"].join(dealt, "package").select(
+        "package", "line_no", F.concat(F.lit("[INFO] ("), "i", F.lit("/"), "n", F.lit(") "), "entry").alias("line"))
+    packages = lines.select("package").distinct()
+    log = lines.unionByName(packages.select("package", F.lit(-2).alias("line_no"), F.lit("Main interprocedural analysis phase...").alias("line"))) \
+        .unionByName(packages.select("package", F.lit(-1).alias("line_no"), F.lit("50 functions will be analyzed.").alias("line")))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10m")
+    try:
+        kept = G.after_marker(log)
+        assert kept.count() == lines.count() and G.phase_flag(log).where("after_marker").count() == lines.count() + 20
+        assert G.after_marker(t["analyzer_log"]).groupBy("package").count().count() == 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
