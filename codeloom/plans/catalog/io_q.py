@@ -300,15 +300,22 @@ def p21(t):
     return _call_graph(t)[0]
 
 
+def _folder(c: str):
+    """``key=value`` as Spark's writers name it."""
+    value = F.coalesce(F.replace(F.col(c), F.lit("/"), F.lit("%2F")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    return F.concat(F.lit(f"{c}="), value)
+
+
 @query("S3_read_source_files", ["src"],
        "select 'pkg ' || package as package, regexp_extract(path, '[^/]*$') as name, content from src")
 def s3(t):
     """Source files in folders with a blank, read back by their real paths."""
     root = _scratch(t.spark, "source tree")
     src = t["src"].select(F.concat(F.lit("pkg "), "package").alias("p"), F.regexp_extract("path", "[^/]*$", 0).alias("name"), "content")
-    src.repartition("p").select("p", "name", F.col("content").alias("value")).write.partitionBy("p", "name").option("lineSep", "\n").text(root)
-    back = R.read_source_files(t.spark, root, pattern="part-*")
-    return back.select(F.regexp_extract("path", "^p=([^/]*)/", 1).alias("package"), F.regexp_extract("path", "/name=([^/]*)/", 1).alias("name"),
+    value = F.concat(F.coalesce("content", F.lit("")), F.lit("\n"))
+    W.write_files(src.select(F.concat(_folder("p"), F.lit("/"), _folder("name")).alias("path"), value.alias("content")), root)
+    back = R.read_source_files(t.spark, root, pattern="name=*")
+    return back.select(F.regexp_extract("path", "^p=([^/]*)/", 1).alias("package"), F.regexp_extract("path", "/name=([^/]*)$", 1).alias("name"),
                        F.expr("left(content, length(content) - 1)").alias("content"))
 
 

@@ -9,13 +9,18 @@ multi-line source code survives a round trip.
 
 from __future__ import annotations
 
+import posixpath
 import uuid
+from collections.abc import Iterator
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.session import cut_lineage
+from codeloom.sources.headed import _opened
 
 
 def spread_by_key(df: DataFrame, key: str, files_per_key: int | None) -> DataFrame:
@@ -30,6 +35,38 @@ def spread_by_key(df: DataFrame, key: str, files_per_key: int | None) -> DataFra
     return df.repartition(parts, key, salt)
 
 
+def _filed(root: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base, _ = _opened(root)
+        known, files = set(), 0
+        rows = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        for path, same in groupby(rows, key=lambda row: row[0]):
+            path = posixpath.join(base, path)
+            folder = posixpath.dirname(path)
+            if folder not in known:
+                system.create_dir(folder, recursive=True)
+                known.add(folder)
+            with system.open_output_stream(path) as out:
+                for _, content in same:
+                    out.write((content or "").encode())
+            files += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    return run
+
+
+def write_files(df: DataFrame, root: str) -> int:
+    """One file below ``root`` per ``path`` with its ``content`` (rows of one path follow each other); the number of files.
+
+    The tasks write the files themselves, each folder's side by side: a
+    partitioned write would make a folder for each and rename them one by one
+    on the driver.  A task run twice writes the same files again.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select("path", "content").repartition(parts, "path").sortWithinPartitions("path")
+    return dealt.mapInArrow(_filed(root), "files long").agg(F.sum("files")).first()[0] or 0
+
+
 def _csv_writer(df: DataFrame, mode: str):
     # keep leading / trailing whitespace: it is part of the code
     return (df.write.mode(mode).option("header", True).option("escape", '"')

@@ -279,3 +279,15 @@ def test_generate_marked_and_raw(spark):
     fn = lambda s: s.map(lambda _: "x #to_be_implemented\n  body()  \n#end_of_example tail")
     assert E.generate(df, fn, extract="marked").first()["generation"] == "body()"
     assert E.generate(df, fn, extract=None).first()["generation"].startswith("x #to_be")
+
+
+def test_files_are_written_by_the_tasks_without_a_folder_each(spark, tmp_dir):
+    rows = [(f"p=pkg {k % 3}/name=m{k}.py", f"x = {k}\n# é\n") for k in range(40)]
+    rows += [("p=pkg 0/name=twice.py", "a\n"), ("p=pkg 0/name=twice.py", "a\n"), ("p=pkg 1/name=empty.py", None)]
+    assert W.write_files(spark.createDataFrame(rows, "path string, content string").repartition(5), f"file:{tmp_dir}/tree") == 42
+    folders = [d for d, _, files in os.walk(f"{tmp_dir}/tree") if files]
+    assert sorted(os.path.basename(d) for d in folders) == ["p=pkg 0", "p=pkg 1", "p=pkg 2"]
+    back = {r["path"]: r["content"] for r in R.read_source_files(spark, f"{tmp_dir}/tree", pattern="name=*").collect()}
+    assert len(back) == 41 and back["p=pkg 0/name=twice.py"] == "a\na\n"  # Spark reads no row from an empty file
+    assert os.path.getsize(f"{tmp_dir}/tree/p=pkg 1/name=empty.py") == 0
+    assert all(back[p] == c for p, c in rows[:40])
