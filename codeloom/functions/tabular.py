@@ -13,32 +13,40 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from codeloom.operators.extract import calls_of, functions_of
+from codeloom.operators.extract import Parser, calls_of, functions_of
 
 FUNCTION_ROW = "qualname string, source_code string, description string, signature string, lineno int, error string"
 CALL_ROW = "caller string, callee_text string, call_index int, error string"
 
 
-def _rows(fn, columns: str, content: str | None, include_async: bool | None):
+def _rows(parser: Parser, fn, columns: str, content: str | None, include_async: bool | None):
     names = [c.split()[0] for c in columns.split(", ")]
-    try:
-        rows = list(fn(content or "", bool(include_async)))
-    except Exception as e:  # noqa: BLE001 - a bad text is reported, not fatal
-        rows = [{"error": f"{type(e).__name__}: {e}"}]
-    for row in rows:
+    for row in parser(fn, [content], bool(include_async))[0]:
         yield tuple(row.get(c) for c in names)
 
 
 @udtf(returnType=FUNCTION_ROW)
 class ExtractFunctions:
+    def __init__(self):
+        self.parser = Parser()
+
     def eval(self, content: str, include_async: bool = False):
-        yield from _rows(functions_of, FUNCTION_ROW, content, include_async)
+        yield from _rows(self.parser, functions_of, FUNCTION_ROW, content, include_async)
+
+    def terminate(self):
+        self.parser.close()
 
 
 @udtf(returnType=CALL_ROW)
 class FindCalls:
+    def __init__(self):
+        self.parser = Parser()
+
     def eval(self, content: str, include_async: bool = False):
-        yield from _rows(calls_of, CALL_ROW, content, include_async)
+        yield from _rows(self.parser, calls_of, CALL_ROW, content, include_async)
+
+    def terminate(self):
+        self.parser.close()
 
 
 TABLE_FUNCTIONS = {"extract_functions": ExtractFunctions, "find_calls": FindCalls}
