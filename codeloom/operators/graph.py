@@ -173,10 +173,8 @@ def graph_stats(resolved: DataFrame, calls: DataFrame, builtin_only: bool = Fals
 
 
 def edge_ends(edges: DataFrame) -> DataFrame:
-    """Distinct ``package, node`` over both ends of every edge."""
-    a = edges.select(PKG, F.col("node1").alias("node"))
-    b = edges.select(PKG, F.col("node2").alias("node"))
-    return a.union(b).distinct()
+    """Distinct ``package, node`` over both ends of every edge; the edges are read once."""
+    return edges.select(PKG, F.explode(F.array("node1", "node2")).alias("node")).distinct()
 
 
 def covered(ends: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -201,16 +199,24 @@ def nodes_in_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def mapping_completeness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per package: distinct edge ends, functions, ends that are functions, edges."""
-    ends = edge_ends(edges)
-    n_ends = ends.groupBy(PKG).agg(F.count(F.lit(1)).alias("edge_ends"))
-    n_fn = nodes.groupBy(PKG).agg(F.count(F.lit(1)).alias("functions"))
-    n_int = ends.join(nodes.select(PKG, "node").distinct(), [PKG, "node"], "left_semi") \
-        .groupBy(PKG).agg(F.count(F.lit(1)).alias("intersection"))
-    n_e = edges.groupBy(PKG).agg(F.count(F.lit(1)).alias("edges"))
-    pk = n_ends.select(PKG).union(n_fn.select(PKG)).distinct()
-    out = pk.join(n_ends, PKG, "left").join(n_fn, PKG, "left").join(n_int, PKG, "left").join(n_e, PKG, "left")
-    return out.select(PKG, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("edge_ends", "functions", "intersection", "edges")])
+    """Per package: distinct edge ends, functions, ends that are functions, edges.
+
+    Edges and functions are read once each: their counts meet by ``(package, node)``
+    and are added up by package.  A null node is an end but no function's, and
+    nothing is counted of a null package.
+    """
+    ends = edges.select(PKG, F.inline(F.array(*(
+        F.struct(F.col(c).alias("node"), F.lit(1).alias("_end"), F.lit(0).alias("_fn"), F.lit(e).alias("_edge"))
+        for c, e in (("node1", 1), ("node2", 0))))))
+    fns = nodes.select(PKG, "node", F.lit(0).alias("_end"), F.lit(1).alias("_fn"), F.lit(0).alias("_edge"))
+    met = ends.unionByName(fns).groupBy(PKG, "node").agg(
+        F.max("_end").alias("_end"), F.sum("_fn").alias("_fn"), F.sum("_edge").alias("_edge"))
+    both = F.col("node").isNotNull() & (F.col("_end") > 0) & (F.col("_fn") > 0)
+    out = met.groupBy(PKG).agg(
+        F.sum("_end").alias("edge_ends"), F.sum("_fn").alias("functions"), F.count_if(both).alias("intersection"),
+        F.sum("_edge").alias("edges"))
+    return out.select(PKG, *[F.when(F.col(PKG).isNull(), F.lit(0)).otherwise(F.col(c)).alias(c)
+                             for c in ("edge_ends", "functions", "intersection", "edges")])
 
 
 def package_status(expected: DataFrame, **stages: DataFrame) -> DataFrame:

@@ -143,3 +143,27 @@ def test_log_of_dealt_parts_is_read(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edges_and_functions_are_read_once(spark):
+    edges = spark.range(0, 50, 1, 2).select((F.col("id") % 3).alias("package"), F.concat(F.lit("a"), "id").alias("node1"),
+                                            F.concat(F.lit("b"), "id").alias("node2"), F.lit(0).alias("type"))
+    nodes = spark.range(0, 70, 1, 2).select((F.col("id") % 3).alias("package"), F.concat(F.lit("a"), "id").alias("node"))
+    assert _plan(G.edge_ends(edges)).count("Range (0, 50") == 1
+    done = _plan(G.mapping_completeness(nodes, edges))
+    assert (done.count("Range (0, 50"), done.count("Range (0, 70")) == (1, 1)
+    assert {tuple(r) for r in G.mapping_completeness(nodes, edges).collect()} == {(0, 34, 24, 17, 17), (1, 34, 23, 17, 17), (2, 32, 23, 16, 16)}
+
+
+def test_completeness_of_nulls_and_duplicates(spark):
+    edges = spark.createDataFrame([("p", "x", "y"), ("p", "x", "y"), ("p", None, "x"), (None, "x", "y"), ("q", "x", None)],
+                                  "package string, node1 string, node2 string")
+    nodes = spark.createDataFrame([("p", "x"), ("p", "x"), ("p", None), ("r", "x"), (None, "x")], "package string, node string")
+    rows = {r["package"]: tuple(r)[1:] for r in G.mapping_completeness(nodes, edges).collect()}
+    # a null node is an end and a function, but never both; packages are joined, so a null one has no counts
+    assert rows == {"p": (3, 3, 1, 3), "q": (2, 0, 0, 1), "r": (0, 1, 0, 0), None: (0, 0, 0, 0)}
+    assert {tuple(r) for r in G.edge_ends(edges).collect()} == {("p", "x"), ("p", "y"), ("p", None), (None, "x"), (None, "y"), ("q", "x"), ("q", None)}
