@@ -49,11 +49,12 @@ def build_training_set(
                               split.filter(F.col("split") == "validation"), id_col)
     valid = S.assign_batches(val_rows, batch_size, False, id_col, index_col="global_idx").drop("global_idx")
     batches = cut_lineage(train.unionByName(valid))
-    # each node's code is tokenised once (not once per edge that names it) and
-    # only the bounded id lists travel through the triplet joins
+    # each node's code is tokenised once (not once per edge that names it, nor for
+    # each of the three lookups, whose own exchange Spark leaves out as the sources
+    # lie by node already) and only the bounded id lists travel through the triplet joins
     trip = S.triplets(edges, names, id_col, order, seed, epoch, sources=False)
     ids = lambda c: TK.token_ids(TK.truncate(TK.tokens(c), max_len))
-    node_ids = S.node_sources(nodes, order).select("package", "node", ids("source").alias("value"))
+    node_ids = cut_lineage(S.node_sources(nodes, order).select("package", "node", ids("source").alias("value")))
     trip = S.attach_node_values(trip, node_ids, {"node1": "ids1", "node2": "ids2", "node3": "ids3"},
                                 ids(F.lit(MISSING_SOURCE)))
     out = trip.join(batches, ["package", id_col])

@@ -170,3 +170,15 @@ def test_orders_are_planned_without_running_the_upstream(spark):
         sampling_q.cut_lineage = keep
         spark.sparkContext.setJobGroup("tests", "tests")
     assert writes == [1]
+
+
+def test_training_set_tokenises_each_node_once(spark):
+    nodes = spark.createDataFrame([(f"p{k % 6}", f"n{k}", f"def f{k} ( a ) :" if k % 5 else None, k) for k in range(30)],
+                                  "package string, node string, source_code string, doc_id long")
+    edges = spark.createDataFrame([(f"p{k % 6}", k, f"n{k}", f"n{(k + 6) % 36}") for k in range(30)],
+                                  "package string, edge_id long, node1 string, node2 string")
+    out = build_training_set(edges, nodes, batch_size=4, val=0.5)
+    # the three lookups read ids that were written once, not the texts
+    assert "max_by" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = out.collect()
+    assert len(rows) == 30 and all(len(r["ids1"]) == (6 if r["edge_id"] % 5 else 1) for r in rows)
