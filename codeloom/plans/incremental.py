@@ -46,9 +46,16 @@ def pending(versions: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def _replace(df: DataFrame, packages: DataFrame, path: str, key: str | None) -> None:
-    """Overwrite the partitions of ``packages``, also those that ``df`` has nothing for."""
+    """Overwrite the partitions of ``packages``, also those that ``df`` has nothing for.
+
+    A package without rows gets one of nulls.  The packages of a run, which are few,
+    are sent to ``df``, which is not dealt by package to be joined.  It is rebalanced
+    instead: small packages are a file each, a large one is many tasks'.
+    """
     if key:
-        df = packages.join(df, PKG, "left").select(*df.columns)  # a package without rows: one of nulls
+        missing = packages.join(df.select(PKG).distinct(), PKG, "left_anti")
+        df = df.join(F.broadcast(packages), PKG).select(*df.columns).unionByName(missing, allowMissingColumns=True)
+    df = df.hint("rebalance", PKG)
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PKG).parquet(path)
 
 
@@ -90,7 +97,7 @@ def update_graph(
 def _run(spark: SparkSession, root: str, packages: DataFrame, names: list, inputs, run: int, options: dict) -> None:
     tables = inputs(names) if callable(inputs) else inputs
     own = packages.select(PKG)
-    tables = {k: df.join(own, PKG, "left_semi") for k, df in tables.items()}
+    tables = {k: df.join(F.broadcast(own), PKG, "left_semi") for k, df in tables.items()}
     out = build_graph(*(tables[k] for k in INPUTS), **options)
     for name, key in OUTPUTS.items():
         _replace(out[name], own, f"{root}/{name}", key)

@@ -3,6 +3,8 @@
 import glob
 import os
 
+from pyspark.sql import functions as F
+
 from codeloom.plans import incremental as I
 
 PKGS = ("a", "b", "c")
@@ -60,3 +62,18 @@ def test_a_package_that_lost_its_output_keeps_nothing(spark, tmp_dir):
         assert {r["package"] for r in I.read_output(spark, tmp_dir, name).collect()} == {"b"}
     status = {r["package"]: (r["status"], r["run"]) for r in I.read_manifest(spark, tmp_dir).collect()}
     assert status == {"a": ("error", 3), "b": ("ok", 2)}
+
+
+def test_written_rows_are_not_dealt_by_package_alone(spark, tmp_dir):
+    own = spark.createDataFrame([("a",), ("b",)], "package string")
+    rows = spark.range(0, 30000, 1, 4).select(F.lit("a").alias("package"), F.concat(F.lit("n"), F.sha2(F.col("id").cast("string"), 512)).alias("node1"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200kb")
+    try:
+        I._replace(rows, own, f"{tmp_dir}/edges", "node1")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    # the large package is several tasks' files; the one without rows has its row of nulls
+    assert len(glob.glob(f"{tmp_dir}/edges/package=a/*.parquet")) > 1
+    assert I.read_output(spark, tmp_dir, "edges").count() == 30000
+    back = spark.read.parquet(f"{tmp_dir}/edges")
+    assert [tuple(r) for r in back.where("package = 'b'").collect()] == [(None, "b")]
