@@ -62,3 +62,29 @@ def test_training_matches_numpy_and_lowers_the_loss(spark, tmp_dir):
     text = spark.createDataFrame([("t1 w2 w3", "t1 w9", ""), ("t2", "t2 w1", "t3 w1")], "source1 string, source2 string, source3 string")
     assert evaluate_embedder(text, again).first()["triplets"] == 2
     assert P.train_projection(trip.limit(0), "edge_id", features=64, dim=4)[1] == []
+
+
+def test_each_node_is_embedded_once(spark, tmp_dir):
+    """The metrics are those of the triplets' texts, but a node's text meets the embedder once."""
+    import pandas as pd
+
+    from codeloom.operators import sampling as S
+    from codeloom.plans.evaluation import evaluate_on_nodes
+
+    edges, nodes = _corpus(spark)
+    edges = edges.union(spark.createDataFrame([("p9", 900, "x", "y")], edges.schema)).union(edges.where("edge_id < 40"))
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(df, column, out):
+        @F.pandas_udf("array<double>")
+        def vector(texts: pd.Series) -> pd.Series:
+            met.add(len(texts))
+            return texts.map(lambda x: [float(len(x)), float(x.count("t")), float(x.count("w1"))])
+
+        return df.withColumn(out, vector(column))
+
+    want = evaluate_embedder(S.triplets(edges, nodes, "edge_id", "doc_id"), counted).first().asDict()
+    met.value = 0
+    got = evaluate_on_nodes(edges, nodes, counted, "edge_id", "doc_id").first().asDict()
+    assert got == pytest.approx(want) and got["triplets"] == 201
+    assert met.value <= 160 + 3, met.value
