@@ -10,23 +10,31 @@ from __future__ import annotations
 
 import io
 import json
+import os
+import posixpath
 import re
 import tarfile
+import zlib
+from itertools import islice
 from typing import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import NA_WORDS
 from codeloom.sources.headed import NAME as HEADED
-from codeloom.sources.headed import HeadedCsv
+from codeloom.sources.headed import HeadedCsv, _opened
 from codeloom.sources.streamed import NAME as CALL_GRAPH
 from codeloom.sources.streamed import PIECE, CallGraphJson
 
 CALL_GRAPH_KEY = "call-graph-v1.0"
 #: Text of one archive sent on at once.
 MEMBER_BYTES = 4 << 20
+#: Paths of source files sent on at once.
+LISTED = 10_000
 NODE_SCHEMA = "node string, source_code string, description string, signature string"
 EDGE_SCHEMA = "node1 string, node2 string, type int"
 
@@ -138,20 +146,110 @@ def normalize_newlines(c) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "\r\n", "\n"), "\r", "\n")
 
 
+def _name_pattern(pattern: str) -> re.Pattern:
+    """A glob over file names as Hadoop takes it: ``* ? [..] [^..] {a,b}`` and ``\\`` before a character."""
+    out, depth, k = [], 0, 0
+    while k < len(pattern):
+        x = pattern[k]
+        end = pattern.find("]", k + 2) if x == "[" else -1
+        if x == "\\" and k + 1 < len(pattern):
+            k += 1
+            out.append(re.escape(pattern[k]))
+        elif end > 0:
+            inner = pattern[k + 1:end]
+            out.append("[" + ("^" + inner[1:] if inner[0] in "^!" else inner).replace("\\", "\\\\") + "]")
+            k = end
+        elif x in "{}" or (x == "," and depth):
+            depth += {"{": 1, "}": -1, ",": 0}[x]
+            out.append({"{": "(?:", "}": ")", ",": "|"}[x])
+        else:
+            out.append({"*": ".*", "?": "."}.get(x) or re.escape(x))
+        k += 1
+    return re.compile("".join(out), re.DOTALL)
+
+
+def _entries(system: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool]]:
+    """Names in a folder and whether they are folders, one by one where the file system can."""
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            for x in found:
+                yield x.name, x.is_dir()
+    else:
+        for x in system.get_file_info(fs.FileSelector(folder.rstrip("/") or "/")):
+            yield x.base_name, x.type == fs.FileType.Directory
+
+
+def _left_out(name: str, folder: bool) -> bool:
+    """Names that Spark's file sources pass over."""
+    if folder and name.startswith(("_common_metadata", "_metadata")):
+        return False
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _paths_below(root: str, pattern: str, share: int, tasks: int) -> Iterator[str]:
+    """Matching files of one task, relative to ``root``: its share of what lies in ``root`` by the names' hash, and all that is below."""
+    system, base, _ = _opened(root)
+    wanted, todo = _name_pattern(pattern), [""]
+    while todo:
+        folder = todo.pop()
+        for name, is_folder in _entries(system, posixpath.join(base, folder)):
+            if (not folder and zlib.crc32(name.encode()) % tasks != share) or _left_out(name, is_folder):
+                continue
+            if is_folder:
+                todo.append(posixpath.join(folder, name))
+            elif wanted.fullmatch(name):
+                yield posixpath.join(folder, name)
+
+
+def _whole_files(root: str):
+    """``path, content`` of the files named by their paths; an empty file gives no row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base, _ = _opened(root)
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.binary()))], names=["path", "content"])
+        rows, size = [], 0
+        for path in (x for b in batches for x in b.column(0).to_pylist()):
+            with system.open_input_stream(posixpath.join(base, path)) as f:
+                content = f.read()
+            if content:
+                rows.append((path, content))
+                size += len(content)
+            if size > MEMBER_BYTES:
+                yield batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield batch(rows)
+
+    return run
+
+
 def read_source_files(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFrame:
     """``package, path, content`` for every matching file below ``root``;
-    ``package`` is the first folder under ``root``, ``path`` is relative to it."""
-    # ``text()`` sets ``wholetext`` itself, so it is passed as an argument
-    df = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-          .text(root, wholetext=True))
-    base = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/", root).rstrip("/")
-    rel = F.regexp_extract("_path", "(?:^|/)" + re.escape(base.lstrip("/")) + "/(.*)$", 1)
-    df = df.select("value", _path_col().alias("_path"))
-    rel = F.when(rel != "", rel).otherwise(F.raise_error(F.concat(F.lit(f"not below {base}: "), F.col("_path"))))
-    return df.select(
-        F.split_part(rel, F.lit("/"), F.lit(1)).alias("package"),
-        rel.alias("path"),
-        normalize_newlines(F.col("value")).alias("content"),
+    ``package`` is the first folder under ``root``, ``path`` is relative to it.
+
+    Tasks list the folders, each but ``root`` once, and the paths are dealt to
+    those that read the files: the driver holds no list of them.
+    """
+    system, base, _ = _opened(root)
+    kind = system.get_file_info(base).type
+    if kind == fs.FileType.File or (kind == fs.FileType.NotFound and re.search(r"[*?\[{]", root)):
+        raise ValueError(f"not below {root}: it is no folder")
+    if kind == fs.FileType.NotFound:
+        raise AnalysisException(f"[PATH_NOT_FOUND] Path does not exist: {root}.")
+    tasks = 2 * spark.sparkContext.defaultParallelism
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for share in (x for b in batches for x in b.column(0).to_pylist()):
+            paths = _paths_below(root, pattern, share, tasks)
+            while some := list(islice(paths, LISTED)):
+                yield pa.RecordBatch.from_pydict({"path": pa.array(some, pa.string())})
+
+    # an explicit partition count: what is read is much larger than the paths that are dealt
+    readers = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    paths = spark.range(0, tasks, 1, tasks).mapInArrow(listed, "path string").repartition(readers, "path")
+    return paths.mapInArrow(_whole_files(root), "path string, content binary").select(
+        F.split_part("path", F.lit("/"), F.lit(1)).alias("package"),
+        "path",
+        normalize_newlines(F.col("content").cast("string")).alias("content"),
     )
 
 

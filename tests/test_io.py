@@ -291,3 +291,24 @@ def test_files_are_written_by_the_tasks_without_a_folder_each(spark, tmp_dir):
     assert len(back) == 41 and back["p=pkg 0/name=twice.py"] == "a\na\n"  # Spark reads no row from an empty file
     assert os.path.getsize(f"{tmp_dir}/tree/p=pkg 1/name=empty.py") == 0
     assert all(back[p] == c for p, c in rows[:40])
+
+
+def test_source_files_are_listed_by_the_tasks(spark, tmp_dir):
+    # no file is known to the driver: the plan has no file index, and names, hidden files and patterns count as for Spark's sources
+    names = ["a/b/c/x.py", "a/y.py", "top.py", "_p=1/z.py", "_hidden/no.py", ".git/no.py", "a/.no.py", "a/_no.py", "a/n.txt", "_metadata/m.py",
+             "a/gone.py._COPYING_", "b/q{1}.py"]
+    for name in names:
+        _write(f"{tmp_dir}/tree/{name}", f"# {name}\r", "w")
+    _write(f"{tmp_dir}/tree/b/bytes.py", b"\xff\r\n\xe9", "wb")
+    _write(f"{tmp_dir}/tree/b/empty.py", "", "w")
+    for pattern in ("*.py", "{x,y}.p[a-z]", "?.py", "[^x]*.py", "q\\{1\\}.py", "*.{py,txt}"):
+        df = R.read_source_files(spark, f"{tmp_dir}/tree", pattern)
+        assert df.inputFiles() == []
+        spark_own = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(f"{tmp_dir}/tree", wholetext=True)
+        want = {(r["p"].split("/tree/", 1)[1], r["value"]) for r in spark_own.select(
+            R._path_col().alias("p"), R.normalize_newlines("value").alias("value")).collect()}
+        got = df.collect()
+        assert want and len(got) == len(want) and {(r["path"], r["content"]) for r in got} == want
+        assert all(r["package"] == r["path"].split("/")[0] for r in got)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        R.read_source_files(spark, f"{tmp_dir}/missing")
