@@ -19,19 +19,22 @@ FUNCTION_ROW = "qualname string, source_code string, description string, signatu
 CALL_ROW = "caller string, callee_text string, call_index int, error string"
 
 
-def _rows(parser: Parser, fn, columns: str, content: str | None, include_async: bool | None):
-    names = [c.split()[0] for c in columns.split(", ")]
-    for row in parser(fn, [content], bool(include_async))[0]:
-        yield tuple(row.get(c) for c in names)
+def _names(columns: str) -> list[str]:
+    return [c.split()[0] for c in columns.split(", ")]
+
+
+def _rows(parser: Parser, fn, names: list[str], content: str | None, include_async: bool | None):
+    _, values = parser.columns(fn, [content], bool(include_async), names)
+    return zip(*values)
 
 
 @udtf(returnType=FUNCTION_ROW)
 class ExtractFunctions:
     def __init__(self):
-        self.parser = Parser()
+        self.parser, self.names = Parser(), _names(FUNCTION_ROW)
 
     def eval(self, content: str, include_async: bool = False):
-        yield from _rows(self.parser, functions_of, FUNCTION_ROW, content, include_async)
+        return _rows(self.parser, functions_of, self.names, content, include_async)
 
     def terminate(self):
         self.parser.close()
@@ -40,10 +43,10 @@ class ExtractFunctions:
 @udtf(returnType=CALL_ROW)
 class FindCalls:
     def __init__(self):
-        self.parser = Parser()
+        self.parser, self.names = Parser(), _names(CALL_ROW)
 
     def eval(self, content: str, include_async: bool = False):
-        yield from _rows(self.parser, calls_of, CALL_ROW, content, include_async)
+        return _rows(self.parser, calls_of, self.names, content, include_async)
 
     def terminate(self):
         self.parser.close()
