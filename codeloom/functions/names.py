@@ -99,4 +99,5 @@ def parse_log_entry(line, root) -> Column:
     name = F.substr(strip_ws(F.substring_index(rest, FROM_TOKEN, 1)), F.lit(ANSI_PREFIX_LEN + 1))
     full = F.regexp_extract(rest, r"(?s)\(from ([^)]*)(?:\)|.$)", 1)
     rel = F.substr(full, F.instr(full, r) + F.length(r) + 1)
-    return F.when(rest.contains(FROM_TOKEN), F.struct(name.alias("name"), rel.alias("rel_path")))
+    # a line with the token has a name: stated, for a check that it is not null would strip it once more
+    return F.when(rest.contains(FROM_TOKEN), F.struct(F.coalesce(name, F.lit("")).alias("name"), rel.alias("rel_path")))

@@ -112,10 +112,15 @@ def attach_paths(entries: DataFrame, n2p: DataFrame, builtin_only: bool = False)
     Returns ``(resolved, unmatched)``: ``resolved`` has ``package, function,
     name, rel_path``; ``unmatched`` the kept entries whose name was not logged.
     ``builtin_only`` switches to the older filter that only drops builtins.
+
+    A kept entry has a symbol and so a name.  Both are stated, or Spark would check
+    the key of each join by working out the name once more, and readers of the
+    symbols and of their number could not share the shuffled entries.
     """
     stripped = N.strip_overload_suffix("function")
     keep = not_builtin("function") if builtin_only else is_user_function(stripped)
-    kept = entries.filter(keep).select(PKG, "function", N.bare_name(stripped).alias("name"))
+    kept = entries.filter(keep & F.col("function").isNotNull()) \
+        .select(PKG, "function", F.coalesce(N.bare_name(stripped), F.lit("")).alias("name"))
     side = n2p.select(PKG, "name", "rel_path")
     resolved = kept.join(side, [PKG, "name"])
     unmatched = kept.join(side, [PKG, "name"], "left_anti")
@@ -167,7 +172,8 @@ def graph_stats(resolved: DataFrame, calls: DataFrame, builtin_only: bool = Fals
     """Per package: vertices = kept entries with a path; edges = their kept callees."""
     keep = not_builtin("callee") if builtin_only else is_user_function(N.strip_overload_suffix("callee"))
     ent = resolved.select(PKG, F.col("function").alias("caller"))
-    v = ent.groupBy(PKG).agg(F.count(F.lit(1)).alias("vertices"))
+    # counted by caller, as the calls are joined: both readings of the entries share their shuffles
+    v = ent.groupBy(PKG).agg((F.count("caller") + F.count_if(F.col("caller").isNull())).alias("vertices"))
     e = calls.filter(keep).join(ent, [PKG, "caller"]).groupBy(PKG).agg(F.count(F.lit(1)).alias("edges"))
     return v.join(e, PKG, "left").select(PKG, "vertices", F.coalesce("edges", F.lit(0)).alias("edges"))
 

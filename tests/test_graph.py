@@ -167,3 +167,44 @@ def test_completeness_of_nulls_and_duplicates(spark):
     # a null node is an end and a function, but never both; packages are joined, so a null one has no counts
     assert rows == {"p": (3, 3, 1, 3), "q": (2, 0, 0, 1), "r": (0, 1, 0, 0), None: (0, 0, 0, 0)}
     assert {tuple(r) for r in G.edge_ends(edges).collect()} == {("p", "x"), ("p", "y"), ("p", None), (None, "x"), (None, "y"), ("q", "x"), ("q", None)}
+
+
+def test_stats_read_the_entries_once(spark):
+    """Entries are read, filtered and shuffled once for both counts, and a logged name is stripped once."""
+    symbol = F.when(F.col("id") >= 0, F.concat(F.lit("m.py:<module>:f"), "id"))  # may be null, as what is read from files
+    entries = spark.range(0, 50, 1, 2).select((F.col("id") % 3).alias("package"), symbol.alias("function"))
+    log = spark.range(0, 70, 1, 2).select((F.col("id") % 3).alias("package"), F.col("id").alias("line_no"), F.concat(
+        F.lit("[INFO] ("), F.col("id").cast("string"), F.lit("/70) \x1b[0mf"), F.col("id").cast("string"), F.lit(" (from /w/m.py)")).alias("line"))
+    calls = spark.range(0, 90, 1, 2).select((F.col("id") % 3).alias("package"), F.concat(F.lit("m.py:<module>:f"), F.col("id") % 60).alias("caller"),
+                                            F.lit("m.py:<module>:f1::1").alias("callee"))
+    roots = spark.createDataFrame([(k, "/w") for k in range(3)], "package long, root string")
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        resolved, _ = G.attach_paths(entries, G.name_to_path(G.log_entries(log, roots)))
+        stats = G.graph_stats(resolved, calls)
+        plan = stats._jdf.queryExecution().executedPlan().toString()
+        assert (plan.count("Range (0, 50"), plan.count("Range (0, 70"), plan.count("^\\s+|\\s+$")) == (1, 1, 1)
+        assert {tuple(r) for r in stats.collect()} == {(0, 17, 27), (1, 17, 27), (2, 16, 26)}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_stats_of_nulls_and_duplicates(spark):
+    resolved = spark.createDataFrame([("p", "a"), ("p", "a"), ("p", None), ("p", "b"), ("q", "c"), (None, "a"), (None, None)],
+                                     "package string, function string")
+    calls = spark.createDataFrame([("p", "a", "m:f"), ("p", "a", "m:f"), ("p", "b", "m:<lambda>"), ("p", None, "m:f"), (None, "a", "m:f"),
+                                   ("r", "a", "m:f"), ("p", "b", None)], "package string, caller string, callee string")
+    assert {tuple(r) for r in G.graph_stats(resolved, calls).collect()} == {("p", 4, 4), ("q", 1, 0), (None, 2, 0)}
+    entries = spark.createDataFrame([("p", None), ("p", "m:f"), ("p", "m:f"), ("p", "m:g::1"), (None, "m:f"), ("p", "")], "package string, function string")
+    n2p = spark.createDataFrame([("p", "f", "x.py"), ("p", None, "y.py"), ("p", "", "z.py"), (None, "f", "x.py")], "package string, name string, rel_path string")
+    found, missing = G.attach_paths(entries, n2p)
+    assert [tuple(r) for r in found.select("package", "function", "name").collect()] == [("p", "m:f", "f")] * 2
+    assert {tuple(r) for r in missing.select("package", "function", "name").collect()} == {("p", "m:g::1", "g"), (None, "m:f", "f")}
+    lines = spark.createDataFrame([("p", 1, "[INFO] (1/3) \x1b[0m (from /w/a.py)"), ("p", 2, None), ("p", 3, "[INFO] (2/3) none")],
+                                  "package string, line_no long, line string")
+    logged = G.log_entries(lines, spark.createDataFrame([("p", "/w")], "package string, root string")).collect()
+    assert [tuple(r) for r in logged] == [("p", 1, "", "a.py")]
